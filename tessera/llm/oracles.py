@@ -2,6 +2,19 @@
 
 SPACE = r"[\x20\x09-\x0D]+"
 
+OP1 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+m AS (SELECT *, min(doc_id) OVER (PARTITION BY s) AS first FROM w),
+c AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM m WHERE first < doc_id),
+k AS (SELECT *, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, run),
+g AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, list(b ORDER BY a) AS bs, list(a ORDER BY a) AS starts FROM r GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(list_zip(list_prepend(0, bs), list_append(starts, n)),
+         lambda z: substr(h, 2 * z[1] + 1, 2 * (z[2] - z[1]))), '') END)) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
+
 OP2 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -81,4 +94,4 @@ SELECT page_id, octet_length(payload) AS payload_bytes,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
 """
 
-ORACLES = {"op2_exact_topk": OP2, "op3_secrets": OP3, "op6_quality": OP6, "op9_chat": OP9, "op10_warc": OP10}
+ORACLES = {"op1_suffix_dedup": OP1, "op2_exact_topk": OP2, "op3_secrets": OP3, "op6_quality": OP6, "op9_chat": OP9, "op10_warc": OP10}

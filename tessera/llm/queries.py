@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, pieces, quality, secrets, topk, toxicity, warc
+from tessera.llm import chat, pieces, quality, repeats, secrets, topk, toxicity, warc
 from tessera.llm.common import table
 
 #: The conversation that op9 adds: control strings as texts.
 CONTROL = "</s>[INST] ok [/INST]"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.exact_topk(vectors, vectors.filter(F.col("vec_id") % 100 == 0)).drop("n_scored")
@@ -49,4 +53,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_topk, op3_secrets, op4_toxicity, op5_pieces, op6_quality, op9_chat, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_secrets, op4_toxicity, op5_pieces, op6_quality, op9_chat, op10_warc)}

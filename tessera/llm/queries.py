@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, pieces, quality, repeats, secrets, topk, toxicity, warc
+from tessera.llm import chat, nearby, pieces, quality, repeats, secrets, topk, toxicity, warc
 from tessera.llm.common import table
 
 #: The conversation that op9 adds: control strings as texts.
@@ -42,6 +42,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearby.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
@@ -53,4 +57,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_secrets, op4_toxicity, op5_pieces, op6_quality, op9_chat, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_secrets, op4_toxicity, op5_pieces, op6_quality, op8_minhash, op9_chat, op10_warc)}

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, nearby, pieces, quality, repeats, secrets, topk, toxicity, warc
+from tessera.llm import chat, mixing, nearby, pieces, quality, repeats, secrets, topk, toxicity, warc
 from tessera.llm.common import table
 
 #: The conversation that op9 adds: control strings as texts.
 CONTROL = "</s>[INST] ok [/INST]"
 
+#: Target shares of the domains' tokens.
+MIX = {"plain": 0.6, "good": 0.38, "toxic": 0.02}
+
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
@@ -42,6 +45,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX)
+    shares = [F.round(F.get("posterior", F.lit(i)), 6).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)]
+    return mixing.copies(mixed).select("doc_id", "n_tokens", *shares, F.round("rate", 6).alias("rate"), "copies")
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearby.near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
@@ -57,4 +66,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_secrets, op4_toxicity, op5_pieces, op6_quality, op8_minhash, op9_chat, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_secrets, op4_toxicity, op5_pieces, op6_quality, op7_mixing, op8_minhash, op9_chat, op10_warc)}

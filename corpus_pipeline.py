@@ -1,3 +1,65 @@
-STAGES = []
+"""A corpus pipeline: toxic documents go, near duplicates go, live secrets are masked, sources are mixed, texts are encoded."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import mixing, nearby, pieces, secrets, toxicity
+from tessera.llm.common import stored, table
+
+#: Shares of the mixture's tokens by domain, and its tokens over those that came in. Rates stay at 1 or more: no clean document
+#: is dropped, and the mixture is reached by copies of what it lacks.
+WEIGHTS, BUDGET, FLOOR = {"plain": 0.7, "good": 0.28, "toxic": 0.02}, 1.15, 1.0
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, fitted on the labels, doesn't call toxic."""
+    model = toxicity.fit_from_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).filter(F.col("predicted") == 0).select(*docs.columns)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the smallest id."""
+    gone = nearby.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    return kept
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets that look live are masked; n_chars follows the text."""
+    masked = secrets.redact_secrets(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
+    return masked.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as its rate says."""
+    mixed = mixing.copies(mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS, BUDGET, FLOOR))
+    times = mixed.select(F.col("doc_id").alias("_id"), "copies").dropDuplicates(["_id"])
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]), "left")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("copies", F.lit(1)), F.lit(1))))).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("near_duplicates", remove_near_duplicates),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("encoding", encode_pieces),
+]
+
+#: Learned scores and MinHash candidates are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, in order, over documents; each stage's result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -61,12 +61,14 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signed(sets: pd.Series) -> pd.DataFrame:
-    rows = []
-    for s in sets:
-        own = np.sort(np.asarray(s, dtype=np.int64))
-        rows.append((len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), signature(own).astype(np.int64) if len(own) else None))
-    return pd.DataFrame(rows, columns=["n", "set_key", "signature"])
+def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Size, key and signature of each set."""
+    for pdf in batches:
+        rows = []
+        for doc, own in zip(pdf["doc_id"], pdf["shingles"], strict=True):
+            own = np.sort(np.asarray(own, dtype=np.int64))
+            rows.append((doc, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), signature(own).astype(np.int64) if len(own) else None))
+        yield pd.DataFrame(rows, columns=["doc_id", "n", "set_key", "signature"])
 
 
 def _links(first_only: bool, percent: int):
@@ -162,8 +164,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     its row. A null doc_id is linked with nothing, has a null component and is kept. Other columns are ignored.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sign = F.pandas_udf(_signed, "n int, set_key binary, signature array<long>")
-    signed = texts.select("doc_id", sign(shingles(F.col("text"), k)).alias("s")).select("doc_id", "s.*")
+    sets = texts.select(F.col("doc_id").cast("string"), shingles(F.col("text"), k).alias("shingles"))
+    signed = sets.mapInPandas(_signed, "doc_id string, n int, set_key binary, signature array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = stored(signed, "signatures")
     full = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("doc"))

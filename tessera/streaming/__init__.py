@@ -1,0 +1 @@
+"""Nothing here: all of the library is batch work (see the README)."""

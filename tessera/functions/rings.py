@@ -73,9 +73,11 @@ def centroid(m: Column) -> Column:
 
 
 def shape_descriptors(df: DataFrame, ring: str = "ring") -> DataFrame:
-    """df with area, eccentricity, orientation, cx, cy."""
-    rows = df.withColumn("_m", moments(F.col(ring))).withColumn("_d", descriptors(F.col("_m"))).withColumn("_c", centroid(F.col("_m")))
-    return rows.select(*df.columns, "_d.area", "_d.eccentricity", "_d.orientation", F.col("_c.x").alias("cx"), F.col("_c.y").alias("cy"))
+    """df with area, eccentricity, orientation, cx, cy. Moments are taken about the ring's first point, which keeps small shapes far from the origin exact."""
+    rows = df.withColumn("_o", F.get(ring, F.lit(0)))
+    near = F.transform(F.col(ring), lambda p: F.struct((p["x"] - F.col("_o.x")).alias("x"), (p["y"] - F.col("_o.y")).alias("y")))
+    rows = rows.withColumn("_m", moments(near)).withColumn("_d", descriptors(F.col("_m"))).withColumn("_c", centroid(F.col("_m")))
+    return rows.select(*df.columns, "_d.area", "_d.eccentricity", "_d.orientation", (F.col("_c.x") + F.col("_o.x")).alias("cx"), (F.col("_c.y") + F.col("_o.y")).alias("cy"))
 
 
 def point_in_ring(ring: Column, x: Column, y: Column) -> Column:

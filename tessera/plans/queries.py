@@ -521,3 +521,169 @@ def k9_upsert(spark, sf_dir):
 @query(f"WITH {CELLS} SELECT wsi, cell_id, string_split(cell_id, '_')[2] AS native_cell_id FROM cells")
 def s12_native_id(spark, sf_dir):
     return readers.with_native_id(d.cells(spark, sf_dir)).select("wsi", "cell_id", "native_cell_id")
+
+
+# ---- more operators of the inventory
+
+@query(f"WITH {EMB}, {MASKED}, dr AS (SELECT a.wsi, 1 - list_cosine_similarity(a.vector, b.vector) AS drift FROM emb a JOIN masked b USING (wsi, cell_id)) SELECT wsi, count(*) AS n, round(avg(drift), 5) AS mean, round(median(drift), 5) AS median FROM dr GROUP BY wsi")
+def a14_drift_per_slide(spark, sf_dir):
+    rows = d.embeddings(spark, sf_dir)
+    found = tables.describe_by_group(joins.drift(rows, d.masked(rows)), "wsi", "drift")
+    return found.select("wsi", "n", F.round("mean", 5).alias("mean"), F.round("median", 5).alias("median"))
+
+
+@query(f"""WITH {EMB}, near AS (SELECT a.wsi, a.cell_id, b.vector FROM emb a JOIN emb b ON a.wsi = b.wsi AND b.key = a.key + 7 OR (a.wsi = b.wsi AND b.key = a.key + 14)), e AS (SELECT wsi, cell_id, unnest(range(64)) AS i, unnest(vector) AS v FROM near), m AS (SELECT wsi, cell_id, i, max(v) AS v FROM e GROUP BY ALL)
+SELECT wsi, cell_id, list(round(v, 6) ORDER BY i) AS pooled FROM m GROUP BY wsi, cell_id""")
+def t7_neighbor_max_pool(spark, sf_dir):
+    rows = d.embeddings(spark, sf_dir)
+    near = rows.select("wsi", "cell_id", F.explode(F.array(F.col("key") + 7, F.col("key") + 14)).alias("o")).withColumn("other_id", F.concat(F.lit("v"), F.col("o").cast("string")))
+    found = models.neighbour_pool(rows, near, "vector")
+    return found.select("wsi", "cell_id", F.transform("pooled", lambda x: F.round(x.cast("double"), 6)).alias("pooled"))
+
+
+@query(f"WITH {CELLS}, h AS (SELECT *, key % 5 <> 0 AS known FROM cells) SELECT wsi, cell_id, CASE WHEN known THEN x END AS x, known AS valid FROM h")
+def j10_resolve_positions(spark, sf_dir):
+    cells = d.cells(spark, sf_dir)
+    return joins.resolve_positions(cells.select("wsi", "cell_id"), cells.filter("key % 5 <> 0")).select("wsi", "cell_id", "x", "valid")
+
+
+@query(f"WITH {CELLS}, {EXPR} SELECT c.wsi, count(*) AS n, round(sum(e.count), 3) AS total FROM cells c JOIN expr e ON e.wsi = c.wsi AND e.barcode = string_split(c.cell_id, '_')[2] GROUP BY c.wsi")
+def j11_join_expression(spark, sf_dir):
+    found = joins.join_expression(d.cells(spark, sf_dir).select("wsi", "cell_id"), d.expression(spark, sf_dir))
+    return found.groupBy("wsi").agg(F.count("*").alias("n"), F.round(F.sum("count"), 3).alias("total"))
+
+
+@query(f"""WITH {CELLS}, {_ORIENTED}, c AS (SELECT a.wsi, a.cell_id, b.cell_id AS other_id, 1 / (1 + sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 15) + 1 - least(abs(a.orientation - b.orientation) % 180, 180 - abs(a.orientation - b.orientation) % 180) / 90 AS score
+  FROM det a JOIN ref b ON a.wsi = b.wsi AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 6400), t AS (SELECT *, row_number() OVER (PARTITION BY wsi, cell_id ORDER BY round(score, 12) DESC, other_id) AS r FROM c),
+u AS (SELECT *, row_number() OVER (PARTITION BY wsi, other_id ORDER BY round(score, 12) DESC, cell_id) AS q FROM t WHERE r = 1) SELECT wsi, other_id, cell_id, round(score, 6) AS score FROM u WHERE q = 1""")
+def j8_best_per_reference(spark, sf_dir):
+    cells = d.cells(spark, sf_dir).withColumn("orientation", (F.col("key") * 13 % 180).cast("double"))
+    one = spark.createDataFrame([("even", 1.0, 1.0, 0.0)], "name string, w_distance double, w_orientation double, w_iou double")
+    found = space.match_by_radius(cells.filter("key % 2 = 0"), cells.filter("key % 2 = 1"), one).withColumn("score", F.round("score", 12))
+    return rounded(joins.best_per_reference(found), "score")
+
+
+@query("WITH p AS (SELECT DISTINCT o_custkey % 40 AS k FROM orders), f AS (SELECT DISTINCT o_custkey % 40 AS k FROM orders WHERE o_custkey % 3 = 0 AND o_custkey < 60) SELECT k FROM p WHERE k NOT IN (SELECT k FROM f)")
+def j19_skip_finished(spark, sf_dir):
+    orders = d.table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey") % 40)
+    return joins.skip_finished(orders.select("k").distinct(), orders.filter("o_custkey % 3 = 0 AND o_custkey < 60"), ["k"])
+
+
+@query("SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) FILTER (o_orderstatus = 'F') > 0 AND count(*) FILTER (o_orderstatus <> 'F') > 0")
+def j20_masked_pairs(spark, sf_dir):
+    rows = d.table(spark, sf_dir, "orders").withColumn("masked", F.col("o_orderstatus") == "F")
+    return joins.masked_pairs(rows, ["o_custkey"])
+
+
+@query("SELECT c_custkey AS path, CASE WHEN NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 'missing' WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') THEN 'done' ELSE 'to_run' END AS status FROM customer")
+def j27_input_status(spark, sf_dir):
+    orders = d.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), "o_orderstatus")
+    return joins.input_status(d.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path")), orders, orders.filter("o_orderstatus = 'F'"))
+
+
+@query("SELECT o_custkey AS path, c_name, o_orderkey FROM customer RIGHT JOIN orders ON c_custkey = o_custkey")
+def j30_attach_inventory(spark, sf_dir):
+    customers = d.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), "c_name")
+    return joins.attach_inventory(customers, d.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), "o_orderkey"))
+
+
+@query(f"WITH {CELLS} SELECT wsi, cell_id, cell_type || '_' || (row_number() OVER (PARTITION BY wsi ORDER BY key) - 1) AS seq_id FROM cells")
+def w3_sequential_id(spark, sf_dir):
+    return tables.sequential_id(d.cells(spark, sf_dir), "wsi", F.concat(F.col("cell_type"), F.lit("_")), F.col("key")).select("wsi", "cell_id", "seq_id")
+
+
+@query("SELECT c_custkey, o_orderkey FROM (SELECT o_custkey AS c_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, o_orderstatus) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n = 1")
+def w5_prefer_first(spark, sf_dir):
+    rows = d.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    single = rows.groupBy("c_custkey").count().filter("count = 1")
+    return tables.prefer_first(rows.join(single, "c_custkey", "left_semi"), "c_custkey", "o_orderstatus", ["P", "O", "F"]).select("c_custkey", "o_orderkey")
+
+
+@query(f"WITH {CELLS}, q AS (SELECT wsi, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM cells GROUP BY wsi) SELECT wsi, min(y) AS low, max(y) AS high, any_value(q1) AS q1, any_value(q3) AS q3 FROM cells JOIN q USING (wsi) WHERE y BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY wsi")
+def a16_whiskers(spark, sf_dir):
+    return tables.whisker_limits(d.cells(spark, sf_dir), "wsi", "y")
+
+
+@query("SELECT event_type, user_id % 4 AS k, count(*) AS n FROM events GROUP BY ALL")
+def a34_status_counts(spark, sf_dir):
+    return tables.status_counts(d.table(spark, sf_dir, "events").withColumn("k", F.col("user_id") % 4), ["event_type", "k"])
+
+
+@query(f"WITH {PRED} SELECT split_idx, true_label AS label, count(*) AS n, CASE WHEN split_idx < 6 THEN 'train' ELSE 'test' END AS side FROM pred GROUP BY ALL")
+def k5_split_info(spark, sf_dir):
+    rows = d.predictions(spark, sf_dir).withColumn("side", F.when(F.col("split_idx") < 6, "train").otherwise("test")).withColumnRenamed("true_label", "label")
+    return sinks.split_info(rows)
+
+
+@query(f"WITH {CELLS}, s AS (SELECT DISTINCT key % 3 AS split_idx, wsi, CASE WHEN (key % 3) = 0 THEN 'test' ELSE 'train' END AS side FROM cells), p AS (SELECT *, (split_idx + 1) / 4.0 AS proportion FROM s) SELECT CAST(-1 AS BIGINT) AS split_idx, wsi, CAST(max(proportion) AS DOUBLE) AS proportion FROM p GROUP BY wsi")
+def m3_resolve_splits(spark, sf_dir):
+    rows = d.cells(spark, sf_dir).select((F.col("key") % 3).alias("split_idx"), "wsi").distinct()
+    rows = rows.withColumns({"side": F.when(F.col("split_idx") == 0, "test").otherwise("train"), "proportion": (F.col("split_idx") + 1) / 4.0})
+    return sampling.resolve_splits(rows).filter("split_idx = -1").select(F.col("split_idx").cast("long"), "wsi", "proportion")
+
+
+@query(f"WITH {CELLS}, r AS (SELECT wsi, cell_id, cell_type, row_number() OVER (PARTITION BY cell_type ORDER BY {_DRAW}, wsi, cell_id) AS r FROM cells) SELECT wsi, cell_id, cell_type FROM r WHERE r <= greatest(1, floor(100 / (SELECT count(DISTINCT cell_type) FROM cells)))")
+def m7_stratified(spark, sf_dir):
+    return sampling.stratified_sample(d.cells(spark, sf_dir), 100, "cell_type", 0, "wsi", "cell_id").select("wsi", "cell_id", "cell_type")
+
+
+@query(f"WITH {CELLS}, r AS (SELECT wsi, cell_id, row_number() OVER (PARTITION BY wsi ORDER BY {_DRAW}, wsi, cell_id) AS r FROM cells) SELECT wsi, cell_id FROM r WHERE r <= 20")
+def m9_subsample(spark, sf_dir):
+    return sampling.subsample(d.cells(spark, sf_dir), 20, 0, "wsi", "cell_id", group=["wsi"]).select("wsi", "cell_id")
+
+
+@query("WITH q AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s, median(l_tax) AS md, quantile_cont(l_tax, 0.75) - quantile_cont(l_tax, 0.25) AS iq FROM lineitem) SELECT l_returnflag, round(avg((l_quantity - m) / s), 4) + 0.0 AS z, count(*) AS n FROM lineitem, q GROUP BY l_returnflag")
+def e7_scale(spark, sf_dir):
+    rows = d.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
+    (scaled,) = models.scale_columns(rows, ["l_quantity"], False)
+    return scaled.groupBy("l_returnflag").agg((F.round(F.avg("l_quantity"), 4) + 0.0).alias("z"), F.count("*").alias("n"))
+
+
+@query()
+def a7_expression_divergence(spark, sf_dir):
+    rows = expression.normalize_log1p(d.expression(spark, sf_dir))
+    cells = d.cells(spark, sf_dir)
+    pairs = space.window_join(cells, cells, 112, include_self=False).select("wsi", scalars.barcode(F.col("cell_id")).alias("barcode"), scalars.barcode(F.col("other_id")).alias("other"))
+    return expression.expression_divergence(rows, pairs, 50)
+
+
+@query()
+def a19_kde(spark, sf_dir):
+    return rounded(tables.gaussian_kde(d.table(spark, sf_dir, "events"), "value", [float(i) for i in range(0, 100, 5)]), "density")
+
+
+@query()
+def g2_g5_polygons(spark, sf_dir):
+    from tessera.functions import polygons
+
+    rows = d.polygons(spark, sf_dir)
+    found = rows.withColumn("v", polygons.make_valid(F.col("ring"))).withColumn("o", polygons.orientation_elongation(F.col("ring"))).withColumn("iou", polygons.aligned_iou(F.col("ring"), F.col("ring")))
+    return found.select("wsi", "cell_id", F.size("v.parts").alias("parts"), "v.repaired", r6("o.orientation").alias("orientation"), r6("o.elongation").alias("elongation"), r6("iou").alias("iou"))
+
+
+@query()
+def e6_pca(spark, sf_dir):
+    rows = d.embeddings(spark, sf_dir)
+    mean, components = models.pca_fit(rows, "vector", 4)
+    return models.pca_apply(rows, "vector", mean, components).select("wsi", "cell_id", F.size("vector").alias("k"))
+
+
+@models.register_probe("composition")
+def _composition_probe(cells: DataFrame, px: int = 224, label: str = "Stromal") -> DataFrame:
+    found = space.composition(space.window_stats(cells, cells, px, CLASSES), CLASSES)
+    return found.select("wsi", "cell_id", F.col(f"f_{label}").alias("target"), "valid")
+
+
+@models.register_probe("cell_count")
+def _count_probe(cells: DataFrame, px: int = 224, log: bool = True) -> DataFrame:
+    found = space.window_stats(cells, cells, px, [])
+    return found.select("wsi", "cell_id", (F.log1p("n") if log else F.col("n").cast("double")).alias("target"), F.col("n").isNotNull().alias("valid"))
+
+
+@query()
+def e9_probe_suite(spark, sf_dir):
+    cells = d.cells(spark, sf_dir)
+    features = cells.select("wsi", "cell_id", F.array((F.col("x") / 1000.0), (F.col("y") / 1000.0), (F.col("key") % 12).cast("double")).alias("x"))
+    sides = spark.createDataFrame([(f"s{i}", "train" if i < 5 else "val" if i == 5 else "test") for i in range(7)], "wsi string, side string")
+    found = models.run_probe_suite(cells, features, sides, [{"probe": "composition"}, {"probe": "cell_count", "px": 448}], [0.1, 10.0])
+    return spark.createDataFrame([(r["probe"], r["skipped"], float(r.get("test_r2", 0.0))) for r in found], "probe string, skipped boolean, test_r2 double")

@@ -21,7 +21,8 @@ def sample_proportion(cells: DataFrame, proportions: DataFrame, seed=0) -> DataF
     """max(1, floor(n * p)) cells of each slide of proportions (wsi, proportion). A slide that has no cell raises."""
     n = cells.groupBy("wsi").agg(F.count("*").alias("_n"))
     plan = proportions.join(n, "wsi", "left").withColumn("_keep", F.when(F.col("_n").isNull(), F.raise_error(F.concat(F.lit("no usable cells in "), F.col("wsi"))).cast("long")).otherwise(F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("proportion")))))
-    return _numbered(cells.join(plan.select("wsi", "_keep"), "wsi"), ["wsi"], draw(seed, "wsi", "cell_id"), "cell_id").filter(F.col("_r") <= F.col("_keep")).drop("_r", "_keep")
+    rows = plan.select("wsi", "_keep").join(cells, "wsi", "left")  # a slide without cells stays, so that it raises
+    return _numbered(rows, ["wsi"], draw(seed, "wsi", "cell_id"), "cell_id").filter(F.col("_r") <= F.col("_keep")).drop("_r", "_keep")
 
 
 def sample_cell_types(cells: DataFrame, proportions: DataFrame, seed=0, label: str = "cell_type") -> DataFrame:

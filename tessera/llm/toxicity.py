@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted on at most, those with the smallest hashes of their ids.
-MAX_LABELLED = 8000
+MAX_LABELLED = 3000
 STEMS = (7, 6, 5, 4)
 #: Documents that must hold a form before it is trusted.
 SUPPORT = 4
@@ -94,17 +93,24 @@ class Lexicon:
 
 def learn_lexicon(texts: list[set[str]], toxic: np.ndarray) -> Lexicon:
     """texts: the distinct words of each labelled text."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for own, label in zip(texts, toxic, strict=True):
-        counts[int(label)].update({f for w in own if len(w) <= 40 for f in forms(w)})
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
     if not n1 or not n0:
         return Lexicon()
-    known = {f for c in counts for f, n in c.items() if counts[0][f] + counts[1][f] >= SUPPORT}
+    # forms are counted by their hashes: there are millions, and few are held often enough to be kept as text
+    hashed = [np.unique(np.fromiter((hash(f) for w in own if len(w) <= 40 for f in forms(w)), np.int64)) for own in texts]
+    keys, totals = np.unique(np.concatenate(hashed), return_counts=True)
+    keys = keys[totals >= SUPPORT]
+    counts = np.zeros((2, len(keys)), np.int64)
+    for own, label in zip(hashed, toxic, strict=True):
+        at = np.searchsorted(keys, own)
+        at = at[at < len(keys)][keys[at[at < len(keys)]] == own[at < len(keys)]]
+        counts[int(label), at] += 1
+    place = {k: i for i, k in enumerate(keys.tolist())}
+    known = {f: place[h] for own in texts for w in own if len(w) <= 40 for f in forms(w) if (h := hash(f)) in place}
     rate, chance = n1 / (n1 + n0), math.log(max(2, len(known)))
     weights = {}
-    for f in known:
-        a, b = counts[1][f], counts[0][f]
+    for f, i in known.items():
+        a, b = int(counts[1, i]), int(counts[0, i])
         odds = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
         share = a / (a + b)
         gain = a * math.log(share / rate) + (b * math.log((1 - share) / (1 - rate)) if b else 0.0) if a else 0.0  # log-likelihood over chance

@@ -268,19 +268,24 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
                 smallest[content] = doc
             if of_key.setdefault(key, content) != content:
                 of_key[key] = None  # contents differ
-    family = SuffixFamily()
+    family, place, distinct, size = SuffixFamily(), {}, [], 0
     mixed = []
-    for _, _, keys, docs, contents in blocks:
+    for _, _, keys, _, contents in blocks:
         own = np.array([of_key[k] is None for k in keys.tolist()], bool)
         mixed.append(own)
-        some = [c for c, m in zip(contents, own.tolist(), strict=True) if m]
-        if some:
-            family.add(suffixes(some), np.repeat(docs[own], [len(c) - LENGTH + 1 for c in some]))
+        new = [c for c, m in zip(contents, own.tolist(), strict=True) if m and c not in place]  # what no batch before has brought
+        for c in new:
+            place[c] = size
+            size += len(c) - LENGTH + 1
+        if new:
+            family.add(suffixes(new), np.repeat(np.array([smallest[c] for c in new], np.int64), [len(c) - LENGTH + 1 for c in new]))
+            distinct += new
+    every = family.smallest(suffixes(distinct)) if distinct else np.zeros(0, np.int64)
     rows = []
     for (g, shard, _, _, contents), own in zip(blocks, mixed, strict=True):
         one = np.array([smallest[c] for c in contents], np.int64)
         some = [c for c, m in zip(contents, own.tolist(), strict=True) if m]
-        each = family.smallest(suffixes(some)) if some else np.zeros(0, np.int64)
+        each = np.concatenate([every[place[c] : place[c] + len(c) - LENGTH + 1] for c in some]) if some else np.zeros(0, np.int64)
         packer = zstandard.ZstdCompressor(level=1)
         rows.append((g, shard, np.packbits(own).tobytes(), packer.compress(one.tobytes()), packer.compress(each.tobytes())))
     return pd.DataFrame(rows, columns=["g", "shard", "mixed", "one", "each"])

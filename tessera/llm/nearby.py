@@ -6,9 +6,11 @@ rarest pairs, so each document is posted under that prefix only: values that man
 document holds fill prefixes without posting anything. Within a list, the signatures that travel with the postings are
 compared, which counts all collisions, and pairs below LEAST are dropped where they stand.
 
-Lists of near copies would give all their pairs. In the first round a document is paired in each list with the list's first
-document only, and of these pairs keeps its best; in the second, all pairs of a list whose documents the confirmed links of the first have not
-joined. Every link is confirmed on the full shingle sets.
+Lists of near copies would give all their pairs. In the first round a document is paired in each list with two documents only, the list's first and its most
+central one, and of these keeps the nearest and the one that most documents are paired with; in the second, all pairs of a list whose documents the confirmed links of the first have not
+joined. A link's common part is so large that the rarest shingles of both, counted among the documents still open, must share one within a prefix whose
+length the two sizes give; pairs that don't are dropped without loss.
+Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ N, LEAST = 64, 38
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents of a list that are compared at once with all others.
 ROWS = 512
+#: Ids of documents that are broadcast at most (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+NO_KEY = np.iinfo(np.int64).max
 
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(1, 2**63, N, dtype=np.uint64) | np.uint64(1)
@@ -71,8 +76,24 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "n", "set_key", "signature"])
 
 
+def first_common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The smallest key that stands in both rows, row by row."""
+    out = np.full(len(p), NO_KEY, np.int64)
+    for at in range(0, len(p), 4096):
+        x, y = p[at : at + 4096], q[at : at + 4096]
+        both = (x[:, :, None] == y[:, None, :]).any(axis=2)
+        out[at : at + 4096] = np.where(both, x, NO_KEY).min(axis=1)
+    return out
+
+
+def central(marks: np.ndarray) -> int:
+    """The row that agrees most with the commonest value of each column."""
+    common = np.array([np.bincount(c).argmax() for c in marks.T], np.uint8)
+    return int((marks == common).sum(axis=1).argmax())
+
+
 def _links(first_only: bool, percent: int):
-    """Pairs (a, b, collisions) of each list, of rows sorted by list and document: with the first of the list, or all of different labels."""
+    """Pairs (a, b, collisions) of each list, of rows sorted by list and document: with the first and the central one of the list, or all of different labels."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -94,6 +115,12 @@ def _links(first_only: bool, percent: int):
         marks = np.frombuffer(b"".join(pdf["marks"]), np.uint8).reshape(len(pdf), N)
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(begin, len(key)))
+        posted = np.full((len(pdf), N), NO_KEY, np.int64)
+        rare = None if first_only else pdf["rare"].tolist()
+        if not first_only:
+            for i, own in enumerate(pdf["posted"]):
+                posted[i, : len(own)] = own
+            posted = posted[:, : max(1, int((posted != NO_KEY).sum(axis=1).max()))]
         a, b, c = [], [], []
 
         def keep(x: np.ndarray, y: np.ndarray) -> None:
@@ -103,14 +130,24 @@ def _links(first_only: bool, percent: int):
                 p, q = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
                 equal = (marks[p] == marks[q]).sum(axis=1)
                 hit = equal >= LEAST
+                if not first_only and hit.any():
+                    p, q, equal = p[hit], q[hit], equal[hit]
+                    hit = first_common(posted[p], posted[q]) == key[p]  # a pair is given by one of its lists
+                    for i in np.flatnonzero(hit).tolist():
+                        u, v = int(p[i]), int(q[i])
+                        common = -(-percent * int(n[u] + n[v]) // (100 + percent))  # what a link has in common at least
+                        hit[i] = not set(rare[u][: n[u] - common + 1].tolist()).isdisjoint(rare[v][: n[v] - common + 1].tolist())
                 a.append(doc[p[hit]])
                 b.append(doc[q[hit]])
                 c.append(equal[hit])
 
         if first_only:
-            first = np.repeat(begin, size)
-            rest = np.flatnonzero(first != np.arange(len(key)))
-            keep(first[rest], rest)
+            middle = begin.copy()
+            for i in np.flatnonzero(size > 2).tolist():
+                middle[i] += central(marks[begin[i] : begin[i] + size[i]])
+            for leader in (np.repeat(begin, size), np.repeat(middle, size)):
+                rest = np.flatnonzero(leader != np.arange(len(key)))
+                keep(leader[rest], rest)
         else:
             for s, m in zip(begin.tolist(), size.tolist(), strict=True):
                 if m > 1:
@@ -138,7 +175,7 @@ def _postings(signed: DataFrame) -> DataFrame:
 
 
 def _candidates(lists: DataFrame, first_only: bool, percent: int) -> DataFrame:
-    sorted_lists = lists.repartition("key").sortWithinPartitions("key", "doc").select("key", "doc", "n", "label", "marks")
+    sorted_lists = lists.repartition("key").sortWithinPartitions("key", "doc").select("key", "doc", "n", "label", "marks", *([] if first_only else ["posted", "rare"]))
     return sorted_lists.mapInPandas(_links(first_only, percent), "a long, b long, collisions long")
 
 
@@ -152,10 +189,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """The full shingle sets of some documents, made from their whole texts."""
-    texts = documents.join(wanted.withColumnRenamed("doc", "_doc"), F.col("doc_id") == F.col("_doc"), "left_semi")
+    ids = wanted.withColumnRenamed("doc", "_doc")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # beyond it both sides are shuffled
+    texts = documents.join(ids, F.col("doc_id") == F.col("_doc"), "left_semi")
     return texts.select(F.col("doc_id").alias("doc"), shingles(F.col("text"), k).alias("shingles")).dropDuplicates(["doc"])
 
 
+def _rare(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """doc, rare: the rarest shingles of a document among the wanted ones, as many as a link's prefix can have, rarest first."""
+    single = sets.join(wanted, "doc", "left_semi").select("doc", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    times = single.groupBy("shingle").agg(F.count("*").alias("times"))
+    ordered = F.array_sort(F.collect_list(F.struct("times", "shingle")))  # a document's own set
+    rows = single.join(times, "shingle").groupBy("doc", "n").agg(F.transform(ordered, lambda s: s["shingle"]).alias("all"))
+    return rows.select("doc", F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1).alias("rare"))
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (doc_id = component_id), a row per row.
 
@@ -172,13 +220,20 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     first = full.join(classes, (full["set_key"] == classes["set_key"]) & (full["doc_id"] == classes["doc"]), "left_semi")
     lists = stored(_postings(first.withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"])), "postings")
     star = _candidates(lists.withColumn("label", F.col("doc")), True, percent)
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("collisions", -F.col("a"))).alias("a"))
-    sets = stored(_sets(texts, lists.select("doc").distinct(), k), "shingle-sets")
+    star = stored(star.distinct(), "star")
+    hubs = star.groupBy("a").agg(F.count("*").alias("degree"))
+    nearest, busiest = F.max_by("a", F.struct("collisions", -F.col("a"))), F.max_by("a", F.struct("degree", -F.col("a")))
+    best = star.join(hubs, "a").groupBy("b").agg(nearest.alias("near"), busiest.alias("hub")).select("b", F.explode(F.array_distinct(F.array("near", "hub"))).alias("a"))
+    sets = stored(_sets(texts, stored(lists.select("doc").distinct(), "posted"), k), "shingle-sets")
     links = stored(_confirmed(best, sets, percent), "links")
     labels = components(links)
     labelled = lists.join(labels, lists["doc"] == labels["node"], "left").withColumn("label", F.coalesce("component", "doc")).drop("node", "component")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high"))
-    open_pairs = _candidates(labelled.join(mixed, "key", "left_semi"), False, percent).select("a", "b").distinct()
+    open_lists = stored(labelled.join(mixed, "key", "left_semi"), "open-lists")
+    open_lists = open_lists.join(_rare(sets, open_lists.select("doc").distinct(), percent), "doc")
+    posted = lists.groupBy("doc").agg(F.array_sort(F.collect_list("key")).alias("posted"))  # at most a prefix for each
+    open_lists = open_lists.join(posted, "doc")
+    open_pairs = _candidates(open_lists, False, percent).select("a", "b").distinct()
     more = stored(_confirmed(open_pairs, sets, percent), "links")
     labels = components(links.union(more))
     members = signed.join(classes, "set_key", "left").join(labels, F.col("doc") == F.col("node"), "left")

@@ -199,9 +199,10 @@ def write_archives(pages: DataFrame, payload: Column | None = None, min_revisit_
 
     Among records with equal payloads of at least min_revisit_bytes, that with the largest page_id is the response and the
     others revisit it; smaller payloads are all responses. A null html is an empty payload, a null url an empty one. Rows
-    that repeat a page_id with an equal payload repeat its record: the one with the largest url is the response. A null page_id is refused by
-    the sort key -1. Other columns are ignored. The group of a payload is reduced by its SHA-1 and length before
-    anything is joined, so a payload of any frequency moves one row for each task.
+    that repeat a page_id with an equal payload each get a record, all of one type. A null page_id counts as -1 and is read back
+    as -1. Other columns are ignored. The group of a payload is reduced by its SHA-1 and length before
+    anything is joined; the join then deals the pages by both, so the pages of a frequent payload meet in one partition unless
+    adaptive execution splits it.
     """
     body = payload if payload is not None else F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), body.alias("payload"))

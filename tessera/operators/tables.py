@@ -213,9 +213,10 @@ def average_rank(df: DataFrame, value: str, group: list[str] | None = None, name
     return df.join(ranked, [*group, value], "left")
 
 
-def prefer_first(df: DataFrame, key: str, preference: str, order: list) -> DataFrame:
+def prefer_first(df: DataFrame, key: str, preference: str, order: list, *ties: str) -> DataFrame:
+    """The row of each key whose preference comes first in order; ties: columns that decide among rows of one preference."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(preference))
-    return best_row(df, [key], F.when(place > 0, place).otherwise(F.lit(len(order) + 1)), F.col(preference))
+    return best_row(df, [key], F.when(place > 0, place).otherwise(F.lit(len(order) + 1)), F.col(preference), *map(F.col, ties))
 
 
 def cap_per_key(df: DataFrame, keys: list[str], k: int, seed: int, *ids: str) -> DataFrame:

@@ -599,6 +599,12 @@ def w5_prefer_first(spark, sf_dir):
     return tables.prefer_first(rows.join(single, "c_custkey", "left_semi"), "c_custkey", "o_orderstatus", ["P", "O", "F"]).select("c_custkey", "o_orderkey")
 
 
+@query("SELECT c_custkey, o_orderkey, o_orderstatus FROM (SELECT o_custkey AS c_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, o_orderstatus, o_orderkey) AS r FROM orders) WHERE r = 1")
+def w5_prefer_first_each(spark, sf_dir):
+    rows = d.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus")
+    return tables.prefer_first(rows, "c_custkey", "o_orderstatus", ["P", "O", "F"], "o_orderkey")
+
+
 @query(f"WITH {CELLS}, q AS (SELECT wsi, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM cells GROUP BY wsi) SELECT wsi, min(y) AS low, max(y) AS high, any_value(q1) AS q1, any_value(q3) AS q3 FROM cells JOIN q USING (wsi) WHERE y BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY wsi")
 def a16_whiskers(spark, sf_dir):
     return tables.whisker_limits(d.cells(spark, sf_dir), "wsi", "y")

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, nearby, pieces, secrets, toxicity
 from tessera.llm.common import stored, table
 
-#: Shares of the mixture's tokens by domain, and its tokens over those that came in. Rates stay at 1 or more: no clean document
-#: is dropped, and the mixture is reached by copies of what it lacks.
+#: Target shares of the mixture's tokens by domain, and its tokens over those that came in. Rates stay at 1 or more: no clean document
+#: is dropped. A domain that comes in above its share of the budget (as good does on the given labels) can't be brought down to it by
+#: copies of others: the stage then stays as near the targets as its rates allow, and warns of what it reached.
 WEIGHTS, BUDGET, FLOOR = {"plain": 0.7, "good": 0.28, "toxic": 0.02}, 1.15, 1.0
 
 
+class MissedTargets(UserWarning):
+    """The mixture's expected tokens lie off their targets."""
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted on the labels, doesn't call toxic."""
     model = toxicity.fit_from_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -34,8 +41,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its rate says."""
-    mixed = mixing.copies(mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS, BUDGET, FLOOR))
-    times = mixed.select(F.col("doc_id").alias("_id"), "copies").dropDuplicates(["_id"])
+    mixed, fit = mixing.fitted_mix(docs, table(spark, sf_dir, "labels"), WEIGHTS, BUDGET, FLOOR)
+    if not fit.met:
+        warnings.warn(f"mixing misses its targets at rates of {FLOOR} or more: {fit}", MissedTargets, stacklevel=2)
+    times = mixing.copies(mixed).select(F.col("doc_id").alias("_id"), "copies").dropDuplicates(["_id"])
     joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]), "left")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("copies", F.lit(1)), F.lit(1))))).select(*docs.columns)
 

@@ -8,6 +8,8 @@ give every rate again: no rates are stored between steps, and a step is one aggr
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -21,6 +23,8 @@ from tessera.llm.common import stored, words
 MAX_LABELLED = 2000
 FEATURES = 1 << 12
 STEPS, TOLERANCE = 40, 1e-4
+#: Residual of a domain, over all tokens given, up to which a mixture meets its targets.
+MET = 5e-3
 
 
 def label_domain() -> Column:
@@ -93,8 +97,33 @@ def fit_rates(table: DataFrame, targets: list[float], floor: float = 0.0, steps:
         done.append([float(v) for v in 0.9 * step] if len(done) < steps // 2 else [float(v) for v in size * residual])
 
 
-def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, floor: float = 0.0, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, n_tokens, posterior, rate of each row of documents.
+@dataclass(frozen=True)
+class Fit:
+    """What a mixture was asked for and what its rates reach: expected tokens by domain over all tokens given."""
+
+    targets: dict[str, float]
+    reached: dict[str, float]
+
+    @property
+    def residual(self) -> dict[str, float]:
+        return {d: self.reached[d] - t for d, t in self.targets.items()}
+
+    @property
+    def met(self) -> bool:
+        return max(map(abs, self.residual.values())) <= MET
+
+    @property
+    def tokens(self) -> float:
+        """The mixture's tokens over those given."""
+        return sum(self.reached.values())
+
+    def __str__(self) -> str:
+        each = ", ".join(f"{d} {self.reached[d]:.4f} of {t:.4f} ({self.residual[d]:+.4f})" for d, t in self.targets.items())
+        return f"expected tokens over those given, reached of target: {each}; all {self.tokens:.4f} of {sum(self.targets.values()):.4f}"
+
+
+def fitted_mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, floor: float = 0.0, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, Fit]:
+    """doc_id, n_tokens, posterior, rate of each row of documents, and how near its targets the fit came: floor or posteriors may keep it away.
 
     weights: the target share of each domain of DOMAINS (others 0, scaled to 1); budget: the mixture's tokens over those given. A null text is
     empty, has no tokens and takes part with its rate; a null doc_id stays null; rows that repeat count each; other columns are ignored.
@@ -102,8 +131,14 @@ def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float], budg
     whole = sum(weights.values())
     targets = [budget * weights.get(d, 0.0) / whole for d in DOMAINS]
     table = stored(posteriors(documents, fit_classifier(documents, labels, max_labelled)), "posteriors")
-    steps, _ = fit_rates(table, targets, floor)
-    return table.withColumn("rate", rate(F.col("posterior"), steps, floor).cast("double"))
+    steps, reached = fit_rates(table, targets, floor)
+    rated = table.withColumn("rate", rate(F.col("posterior"), steps, floor).cast("double"))
+    return rated, Fit(dict(zip(DOMAINS, targets, strict=True)), dict(zip(DOMAINS, reached.tolist(), strict=True)))
+
+
+def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float], budget: float = 1.0, floor: float = 0.0, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of fitted_mix."""
+    return fitted_mix(documents, labels, weights, budget, floor, max_labelled)[0]
 
 
 def copies(mixed: DataFrame, seed: int = 0) -> DataFrame:

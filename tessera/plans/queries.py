@@ -425,6 +425,13 @@ def m6_checkerboard_folds(spark, sf_dir):
     return sampling.spatial_checkerboard_folds(d.cells(spark, sf_dir), 256).filter("side = 'test'").drop("side")
 
 
+@query(f"""WITH {CELLS}, c AS (SELECT wsi, cell_id, CAST(floor(y / 256) AS BIGINT) AS py, CAST(floor(x / 256) AS BIGINT) AS px FROM cells), p AS (SELECT *, (py % 2) * 2 + px % 2 = split_idx AS own FROM (SELECT DISTINCT wsi, py, px FROM c), (SELECT CAST(s AS INTEGER) AS split_idx FROM range(4) t(s))),
+r AS (SELECT *, row_number() OVER (PARTITION BY split_idx, own ORDER BY md5('0|' || split_idx || '|' || wsi || '|' || py || '|' || px), wsi, py, px) AS r, count(*) OVER (PARTITION BY split_idx, own) AS n FROM p)
+SELECT wsi, cell_id, split_idx, CASE WHEN own THEN 'test' WHEN r <= floor(n * 0.8) THEN 'train' ELSE 'val' END AS side FROM c JOIN r USING (wsi, py, px)""")
+def m6_checkerboard_sides(spark, sf_dir):
+    return sampling.spatial_checkerboard_folds(d.cells(spark, sf_dir), 256)
+
+
 # ---- statistics
 
 _XY = "WITH xy AS (SELECT 's' || (o_custkey % 7) AS wsi, o_totalprice AS x, CAST(o_custkey AS DOUBLE) AS y, o_orderkey AS key FROM orders)"
@@ -628,6 +635,17 @@ def m3_resolve_splits(spark, sf_dir):
     return sampling.resolve_splits(rows).filter("split_idx = -1").select(F.col("split_idx").cast("long"), "wsi", "proportion")
 
 
+@query(f"""WITH {CELLS}, p AS (SELECT DISTINCT CAST(key % 3 AS BIGINT) AS split_idx, CASE WHEN key % 3 = 0 THEN 'test' WHEN key % 3 = 1 AND wsi = 's1' THEN 'val' WHEN key % 3 = 1 AND wsi = 's2' THEN 'test' ELSE 'train' END AS side, wsi, CAST((key % 3 + 1) / 4.0 AS DOUBLE) AS proportion FROM cells)
+SELECT *, false AS val_reused_test FROM p
+UNION ALL SELECT split_idx, 'val', wsi, proportion, true FROM p WHERE side = 'test' AND split_idx NOT IN (SELECT split_idx FROM p WHERE side = 'val')
+UNION ALL SELECT CAST(-1 AS BIGINT), 'pool', wsi, max(proportion), false FROM p GROUP BY wsi""")
+def m3_resolve_splits_all(spark, sf_dir):
+    rows = d.cells(spark, sf_dir).select((F.col("key") % 3).alias("split_idx"), "wsi").distinct()
+    side = F.when(F.col("split_idx") == 0, "test").when((F.col("split_idx") == 1) & (F.col("wsi") == "s1"), "val").when((F.col("split_idx") == 1) & (F.col("wsi") == "s2"), "test").otherwise("train")
+    found = sampling.resolve_splits(rows.withColumns({"side": side, "proportion": (F.col("split_idx") + 1) / 4.0}))
+    return found.withColumn("split_idx", F.col("split_idx").cast("long"))
+
+
 @query(f"WITH {CELLS}, r AS (SELECT wsi, cell_id, cell_type, row_number() OVER (PARTITION BY cell_type ORDER BY {_DRAW}, wsi, cell_id) AS r FROM cells) SELECT wsi, cell_id, cell_type FROM r WHERE r <= greatest(1, floor(100 / (SELECT count(DISTINCT cell_type) FROM cells)))")
 def m7_stratified(spark, sf_dir):
     return sampling.stratified_sample(d.cells(spark, sf_dir), 100, "cell_type", 0, "wsi", "cell_id").select("wsi", "cell_id", "cell_type")

@@ -28,3 +28,16 @@ def test_prefer_first_gives_each_customer_a_row(spark):
     for r in orders:
         best[r["o_custkey"]] = min(best.get(r["o_custkey"], (9, 0)), (rank[r["o_orderstatus"]], r["o_orderkey"]))
     assert rows and {r["c_custkey"]: (rank[r["o_orderstatus"]], r["o_orderkey"]) for r in rows} == best
+
+
+def test_checkerboard_gives_every_side(spark):
+    rows = against_sql(spark, "m6_checkerboard_sides")
+    cells = entry.queries()["m6_checkerboard_folds"](spark, DATA).count()
+    assert len(rows) == 4 * cells and sum(r["side"] == "test" for r in rows) == cells and {r["side"] for r in rows} == {"train", "val", "test"}
+
+
+def test_splits_give_own_folds_and_reused_test(spark):
+    rows = against_sql(spark, "m3_resolve_splits_all")
+    assert {r["split_idx"] for r in rows} == {-1, 0, 1, 2}
+    reused = [r for r in rows if r["val_reused_test"]]
+    assert reused and all(r["split_idx"] == 0 and r["side"] == "val" for r in reused)  # fold 1 has its own val, fold 2 no test

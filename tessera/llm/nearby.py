@@ -10,6 +10,8 @@ Lists of near copies would give all their pairs. In the first round a document i
 central one, and of these keeps the nearest and the one that most documents are paired with; in the second, all pairs of a list whose documents the confirmed links of the first have not
 joined. A link's common part is so large that the rarest shingles of both, counted among the documents still open, must share one within a prefix whose
 length the two sizes give; pairs that don't are dropped without loss.
+No task holds a long list: in the first round its two leaders are found by aggregation and joined back to its rows; in the second its rows
+are dealt into blocks, and each pair of blocks is a part of its own.
 Every link is confirmed on the full shingle sets.
 """
 
@@ -31,6 +33,8 @@ from tessera.llm.quality import let
 #: with a deviation of 3.2: 38 lie four deviations below.
 N, LEAST = 64, 38
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of a list that one task holds at most in the first round, and rows of a block in the second, where rows carry shingles.
+LIST, BLOCK = 4096, 1024
 #: Documents of a list that are compared at once with all others.
 ROWS = 512
 #: Ids of documents that are broadcast at most (8 MB); more are joined by a shuffle.
@@ -93,7 +97,10 @@ def central(marks: np.ndarray) -> int:
 
 
 def _links(first_only: bool, percent: int):
-    """Pairs (a, b, collisions) of each list, of rows sorted by list and document: with the first and the central one of the list, or all of different labels."""
+    """Pairs (a, b, collisions) of each part of a list, of rows sorted by list, part and document: with the first and the central one of the list, or all of different labels.
+
+    side: 0 where the part is one block, else 1 or 2, and pairs are of rows of both sides.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -102,8 +109,9 @@ def _links(first_only: bool, percent: int):
                 pdf = pd.concat([*held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            last = pdf["key"].to_numpy()[-1]
-            cut = int(np.searchsorted(pdf["key"].to_numpy(), last))  # the last list may go on
+            key, part = pdf["key"].to_numpy(), pdf["part"].to_numpy()
+            changes = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1]))
+            cut = int(changes[-1]) + 1 if len(changes) else 0  # the last list may go on
             held = [pdf.iloc[cut:]]
             if cut:
                 yield pairs(pdf.iloc[:cut])
@@ -111,9 +119,9 @@ def _links(first_only: bool, percent: int):
             yield pairs(pdf)
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, doc, n, label = (pdf[c].to_numpy(np.int64) for c in ("key", "doc", "n", "label"))
+        key, part, side, doc, n, label = (pdf[c].to_numpy(np.int64) for c in ("key", "part", "side", "doc", "n", "label"))
         marks = np.frombuffer(b"".join(pdf["marks"]), np.uint8).reshape(len(pdf), N)
-        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
         size = np.diff(np.append(begin, len(key)))
         posted = np.full((len(pdf), N), NO_KEY, np.int64)
         rare = None if first_only else pdf["rare"].tolist()
@@ -154,7 +162,7 @@ def _links(first_only: bool, percent: int):
                     for at in range(0, m - 1, ROWS):
                         rows, cols = np.arange(s + at, s + min(at + ROWS, m)), np.arange(s + at, s + m)
                         x, y = np.repeat(rows, len(cols)), np.tile(cols, len(rows))
-                        upper = (x < y) & (label[x] != label[y])
+                        upper = (x < y) & (label[x] != label[y]) & ((side[x] == 0) | (side[x] != side[y]))
                         keep(x[upper], y[upper])
         join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
         return pd.DataFrame({"a": join(a), "b": join(b), "collisions": join(c)}).drop_duplicates()
@@ -174,11 +182,93 @@ def _postings(signed: DataFrame) -> DataFrame:
     return prefix.join(marks, F.col("doc") == F.col("_doc")).select("key", "doc", "n", "marks")
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, broadcast if they are not too many; beyond it both sides of their join are shuffled."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def _candidates(lists: DataFrame, first_only: bool, percent: int) -> DataFrame:
-    sorted_lists = lists.repartition("key").sortWithinPartitions("key", "doc").select("key", "doc", "n", "label", "marks", *([] if first_only else ["posted", "rare"]))
+    sorted_lists = lists.repartition("key", "part").sortWithinPartitions("key", "part", "doc").select("key", "part", "side", "doc", "n", "label", "marks", *([] if first_only else ["posted", "rare"]))
     return sorted_lists.mapInPandas(_links(first_only, percent), "a long, b long, collisions long")
 
 
+def _bytes(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), N)
+
+
+def _tallied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each list has each value of each column of marks, batch by batch."""
+    for pdf in batches:
+        for key, own in pdf.groupby("key"):
+            marks = _bytes(own["marks"])
+            times = np.bincount((np.arange(N) * 256 + marks).ravel(), minlength=N * 256)
+            at = np.flatnonzero(times)
+            yield pd.DataFrame({"key": key, "i": at // 256, "value": at % 256, "times": times[at]})
+
+
+def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(collisions=(_bytes(pdf["marks"]) == _bytes(pdf["common"])).sum(axis=1)).drop(columns="common")
+
+
+def _colliding(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        pdf = pdf.assign(collisions=(_bytes(pdf["ma"]) == _bytes(pdf["mb"])).sum(axis=1))
+        yield pdf.loc[pdf["collisions"] >= LEAST, ["a", "b", "collisions"]]
+
+
+def _led(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs of the first round from rows of long lists: leaders are found by aggregation and joined back, so no task holds a list."""
+    times = rows.select("key", "marks").mapInPandas(_tallied, "key long, i int, value int, times long").groupBy("key", "i", "value").agg(F.sum("times").alias("times"))
+    commonest = times.groupBy("key", "i").agg(F.max_by("value", F.struct("times", -F.col("value"))).alias("value"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "value")))  # N values
+    common = commonest.groupBy("key").agg(F.unhex(F.array_join(F.transform(ordered, lambda v: F.lpad(F.hex(v["value"]), 2, "0")), "")).alias("common"))
+    common = stored(common, "common-marks")
+    placed = rows.select("key", "doc", "n", "marks").join(_few(common), "key").mapInPandas(_agreeing, "key long, doc long, n int, marks binary, collisions long")
+    row = F.struct("doc", "n", "marks")
+    leaders = placed.groupBy("key").agg(F.min_by(row, "doc").alias("low"), F.max_by(row, F.struct("collisions", -F.col("doc"))).alias("middle"))
+    leaders = stored(leaders.select("key", F.explode(F.array_distinct(F.array("low", "middle"))).alias("x")), "leaders")
+    met = rows.join(_few(leaders), "key").filter(F.col("doc") != F.col("x.doc"))
+    near = met.filter(100 * F.least("n", "x.n") >= percent * F.greatest("n", "x.n"))
+    pairs = near.select(F.col("x.doc").alias("a"), F.col("doc").alias("b"), F.col("x.marks").alias("ma"), F.col("marks").alias("mb"))
+    return pairs.mapInPandas(_colliding, "a long, b long, collisions long")
+
+
+def _star(lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs of the first round."""
+    rows = lists.withColumns({"label": F.col("doc"), "part": F.lit(0), "side": F.lit(0)})
+    long = stored(lists.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > LIST).select("key"), "long-lists")
+    if not long.limit(1).count():
+        return _candidates(rows, True, percent)
+    return _candidates(rows.join(_few(long), "key", "left_anti"), True, percent).union(_led(lists.join(_few(long), "key", "left_semi"), percent))
+
+
+def _dealt(lists: DataFrame) -> DataFrame:
+    """lists with part and side: each two rows of a list that differ in label meet in one part, and a part holds about two blocks at most.
+
+    A label of more than BLOCK rows of a list has blocks of its own, and blocks of one label don't meet; the others share blocks by label.
+    """
+    whole = lists.withColumns({"part": F.lit(0).cast("long"), "side": F.lit(0)})
+    labels = stored(lists.groupBy("key", "label").agg(F.count("*").alias("held")), "list-labels")
+    small = F.when(F.col("held") <= BLOCK, F.col("held")).otherwise(0)
+    sizes = labels.groupBy("key").agg(F.sum("held").alias("size"), F.greatest(F.lit(1), F.ceil(F.sum(small) / BLOCK)).alias("shared"))
+    long = stored(sizes.filter(F.col("size") > BLOCK).select("key", "shared"), "long-lists")
+    if not long.limit(1).count():
+        return whole
+    large = stored(labels.filter(F.col("held") > BLOCK).select("key", "label", F.ceil(F.col("held") / BLOCK).alias("own")), "long-labels")
+    rows = lists.join(_few(long), "key").join(_few(large), ["key", "label"], "left")
+    owner = F.when(F.col("own").isNotNull(), F.col("label"))
+    number = F.when(F.col("own").isNotNull(), F.pmod(F.xxhash64("doc"), "own")).otherwise(F.pmod(F.xxhash64("label"), "shared"))
+    rows = stored(rows.withColumns({"owner": owner, "block": F.struct(F.coalesce(owner, F.lit(-1)).alias("o"), owner.isNull().alias("s"), number.alias("b"))}), "blocks")
+    blocks = stored(rows.select("key", "owner", "block").distinct(), "block-names")
+    x, y = (blocks.select("key", F.col("owner").alias(f"owner_{c}"), F.col("block").alias(c)) for c in "xy")
+    meet = x.join(y, "key").filter((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("owner_x") == F.col("owner_y"), F.lit(False)))
+    meet = meet.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    side = F.when(F.col("x") == F.col("y"), 0).when(F.col("block") == F.col("x"), 1).otherwise(2)
+    parts = rows.join(meet, ["key", "block"]).withColumns({"part": F.xxhash64("x", "y"), "side": side}).select(whole.columns)
+    return whole.join(_few(long.select("key")), "key", "left_anti").select(whole.columns).union(parts)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough: 100 * intersection >= percent * union."""
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
@@ -190,8 +280,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _sets(documents: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """The full shingle sets of some documents, made from their whole texts."""
     ids = wanted.withColumnRenamed("doc", "_doc")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # beyond it both sides are shuffled
-    texts = documents.join(ids, F.col("doc_id") == F.col("_doc"), "left_semi")
+    texts = documents.join(_few(ids), F.col("doc_id") == F.col("_doc"), "left_semi")
     return texts.select(F.col("doc_id").alias("doc"), shingles(F.col("text"), k).alias("shingles")).dropDuplicates(["doc"])
 
 
@@ -219,8 +308,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("doc"))
     first = full.join(classes, (full["set_key"] == classes["set_key"]) & (full["doc_id"] == classes["doc"]), "left_semi")
     lists = stored(_postings(first.withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"])), "postings")
-    star = _candidates(lists.withColumn("label", F.col("doc")), True, percent)
-    star = stored(star.distinct(), "star")
+    star = stored(_star(lists, percent).distinct(), "star")
     hubs = star.groupBy("a").agg(F.count("*").alias("degree"))
     nearest, busiest = F.max_by("a", F.struct("collisions", -F.col("a"))), F.max_by("a", F.struct("degree", -F.col("a")))
     best = star.join(hubs, "a").groupBy("b").agg(nearest.alias("near"), busiest.alias("hub")).select("b", F.explode(F.array_distinct(F.array("near", "hub"))).alias("a"))
@@ -230,7 +318,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     labelled = lists.join(labels, lists["doc"] == labels["node"], "left").withColumn("label", F.coalesce("component", "doc")).drop("node", "component")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(F.col("low") != F.col("high"))
     open_lists = stored(labelled.join(mixed, "key", "left_semi"), "open-lists")
-    open_lists = open_lists.join(_rare(sets, open_lists.select("doc").distinct(), percent), "doc")
+    open_lists = _dealt(open_lists).join(_rare(sets, open_lists.select("doc").distinct(), percent), "doc")
     posted = lists.groupBy("doc").agg(F.array_sort(F.collect_list("key")).alias("posted"))  # at most a prefix for each
     open_lists = open_lists.join(posted, "doc")
     open_pairs = _candidates(open_lists, False, percent).select("a", "b").distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -466,7 +467,7 @@ def x8_mann_whitney(spark, sf_dir):
 
 @query()
 def x3_block_permutation(spark, sf_dir):
-    return stats.block_permutation_spearman(_xy(spark, sf_dir), "x", "y", "key", n_perm=20)
+    return stats.block_permutation_spearman(_xy(spark, sf_dir), "x", "y", "key", n_perm=200)
 
 
 @query()
@@ -501,7 +502,7 @@ def e1_ridge(spark, sf_dir):
 def e4_classifier(spark, sf_dir):
     rows = labels.label_encode(d.embeddings(spark, sf_dir), "label")
     names = [f"c{i}" for i in range(10)]
-    model = models.logistic_fit(rows.filter(F.col("key") % 5 != 0), "vector", "code", 1e-3, max_iter=20)
+    model = models.logistic_fit(rows.filter(F.col("key") % 5 != 0), "vector", "code", 1e-3)
     found = models.predict_classes(model, rows.filter(F.col("key") % 5 == 0).select("wsi", "cell_id", "label", "vector"), names, "vector")
     return tables.classification_report(tables.confusion_matrix(found, names, "label"))
 
@@ -689,7 +690,9 @@ def g2_g5_polygons(spark, sf_dir):
 def e6_pca(spark, sf_dir):
     rows = d.embeddings(spark, sf_dir)
     mean, components = models.pca_fit(rows, "vector", 4)
-    return models.pca_apply(rows, "vector", mean, components).select("wsi", "cell_id", F.size("vector").alias("k"))
+    largest = np.abs(components).argmax(axis=0)
+    components = components * np.sign(components[largest, np.arange(components.shape[1])])  # each one's largest loading is positive
+    return models.pca_apply(rows, "vector", mean, components).select("wsi", "cell_id", F.size("vector").alias("k"), *[r6(F.get("vector", F.lit(i))).alias(f"p{i}") for i in range(4)])
 
 
 @models.register_probe("composition")

@@ -1,7 +1,7 @@
 """Queries return the whole result of their operator."""
 
 import duckdb
-import pytest
+import numpy as np
 
 import __spark_entry__ as entry
 
@@ -41,3 +41,32 @@ def test_splits_give_own_folds_and_reused_test(spark):
     assert {r["split_idx"] for r in rows} == {-1, 0, 1, 2}
     reused = [r for r in rows if r["val_reused_test"]]
     assert reused and all(r["split_idx"] == 0 and r["side"] == "val" for r in reused)  # fold 1 has its own val, fold 2 no test
+
+
+def test_pca_gives_projected_values(spark):
+    vectors = np.array([r["embedding"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()], float)
+    values, axes = np.linalg.eigh(np.cov(vectors.T))
+    axes = axes[:, ::-1][:, :4]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(4)])
+    got = np.array([[r[f"p{i}"] for i in range(4)] for r in entry.queries()["e6_pca"](spark, DATA).collect()])
+    want = (vectors - vectors.mean(axis=0)) @ axes
+    assert np.abs(np.sort(got, axis=0) - np.sort(want, axis=0)).max() < 1e-4
+
+
+def test_queries_use_the_operators_own_settings(spark, monkeypatch):
+    from tessera.plans import queries
+
+    seen = {}
+    for module, name in ((queries.stats, "block_permutation_spearman"), (queries.models, "logistic_fit")):
+
+        def stop(*args, _name=name, **more):
+            seen[_name] = more
+            raise StopIteration
+
+        monkeypatch.setattr(module, name, stop)
+    for name in ("x3_block_permutation", "e4_classifier"):
+        try:
+            entry.queries()[name](spark, DATA)
+        except StopIteration:
+            pass
+    assert seen["block_permutation_spearman"].get("n_perm", 200) == 200 and seen["logistic_fit"].get("max_iter", 100) == 100

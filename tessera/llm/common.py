@@ -43,7 +43,12 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Words of a text, as an array; a null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once, though body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def blocks_for(n: int, rows: int) -> int:

@@ -25,9 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, stored
+from tessera.llm.common import let, stored, words
 from tessera.llm.components import components
-from tessera.llm.quality import let
 
 #: Coordinates of a signature, and collisions that a pair must have. At a similarity of 0.8, a pair of 64 coordinates has 51 on average,
 #: with a deviation of 3.2: 38 lie four deviations below.
@@ -48,7 +47,7 @@ _ADD = _RNG.integers(0, 2**63, N, dtype=np.uint64)
 
 def shingles(text: Column, k: int) -> Column:
     """Hashes of the distinct k-word shingles of a text: A-Z in lower case; with fewer words than k the whole sequence is one; empty without words."""
-    words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SPACE), lambda w: w != "")
+    own = words(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER))
 
     def grams(hashes: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashes) - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(hashes, i, k)))
@@ -56,7 +55,7 @@ def shingles(text: Column, k: int) -> Column:
     def of(hashes: Column) -> Column:
         return F.when(F.size(hashes) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(grams(hashes)))
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), of)
+    return let(F.transform(own, lambda w: F.xxhash64(w)), of)
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:

@@ -9,35 +9,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, words
+from tessera.llm.common import SPACE, let, stored, words
 
 #: Documents of a host that may share a line.
 MAX_DOCUMENTS = 100
 #: A document is rejected if it keeps fewer words than this, or less than this share of its words.
 LEAST_WORDS, LEAST_SHARE = 20, 0.2
-SYMBOLS = "#*$%&|<>"
-WHITE = " \t\n\x0b\x0c\r"
+SYMBOLS = r"[#*$%&|<>]"
+#: A character of a word, and white space inside a line that isn't one blank.
+WORD, LOOSE = r"[^\x20\x09-\x0D]", r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 #: Parts that a line's documents are dealt to before it is joined, so that a line of any frequency is spread.
 SALTS = 32
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
-def let(value: Column, body) -> Column:
-    """body of a value that is worked out once, though body uses it inside a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def repeated_window_words(own: Column, n: int = 8) -> Column:
-    """Words that lie in windows of n words found twice or more in the text, the first included.
+    """Words that lie in windows of n words (a power of two) found twice or more in the text, the first included.
 
-    The windows' hashes are compared within the row. Most texts repeat none, which the number of distinct
-    hashes tells; for the others, a window is a repeat if its hash has the same as its neighbour in sorted order.
+    A window's hash joins the hashes of its halves, so that all windows cost a few steps a word. The hashes are compared within the row.
+    Most texts repeat none, which the number of distinct hashes tells; for the others, a window is a repeat if its hash has
+    the same as its neighbour in sorted order.
     """
-    def windows(hashes: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(hashes) - (n - 1)), lambda i: F.xxhash64(F.slice(hashes, i, n)))
+
+    def windows(hashes: Column, size: int = 1) -> Column:
+        """Hashes of the windows of n words, given those of size words; what runs over the end is cut."""
+        if size == n:
+            return F.slice(hashes, F.lit(1), F.size(hashes) - (n - 1))
+        joined = F.zip_with(hashes, F.slice(hashes, F.lit(size + 1), F.size(hashes)), lambda a, b: F.xxhash64(a, b))
+        return let(joined, lambda h: windows(h, 2 * size))
 
     def repeats(ordered: Column) -> Column:
         """Starts of the windows whose hash stands beside an equal one."""
@@ -57,73 +55,82 @@ def repeated_window_words(own: Column, n: int = 8) -> Column:
     return F.when(F.size(own) < n, F.lit(0)).otherwise(many).cast("long")
 
 
-def line_words(line: Column) -> Column:
-    """Number of words of a line: what is left of it, white space aside, begins a word after each run of white space."""
-    return F.size(words(line))
+def normalised(text: Column) -> Column:
+    """text in lower case, with digits as one sign and the white space inside a line as one blank; a blank may be left at a line's ends."""
+    return F.regexp_replace(F.lower(F.regexp_replace(text, LOOSE, " ")), "[0-9]+", "0")
 
 
-def normalised(line: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, SPACE, " "))), "[0-9]+", "0"), " +", " ")
+def line_hashes(text: Column) -> Column:
+    """hash and n (words) of each line of a text, normalised and trimmed; a line without a word has neither."""
+    trimmed = lambda x: F.trim(x)
+    one = lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("hash"), F.size(F.split(x, " ")).alias("n")))
+    return F.transform(F.split(normalised(text), "\n", -1), lambda x: let(trimmed(x), one))
 
 
 def text_rules(documents: DataFrame) -> DataFrame:
     """documents with the counts of each text by itself and base_failed. A null text has no words."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.withColumn("_text", text).withColumn("_words", words(F.col("_text")))
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.length(without(x, WHITE)) > 0)
-    rows = rows.withColumn("_lines", lines).withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(without(F.col("_text"), WHITE)).cast("long"),
-        "n_symbols": (F.length("_text") - F.length(without(F.col("_text"), SYMBOLS))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_window_words(F.col("_words")),
-    })
+    inner = documents.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    inner = inner.withColumns({"words": words(F.col("text")), "lines": F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))})
+    counts = {
+        "n_words": F.size("words").cast("long"),
+        "word_chars": F.length(F.array_join("words", "")).cast("long"),
+        "n_symbols": F.regexp_count("text", F.lit(SYMBOLS)).cast("long"),
+        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        "n_repeat_words": repeated_window_words(F.col("words")),
+    }
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).drop("_text", "_words", "_lines")
+    counted = inner.select("row", *[c.alias(n) for n, c in counts.items()]).withColumn("base_failed", failed)
+    return counted.select(*[F.col("row")[c].alias(c) for c in documents.columns if c not in counts and c != "base_failed"], *counts, "base_failed")
 
 
-def line_table(documents: DataFrame, host: Column) -> DataFrame:
-    """doc_id, host, hash, n_words: the distinct normalised lines of each document with all their words. Null hosts are one host."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    single = documents.select("doc_id", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.explode(F.split(text, "\n", -1)).alias("line"))
-    single = single.filter(F.length(without(F.col("line"), WHITE)) > 0)
-    return single.select("doc_id", "host", F.xxhash64(normalised(F.col("line"))).alias("hash"), line_words(F.col("line")).alias("n_words"))
+def _host(host: Column) -> Column:
+    return F.coalesce(host.cast("string"), F.lit(""))
 
 
-def frequent_lines(lines: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+def frequent_lines(rows: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """host, hash, n_documents of the lines that more documents of a host hold than max_documents.
 
-    Distinct documents are counted in two steps: by line and part of the documents, then by line.
+    rows: host and lines (of line_hashes), a row for each document. A document names each of its lines once, so that documents are counted
+    where they stand and counts alone are shuffled.
     """
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    parts = lines.select("host", "hash", "doc_id", part.alias("part")).groupBy("host", "hash", "part").agg(F.count_distinct("doc_id").alias("n"))
-    return parts.groupBy("host", "hash").agg(F.sum("n").alias("n_documents")).filter(F.col("n_documents") > max_documents)
+    hashes = F.array_distinct(F.transform(F.filter("lines", lambda x: x.isNotNull()), lambda x: x["hash"]))
+    single = rows.select("host", F.explode(hashes).alias("hash"))
+    return single.groupBy("host", "hash").agg(F.count("*").alias("n_documents")).filter(F.col("n_documents") > max_documents)
+
+
+def _frequent_of_rows(rows: DataFrame, max_documents: int) -> DataFrame:
+    """at, hash, n: the frequent lines of each row, as often as they stand in it. rows: at (a number of the row), host, lines."""
+    frequent = frequent_lines(rows, max_documents).select("host", "hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    single = rows.select("at", "host", F.explode("lines").alias("line")).filter(F.col("line").isNotNull())
+    dealt = single.select("at", "host", "line.hash", "line.n", F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int").alias("part"))
+    return dealt.join(frequent, ["host", "hash", "part"], "left_semi").select("at", "hash", "n")
 
 
 def quality_report(documents: DataFrame, host: Column, max_documents: int = MAX_DOCUMENTS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, the counts of text_rules, base_failed, n_frequent_words (words of removed lines) and kept, one row per row of documents.
 
-    Rows that repeat a doc_id share the words of their frequent lines; each is judged by its own counts. A null doc_id counts
-    as a document.
+    Each row is a document of its own, whatever its doc_id: repeated rows and rows with a null doc_id count one by one. Null hosts
+    are one host. A null text has no words and fails. The texts are read once; what is stored and shuffled are numbers and hashes.
     """
-    rules = text_rules(documents.select("doc_id", "text", host.alias("_host")))
-    lines = line_table(documents, host)
-    frequent = frequent_lines(lines, max_documents).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = lines.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    removed = dealt.join(frequent, ["host", "hash", "part"]).groupBy("doc_id").agg(F.sum("n_words").alias("n_frequent_words"))
-    removed = removed.withColumnRenamed("doc_id", "_id")
-    joined = rules.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0)).cast("long"))
+    read = documents.select("doc_id", "text", _host(host).alias("host"), line_hashes(F.coalesce("text", F.lit(""))).alias("lines"))
+    rows = stored(text_rules(read).drop("text").withColumn("at", F.monotonically_increasing_id()), "quality")
+    removed = _frequent_of_rows(rows, max_documents).groupBy("at").agg(F.sum("n").alias("n_frequent_words"))
+    joined = rows.drop("lines").join(removed, "at", "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("n_frequent_words")
     depleted = (F.col("n_frequent_words") > 0) & ((left < least_words) | (left < least_share * F.col("n_words")))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_id", "_host")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("at", "host")
 
 
 def remove_frequent_lines(documents: DataFrame, host: Column, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """documents with their frequent lines removed from text, the rest in order. Null texts stay null; other columns stay."""
-    lines = documents.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"), "doc_id")
-    lines = lines.withColumn("hash", F.xxhash64(normalised(F.col("line")))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    frequent = frequent_lines(line_table(documents, host), max_documents).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("host", "hash", "part")
-    kept = lines.join(frequent, ["host", "hash", "part"], "left_anti").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_row", "pos", "line"))).alias("_lines"))
-    out = documents.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text = F.array_join(F.transform(F.coalesce("_lines", F.array()), lambda x: x["line"]), "\n")
-    return out.withColumn("text", F.when(F.col("text").isNotNull(), text)).select(*documents.columns)
+    """documents with their frequent lines removed from text, the rest in order. Null texts stay null; other columns and all rows stay.
+
+    Each row is a document of its own, as in quality_report.
+    """
+    read = documents.select(F.struct("*").alias("row"), _host(host).alias("host"), line_hashes(F.coalesce("text", F.lit(""))).alias("lines"))
+    rows = stored(read.withColumn("at", F.monotonically_increasing_id()), "lines")
+    gone = _frequent_of_rows(rows.drop("row"), max_documents).groupBy("at").agg(F.collect_set("hash").alias("gone"))  # lines of one text
+    joined = rows.join(gone, "at", "left")
+    single = F.split(F.col("row.text"), "\n", -1)
+    left = F.filter(single, lambda x, i: ~F.coalesce(F.array_contains("gone", F.get("lines", i)["hash"]), F.lit(False)))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    return joined.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in documents.columns])

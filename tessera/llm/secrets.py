@@ -20,7 +20,8 @@ PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]{24,}
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 #: A candidate held by more owners than this is a copied example.
 MAX_OWNERS = 2
-BASE = "kind int, start int, stop int, hash long"
+#: Parts that the candidates of one secret are dealt to before they are joined, so that a secret of any frequency is spread.
+SALTS = 16
 
 
 def matches(text: Column, pattern: str, group: int) -> Column:
@@ -82,9 +83,10 @@ def find_secrets(documents: DataFrame, owner: Column, repository: Column, max_ow
     rows = stored(rows, "secret-candidates")
     some = rows.filter(F.size("found") > 0).dropDuplicates(["doc_id", "text_hash", "owner", "repository"])
     single = some.withColumn("candidate", F.explode("found")).select("doc_id", "text_hash", "owner", "repository", "candidate.*")
-    counts = ownership(single)
+    counts = ownership(single).select("hash", "n_owners", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
     base = F.lit(KINDS.index("generic"))
-    judged = single.join(counts, "hash").withColumn("live", F.col("n_owners") <= max_owners).filter((F.col("kind") < base) | F.col("live"))
+    dealt = single.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
+    judged = dealt.join(counts, ["hash", "part"]).withColumn("live", F.col("n_owners") <= max_owners).filter((F.col("kind") < base) | F.col("live"))
     by_doc = judged.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "start", "stop", "hash", "live")).alias("spans"))
 
     def clear(spans: Column) -> Column:  # a generic token that overlaps a base span is that span
@@ -123,7 +125,9 @@ def redact_secrets(documents: DataFrame, owner: Column, repository: Column, max_
     """documents with every secret that looks live replaced by a mask; copied examples stay. Columns, rows and null texts stay as they are."""
     found = find_secrets(documents, owner, repository, max_owners)
     live = F.filter("spans", lambda s: s["live"])
-    masks = found.withColumn("spans", live).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    joined = documents.join(masks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left")
-    redacted = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), redact(F.coalesce("text", F.lit("")), F.col("_spans"))).otherwise(F.col("text")))
-    return redacted.select(*documents.columns)
+    masks = found.withColumn("spans", live).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
+    rows = documents.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    joined = rows.join(masks, rows["doc_id"].eqNullSafe(masks["doc_id"]) & (rows["text_hash"] == masks["text_hash"]), "left")
+    own = F.col("row.text")
+    text = F.when(F.col("spans").isNotNull(), redact(F.coalesce(own, F.lit("")), F.col("spans"))).otherwise(own)
+    return joined.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in documents.columns])

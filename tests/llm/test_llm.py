@@ -13,7 +13,7 @@ DOCS = "doc_id long, text string, source string, lang string, score double"
 
 def docs(spark, texts):
     """With a column whose name clashes with results."""
-    return spark.createDataFrame([(i, t, f"src{i % 3}", "en", 0.5) for i, t in texts], DOCS)
+    return spark.createDataFrame([(i, t, f"src{(i or 0) % 3}", "en", 0.5) for i, t in texts], DOCS)
 
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "word"), (5, "x" * 5000)]
@@ -131,12 +131,34 @@ def test_pieces_round_trip_and_best(spark):
             for s in range(e):
                 if word[s:e] in vocab.pieces:
                     score[e] = max(score[e], score[s] + vocab.pieces[word[s:e]][0])
+            if word[e - 1] not in vocab.pieces:
+                score[e] = max(score[e], score[e - 1] + pieces.BYTE_SCORE * len(word[e - 1].encode()))
         return score[-1]
 
-    words = ["▁the", "▁thing", "▁things", "▁thedouon", "▁inha"]
+    rng = random.Random(3)
+    words = ["", "the", "thing", "things", "thedouon", "inha", "▁▁x", "漢字", "été"] + ["".join(rng.choice("aeinrstθ🙂é▁") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
     by_id = {i: s for s, i in vocab.pieces.values()}
     for w, ids in pieces.segment(words, vocab).items():
-        assert abs(sum(by_id[i] for i in ids) - best(w)) < 1e-9
+        assert abs(sum(by_id.get(i, pieces.BYTE_SCORE) for i in ids) - best("▁" + w)) < 1e-9
+
+
+def test_a_byte_may_come_before_a_piece():
+    class Small(pieces.Vocabulary):
+        def __init__(self):
+            self.pieces = {"▁": (-1.0, 0), "xy": (-5.0, 1), "yz": (-8.0, 2)}
+            self.bytes, self.unknown = {ord("x"): 3, ord("y"): 4, ord("z"): 5}, 9
+            self.build()
+
+    assert pieces.segment(["xyz"], Small())["xyz"] == (0, 1, 5)
+
+
+def test_pieces_repeats_long_texts_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 50)
+    texts = [(1, "a b"), (1, "a b"), (None, "a b"), (2, "long word " * 5000)]
+    rows = pieces.encode(docs(spark, texts).withColumn("ids", F.lit("mine")).withColumn("n_tokens", F.lit(0))).collect()
+    same = [r["ids"] for r in rows if r["doc_id"] != 2]
+    assert len(rows) == 4 and same[0] == same[1] == same[2] and all(r["round_trip"] for r in rows)
+    assert pieces.encode(docs(spark, texts).limit(0)).count() == 0
 
 
 # ---- op6
@@ -153,21 +175,79 @@ def test_quality_rules(spark):
     assert kept[10] == f"{body} a" and kept[1] is None and kept[6] == body
 
 
+def brute_quality(rows, max_documents, least_words=20, least_share=0.2):
+    """Rows of (id, text, host): n_words, n_dup_lines, n_repeat_words, n_frequent_words, kept, text without frequent lines, for each."""
+    import re
+
+    split = lambda t: [w for w in re.split("[ \\t-\\r]+", t) if w]
+    norm = lambda x: re.sub("[0-9]+", "0", " ".join(split(x)).lower())
+    holds = Counter((h, n) for _, t, h in rows for n in {norm(x) for x in (t or "").split("\n") if split(x)})
+    out = []
+    for _, t, h in rows:
+        lines, words = [x for x in (t or "").split("\n")], split(t or "")
+        grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        covered = {i + j for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1 for j in range(8)}
+        gone = [bool(split(x)) and holds[h, norm(x)] > max_documents for x in lines]
+        frequent = sum(len(split(x)) for x, g in zip(lines, gone, strict=True) if g)
+        failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
+        left = len(words) - frequent
+        kept = not failed and not (frequent and (left < least_words or left < least_share * len(words)))
+        with_words = [x for x in lines if split(x)]
+        text = None if t is None else "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
+        out.append((len(words), len(with_words) - len(set(with_words)), len(covered), frequent, kept, text))
+    return out
+
+
+def test_quality_is_brute_force(spark):
+    rng = random.Random(11)
+    phrases = [" ".join(rng.choice("Ab cd  eF 12 g7 hi\tjk".split(" ")) for _ in range(rng.randrange(1, 14))) for _ in range(12)] + ["", "  ", "Same 1", "same  22 "]
+    texts = [(i, "\n".join(rng.choice(phrases) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    texts += [*ODD, (1, "alpha one\nbeta two"), (1, "alpha one\nbeta two"), (None, "left\nSame 1"), (None, "right\nSame 1"), (None, phrases[0])]
+    df = docs(spark, texts).withColumns({"row": F.lit(1), "lines": F.lit(2), "at": F.lit(3)})
+    want = brute_quality([(i, t, f"src{i % 3}" if i is not None else "srcnull") for i, t in texts], 3)
+    host = F.coalesce(F.concat(F.lit("src"), F.col("doc_id") % 3), F.lit("srcnull"))
+    got = quality.quality_report(df, host, max_documents=3)
+    got = Counter((r["doc_id"], r["n_words"], r["n_dup_lines"], r["n_repeat_words"], r["n_frequent_words"], r["kept"]) for r in got.collect())
+    assert got == Counter((i, *w[:5]) for (i, _), w in zip(texts, want, strict=True))
+    left = Counter((r["doc_id"], r["text"]) for r in quality.remove_frequent_lines(df, host, 3).collect())
+    assert left == Counter((i, w[5]) for (i, _), w in zip(texts, want, strict=True))
+    assert quality.quality_report(df.limit(0), host).count() == 0 == quality.remove_frequent_lines(df.limit(0), host).count()
+
+
 # ---- op7
 
 
-def test_mixing_meets_targets(spark):
+def least_squares(tokens, p, targets, floor):
+    """Projected gradient by brute force, over single documents."""
+    a = (tokens[:, None] * p) / tokens.sum()
+    r, size = np.full(len(a), max(1.0, floor)), 1 / np.linalg.eigvalsh(p.T @ a)[-1]
+    for _ in range(20000):
+        r = np.maximum(floor, r - size * (p @ (r @ a - targets)))
+    return r @ a
+
+
+@pytest.mark.parametrize("targets, floor, reachable", [([0.2, 0.5, 0.3], 0.0, True), ([0.9, 0.05, 0.05], 0.5, False), ([0.1, 0.6, 0.3], 1.0, False)])
+def test_mixing_is_least_squares(spark, targets, floor, reachable):
     rng = np.random.default_rng(2)
-    rows = [(i, int(rng.integers(10, 100)), rng.dirichlet([1.0, 1.0, 1.0]).tolist()) for i in range(500)]
-    table = spark.createDataFrame(rows, "doc_id long, n_tokens long, posterior array<double>")
-    targets = [0.2, 0.5, 0.3]
-    steps, now = mixing.fit_rates(table, targets)
-    assert np.abs(now - targets).max() < 2e-3
-    rates = table.select(mixing.rate(F.col("posterior"), steps, 0.0).alias("r")).collect()
-    assert min(r["r"] for r in rates) >= 0
-    assert mixing.fit_rates(table.limit(0), targets)[0] == []
+    tokens, p = rng.integers(1, 100, 500), rng.dirichlet([2.0, 2.0, 2.0], 500)
+    table = spark.createDataFrame([(i, int(t), q.tolist()) for i, (t, q) in enumerate(zip(tokens, p, strict=True))], "doc_id long, n_tokens long, posterior array<double>")
+    steps, now = mixing.fit_rates(table, targets, floor)
+    assert np.abs(now - least_squares(tokens, p, np.array(targets), floor)).max() < 2e-4
+    assert (np.abs(now - targets).max() < 1e-5) == reachable
+    rates = table.select("n_tokens", "posterior", mixing.rate(F.col("posterior"), steps).alias("r")).toPandas()
+    assert rates["r"].min() >= floor
+    assert np.allclose(sum(t * r * np.array(q) for t, r, q in zip(rates["n_tokens"], rates["r"], rates["posterior"], strict=True)) / tokens.sum(), now)
+    assert mixing.fit_rates(table.limit(0), targets)[0].taken == ()
+
+
+def test_mixing_of_odd_rows(spark):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 8)], "doc_id long, quality int, toxic int")
-    assert mixing.mix(docs(spark, ODD), labels, {"plain": 1.0}).count() == len(ODD)
+    rows = docs(spark, [*ODD, (None, "lone words"), (4, "word"), (4, "other word")]).withColumns({"row": F.lit(1), "copies": F.lit(9), "text_hash": F.lit(0)})
+    mixed, fit = mixing.fitted_mix(rows, labels, {"plain": 1.0, "good": 1.0}, None, 1.0)
+    assert mixed.count() == rows.count() and fit.met
+    out = mixing.mixed_documents(rows, mixed)
+    assert out.columns == rows.columns and {(r["doc_id"], r["text"]) for r in out.collect()} == {(r["doc_id"], r["text"]) for r in rows.collect()}
+    assert mixing.mix(rows.limit(0), labels, {"plain": 1.0}).count() == 0
 
 
 # ---- op8
@@ -262,5 +342,46 @@ def test_pipeline_stages(spark):
     kept = c.remove_near_duplicates(spark, clean, sf)
     comp, _ = brute_near([(r["doc_id"], r["text"]) for r in clean.collect()], 5, 80)
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, x in comp.items() if i == x)
-    mixed = c.mix_sources(spark, c.mask_secrets(spark, kept, sf), sf)
-    assert mixed.columns == docs_.columns and {r["doc_id"] for r in mixed.select("doc_id").collect()} == {r["doc_id"] for r in kept.select("doc_id").collect()}
+    masked = c.mask_secrets(spark, kept, sf)
+    found = secrets.find_secrets(kept, F.col("source"), F.concat_ws("/", "source", "lang"))
+    live = {r["doc_id"]: sorted((s["start"], s["stop"]) for s in r["spans"] if s["live"]) for r in found.collect()}
+
+    def hidden(text, spans):
+        out, at = "", 0
+        for a, b in spans:
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        return out + text[at:]
+
+    texts = {r["doc_id"]: r["text"] for r in kept.collect()}
+    assert {r["doc_id"]: r["text"] for r in masked.collect()} == {i: t and hidden(t, live[i]) for i, t in texts.items()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    _, fit = mixing.fitted_mix(masked, labels, c.WEIGHTS, None, c.FLOOR)
+    assert fit.met and abs(fit.reached["plain"] / (fit.reached["plain"] + fit.reached["good"]) - 0.3) < 1e-3
+    mixed = c.mix_sources(spark, masked, sf)
+    times = Counter(r["doc_id"] for r in mixed.select("doc_id").collect())
+    rates = {r["doc_id"]: r["rate"] for r in mixing.mix(masked, labels, c.WEIGHTS, None, c.FLOOR).collect()}
+    assert mixed.columns == docs_.columns and set(times) == set(texts) and all(int(rates[i]) <= n <= int(rates[i]) + 1 for i, n in times.items())
+    ids = {r["doc_id"]: r for r in c.encode_pieces(spark, mixed, sf).collect()}
+    vocab = pieces.vocabulary(pieces.DEFAULT_MODEL)
+    final = {r["doc_id"]: r["text"] for r in mixed.collect()}
+    assert all(pieces.decode_ids(ids[i]["ids"], vocab) == (t or "") for i, t in final.items())
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as c
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(i, t, "en", "s", 0) for i, t in [*ODD, (None, "lone words here"), (4, "word"), (None, None), (9, "key AKIA" + "Z" * 16), (10, "x" * 200000)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.withColumns({n: F.lit("mine") for n in ("score", "predicted", "_id", "_hash", "_spans", "_copy", "row", "copies", "at", "component_id", "kept")})
+    for name, stage in c.STAGES[:-1]:
+        got, none = stage(spark, df, sf), stage(spark, df.limit(0), sf)
+        assert got.columns == df.columns and none.count() == 0, name
+        got = got.collect()
+        assert all(r[n] == "mine" for r in got for n in df.columns[5:]), name
+        assert {r["doc_id"] for r in got} == {r[0] for r in rows} and len(got) >= len(rows), name
+        if name == "secrets":
+            assert {r["doc_id"]: r["text"] for r in got}[9] == "key [SECRET]"
+    assert c.encode_pieces(spark, df, sf).count() == len(rows)

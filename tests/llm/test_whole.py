@@ -18,16 +18,18 @@ def test_mixing_stage_tells_what_it_reached(spark):
     texts = [(i, f"{plain if i % 8 == 0 else good} n{i}") for i in range(80)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 8 != 0), 0) for i in range(80)], "doc_id long, quality int, toxic int")
-    rows, fit = mixing.fitted_mix(docs, labels, c.WEIGHTS, c.BUDGET, c.FLOOR)
+    weights, budget = {"plain": 0.7, "good": 0.28, "toxic": 0.02}, 1.15
+    rows, fit = mixing.fitted_mix(docs, labels, weights, budget, 1.0)
     total = rows.agg(F.sum("n_tokens")).first()[0]
     for i, d in enumerate(mixing.DOMAINS):
         tokens = rows.agg(F.sum(F.col("rate") * F.col("n_tokens") * F.get("posterior", F.lit(i)))).first()[0]
-        assert abs(fit.reached[d] - tokens / total) < 1e-9 and abs(fit.targets[d] - c.WEIGHTS[d] * c.BUDGET) < 1e-9
-    assert fit.residual["good"] > 0.3 and not fit.met
+        assert abs(fit.reached[d] - tokens / total) < 1e-9 and abs(fit.targets[d] - weights[d] * budget) < 1e-9
+    assert fit.residual["good"] > 0.3 and not fit.met and fit.converged
     # at rates of 1 or more, good can't fall below what came in
     assert fit.reached["good"] >= rows.agg(F.sum(F.col("n_tokens") * F.get("posterior", F.lit(1)))).first()[0] / total - 1e-9
-    with pytest.MonkeyPatch.context() as m, pytest.warns(c.MissedTargets, match="good .* of 0.3220"):
+    with pytest.MonkeyPatch.context() as m, pytest.warns(c.MissedTargets, match="good .* of "):
         m.setattr(c, "table", lambda *_: labels)
+        m.setattr(mixing, "MARGIN", 0.5)
         c.mix_sources(spark, docs, "")
 
 

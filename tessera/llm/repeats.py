@@ -4,11 +4,15 @@ A byte string of LENGTH bytes is a suffix cut at LENGTH. Suffixes are dealt by t
 K-byte strings inside: equal suffixes have equal anchors, and neighbouring suffixes share one, so that they travel together as a
 run of bytes. Anchors that only one document holds cannot match and are dropped before any bytes move.
 
-A shard of the index is a family of levels. Each batch (the runs of a group of documents) gets a suffix array: its
-distinct suffixes, sorted, each with the smallest document that holds it. Batches enter the family as levels of their own; levels
-of about equal size merge, so there are never more than a logarithm of them; a batch's suffixes are then matched against each level
-by a merge scan of two sorted lists. Runs whose anchor has one content in the whole corpus need no suffixes: the
-content is their match.
+A shard of the index is a family of levels, each a suffix array: distinct suffixes, sorted, each with the smallest document that
+holds it. The contents of a shard's runs come in the order of their smallest documents and are cut into batches. A new batch gets its suffix array and
+is merge-scanned against every level, smallest documents first found: a suffix that a level holds has its match there, the others are
+new and become a level of their own; levels of about equal size are merged, so there are never more than a logarithm of them. As batches
+come in order, no later batch changes what an earlier one found. Runs whose anchor has one content in the whole corpus
+need no suffixes: the content is their match.
+
+An anchor that many groups hold could bring any number of contents to one shard. Its runs are cut into single suffixes, which
+are dealt by a hash of their own, so that equal suffixes still meet and different ones are spread.
 
 Documents are dealt into groups once; three passes over the groups (anchors, runs, removal) share that exchange. What
 travels between groups and shards are packed blocks of one group and one shard.
@@ -17,6 +21,7 @@ travels between groups and shards are packed blocks of one group and one shard.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,7 +37,9 @@ K = 16
 #: Suffixes of a run at most.
 RUN = 64
 #: Bytes of text in a group, about, and in one step of the scan for anchors.
-GROUP_BYTES, STEP_BYTES = 4 << 20, 1 << 20
+GROUP_BYTES, MOST_GROUP_BYTES, STEP_BYTES = 4 << 20, 16 << 20, 1 << 17
+#: Groups from which on an anchor is hot, and contents of a batch.
+HOT_GROUPS, BATCH = 256, 8192
 NO_DOC = np.iinfo(np.int64).max
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -68,7 +75,8 @@ def runs_of(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[n
             break
         least = window_minima(gram_hashes(part), w)
         where = np.arange(at, at + len(least))
-        end = ends[np.searchsorted(ends, where, side="right")]
+        own = slice(np.searchsorted(ends, at, side="right"), np.searchsorted(ends, at + len(least) - 1, side="right") + 1)
+        end = np.repeat(ends[own], np.diff(np.minimum(ends[own], at + len(least)), prepend=at))
         inside = where + length <= end
         new = np.ones(len(least), bool)
         new[1:] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])
@@ -126,6 +134,31 @@ class Group:
         back[order] = np.arange(len(order))
         return distinct[order], (low != high)[order], back[place]
 
+    def singled(self, runs: np.ndarray, hot: np.ndarray) -> "Runs":
+        """Some runs; the hot ones cut into single suffixes, whose keys are hashes of themselves."""
+        whole, parts = runs[~hot], runs[hot]
+        n = self.count[parts]
+        start = np.repeat(self.start[parts], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        key = np.zeros(len(start), np.uint64)
+        for at in range(0, len(start), STEP_BYTES >> 3):
+            window = self.data[start[at : at + (STEP_BYTES >> 3), None] + np.arange(LENGTH)]
+            mixed = np.zeros(len(window), np.uint64)
+            for column in window.T:
+                mixed = (mixed + column + np.uint64(1)) * _A
+                mixed ^= mixed >> np.uint64(29)
+            key[at : at + (STEP_BYTES >> 3)] = (mixed * _C) >> np.uint64(16)
+        return Runs(*(np.concatenate(x) for x in ((self.start[whole], start), (self.count[whole], np.ones_like(start)), (self.key[whole], key), (self.doc[whole], np.repeat(self.doc[parts], n)))))
+
+
+@dataclass
+class Runs:
+    """Where runs start, how many suffixes they have, their keys, and the places of their documents."""
+
+    start: np.ndarray
+    count: np.ndarray
+    key: np.ndarray
+    doc: np.ndarray
+
 
 def _cuts(shards: np.ndarray, n_shards: int) -> np.ndarray:
     return np.searchsorted(shards, np.arange(n_shards + 1))
@@ -143,51 +176,44 @@ def _anchors(n_shards: int):
 
 
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each block of anchors, which of them two documents hold."""
+    """For each block of anchors, which of them two documents hold, and which are hot."""
     blocks = [_from_six(k) for k in pdf["keys"]]
     several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(b)).astype(bool) for s, b in zip(pdf["several"], blocks, strict=True)]
     every = np.sort(np.concatenate(blocks))
-    twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[b[s] for b, s in zip(blocks, several, strict=True)]]))
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+    times = np.diff(np.append(first, len(every)))  # groups: a group names an anchor once
+    twice = np.unique(np.concatenate([every[first[times > 1]], *[b[s] for b, s in zip(blocks, several, strict=True)]]))
+    hot = every[first[times >= HOT_GROUPS]]
 
-    def held(b: np.ndarray) -> bytes:
-        at = np.searchsorted(twice, b)
-        at[at == len(twice)] = 0
-        return np.packbits(twice[at] == b if len(twice) else np.zeros(len(b), bool)).tobytes()
+    def among(b: np.ndarray, known: np.ndarray) -> bytes:
+        return np.packbits(np.isin(b, known)).tobytes()
 
-    return pd.DataFrame({"g": pdf["g"], "shard": pdf["shard"], "held": [held(b) for b in blocks]})
+    return pd.DataFrame({"g": pdf["g"], "shard": pdf["shard"], "held": [among(b, twice) for b in blocks], "hot": [among(b, hot) for b in blocks]})
 
 
-def _contents(group: Group, held: pd.DataFrame, n_shards: int) -> tuple[np.ndarray, list[int], list[dict[bytes, int]]]:
-    """The runs whose anchors are shared: their places, each one's number among its shard's contents, and by shard the contents with their first run."""
+def _contents(group: Group, held: pd.DataFrame, n_shards: int) -> tuple[Runs, np.ndarray, np.ndarray, list[dict[bytes, int]]]:
+    """The runs whose anchors are shared, by shard; each one's shard and number among its shard's contents; and by shard the contents with their numbers."""
     distinct, _, place = group.keys(n_shards)
-    shards = (distinct % np.uint64(n_shards)).astype(np.int64)
-    cut = _cuts(shards, n_shards)
-    flags = np.zeros(len(distinct), bool)
-    for shard, bits in zip(held["shard"], held["held"], strict=True):
-        a, b = cut[shard], cut[shard + 1]
-        flags[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-    runs = np.flatnonzero(flags[place])
-    contents: list[dict[bytes, int]] = [{} for _ in range(n_shards)]
-    numbers, data = [], group.bytes
-    tail = LENGTH - 1
-    for run, s, n, shard in zip(runs.tolist(), group.start[runs].tolist(), group.count[runs].tolist(), shards[place[runs]].tolist(), strict=True):
-        own = contents[shard]
-        content = data[s : s + n + tail]
-        number = own.get(content)
-        if number is None:
-            number = len(own)
-            own[content] = number
-        numbers.append(number)
-    return runs, numbers, contents
-
-
-def _first_docs(group: Group, runs: np.ndarray, numbers: list[int], shard_of: np.ndarray, contents: list[dict[bytes, int]]) -> list[np.ndarray]:
-    firsts = [np.full(len(c), NO_DOC, np.int64) for c in contents]
-    docs = group.ids[group.doc[runs]]
-    offset = np.cumsum([0] + [len(c) for c in contents])
-    flat = np.full(offset[-1], NO_DOC, np.int64)
-    np.minimum.at(flat, offset[shard_of] + np.array(numbers, np.int64), docs)
-    return [flat[offset[i] : offset[i + 1]] for i in range(len(firsts))]
+    cut = _cuts((distinct % np.uint64(n_shards)).astype(np.int64), n_shards)
+    flags, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+    for shard, bits, more in zip(held["shard"], held["held"], held["hot"], strict=True):
+        if bits is not None:
+            a, b = cut[shard], cut[shard + 1]
+            flags[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+            hot[a:b] = np.unpackbits(np.frombuffer(more, np.uint8), count=b - a).astype(bool)
+    chosen = np.flatnonzero(flags[place])
+    runs = group.singled(chosen, hot[place[chosen]])
+    shards = (runs.key % np.uint64(n_shards)).astype(np.int64)
+    order = np.argsort(shards, kind="stable")
+    runs, shards = Runs(runs.start[order], runs.count[order], runs.key[order], runs.doc[order]), shards[order]
+    contents: list[dict[bytes, int]] = []
+    numbers, data, tail = [], group.bytes, LENGTH - 1
+    begin, stop, cut = runs.start.tolist(), (runs.start + runs.count + tail).tolist(), _cuts(shards, n_shards).tolist()
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        own: dict[bytes, int] = {}
+        numbers += [own.setdefault(data[x:y], len(own)) for x, y in zip(begin[a:b], stop[a:b], strict=True)]
+        contents.append(own)
+    return runs, shards, np.array(numbers, np.int64), contents
 
 
 def _runs(n_shards: int):
@@ -195,17 +221,17 @@ def _runs(n_shards: int):
         rows: list[tuple] = []
         if len(pdf) and len(held):
             group = Group(pdf)
-            runs, numbers, contents = _contents(group, held, n_shards)
-            if len(runs):
-                shard_of = (group.key[runs] % np.uint64(n_shards)).astype(np.int64)
-                anchor = {}
-                for key, number, shard in zip(group.key[runs].tolist(), numbers, shard_of.tolist(), strict=True):
-                    anchor[shard, number] = key
-                packer = zstandard.ZstdCompressor(level=3)
-                for shard, (own, first) in enumerate(zip(contents, _first_docs(group, runs, numbers, shard_of, contents), strict=True)):
-                    if own:
-                        keys = np.array([anchor[shard, i] for i in range(len(own))], np.uint64)
-                        rows.append((shard, int(pdf["g"].iloc[0]), _six(keys), np.array([len(c) for c in own], np.uint8).tobytes(), first.tobytes(), packer.compress(b"".join(own))))
+            runs, shards, numbers, contents = _contents(group, held, n_shards)
+            sizes = [len(own) for own in contents]
+            offset = np.cumsum([0, *sizes])
+            flat, keys = np.full(offset[-1], NO_DOC, np.int64), np.zeros(offset[-1], np.uint64)
+            np.minimum.at(flat, offset[shards] + numbers, group.ids[runs.doc])
+            keys[offset[shards] + numbers] = runs.key
+            packer = zstandard.ZstdCompressor(level=3)
+            for shard, own in enumerate(contents):
+                if own:
+                    mine = slice(offset[shard], offset[shard + 1])
+                    rows.append((shard, int(pdf["g"].iloc[0]), _six(keys[mine]), np.fromiter(map(len, own), np.uint8, len(own)).tobytes(), flat[mine].tobytes(), packer.compress(b"".join(own))))
         return pd.DataFrame(rows, columns=["shard", "g", "keys", "lengths", "docs", "contents"])
 
     return run
@@ -221,73 +247,76 @@ def suffixes(contents: list[bytes], length: int = LENGTH) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[where]).view(f"S{length}").ravel() if len(where) else np.zeros(0, f"S{length}")
 
 
+Level = tuple[np.ndarray, np.ndarray]
+
+
 class SuffixFamily:
-    """Levels of sorted suffixes with the smallest document of each; a new batch merges with levels of no more than its size."""
+    """Levels of sorted distinct suffixes with the smallest document of each; batches come in the order of their documents."""
 
     def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.levels: list[Level] = []
+
+    def add(self, suffix: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Takes a batch in, and gives the smallest document of each of its suffixes in what the family holds by now."""
+        own, first, place = np.unique(suffix, return_index=True, return_inverse=True)
+        smallest = np.full(len(own), NO_DOC, np.int64)
+        np.minimum.at(smallest, place, docs)
+        new = np.ones(len(own), bool)
+        for known, its_docs in self.levels:
+            at = np.searchsorted(known, own)  # both in order: a merge scan
+            at[at == len(known)] = 0
+            hit = known[at] == own if len(known) else np.zeros(len(own), bool)
+            smallest[hit] = np.minimum(smallest[hit], its_docs[at[hit]])
+            new &= ~hit
+        if new.any():
+            self.levels.append((own[new], smallest[new]))
+            while len(self.levels) > 1 and len(self.levels[-2][0]) <= len(self.levels[-1][0]):
+                self.levels.append(self.merged(self.levels.pop(), self.levels.pop()))
+        return smallest[place]
 
     @staticmethod
-    def array(suffix: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(suffix, kind="stable")
-        suffix, docs = suffix[order], docs[order]
-        first = np.flatnonzero(np.append(True, suffix[1:] != suffix[:-1])) if len(suffix) else np.zeros(0, np.int64)
-        return suffix[first], np.minimum.reduceat(docs, first) if len(first) else docs
-
-    def add(self, suffix: np.ndarray, docs: np.ndarray) -> None:
-        level = self.array(suffix, docs)
-        while self.levels and len(self.levels[-1][0]) <= len(level[0]):
-            other = self.levels.pop()
-            level = self.array(np.concatenate([other[0], level[0]]), np.concatenate([other[1], level[1]]))
-        self.levels.append(level)
-
-    def smallest(self, suffix: np.ndarray) -> np.ndarray:
-        """The smallest document of each suffix over all levels."""
-        out = np.full(len(suffix), NO_DOC, np.int64)
-        for known, docs in self.levels:
-            at = np.searchsorted(known, suffix)
-            at[at == len(known)] = 0
-            hit = known[at] == suffix
-            out[hit] = np.minimum(out[hit], docs[at[hit]])
-        return out
+    def merged(a: Level, b: Level) -> Level:
+        """Two levels without a common suffix as one."""
+        (large, large_docs), (small, small_docs) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
+        at = np.searchsorted(large, small)
+        return np.insert(large, at, small), np.insert(large_docs, at, small_docs)
 
 
 def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each block of runs: the smallest document of each content, or of each of its suffixes where contents of the anchor differ."""
     unpacker = zstandard.ZstdDecompressor()
+    index: dict[bytes, int] = {}
     blocks = []
-    for row in pdf.sort_values("g").itertuples():
+    for row in pdf.itertuples():
         sizes = np.frombuffer(row.lengths, np.uint8).astype(np.int64)
         data, ends = unpacker.decompress(row.contents), np.cumsum(sizes)
-        blocks.append((row.g, row.shard, _from_six(row.keys), np.frombuffer(row.docs, np.int64), [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]))
-    smallest: dict[bytes, int] = {}
-    of_key: dict[int, bytes | None] = {}
-    for _, _, keys, docs, contents in blocks:
-        for key, doc, content in zip(keys.tolist(), docs.tolist(), contents, strict=True):
-            if doc < smallest.get(content, NO_DOC + 1):
-                smallest[content] = doc
-            if of_key.setdefault(key, content) != content:
-                of_key[key] = None  # contents differ
-    family, place, distinct, size = SuffixFamily(), {}, [], 0
-    mixed = []
-    for _, _, keys, _, contents in blocks:
-        own = np.array([of_key[k] is None for k in keys.tolist()], bool)
-        mixed.append(own)
-        new = [c for c, m in zip(contents, own.tolist(), strict=True) if m and c not in place]  # what no batch before has brought
-        for c in new:
-            place[c] = size
-            size += len(c) - LENGTH + 1
-        if new:
-            family.add(suffixes(new), np.repeat(np.array([smallest[c] for c in new], np.int64), [len(c) - LENGTH + 1 for c in new]))
-            distinct += new
-    every = family.smallest(suffixes(distinct)) if distinct else np.zeros(0, np.int64)
-    rows = []
-    for (g, shard, _, _, contents), own in zip(blocks, mixed, strict=True):
-        one = np.array([smallest[c] for c in contents], np.int64)
-        some = [c for c, m in zip(contents, own.tolist(), strict=True) if m]
-        each = np.concatenate([every[place[c] : place[c] + len(c) - LENGTH + 1] for c in some]) if some else np.zeros(0, np.int64)
-        packer = zstandard.ZstdCompressor(level=1)
-        rows.append((g, shard, np.packbits(own).tobytes(), packer.compress(one.tobytes()), packer.compress(each.tobytes())))
+        numbers = np.array([index.setdefault(data[a:b], len(index)) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], np.int64)
+        blocks.append((row.g, row.shard, _from_six(row.keys), np.frombuffer(row.docs, np.int64), numbers))
+    contents = list(index)
+    numbers = np.concatenate([b[4] for b in blocks])
+    smallest, keys = np.full(len(contents), NO_DOC, np.int64), np.zeros(len(contents), np.uint64)
+    np.minimum.at(smallest, numbers, np.concatenate([b[3] for b in blocks]))
+    keys[numbers] = np.concatenate([b[2] for b in blocks])
+    _, place, times = np.unique(keys, return_inverse=True, return_counts=True)
+    mixed = times[place] > 1
+    counts = np.where(mixed, np.fromiter(map(len, contents), np.int64, len(contents)) - LENGTH + 1, 0)
+    offset = np.cumsum(counts) - counts
+    every = np.zeros(counts.sum(), np.int64)
+
+    def steps(own: np.ndarray) -> np.ndarray:
+        """Where the suffixes of some contents stand in every."""
+        n = counts[own]
+        return np.repeat(offset[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    family, order = SuffixFamily(), np.flatnonzero(mixed)
+    order = order[np.argsort(smallest[order], kind="stable")]
+    for at in range(0, len(order), BATCH):
+        own = order[at : at + BATCH]
+        every[steps(own)] = family.add(suffixes([contents[i] for i in own.tolist()]), np.repeat(smallest[own], counts[own]))
+    rows, packer = [], zstandard.ZstdCompressor(level=1)
+    for g, shard, _, _, own in blocks:
+        some = own[mixed[own]]
+        rows.append((g, shard, np.packbits(mixed[own]).tobytes(), packer.compress(smallest[own].tobytes()), packer.compress(every[steps(some)].tobytes())))
     return pd.DataFrame(rows, columns=["g", "shard", "mixed", "one", "each"])
 
 
@@ -298,36 +327,32 @@ def _remove(n_shards: int, keep_text: bool):
         group = Group(pdf)
         size = len(group.data)
         cover = np.zeros(size + 1, np.int32)
-        held, answers = found[["shard", "held"]], found
         if len(found):
-            runs, numbers, _ = _contents(group, held, n_shards)
-            if len(runs):
-                shard_of = (group.key[runs] % np.uint64(n_shards)).astype(np.int64)
-                numbers_a, docs = np.array(numbers, np.int64), group.ids[group.doc[runs]]
-                begin, count = group.start[runs], group.count[runs]
-                unpacker = zstandard.ZstdDecompressor()
-                for row in answers.itertuples():
-                    if row.one is None:
-                        continue
-                    one = np.frombuffer(unpacker.decompress(row.one), np.int64)
-                    each = np.frombuffer(unpacker.decompress(row.each), np.int64)
-                    mixed = np.unpackbits(np.frombuffer(row.mixed, np.uint8), count=len(one)).astype(bool)
-                    mine = np.flatnonzero(shard_of == row.shard)
-                    number = numbers_a[mine]
-                    whole = mine[~mixed[number] & (one[number] < docs[mine])]
-                    np.add.at(cover, begin[whole], 1)
-                    np.add.at(cover, begin[whole] + count[whole] + LENGTH - 1, -1)
-                    parts = mine[mixed[number]]
-                    if len(parts):
-                        counts = np.zeros(len(one), np.int64)
-                        counts[numbers_a[parts]] = count[parts]
-                        offset = np.cumsum(counts) - counts  # mixed contents stand in order
-                        n = count[parts]
-                        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        hit = each[np.repeat(offset[numbers_a[parts]], n) + step] < np.repeat(docs[parts], n)
-                        where = (np.repeat(begin[parts], n) + step)[hit]
-                        np.add.at(cover, where, 1)
-                        np.add.at(cover, where + LENGTH, -1)
+            runs, shards, numbers, contents = _contents(group, found[["shard", "held", "hot"]], n_shards)
+            docs, cut = group.ids[runs.doc], _cuts(shards, n_shards)
+            unpacker = zstandard.ZstdDecompressor()
+            for row in found.itertuples():
+                if row.one is None:
+                    continue
+                one = np.frombuffer(unpacker.decompress(row.one), np.int64)
+                each = np.frombuffer(unpacker.decompress(row.each), np.int64)
+                mixed = np.unpackbits(np.frombuffer(row.mixed, np.uint8), count=len(one)).astype(bool)
+                mine = slice(cut[row.shard], cut[row.shard + 1])
+                begin, count, doc, number = runs.start[mine], runs.count[mine], docs[mine], numbers[mine]
+                whole = ~mixed[number] & (one[number] < doc)
+                np.add.at(cover, begin[whole], 1)
+                np.add.at(cover, begin[whole] + count[whole] + LENGTH - 1, -1)
+                parts = mixed[number]
+                if parts.any():
+                    begin, count, doc, number = begin[parts], count[parts], doc[parts], number[parts]
+                    counts = np.zeros(len(one), np.int64)
+                    counts[number] = count
+                    offset = np.cumsum(counts) - counts  # mixed contents stand in order
+                    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    hit = each[np.repeat(offset[number], count) + step] < np.repeat(doc, count)
+                    where = (np.repeat(begin, count) + step)[hit]
+                    np.add.at(cover, where, 1)
+                    np.add.at(cover, where + LENGTH, -1)
         gone = np.cumsum(cover[:-1]) > 0
         rows = []
         for i, (a, b) in enumerate(zip(group.starts.tolist(), group.ends.tolist(), strict=True)):
@@ -343,22 +368,26 @@ def _remove(n_shards: int, keep_text: bool):
 OUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 
-def remove_repeats(documents: DataFrame, keep_text: bool = True, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(documents: DataFrame, keep_text: bool = True, group_bytes: int | None = None, shard_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, if keep_text) of each row of documents.
 
     Every byte is removed that a string of LENGTH bytes covers which also starts in a document of a smaller doc_id. Texts are taken whole, as UTF-8
-    bytes; a null text is empty; rows of one doc_id never match each other; a null doc_id counts as the largest; other columns are
-    ignored. A run that many documents hold travels once for each group, not once for each document.
+    bytes; a null text is empty; rows of one doc_id never match each other; a null doc_id counts as the largest; an empty table gives one; other columns
+    are ignored, whatever their names. A run that many documents hold travels once for each group, not once for each document.
+
+    Groups and shards exchange a block for each two that have an anchor in common: never more blocks than anchors, and the fewer the larger the groups, which
+    grow with the input (group_bytes, by default a 2000th of it between GROUP_BYTES and MOST_GROUP_BYTES).
     """
     rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     total = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = blocks_for(total, group_bytes)
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.octet_length("data")), F.lit(n)).cast("int"))
+    n_groups = blocks_for(total, group_bytes or min(MOST_GROUP_BYTES, max(GROUP_BYTES, total // 2000)))
+    n = blocks_for(total, shard_bytes)
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.octet_length("data")), F.lit(n_groups)).cast("int"))
     groups = rows.groupBy("g")
     anchors = groups.applyInPandas(_anchors(n), "shard int, g int, keys binary, several binary")
-    held = anchors.groupBy("shard").applyInPandas(_shared, "g int, shard int, held binary")
+    held = anchors.groupBy("shard").applyInPandas(_shared, "g int, shard int, held binary, hot binary")
     runs = groups.cogroup(held.groupBy("g")).applyInPandas(_runs(n), "shard int, g int, keys binary, lengths binary, docs binary, contents binary")
     matched = runs.groupBy("shard").applyInPandas(_match, "g int, shard int, mixed binary, one binary, each binary")
-    found = held.join(matched, ["g", "shard"], "left")
+    found = held.join(matched, ["g", "shard"], "full")  # hot suffixes go to shards that the group may have no anchor in
     out = groups.cogroup(found.groupBy("g")).applyInPandas(_remove(n, keep_text), "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))

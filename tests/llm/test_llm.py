@@ -39,25 +39,44 @@ def brute_repeats(texts, n=50):
     return out
 
 
-def test_repeats_are_brute_force(spark):
+def test_repeats_are_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     words = ["alpha", "beta", "gämma", "δelta", "no", "of"]
     make = lambda n: " ".join(rng.choice(words) for _ in range(n))
     shared, base = make(40), make(120)
     texts = [*ODD, (6, "x" * 5001), (7, base), (8, base), (9, base[:200] + "!" + base[200:]), (10, make(30) + shared + make(9)), (11, shared + make(60)), (12, "ab" * 90), (13, "ab" * 60), (14, make(5) + base[50:99]), (15, make(5) + base[50:100])]
-    got = {r["doc_id"]: r for r in repeats.remove_repeats(docs(spark, texts), group_bytes=2000).collect()}
-    for i, (left, n, spans) in brute_repeats(texts).items():
-        assert (bytes(got[i]["kept"]), got[i]["n_removed"], got[i]["n_spans"]) == (left, n, spans), i
+    def same(**options):
+        got = {r["doc_id"]: r for r in repeats.remove_repeats(docs(spark, texts), **options).collect()}
+        for i, (left, n, spans) in brute_repeats(texts).items():
+            assert (bytes(got[i]["kept"]), got[i]["n_removed"], got[i]["n_spans"]) == (left, n, spans), i
+
+    same(group_bytes=2000, shard_bytes=2000)
+    monkeypatch.setattr(repeats, "HOT_GROUPS", 2)
+    monkeypatch.setattr(repeats, "BATCH", 3)
+    monkeypatch.setattr(repeats, "STEP_BYTES", 700)
+    same(group_bytes=1000, shard_bytes=3000)
     assert repeats.remove_repeats(docs(spark, texts).limit(0)).count() == 0
 
 
-def test_suffix_family_merges_geometrically():
-    family, rng = repeats.SuffixFamily(), np.random.default_rng(0)
-    for _ in range(16):
-        data = [rng.integers(97, 123, 60, dtype=np.uint8).tobytes() for _ in range(4)]
-        family.add(repeats.suffixes(data), np.arange(44))
-    sizes = [len(a) for a, _ in family.levels]
-    assert len(sizes) <= 5 and sizes == sorted(sizes, reverse=True)
+def test_repeats_of_repeated_and_null_ids(spark):
+    long = "the same fifty bytes and some more of them, again and again and again"
+    rows = docs(spark, [(5, long), (5, long), (None, long), (None, long), (7, "x" + long), (8, None)]).withColumns({"g": F.lit(1), "data": F.lit(2), "kept": F.lit(3)})
+    got = Counter((r["doc_id"], r["n_removed"]) for r in repeats.remove_repeats(rows).collect())
+    assert got == Counter([(5, 0), (5, 0), (None, len(long)), (None, len(long)), (7, len(long)), (8, 0)])
+
+
+def test_suffix_family_is_batch_by_batch_brute_force():
+    family, rng, seen = repeats.SuffixFamily(), np.random.default_rng(0), {}
+    for batch in range(40):
+        data = [rng.integers(97, 99, 54, dtype=np.uint8).tobytes() for _ in range(30)]
+        suffix = np.array([d[i : i + 50] for d in data for i in range(5)], "S50")
+        docs_ = np.sort(rng.integers(100 * batch, 100 * batch + 120, len(suffix)))
+        for x, d in zip(suffix.tolist(), docs_.tolist(), strict=True):
+            seen[x] = min(d, seen.get(x, d))
+        assert family.add(suffix, docs_).tolist() == [seen[x] for x in suffix.tolist()]
+        sizes = [len(a) for a, _ in family.levels]
+        assert len(sizes) <= 8 and sizes == sorted(sizes, reverse=True) and sum(sizes) == len(seen)
+        assert all((a[1:] > a[:-1]).all() for a, _ in family.levels)
 
 
 # ---- op2

@@ -1,8 +1,9 @@
 """WARC archives: writing, and normalising a monolithic gzip file to one member per record with an offset index.
 
-An archive is a table of chunks (archive, seq, data): the bytes of one file in order, none longer than CHUNK, so that
+An archive is a table of chunks (archive, seq, data): the bytes of one file in order, each of CHUNK bytes but the last, so that
 any store that Spark reaches holds it and no task needs a whole file. export_archives writes plain files from it where a
-folder is mounted.
+folder is mounted. The normaliser gives the new file's chunks and, as its sidecar, where each record's member lies; a record is read back through
+the sidecar alone: its archive, offset and length.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ import base64
 import hashlib
 import os
 import zlib
+from collections import deque
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,14 +22,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import blocks_for, stored
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Payload bytes of an archive, about.
 ARCHIVE_BYTES = 4 << 20
 #: Of zlib: fast; an archive's size is of less weight than the time to write it twice.
 LEVEL = 1
+#: Bytes that a task gets, about, and parts that the pages of one payload are dealt to before they are joined.
+TASK_BYTES, SALTS = 16 << 20, 32
 GZIP = 16 + zlib.MAX_WBITS
 DATE = "1970-01-01T00:00:00Z"
 CHUNKS = "archive int, seq long, data binary"
+RECORDS = "page_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string, payload binary"
+#: A header that says that the target is percent-encoded, because its characters don't fit a header line.
+ENCODED = "X-Target-URI-Encoding"
 INDEX = "archive int, ordinal long, offset long, length long, record_id string, record_type string, target string"
 
 
@@ -34,11 +42,13 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, n_bytes: int, refers_to: int | None) -> bytes:
+def record(page_id: str, url: str, payload: bytes, digest: str, n_bytes: int, refers_to: str | None) -> bytes:
     """One WARC/1.1 record. A revisit has no payload; its digest and length are those of the full payload."""
+    plain = all("!" <= c <= "~" for c in url)
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", DATE),
-        ("WARC-Target-URI", "".join(url.split())), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(n_bytes)),
+        ("WARC-Target-URI", url if plain else quote(url, safe=":/?#[]@!$&'()*+,;=", errors="surrogatepass")), *([] if plain else [(ENCODED, "percent")]),
+        ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(n_bytes)),
     ]
     if refers_to is not None:
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
@@ -126,10 +136,17 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
 
 
 def _write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Chunks of each archive. What a page's payload revisits comes before the page, as a row of its own."""
+
     def deflated(rows: Iterator[tuple]) -> Iterator[bytes]:
         packer = zlib.compressobj(LEVEL, wbits=GZIP)
-        for _, page_id, url, payload, digest, n_bytes, refers_to in rows:
-            yield packer.compress(record(int(page_id), url, payload or b"", base64.b32encode(bytes.fromhex(digest)).decode(), n_bytes, None if refers_to is None else int(refers_to)))
+        told, refers_to = None, None
+        for _, name, digest, n_bytes, is_page, url, payload, first in rows:
+            if not is_page:
+                told, refers_to = (name, digest, n_bytes), first
+                continue
+            known = refers_to if told == (name, digest, n_bytes) else None
+            yield packer.compress(record(name, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), n_bytes, known))
         yield packer.flush()
 
     return _frames((x for archive, rows in _by_archive(_rows(batches)) for x in _chunks(archive, deflated(rows))), CHUNKS)
@@ -168,30 +185,58 @@ def members(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
 
 
 def _normalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members, and the index's columns beside each: one pass makes the new file and its sidecar."""
+    """The new file's chunks, and among them the sidecar's rows: one pass makes both."""
 
     def rows() -> Iterator[tuple]:
         for archive, chunks in _by_archive(_rows(batches)):
-            offset = 0
+            offset, held, seq = 0, bytearray(), 0
             for ordinal, (one, member) in enumerate(members(x[2] for x in chunks)):
                 fields, _ = parse_record(one[: one.find(b"\r\n\r\n") + 4])
-                yield archive, ordinal, offset, len(member), fields["warc-record-id"], fields["warc-type"], fields.get("warc-target-uri", ""), member
+                yield archive, None, None, ordinal, offset, len(member), fields["warc-record-id"], fields["warc-type"], fields.get("warc-target-uri", "")
                 offset += len(member)
+                held += member
+                while len(held) >= CHUNK:
+                    yield archive, seq, bytes(held[:CHUNK]), *[None] * 6
+                    del held[:CHUNK]
+                    seq += 1
+            if held or not seq:
+                yield archive, seq, bytes(held), *[None] * 6
+
+    return (pdf.astype({c: "Int64" for c in ("seq", "ordinal", "offset", "length")}) for pdf in _frames(rows(), NORMAL))
+
+
+NORMAL = CHUNKS + INDEX.removeprefix("archive int")
+
 
-    return _frames(rows(), INDEX + ", member binary")
+def _cut(rows: Iterator[tuple]) -> Iterator[bytes]:
+    """The members of an archive: rows are its chunks (at, None, data) and the sidecar's entries (offset, length, None), in order."""
+    base, held, waiting = 0, b"", deque()
+    for at, length, data in rows:
+        if data is None:
+            waiting.append((int(at), int(length)))
+        else:
+            keep = waiting[0][0] if waiting else int(at)  # what lies before is of no more use
+            held, base = held[keep - base :] + data, keep
+        while waiting and waiting[0][0] + waiting[0][1] <= base + len(held):
+            offset, size = waiting.popleft()
+            yield held[offset - base : offset - base + size]
+    if waiting:
+        raise EOFError("the sidecar names bytes that its file doesn't have")
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def rows() -> Iterator[tuple]:
-        for (member,) in _rows(batches):
+        for member in (m for _, own in _by_archive(_rows(batches)) for m in _cut(x[1:] for x in own)):
             fields, body = parse_record(b"".join(inflated(iter((member,)))))
-            kind, said = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
+            kind, said, name = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-record-id"]
             if kind == "response" and (len(body) != int(fields["x-payload-length"]) or payload_digest(body) != said):
-                raise ValueError(f"payload of {fields['warc-record-id']} differs from its digest")
-            refers = fields.get("warc-refers-to")
-            yield fields["warc-record-id"][len("<urn:page:") : -1], fields.get("warc-target-uri", ""), kind, said, int(fields["x-payload-length"]), refers and refers[len("<urn:page:") : -1], body
+                raise ValueError(f"payload of {name} differs from its digest")
+            url, refers = fields.get("warc-target-uri", ""), fields.get("warc-refers-to")
+            if fields.get(ENCODED.lower()) == "percent":
+                url = unquote(url, errors="surrogatepass")
+            yield name[len("<urn:page:") : -1], url, kind, said, int(fields["x-payload-length"]), refers and refers[len("<urn:page:") : -1], body
 
-    return _frames(rows(), "page_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string, payload binary")
+    return _frames(rows(), RECORDS)
 
 
 def write_archives(pages: DataFrame, payload: Column | None = None, min_revisit_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -199,50 +244,56 @@ def write_archives(pages: DataFrame, payload: Column | None = None, min_revisit_
 
     Among records with equal payloads of at least min_revisit_bytes, that with the largest page_id is the response and the
     others revisit it; smaller payloads are all responses. A null html is an empty payload, a null url an empty one. Rows
-    that repeat a page_id with an equal payload each get a record, all of one type. A null page_id counts as -1 and is read back
-    as -1. Other columns are ignored. The group of a payload is reduced by its SHA-1 and length before
-    anything is joined; the join then deals the pages by both, so the pages of a frequent payload meet in one partition unless
-    adaptive execution splits it.
+    that repeat a page_id with an equal payload each get a record, all of one type. A null page_id is smaller than any and is read back as null; rows of equal
+    payloads that all have none are responses. An empty table gives no archive. Other columns are ignored, whatever their names. What refers to what is
+    worked out on ids and digests alone; the payloads are shuffled once, to their archives.
     """
     body = payload if payload is not None else F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), body.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long")})
-    keys = ["digest", "n_bytes"]
-    sizes = rows.groupBy(*keys).agg(F.max("page_id").alias("first"), F.count("*").alias("copies"))
-    shared = sizes.filter((F.col("copies") > 1) & (F.col("n_bytes") >= min_revisit_bytes)).drop("copies")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), body.alias("payload"))
+    rows = rows.withColumns({"digest": F.sha1("payload"), "n_bytes": F.octet_length("payload").cast("long"), "name": F.coalesce(F.col("page_id").cast("string"), F.lit("null"))})
     total = rows.agg(F.coalesce(F.sum(F.col("n_bytes") + 400), F.lit(0))).first()[0]
-    rows = rows.join(shared, keys, "left")
-    rows = rows.withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first").cast("string")))
-    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
-    rows = rows.withColumn("archive", F.pmod(F.xxhash64("page_id"), F.lit(blocks_for(total, archive_bytes))).cast("int"))
-    dealt = rows.repartition("archive").sortWithinPartitions("archive", "page_id", "url")
-    return dealt.select("archive", F.col("page_id").cast("string"), "url", "payload", "digest", "n_bytes", "refers_to").mapInPandas(_write, CHUNKS)
+    n = blocks_for(total, TASK_BYTES)
+    rows = rows.withColumn("archive", F.pmod(F.xxhash64("name"), F.lit(blocks_for(total, archive_bytes))).cast("int"))
+    ids = rows.filter(F.col("n_bytes") >= min_revisit_bytes).select("page_id", "digest", "n_bytes", "name", "archive", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int").alias("part"))
+    sizes = ids.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("copies"))
+    shared = sizes.filter(F.col("copies") > 1).drop("copies").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    revisits = ids.join(shared, ["digest", "n_bytes", "part"]).filter(~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = revisits.select("archive", "name", "digest", "n_bytes", F.col("first").cast("string").alias("refers_to")).distinct()
+    pages_of = rows.select("archive", "name", "digest", "n_bytes", F.lit(True).alias("is_page"), "url", "payload", F.lit(None).cast("string").alias("refers_to"))
+    told = revisits.select("archive", "name", "digest", "n_bytes", F.lit(False), F.lit(""), F.lit(None).cast("binary"), "refers_to")
+    dealt = pages_of.union(told).repartition(n, "archive").sortWithinPartitions("archive", "name", "digest", "n_bytes", "is_page", "url")
+    return dealt.mapInPandas(_write, CHUNKS)
 
 
-def normalise_archives(chunks: DataFrame) -> DataFrame:
-    """The members of each archive with their index: archive, ordinal, offset, length, record_id, record_type, target, member.
-
-    Every archive is inflated once, as a stream of its chunks in order, and each record is deflated as a member of its own.
-    offset_index and archive_chunks give the sidecar and the new file's bytes.
-    """
-    dealt = chunks.select("archive", "seq", "data").repartition("archive").sortWithinPartitions("archive", "seq")
-    return dealt.mapInPandas(_normalise, INDEX + ", member binary")
+def _in_order(chunks: DataFrame) -> DataFrame:
+    return chunks.select("archive", "seq", "data").repartition("archive").sortWithinPartitions("archive", "seq")
 
 
-def offset_index(normalised: DataFrame) -> DataFrame:
-    """The sidecar: where each record's member lies in its archive."""
-    return normalised.drop("member")
+def normalise_archives(chunks: DataFrame, in_order: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The normalised files as chunks, and their sidecar: archive, ordinal, offset, length, record_id, record_type, target of each record.
 
+    Every archive is inflated once, as a stream of its chunks in order, and each record is deflated as a member of its own; both results are written to the
+    shared folder by that pass. in_order: chunks come from write_archives, which leaves an archive's chunks in one partition, in order, and
+    need no shuffle. A cut or damaged archive raises.
+    """
+    dealt = chunks if in_order else _in_order(chunks)
+    both = stored(dealt.mapInPandas(_normalise, NORMAL), "normalised", compression="uncompressed")
+    index = both.filter(F.col("seq").isNull()).select([c.split()[0] for c in INDEX.split(", ")])
+    return both.filter(F.col("seq").isNotNull()).select("archive", "seq", "data"), index
 
-def archive_chunks(normalised: DataFrame) -> DataFrame:
-    """The normalised files as chunks; a chunk is a member, so that a reader can fetch a record by archive and ordinal."""
-    return normalised.select("archive", F.col("ordinal").alias("seq"), F.col("member").alias("data"))
 
+def read_records(chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload of each record that the sidecar names.
 
-def read_records(normalised: DataFrame) -> DataFrame:
-    """page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload read from the members; a payload that differs from its digest raises."""
-    read = normalised.select("member").mapInPandas(_read, "page_id string, url string, record_type string, payload_digest string, payload_bytes long, refers_to string, payload binary")
-    return read.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
+    A member is cut out of its archive by offset and length. Bytes that aren't one member, or a payload that differs from its digest, raise.
+    """
+    n = blocks_for(index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0], TASK_BYTES)
+    bytes_of = chunks.select("archive", (F.col("seq") * CHUNK).alias("at"), F.lit(None).cast("long").alias("length"), "data")
+    told = index.select("archive", "offset", "length", F.lit(None).cast("binary"))
+    dealt = bytes_of.union(told).repartition(n, "archive").sortWithinPartitions("archive", "at", F.col("length").asc_nulls_first())
+    read = dealt.mapInPandas(_read, RECORDS)
+    number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast("long")
+    return read.withColumns({c: number(c) for c in ("page_id", "refers_to")})
 
 
 def export_archives(chunks: DataFrame, folder: str) -> DataFrame:
@@ -259,11 +310,9 @@ def export_archives(chunks: DataFrame, folder: str) -> DataFrame:
 
         return _frames(rows(), "archive int, path string, n_bytes long")
 
-    dealt = chunks.select("archive", "seq", "data").repartition("archive").sortWithinPartitions("archive", "seq")
-    return dealt.mapInPandas(run, "archive int, path string, n_bytes long")
+    return _in_order(chunks).mapInPandas(run, "archive int, path string, n_bytes long")
 
 
 def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Writes pages as monolithic gzip archives, normalises them to members with an index, and reads every record back."""
-    written = stored(write_archives(pages, min_revisit_bytes=min_revisit_bytes), "archives", compression="uncompressed")
-    return read_records(normalise_archives(written))
+    """Writes pages as monolithic gzip archives, normalises them, and reads every record back from the normalised files through the sidecar."""
+    return read_records(*normalise_archives(write_archives(pages, min_revisit_bytes=min_revisit_bytes), in_order=True))

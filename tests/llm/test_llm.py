@@ -343,10 +343,38 @@ def test_warc_round_trip(spark):
     got = {r["page_id"]: r for r in warc.archive_round_trip(df).collect()}
     assert got[1]["record_type"] == "revisit" and got[1]["refers_to"] == 2 and got[2]["record_type"] == "response" and got[3]["refers_to"] == 4
     assert bytes(got[5]["payload"]).decode() == "é" * 300000 and got[5]["payload_bytes"] == 600000 and len(got) == 6
-    normal = warc.normalise_archives(warc.write_archives(df)).collect()
-    assert all(r["length"] == len(r["member"]) for r in normal)
+    assert got[4]["url"] == "http://d/ \r\n x" and got[6]["url"] == "http://f/"
+
+
+def test_warc_sidecar_is_what_is_read(spark):
+    import gzip
+
+    rows = [(i, f"http://a/{i}%20é", f"<p>{i % 50}</p>" * (1 + 40000 * (i == 7))) for i in range(120)]
+    chunks, index = warc.normalise_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), archive_bytes=9000))
+    files = {}
+    for r in sorted(chunks.collect(), key=lambda r: (r["archive"], r["seq"])):
+        files[r["archive"]] = files.get(r["archive"], b"") + bytes(r["data"])
+    told = sorted(index.collect(), key=lambda r: (r["archive"], r["offset"]))
+    assert len(files) > 3 and len(told) == 120 and sum(r["length"] for r in told) == sum(map(len, files.values()))
+    for r in told:
+        fields, _ = warc.parse_record(gzip.decompress(files[r["archive"]][r["offset"] : r["offset"] + r["length"]]))
+        assert (fields["warc-record-id"], fields["warc-type"], fields["warc-target-uri"]) == (r["record_id"], r["record_type"], r["target"])
+    assert {(r["page_id"], r["url"]) for r in warc.read_records(chunks, index).collect()} == {r[:2] for r in rows}
+    wrong = index.withColumn("offset", F.when(F.col("record_id") == "<urn:page:7>", F.col("offset") + 1).otherwise(F.col("offset")))
+    with pytest.raises(Exception, match="(?i)error"):
+        warc.read_records(chunks, wrong).collect()
     with pytest.raises(EOFError):
-        list(warc.inflated(iter([bytes(normal[0]["member"])[:-9]])))
+        list(warc.inflated(iter([files[told[0]["archive"]][:-9]])))
+
+
+def test_warc_odd_rows(spark):
+    rows = [(None, "u", "x"), (None, "u", "x"), (-1, None, "x"), (5, "v", "x"), (5, "v", "x"), (None, "w", "lone"), (None, "w", "lone"), (6, "", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"payload": F.lit(1), "archive": F.lit(2), "digest": F.lit(3)})
+    got = Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(df).collect())
+    assert got == Counter([(None, "u", "revisit", 5)] * 2 + [(-1, "", "revisit", 5)] + [(5, "v", "response", None)] * 2 + [(None, "w", "response", None)] * 2 + [(6, "", "response", None)])
+    small = Counter(r["record_type"] for r in warc.archive_round_trip(df, min_revisit_bytes=2).collect())
+    assert small == Counter(response=8)
+    assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
 # ---- pipeline

@@ -186,7 +186,11 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     hot = every[first[times >= HOT_GROUPS]]
 
     def among(b: np.ndarray, known: np.ndarray) -> bytes:
-        return np.packbits(np.isin(b, known)).tobytes()
+        if not len(known):
+            return np.packbits(np.zeros(len(b), bool)).tobytes()
+        at = np.searchsorted(known, b)
+        at[at == len(known)] = 0
+        return np.packbits(known[at] == b).tobytes()
 
     return pd.DataFrame({"g": pdf["g"], "shard": pdf["shard"], "held": [among(b, twice) for b in blocks], "hot": [among(b, hot) for b in blocks]})
 

@@ -220,8 +220,8 @@ def prefer_first(df: DataFrame, key: str, preference: str, order: list, *ties: s
 
 
 def cap_per_key(df: DataFrame, keys: list[str], k: int, seed: int, *ids: str) -> DataFrame:
-    """At most k rows of a key, chosen by a seeded hash."""
-    order = F.xxhash64(F.lit(seed), *[F.col(c) for c in ids])
+    """At most k rows of a key, chosen by the md5 of a seed and their ids, which other engines have too."""
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids]))
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ids))).filter(F.col("_r") <= k).drop("_r")
 
 

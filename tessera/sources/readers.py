@@ -51,10 +51,10 @@ def read_embeddings_with_coords(spark: SparkSession, path: str, model: str, corr
 
 
 def read_boundaries(spark: SparkSession, path: str, wsi: str, kind: str, format: str = "parquet") -> DataFrame:
-    """wsi, cell_id, kind, seq, vertex_x, vertex_y; columns are found by their names, ids become text, seq is the file's order."""
+    """wsi, cell_id, kind, seq, vertex_x, vertex_y; columns are found by their names, ids become text. seq orders rows as they stand in their files (file, part of it, row), however Spark deals them."""
     df = spark.read.parquet(path) if format == "parquet" else spark.read.csv(path, header=True)
     x, y, cell = resolve_column(df.columns, "vertex_x"), resolve_column(df.columns, "vertex_y"), resolve_column(df.columns, "cell_id", "nucleus_id", "id")
-    return df.select(F.lit(wsi).alias("wsi"), F.col(cell).cast("string").alias("cell_id"), F.lit(kind).alias("kind"), F.monotonically_increasing_id().alias("seq"), F.col(x).cast("double").alias("vertex_x"), F.col(y).cast("double").alias("vertex_y"))
+    return df.select(F.lit(wsi).alias("wsi"), F.col(cell).cast("string").alias("cell_id"), F.lit(kind).alias("kind"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row")).alias("seq"), F.col(x).cast("double").alias("vertex_x"), F.col(y).cast("double").alias("vertex_y"))
 
 
 def read_alignment(spark: SparkSession, path: str, wsi: str) -> DataFrame:

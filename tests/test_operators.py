@@ -169,3 +169,26 @@ def test_no_nested_loops_in_spatial_plans(spark, cells):
     for df in (space.window_join(cells, cells, 224), space.radius_join(cells, cells, 50)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_boundary_tokens_fall_back(spark):
+    from tessera.operators import readouts
+
+    ring = lambda x, y: [(x, y), (x + 2.0, y), (x + 2.0, y + 2.0), (x, y + 2.0)]
+    flat = [float(i) for i in range(8)]
+    rows = [(1, flat, ring(1.0, 1.0), 0.0, 0.0), (2, flat, ring(9.0, 1.0), 0.0, 0.0), (3, flat, ring(500.0, 500.0), 0.0, 0.0), (4, flat, None, 0.0, 0.0), (5, flat, ring(-50.0, 1.0), 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "k int, flat array<double>, ring array<struct<x:double,y:double>>, x0 double, y0 double")
+    got = {r["k"]: (r["pooled"], r["n_tokens"], r["source"]) for r in readouts.pool_boundary_tokens(df, ["k"], 10.0, 2, 2).collect()}
+    assert got == {1: ([0.0, 1.0], 1, "overlap"), 2: ([1.0, 2.0], 2, "overlap"), 3: ([6.0, 7.0], 0, "nearest"), 4: ([0.0, 0.0], 0, "missing"), 5: ([0.0, 1.0], 0, "nearest")}
+    rate = readouts.fallback_rate(readouts.pool_boundary_tokens(df, ["k"], 10.0, 2, 2)).first()
+    assert (rate["n"], rate["missing_share"], rate["nearest_share"]) == (5, 0.2, 0.4)
+
+
+def test_masking_divergence_interval(spark):
+    from tessera.operators import readouts, stats
+
+    rows = [(f"s{i % 4}", str(i), "only_a" if i % 3 == 0 else "both" if i % 3 == 1 else "neither") for i in range(60)]
+    aligned = spark.createDataFrame(rows, "wsi string, cell_id string, quadrant string")
+    divergence = spark.createDataFrame([(w, c, 5.0 if q == "only_a" else 1.0) for w, c, q in rows], "wsi string, cell_id string, divergence double")
+    found = readouts.masking_divergence_interval(aligned, divergence, stats.bootstrap_draws(spark, ["s0", "s1", "s2", "s3"], 20)).first()
+    assert (found["n_a"], found["n_b"], found["median_diff"], found["ci_lo"], found["ci_hi"]) == (20, 20, 4.0, 4.0, 4.0)

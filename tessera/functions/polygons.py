@@ -49,15 +49,20 @@ def _crossing(p: np.ndarray) -> tuple[int, int, np.ndarray] | None:
     return None
 
 
-def repair(p: np.ndarray, depth: int = 0) -> list[np.ndarray]:
-    """Simple rings of a ring that may cross itself: it is cut at each crossing into two, and parts without area go."""
-    if len(p) < 3 or depth > 200:
-        return []
-    found = _crossing(p)
-    if found is None:
-        return [p] if abs(signed_area(p)) > 1e-9 else []
-    i, j, x = found
-    return repair(np.vstack([x, p[i + 1 : j + 1]]), depth + 1) + repair(np.vstack([p[: i + 1], x, p[j + 1 :]]), depth + 1)
+def repair(p: np.ndarray) -> list[np.ndarray]:
+    """Simple rings of a ring that may cross itself: it is cut at each crossing into two shorter ones, and parts without area go."""
+    open_rings, done = [p], []
+    while open_rings:
+        ring = open_rings.pop()
+        if len(ring) < 3:
+            continue
+        found = _crossing(ring)
+        if found is None:
+            done += [ring] if abs(signed_area(ring)) > 1e-9 else []
+            continue
+        i, j, x = found
+        open_rings += [np.vstack([ring[: i + 1], x, ring[j + 1 :]]), np.vstack([x, ring[i + 1 : j + 1]])]
+    return done
 
 
 def convex_hull(p: np.ndarray) -> np.ndarray:

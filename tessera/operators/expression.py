@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,25 +78,27 @@ def _loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
 def rank_hvgs(expression: DataFrame, cells: DataFrame, n_top: int, batch: str = "wsi") -> DataFrame:
     """gene, n_batches, median_rank, highly_variable_rank: genes by the clipped variance of counts standardised with a fitted trend.
 
-    For each batch: moments of counts over all its cells, a local fit of log10 variance on log10 mean (over genes, at the driver: a row per gene and batch of a panel), counts standardised and
-    clipped at the root of the cells, their variance ranked. A gene's batches are those where it ranks below n_top; genes are ordered by
+    For each batch: moments of counts over all its cells, a local fit of log10 variance on log10 mean (over the genes of the batch's panel, in one task a batch), counts
+    standardised and clipped at the root of the cells, their variance ranked. A gene's batches are those where it ranks below n_top; genes are ordered by
     median rank over these, more batches first on ties.
     """
     n = cells.groupBy(batch).agg(F.count("*").alias("_n"))
     sums = expression.groupBy(batch, "gene").agg(F.sum("count").cast("double").alias("_s"), F.sum(F.col("count").cast("double") * F.col("count")).alias("_q")).join(n, batch)
-    table = sums.toPandas()  # genes of a panel x batches
-    table["mean"] = table["_s"] / table["_n"]
-    table["var"] = (table["_q"] - table["_n"] * table["mean"] ** 2) / (table["_n"] - 1).clip(lower=1)
-    table["std"] = 1.0
-    for _, rows in table.groupby(batch):
-        some = rows[rows["var"] > 0]
+    mean = F.col("_s") / F.col("_n")
+    var = (F.col("_q") - F.col("_n") * mean * mean) / F.greatest(F.col("_n") - 1, F.lit(1))
+    moments = sums.select(batch, "gene", mean.alias("mean"), var.alias("var"), "_n")
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, some = rows.assign(std=1.0), rows[rows["var"] > 0]
         if len(some) >= 4:
             fit = _loess(np.log10(some["mean"].to_numpy()), np.log10(some["var"].to_numpy()))
-            table.loc[some.index, "std"] = np.sqrt(10**fit)
+            rows.loc[some.index, "std"] = np.sqrt(10**fit)
         elif len(some):
-            table.loc[some.index, "std"] = np.sqrt(some["var"])
-    spark = expression.sparkSession
-    trend = spark.createDataFrame(table[[batch, "gene", "mean", "std", "_n"]])
+            rows.loc[some.index, "std"] = np.sqrt(some["var"])
+        return rows[[batch, "gene", "mean", "std", "_n"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in moments.schema.fields}
+    trend = moments.groupBy(batch).applyInPandas(fitted, f"{batch} {kinds[batch]}, gene {kinds['gene']}, mean double, std double, _n long")
     return ranked_variances(expression, trend, n_top, batch)
 
 

@@ -21,7 +21,16 @@ MAX_DIM = 4096
 
 
 def gram(df: DataFrame, x: str = "x", y: str = "y") -> dict[str, np.ndarray]:
-    """n, sums of x and y, X'X and X'Y in one pass: partial sums of each partition, added up in a second level before the driver gets them."""
+    """n, sums of x and y, X'X and X'Y in one pass: each partition's sums leave it row by row, and a row of the matrix is added up in one stream.
+
+    At most MAX_DIM components, so that the matrix fits the driver.
+    """
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+    some = known.first()
+    if some is None:
+        raise ValueError("no rows to fit")
+    if (d := len(some[0])) > MAX_DIM:
+        raise ValueError(f"{d} components; at most {MAX_DIM}: reduce them first")
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -29,24 +38,19 @@ def gram(df: DataFrame, x: str = "x", y: str = "y") -> dict[str, np.ndarray]:
             if len(pdf):
                 a = np.column_stack([np.ones(len(pdf)), np.stack(pdf[x].to_numpy()).astype(float), np.stack(pdf[y].to_numpy()).astype(float)])
                 total = a.T @ a if total is None else total + a.T @ a
-        if total is not None:
-            yield pd.DataFrame({"g": [int(rng.integers(0, 32))], "m": [total.ravel()]})
-
-    rng = np.random.default_rng()
-    parts = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y).mapInPandas(partial, "g int, m array<double>")
+        for at in range(0, 0 if total is None else len(total), 256):
+            yield pd.DataFrame({"i": range(at, min(at + 256, len(total))), "row": list(total[at : at + 256])})
 
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"m": [np.sum(np.stack(pdf["m"].to_numpy()), axis=0)]})
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for i, row in zip(pdf["i"], pdf["row"], strict=True):
+                sums[i] = sums[i] + row if i in sums else np.array(row)
+        yield pd.DataFrame({"i": list(sums), "row": list(sums.values())})
 
-    rows = parts.groupBy("g").applyInPandas(added, "m array<double>").collect()
-    if not rows:
-        raise ValueError("no rows to fit")
-    m = np.sum([np.array(r["m"]) for r in rows], axis=0)
-    size = int(round(len(m) ** 0.5))
-    m = m.reshape(size, size)
-    d = len(df.select(x).filter(F.col(x).isNotNull()).first()[0])
-    if d > MAX_DIM:
-        raise ValueError(f"{d} components; at most {MAX_DIM}: reduce them first")
+    form = "i int, row array<double>"
+    rows = known.mapInPandas(partial, form).repartition("i").mapInPandas(added, form).collect()
+    m = np.stack([r["row"] for r in sorted(rows, key=lambda r: r["i"])])
     return {"n": m[0, 0], "sx": m[0, 1 : d + 1], "sy": m[0, d + 1 :], "xx": m[1 : d + 1, 1 : d + 1], "xy": m[1 : d + 1, d + 1 :]}
 
 

@@ -130,7 +130,7 @@ def f5_crop_specs(spark, sf_dir):
 
 # ---- scalars, rings and joins
 
-@query("""SELECT o_orderkey, greatest(0, least(o_custkey - 112, 5000 - 224)) AS p3, round((o_orderkey % 10) / 10.0 - 0.5 * greatest(0.0, least(1.0, (o_custkey % 170) / 100.0)) - 0.5 * least((o_orderkey % 7) / 7.0, (o_orderkey % 5) / 5.0) * greatest(0.0, least(1.0, (o_orderkey % 90) / 90.0)), 6) AS p16,
+@query("""SELECT o_orderkey, greatest(0, least(o_custkey - 112, 5000 - 224)) AS p3, round((o_orderkey % 10) / 10.0 - 0.5 * greatest(0.0, least(1.0, (o_custkey % 170) / 100.0)) - 0.5 * least((o_orderkey % 7) / 7.0, (o_orderkey % 5) / 5.0) * greatest(0.0, least(1.0, (o_orderkey % 90) / 90.0)), 6) + 0.0 AS p16,
 CAST(greatest(0, least(15, round_even((o_orderkey % 3000) * 0.01, 0))) AS INTEGER) AS p13, CASE WHEN o_orderkey % 3 = 0 THEN 'pcc' ELSE 'pcc@' || (o_orderkey % 4) END AS p26,
 CASE WHEN o_orderkey % 4 = 0 THEN 'default' WHEN o_orderkey % 4 = 1 THEN 'cls' ELSE 'cls_top_left' END AS p24, CASE WHEN o_orderkey % 9 + o_custkey % 3 = 0 THEN 'missing' WHEN o_custkey % 3 = 8 THEN 'skipped' WHEN o_orderkey % 9 + o_custkey % 3 < 8 THEN 'partial' ELSE 'done' END AS p25,
 round((o_custkey % 13) / nullif(o_orderkey % 6, 0), 6) AS p27, CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey % 100) * (o_orderkey % 50) * 3 ELSE (o_custkey % 100) * 7 * 2 END AS p31, CAST(least(abs(o_orderkey % 360 - o_custkey % 180) % 180, 180 - abs(o_orderkey % 360 - o_custkey % 180) % 180) AS DOUBLE) AS p17 FROM orders""")
@@ -140,7 +140,7 @@ def p_scalars_more(spark, sf_dir):
     even = key % 2 == 0
     return d.table(spark, sf_dir, "orders").select(
         "o_orderkey", scalars.fixed_crop_origin(cust, 224, 5000).alias("p3"),
-        r6(scalars.penalty_score((key % 10) / 10.0, (cust % 170).cast("double"), (key % 90).cast("double"), (key % 7) / 7.0, (key % 5) / 5.0)).alias("p16"),
+        (r6(scalars.penalty_score((key % 10) / 10.0, (cust % 170).cast("double"), (key % 90).cast("double"), (key % 7) / 7.0, (key % 5) / 5.0)) + 0.0).alias("p16"),
         scalars.relative_position((key % 3000).cast("double"), 0.01, 16).alias("p13"), scalars.probe_key(F.lit("pcc"), F.when(key % 3 != 0, key % 4)).alias("p26"),
         scalars.tokens_segment(keys).alias("p24"), scalars.completeness(key % 9, cust % 3, 8).alias("p25"), r6(scalars.tissue_fraction(cust % 13, key % 6)).alias("p27"),
         scalars.image_bytes(F.when(even, cust % 100), F.when(even, key % 50), F.concat_ws(",", (cust % 100).cast("string"), F.lit("7"), F.lit("2"))).alias("p31"),

@@ -1,21 +1,24 @@
 """Toxicity scores by a weighted finite-state grammar over clauses.
 
-Small transducers read the words of a clause in order and are composed into one machine: the insult lexicon writes
-a weight, a threat waits for its target, a target (a pronoun or name that is addressed) strengthens an insult beside it,
-a negation weakens what follows it in the clause, and reported speech weakens the whole rest of the clause.
-A document's features are the scores of its matched clauses; a logistic curve turns them into a probability.
+Five transducers read the words of a clause in order, each its own symbols: the insult lexicon writes a word's weight, a threat waits for
+its target and writes then, a target (a pronoun or name that is addressed) strengthens an insult beside it, a negation weakens what follows
+it in the clause, and reported speech weakens the whole rest of the clause. They are tables; compose makes one machine of them, whose states and symbols are
+tuples of theirs. A document's features are the scores of its matched clauses; a logistic curve turns them into a probability.
 
 The insult lexicon and the curve are learned from labelled rows. A word's weight is the log-odds of the most specific
 form of it (the word, else its first 7, 6, 5 or 4 letters) that the labelled texts hold often enough, if it stands out
-from chance over all forms tried; so inflected and unseen words of a known stem count.
+from chance over all forms tried; so inflected and unseen words of a known stem count. The words that threaten, address, negate and report are closed
+classes of the documents' languages (English, German, French, Spanish) and are fixed.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,31 +46,108 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 
 
-def clause_score(tokens: Iterable[tuple[str, float]]) -> float:
-    """What the composed machine writes for a clause, given its words with their insult weights.
-
-    The state is (words that a negation still reaches, words that a threat still waits, whether speech is reported,
-    whether the word before was a target, the last insult's weight if a target may still strengthen it).
-    """
-    total, negated, waiting, reported, target, insult = 0.0, 0, 0, False, False, 0.0
-    for word, weight in tokens:
-        scale = (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-        if word in TARGETS:
-            total += scale * (THREAT_WEIGHT if waiting else 0.0) + (TARGET_GAIN - 1) * insult
-            waiting, insult, target = 0, 0.0, True
-            negated = max(0, negated - 1)
-            continue
-        if weight > 0:
-            insult = weight * scale
-            total += insult * (TARGET_GAIN if target else 1.0)
-            if target:
-                insult = 0.0
-        else:
-            insult = 0.0
-        waiting = REACH if word in THREATS else max(0, waiting - 1)
-        negated = REACH if word in NEGATIONS else max(0, negated - 1)
-        reported |= word in REPORTS
-        target = False
+@dataclass(frozen=True)
+class Write:
+    """What a transition writes: times on the word's own weight, times on all that the word writes, a weight of its own, and a share of the insult last written."""
+
+    own: float = 1.0
+    all: float = 1.0
+    plus: float = 0.0
+    last: float = 0.0
+
+    def __mul__(self, other: Write) -> Write:
+        return Write(self.own * other.own, self.all * other.all, self.plus + other.plus, self.last + other.last)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic weighted transducer: table[state, symbol] is (next state, what is written); state 0 begins a clause."""
+
+    table: dict[tuple, tuple[object, Write]]
+    start: object = 0
+
+
+PASS = Write()
+
+
+def _counting(begins: str, held: Write, ends: dict[str, Write] | None = None) -> dict[tuple, tuple[object, Write]]:
+    """A table that counts REACH words down after the symbol begins; held is written meanwhile, and symbols of ends write theirs and end it."""
+    ends = ends or {}
+    table: dict[tuple, tuple[object, Write]] = {}
+    for k in range(REACH + 1):
+        now = held if k else PASS
+        table[k, begins] = (REACH, now)
+        table[k, "other"] = (max(0, k - 1), now)
+        for symbol, write in ends.items():
+            table[k, symbol] = (0, write if k else PASS)
+    return table
+
+
+#: The five transducers and their tables.
+TRANSDUCERS = {
+    "insult": Transducer({(0, "insult"): (0, PASS), (0, "other"): (0, Write(own=0.0))}),
+    "negation": Transducer(_counting("negation", Write(all=NEGATED))),
+    "report": Transducer({(0, "report"): (1, PASS), (0, "other"): (0, PASS), (1, "report"): (1, Write(all=REPORTED)), (1, "other"): (1, Write(all=REPORTED))}),
+    "threat": Transducer(_counting("threat", PASS, {"target": Write(plus=THREAT_WEIGHT)})),
+    # after a target (1) an insult is strengthened; after an insult (2) a target strengthens what was written
+    "target": Transducer({
+        (0, "target"): (1, Write(own=0.0)), (0, "insult"): (2, PASS), (0, "other"): (0, PASS),
+        (1, "target"): (1, Write(own=0.0)), (1, "insult"): (0, Write(own=TARGET_GAIN)), (1, "other"): (0, PASS),
+        (2, "target"): (1, Write(own=0.0, last=TARGET_GAIN - 1)), (2, "insult"): (2, PASS), (2, "other"): (0, PASS),
+    }),
+}
+
+
+def symbols(word: str, weight: float) -> dict[str, str]:
+    """What each transducer reads for a word of an insult weight."""
+    addressed, insulting = word in TARGETS, weight > 0
+    return {
+        "insult": "insult" if insulting else "other", "negation": "negation" if word in NEGATIONS else "other", "report": "report" if word in REPORTS else "other",
+        "threat": "target" if addressed else "threat" if word in THREATS else "other", "target": "target" if addressed else "insult" if insulting else "other",
+    }
+
+
+def compose(machines: dict[str, Transducer]) -> Transducer:
+    """The machine that reads the symbols of all in step: its states and symbols are tuples, what it writes is the product."""
+    start = tuple(m.start for m in machines.values())
+    alphabets = [sorted({symbol for _, symbol in m.table}) for m in machines.values()]
+    table: dict[tuple, tuple[object, Write]] = {}
+    states, seen = [start], {start}
+    while states:
+        state = states.pop()
+        for read in itertools.product(*alphabets):
+            steps = [m.table[s, r] for m, s, r in zip(machines.values(), state, read, strict=True)]
+            write = PASS
+            for _, own in steps:
+                write = write * own
+            after = tuple(s for s, _ in steps)
+            table[state, read] = (after, write)
+            if after not in seen:
+                seen.add(after)
+                states.append(after)
+    return Transducer(table, start)
+
+
+@lru_cache(maxsize=8)
+def grammar(names: tuple[str, ...] = tuple(TRANSDUCERS)) -> Transducer:
+    return compose({n: TRANSDUCERS[n] for n in names})
+
+
+def clause_score(tokens: Iterable[tuple[str, float]], names: tuple[str, ...] = tuple(TRANSDUCERS)) -> float:
+    """What the composed machine writes for a clause, given its words with their insult weights."""
+    return _walk(((weight, tuple(symbols(word, weight)[n] for n in names)) for word, weight in tokens), grammar(names))
+
+
+def _walk(read: Iterable[tuple[float, tuple[str, ...]]], machine: Transducer) -> float:
+    table, state, total, last = machine.table, machine.start, 0.0, 0.0
+    for weight, symbol in read:
+        state, write = table[state, symbol]
+        if write.last:
+            total += write.last * last
+        if weight > 0 or write.plus:
+            written = write.all * write.own * weight
+            total += written + write.all * write.plus
+            last = written if weight > 0 else last
     return total
 
 
@@ -81,7 +161,6 @@ class Lexicon:
     """Insult weights by form; forms of weight 0 are known to be harmless."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    longest: int = 40
 
     def weight(self, word: str) -> float:
         for f in forms(word):
@@ -97,7 +176,7 @@ def learn_lexicon(texts: list[set[str]], toxic: np.ndarray) -> Lexicon:
     if not n1 or not n0:
         return Lexicon()
     # forms are counted by their hashes: there are millions, and few are held often enough to be kept as text
-    hashed = [np.unique(np.fromiter((hash(f) for w in own if len(w) <= 40 for f in forms(w)), np.int64)) for own in texts]
+    hashed = [np.unique(np.fromiter((hash(f) for w in own for f in forms(w)), np.int64)) for own in texts]
     keys, totals = np.unique(np.concatenate(hashed), return_counts=True)
     keys = keys[totals >= SUPPORT]
     counts = np.zeros((2, len(keys)), np.int64)
@@ -106,7 +185,7 @@ def learn_lexicon(texts: list[set[str]], toxic: np.ndarray) -> Lexicon:
         at = at[at < len(keys)][keys[at[at < len(keys)]] == own[at < len(keys)]]
         counts[int(label), at] += 1
     place = {k: i for i, k in enumerate(keys.tolist())}
-    known = {f: place[h] for own in texts for w in own if len(w) <= 40 for f in forms(w) if (h := hash(f)) in place}
+    known = {f: place[h] for own in texts for w in own for f in forms(w) if (h := hash(f)) in place}
     rate, chance = n1 / (n1 + n0), math.log(max(2, len(known)))
     weights = {}
     for f, i in known.items():
@@ -118,16 +197,18 @@ def learn_lexicon(texts: list[set[str]], toxic: np.ndarray) -> Lexicon:
     return Lexicon(weights)
 
 
-def features(text: str, weight_of, kept: dict[str, float]) -> tuple[float, float, float]:
-    """(log of 1 + the sum of clause scores, the best clause's score, matched clauses to words)."""
+def features(text: str, weight_of, kept: dict[str, tuple]) -> tuple[float, float, float]:
+    """(log of 1 + the sum of clause scores, the best clause's score, matched clauses to words). kept: what is known of words: weight, symbols, whether it can write."""
     lowered = text.lower()
     words = _WORD.findall(lowered)
     for w in set(words):
         if w not in kept:
-            kept[w] = weight_of(w)
-    if not any(map(kept.get, words)) and THREATS.isdisjoint(words):
+            weight = weight_of(w)
+            kept[w] = (weight, tuple(symbols(w, weight).values())), weight > 0 or w in THREATS
+    if not any([kept[w][1] for w in words]):
         return 0.0, 0.0, 0.0
-    scores = [clause_score((w, kept[w]) for w in _WORD.findall(c)) for c in _CLAUSE.split(lowered)]
+    machine = grammar()
+    scores = [_walk([kept[w][0] for w in own], machine) for own in map(_WORD.findall, _CLAUSE.split(lowered)) if any([kept[w][1] for w in own])]
     matched = sum(s > 0 for s in scores)
     return math.log1p(sum(scores)), max(scores), matched / math.sqrt(len(words) + 1)
 
@@ -169,7 +250,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     for half in (0, 1):
         seen = [i for i in range(len(texts)) if i % 2 != half]
         lexicon = learn_lexicon([sets[i] for i in seen], toxic[seen])
-        kept: dict[str, float] = {}
+        kept: dict[str, tuple] = {}
         for i in range(half, len(texts), 2):
             x[i] = features(texts[i], lexicon.weight, kept)
     return Model(learn_lexicon(sets, toxic), _logistic(x, toxic))
@@ -191,7 +272,7 @@ def fit_from_labels(documents: DataFrame, labels: DataFrame, max_labelled: int =
 
 def _score(model: Model):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        kept: dict[str, float] = {}
+        kept: dict[str, tuple] = {}
         for texts in batches:
             out = []
             for text in texts:
@@ -204,6 +285,9 @@ def _score(model: Model):
 
 
 def score_toxicity(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """documents with score (0 to 1) and predicted (1 if score >= 0.5). Only the text is an input; a null text counts as empty; nothing is shuffled."""
+    """documents with score (0 to 1) and predicted (1 if score >= 0.5), which replace columns of those names.
+
+    Only the text is an input, the whole of it; a null text counts as empty; equal texts score alike; an empty table gives one; nothing is shuffled.
+    """
     scored = documents.withColumn("score", _score(model)(F.coalesce(F.col(text_col), F.lit(""))))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

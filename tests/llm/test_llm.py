@@ -121,6 +121,54 @@ def test_grammar_states():
     assert score("i will kill you") > 0 == score("kill the lights")
 
 
+def apart(tokens):
+    """The five transducers one after the other: each writes a row for each word, and the rows are put together at the end."""
+    rows = []
+    for name, machine in toxicity.TRANSDUCERS.items():
+        state, out = machine.start, []
+        for word, weight in tokens:
+            state, write = machine.table[state, toxicity.symbols(word, weight)[name]]
+            out.append(write)
+        rows.append(out)
+    total, last = 0.0, 0.0
+    for (_, weight), writes in zip(tokens, zip(*rows, strict=True), strict=True):
+        own, every = np.prod([w.own for w in writes]), np.prod([w.all for w in writes])
+        total += last * sum(w.last for w in writes) + every * (own * weight + sum(w.plus for w in writes))
+        last = every * own * weight if weight > 0 else last
+    return total
+
+
+def test_composed_machine_is_the_five():
+    rng = random.Random(8)
+    pool = ["idiot", "fool", "kill", "you", "her", "not", "never", "said", "the", "cat", "x" * 60]
+    for _ in range(500):
+        clause = [(w, 2.5 if w in ("idiot", "fool", "x" * 60) else 0.0) for w in rng.choices(pool, k=rng.randrange(0, 14))]
+        assert abs(toxicity.clause_score(clause) - apart(clause)) < 1e-9
+
+
+def test_each_transducer_does_its_part():
+    every = tuple(toxicity.TRANSDUCERS)
+    without = lambda n: tuple(x for x in every if x != n)
+    score = lambda text, names=every: toxicity.clause_score([(w, 2.0 if w == "idiot" else 0.0) for w in text.split()], names)
+    assert score("an idiot") == 2.0 and score("the cat") == 0.0
+    assert score("you idiot") == score("idiot you") == 3.0 and score("you idiot", without("target")) == 2.0
+    assert score("not an idiot") == 1.0 and score("not an idiot", without("negation")) == 2.0
+    assert abs(score("she said an idiot") - 1.4) < 1e-9 and score("she said an idiot", without("report")) == 2.0
+    assert score("i will kill you") == 3.0 and score("i will kill you", without("threat")) == 0.0
+    assert score("kill a b c d you") == 0.0 and score("never kill you") == 1.5
+
+
+def test_long_words_are_learned(spark):
+    word = "zq" * 40
+    texts = [f"{word} plain text {i}" if i // 2 % 2 else f"kind plain text {i}" for i in range(40)]
+    model = toxicity.fit(texts, [i // 2 % 2 for i in range(40)])
+    rows = docs(spark, [(1, f"some {word} here"), (1, f"some {word} here"), (2, "some kind words"), *ODD]).withColumn("predicted", F.lit("mine"))
+    got = toxicity.score_toxicity(rows, model).collect()
+    scores = {r["text"]: r["score"] for r in got}
+    assert len(got) == 8 and scores[f"some {word} here"] > 0.5 > scores["some kind words"] and scores[""] == scores[None]
+    assert toxicity.score_toxicity(rows.limit(0), model).count() == 0
+
+
 def test_toxicity_held_out(spark):
     documents, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit_from_labels(documents, labels, max_labelled=1500)

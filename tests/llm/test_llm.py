@@ -98,6 +98,24 @@ def test_topk_is_brute_force(spark):
         assert [(j, s) for _, j, s in sorted(got[i])] == [(j, -s) for s, j in want]
 
 
+def test_topk_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(400)]
+    rows += [rows[3], rows[3], (None, rows[0][1]), (500, [1.0, 2.0]), (600, [1.0, 1.0]), (700, [0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "vec", "dim", "block", "score", "rank")})
+    asked = df.filter("vec_id % 50 = 0 or vec_id = 3")
+    got = {}
+    for r in topk.exact_topk(df, asked, k=9).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    known = {i: q for i, q in rows if i is not None and (i % 50 == 0 or i == 3)}
+    for i, q in known.items():
+        want = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(q, v, strict=True)), j) for j, v in rows if j is not None and j != i and len(v) == len(q))[:9]
+        assert [(j, s) for _, j, s in sorted(got.pop(i))] == [(j, -s) for s, j in want]
+    assert not got and topk.exact_topk(df.limit(0), asked).count() == 0 == topk.exact_topk(df, asked.limit(0)).count()
+
+
 # ---- op3
 
 
@@ -112,6 +130,16 @@ def test_secrets(spark):
     assert kept[10] == f"é {shared} and [SECRET]" and kept[1] is None and kept[16] == "x [SECRET] y" and len(kept) == len(texts)
 
 
+def test_secrets_of_repeats_and_empty_tables(spark):
+    rows = docs(spark, [(1, "token=abcdef1"), (1, "token=abcdef1"), (1, "token=abcdef2"), (None, "token=abcdef1"), (None, None)]).withColumns({c: F.lit("mine") for c in ("spans", "row", "text_hash", "hash", "part")})
+    found = secrets.find_secrets(rows, F.col("source"), F.col("source"))
+    got = Counter((r["doc_id"], r["n_assign"]) for r in secrets.secret_report(found).collect())
+    assert got == Counter([(1, 1)] * 3 + [(None, 1), (None, 0)])
+    out = secrets.redact_secrets(rows, F.col("source"), F.col("source"))
+    assert out.columns == rows.columns and Counter(r["text"] for r in out.collect()) == Counter({"[SECRET]": 4, None: 1})
+    assert secrets.find_secrets(rows.limit(0), F.col("source"), F.col("source")).count() == 0
+
+
 # ---- op4
 
 

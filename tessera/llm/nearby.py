@@ -38,6 +38,8 @@ LIST, BLOCK = 4096, 1024
 ROWS = 512
 #: Ids of documents that are broadcast at most (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Parts that the copies of one set are dealt to when they get their component.
+PARTS = 16
 NO_KEY = np.iinfo(np.int64).max
 
 _RNG = np.random.default_rng(20240229)
@@ -292,6 +294,13 @@ def _rare(sets: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
     return rows.select("doc", F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1).alias("rare"))
 
 
+def _grouped(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """set_key, part, component of each class of several rows or with links, for every part, so that a class of many copies is spread over PARTS tasks."""
+    known = classes.join(labels, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc"))
+    several = known.filter((F.col("times") > 1) | (F.col("component") != F.col("doc")))
+    return several.select("set_key", "component", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (doc_id = component_id), a row per row.
 
@@ -304,7 +313,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     signed = sets.mapInPandas(_signed, "doc_id string, n int, set_key binary, signature array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = stored(signed, "signatures")
     full = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("doc"))
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"))
     first = full.join(classes, (full["set_key"] == classes["set_key"]) & (full["doc_id"] == classes["doc"]), "left_semi")
     lists = stored(_postings(first.withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"])), "postings")
     star = stored(_star(lists, percent).distinct(), "star")
@@ -323,7 +332,6 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     open_pairs = _candidates(open_lists, False, percent).select("a", "b").distinct()
     more = stored(_confirmed(open_pairs, sets, percent), "links")
     labels = components(links.union(more))
-    members = signed.join(classes, "set_key", "left").join(labels, F.col("doc") == F.col("node"), "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc_id"))
-    out = members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    members = signed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).join(_grouped(classes, labels), ["set_key", "part"], "left")
+    out = members.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

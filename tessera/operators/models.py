@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import vector_stats
-from tessera.operators.tables import classification_report, confusion_matrix, r2_score, select_best_trial, union_all
+from tessera.operators.tables import classification_report, confusion_matrix, quantiles, r2_score, select_best_trial, union_all
 from tessera.sources.storage import stored
 
 #: Components of a vector whose squared matrix the driver solves at most.
@@ -85,8 +85,11 @@ def standardise(train: DataFrame, x: str, *others: DataFrame, population: bool =
 
 def scale_columns(train: DataFrame, columns: list[str], robust: bool, *others: DataFrame) -> list[DataFrame]:
     """Columns less their mean over their population deviation, or less their median over the quartile distance; zero spreads become 1."""
-    stats = [s for c in columns for s in ((F.percentile(c, 0.5), F.percentile(c, 0.75) - F.percentile(c, 0.25)) if robust else (F.avg(c), F.stddev_pop(c)))]
-    found = train.agg(*[s.alias(f"s{i}") for i, s in enumerate(stats)]).first()
+    if robust:
+        points = [quantiles(train, c, [0.5, 0.25, 0.75]).first()["q"] for c in columns]  # three numbers a column
+        found = [s for q in points for s in (q[0], q[2] - q[1] if q[0] is not None else None)]
+    else:
+        found = train.agg(*[s for c in columns for s in (F.avg(c), F.stddev_pop(c))]).first()
     out = []
     for df in (train, *others):
         out.append(df.withColumns({c: (F.col(c) - F.lit(found[2 * i])) / F.lit(found[2 * i + 1] or 1.0) for i, c in enumerate(columns)}))

@@ -9,7 +9,7 @@ from tessera.functions.rings import centroid, moments, nearest_token, token_over
 from tessera.functions.scalars import ENCODERS, central_block
 from tessera.operators.space import majority_label, near_join
 from tessera.operators.stats import cluster_bootstrap_median_diff
-from tessera.operators.tables import cap_per_key, classification_report, confusion_matrix, mean_std_n, union_all
+from tessera.operators.tables import cap_per_key, classification_report, confusion_matrix, mean_std_n, quantiles, union_all
 
 #: Modes of a crop: a fixed square as it is, a square of another size scaled to the encoder's, and the tile that holds the cell.
 MODES = ("native", "resized", "tile")
@@ -97,7 +97,8 @@ def dapi_relative(cells: DataFrame, radius: float, k: int, seed: int = 0, value:
 def masking_divergence(aligned: DataFrame, divergence: DataFrame, value: str = "divergence") -> DataFrame:
     """quadrant, n, mean, median of the divergence of cells that masking breaks (only_a) and of those that both get right. aligned: wsi, cell_id, quadrant."""
     rows = _compared(aligned, divergence, value)
-    return rows.groupBy("quadrant").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"))
+    middle = quantiles(rows, value, [0.5], ["quadrant"]).select("quadrant", F.col("q")[0].alias("median"))
+    return rows.groupBy("quadrant").agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(middle, "quadrant", "left")
 
 
 def _compared(aligned: DataFrame, divergence: DataFrame, value: str) -> DataFrame:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Blocks that a column's distinct values are cut into.
+BLOCKS = 64
+
 
 def class_counts(df: DataFrame, classes: DataFrame, group: list[str], label: str = "label") -> DataFrame:
     """group, label, n, proportion of every class of classes (column label), zero where it has none."""
@@ -44,17 +47,57 @@ def pivot_metric(df: DataFrame, row: str, column: str, values: list, metric: str
     return df.groupBy(row).pivot(column, values).agg(F.avg(metric))
 
 
+def _with_group(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of side, which has one row for each value of keys, nulls included; without keys side is one row."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(side))
+    other = side.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    return rows.join(other, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])).drop(*[f"_of_{k}" for k in keys])
+
+
+def running_counts(df: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
+    """group, value, _c, _b, _n of each distinct value: its rows, the rows below it and the group's rows; null values take no part.
+
+    No task holds all values of a group: they are cut into BLOCKS, and the blocks' totals are added.
+    """
+    group = group or []
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy(*group).agg(F.percentile_approx(value, [i / BLOCKS for i in range(1, BLOCKS)], 1000).alias("_e"))
+    placed = _with_group(counts, cuts, group).withColumn("_k", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")
+    blocks = placed.groupBy(*group, "_k").agg(F.sum("_c").alias("_t"))  # at most BLOCKS rows a group
+    own = Window.partitionBy(*(group or [F.lit(0)]))
+    before = blocks.withColumns({"_before": F.coalesce(F.sum("_t").over(own.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_t").over(own)}).drop("_t")
+    inside = F.coalesce(F.sum("_c").over(Window.partitionBy(*group, "_k").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = _with_group(placed, before if group else F.broadcast(before), [*group, "_k"])
+    return joined.withColumn("_b", inside + F.col("_before")).select(*group, value, "_c", "_b", "_n")
+
+
+def quantiles(df: DataFrame, value: str, points: list[float], group: list[str] | None = None) -> DataFrame:
+    """group, q: the exact quantiles of a column at some points, interpolated as F.percentile does. A group without values has no row; without groups q holds nulls then.
+
+    F.percentile keeps all distinct values of a group in one buffer; here only the values at the wanted ranks leave their blocks.
+    """
+    group = group or []
+    at = lambda rank: F.max(F.when((F.col("_b") <= rank) & (rank < F.col("_b") + F.col("_c")), F.col(value).cast("double")))
+    ranks = [(F.col("_n") - 1) * F.lit(float(p)) for p in points]
+    ends = [at(end(r)).alias(f"_{name}{i}") for i, r in enumerate(ranks) for name, end in (("l", F.floor), ("h", F.ceil))]
+    found = running_counts(df, value, group).groupBy(*group).agg(F.max("_n").alias("_n"), *ends)
+    mixed = [F.when(F.col(f"_l{i}") == F.col(f"_h{i}"), F.col(f"_l{i}")).otherwise((F.ceil(r) - r) * F.col(f"_l{i}") + (r - F.floor(r)) * F.col(f"_h{i}")) for i, r in enumerate(ranks)]
+    return found.select(*group, F.array(*mixed).alias("q"))
+
+
 def describe_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
-    out = df.groupBy(group).agg(F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"))
+    """mean, median, std, n, sem of a metric by group; a group without values has no median. A null group is a group."""
+    out = df.groupBy(group).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"))
+    middle = quantiles(df, value, [0.5], [group]).select(F.col(group).alias("_g"), F.col("q")[0].alias("median"))
+    out = out.join(middle, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, "mean", "median", "std", "n")
     return out.withColumn("sem", F.col("std") / F.sqrt("n"))
 
 
 def distribution_summary(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
-    p = lambda q: F.percentile(value, q)
-    return df.agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), p(0.5).alias("median"), p(0.05).alias("p5"), p(0.95).alias("p95"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.count_if((F.col(value) < low) | (F.col(value) > high)).alias("n_clipped"),
-    )
+    whole = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.count_if((F.col(value) < low) | (F.col(value) > high)).alias("n_clipped"))
+    q = quantiles(df, value, [0.5, 0.05, 0.95]).select(*[F.col("q")[i].alias(name) for i, name in enumerate(("median", "p5", "p95"))])
+    return whole.crossJoin(F.broadcast(q)).select("n", "mean", "median", "p5", "p95", "min", "max", "n_clipped")  # one row each
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, group: list[str] | None = None) -> DataFrame:
@@ -69,7 +112,7 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int, gro
 
 def whisker_limits(df: DataFrame, group: str, value: str) -> DataFrame:
     """Tukey's limits: the extreme values within 1.5 quartile distances of the quartiles."""
-    q = df.groupBy(group).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
+    q = quantiles(df, value, [0.25, 0.75], [group]).select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     step = 1.5 * (F.col("q3") - F.col("q1"))
     inside = df.join(q, group).filter((F.col(value) >= F.col("q1") - step) & (F.col(value) <= F.col("q3") + step))
     return inside.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.first("q1").alias("q1"), F.first("q3").alias("q3"))
@@ -78,7 +121,7 @@ def whisker_limits(df: DataFrame, group: str, value: str) -> DataFrame:
 def quantile_bins(df: DataFrame, x: str, y: str, q: int) -> DataFrame:
     """bin, n, x_mean, y_mean, y_std, y_sem over q quantile bins of x, right-closed, the first closed; equal edges merge."""
     rows = df.filter(F.col(x).isNotNull())
-    cuts = rows.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / q) for i in range(q + 1)]))).alias("_e"))
+    cuts = quantiles(rows, x, [i / q for i in range(q + 1)]).select(F.array_distinct("q").alias("_e"))
     placed = rows.crossJoin(F.broadcast(cuts)).withColumn("bin", F.greatest(F.size(F.filter("_e", lambda e: e < F.col(x))) - 1, F.lit(0)))  # one row of edges
     out = placed.groupBy("bin").agg(F.count("*").alias("n"), F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"), F.stddev_samp(y).alias("y_std"))
     return out.withColumn("y_sem", F.col("y_std") / F.sqrt("n"))
@@ -174,10 +217,9 @@ def status_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def match_report(matches: DataFrame, threshold: float) -> DataFrame:
-    return matches.agg(
-        F.count("*").alias("n"), F.avg(F.col("other_id").isNotNull().cast("double")).alias("matched_share"), F.count_if(F.col("score") > threshold).alias("n_above"),
-        F.percentile(F.hypot("dx", "dy"), 0.5).alias("median_offset"),
-    )
+    whole = matches.agg(F.count("*").alias("n"), F.avg(F.col("other_id").isNotNull().cast("double")).alias("matched_share"), F.count_if(F.col("score") > threshold).alias("n_above"))
+    middle = quantiles(matches.select(F.hypot("dx", "dy").alias("_o")), "_o", [0.5]).select(F.col("q")[0].alias("median_offset"))
+    return whole.crossJoin(F.broadcast(middle))  # one row each
 
 
 def best_row(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -196,20 +238,9 @@ def sequential_id(df: DataFrame, key: str, prefix: Column, *order: Column) -> Da
 
 
 def average_rank(df: DataFrame, value: str, group: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """Mid-ranks from the counts of distinct values. Without groups the running sum is over blocks of values: a window inside each, and one over the block totals."""
+    """df with the mid-ranks of a value, pooled or by group; null where the value or a group is. A frequent value's rows are one key of the last join, which AQE splits."""
     group = group or []
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_c"))
-    if group:
-        below = F.sum("_c").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-        ranked = counts.withColumn("_b", F.coalesce(below, F.lit(0)))
-    else:
-        cuts = counts.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("_e"))
-        placed = counts.crossJoin(F.broadcast(cuts)).withColumn("_k", F.size(F.filter("_e", lambda e: e < F.col(value)))).drop("_e")  # one row of 63 edges
-        blocks = placed.groupBy("_k").agg(F.sum("_c").alias("_t"))  # at most 64 rows
-        before = blocks.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-        inside = F.coalesce(F.sum("_c").over(Window.partitionBy("_k").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = placed.join(F.broadcast(before), "_k").withColumn("_b", inside + F.col("_before")).drop("_k", "_before")
-    ranked = ranked.withColumn(name, F.col("_b") + (F.col("_c") + 1) / 2.0).drop("_b", "_c")
+    ranked = running_counts(df, value, group).select(*group, value, (F.col("_b") + (F.col("_c") + 1) / 2.0).alias(name))
     return df.join(ranked, [*group, value], "left")
 
 
@@ -236,7 +267,7 @@ def top_k(df: DataFrame, metric: str, tie: str, k: int, largest: bool = True) ->
 def quantile_masks(df: DataFrame, value: str, bands: dict[str, tuple[float, float]]) -> DataFrame:
     """df with a flag for each band of pooled quantiles, both ends included."""
     edges = sorted({q for band in bands.values() for q in band})
-    cuts = df.agg(F.percentile(value, F.array(*map(F.lit, edges))).alias("_e"))
+    cuts = quantiles(df, value, edges).withColumnRenamed("q", "_e")
     at = lambda q: F.get("_e", F.lit(edges.index(q)))
     flags = {name: (F.col(value) >= at(a)) & (F.col(value) <= at(b)) for name, (a, b) in bands.items()}
     return df.crossJoin(F.broadcast(cuts)).withColumns(flags).drop("_e")  # one row of edges

@@ -192,3 +192,24 @@ def test_masking_divergence_interval(spark):
     divergence = spark.createDataFrame([(w, c, 5.0 if q == "only_a" else 1.0) for w, c, q in rows], "wsi string, cell_id string, divergence double")
     found = readouts.masking_divergence_interval(aligned, divergence, stats.bootstrap_draws(spark, ["s0", "s1", "s2", "s3"], 20)).first()
     assert (found["n_a"], found["n_b"], found["median_diff"], found["ci_lo"], found["ci_hi"]) == (20, 20, 4.0, 4.0, 4.0)
+
+
+def test_quantiles_are_those_of_percentile(spark):
+    rng = np.random.default_rng(5)
+    values = [*rng.normal(size=300).tolist(), *[0.0] * 150, *rng.integers(-3, 4, 200).astype(float).tolist(), None, None]
+    rows = [(None if i % 7 == 0 else f"g{i % 3}", v) for i, v in enumerate(values)] + [("one", 2.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    points = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+    exact = F.percentile("v", F.array(*map(F.lit, points))).alias("q")
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(exact).collect() if r["q"] is not None}
+    assert {r["g"]: r["q"] for r in tables.quantiles(df, "v", points, ["g"]).collect()} == want
+    assert tables.quantiles(df, "v", points).first()["q"] == df.agg(exact).first()["q"]
+    assert tables.quantiles(df.limit(0), "v", [0.5]).first()["q"] == [None] and not tables.quantiles(df.limit(0), "v", [0.5], ["g"]).count()
+    medians = {r["g"]: r["median"] for r in tables.describe_by_group(df, "g", "v").collect()}
+    assert medians == {g: want[g][3] if g in want else None for g in {None, "g0", "g1", "g2", "one", "none"}}
+
+
+def test_robust_scaling(spark):
+    df = spark.createDataFrame([(float(i), 3.0) for i in range(9)], "a double, b double")
+    (got,) = models.scale_columns(df, ["a", "b"], True)
+    assert sorted(tuple(r) for r in got.collect()) == [((i - 4) / 4, 0.0) for i in range(9)]

@@ -10,7 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.tables import average_rank
+from tessera.operators.tables import BLOCKS, average_rank, quantiles
+from tessera.sources.storage import stored
+
+#: Rows of draws that are broadcast at most (about 200 MB): 2,000 draws of 2,500 slides.
+BROADCAST_DRAWS = 5_000_000
 
 
 def _known(df: DataFrame, *columns: str) -> DataFrame:
@@ -90,16 +94,47 @@ def _interval(boot: DataFrame, value: str) -> DataFrame:
     return boot.agg(at(0.025).alias("ci_lo"), at(0.975).alias("ci_hi"), F.sum("times").alias("n_valid"), (F.sum(F.when(F.col(value) <= 0, F.col("times")).otherwise(0)) / F.sum("times")).alias("p_one_sided"))
 
 
-def cluster_bootstrap_median_diff(df: DataFrame, value: str, in_a: str, in_b: str, draws: DataFrame) -> DataFrame:
-    """n_a, n_b, median_diff, ci_lo, ci_hi, n_valid, p_one_sided: whole slides are drawn; draws without either group are not valid.
+def _spread(draws: DataFrame) -> DataFrame:
+    """draws, broadcast unless they have more than BROADCAST_DRAWS rows (slides times draws)."""
+    return F.broadcast(draws) if draws.count() <= BROADCAST_DRAWS else draws
+
+
+def _drawn_medians(rows: DataFrame, draws: DataFrame) -> DataFrame:
+    """side, multiset, median of rows (side, wsi, _v) weighted by the multiplicity of their slide in each draw, as F.percentile with frequencies has it.
 
-    A row is repeated for the draws that hold its slide, with its slide's multiplicity as a weight of the median.
+    The counts of the values are cut into BLOCKS of values; only the blocks' totals meet all draws, and rows meet a draw only in the one or two blocks that hold its median.
     """
-    rows = _known(df, value).filter(F.col(in_a) | F.col(in_b)).select("wsi", F.col(value).cast("double").alias("_v"), F.col(in_a).alias("_a"), F.col(in_b).alias("_b"))
-    median = lambda flag, w: F.percentile(F.when(F.col(flag), F.col("_v")), 0.5, w)
-    observed = rows.agg(F.count_if("_a").alias("n_a"), F.count_if("_b").alias("n_b"), (median("_a", F.lit(1)) - median("_b", F.lit(1))).alias("median_diff"))
-    each = rows.join(F.broadcast(draws), "wsi").groupBy("multiset", "times").agg((median("_a", F.col("multiplicity")) - median("_b", F.col("multiplicity"))).alias("_d"))
-    return observed.crossJoin(_interval(each.filter(F.col("_d").isNotNull()), "_d"))
+    draws = draws.select("multiset", "wsi", "multiplicity")
+    counts = rows.groupBy("side", "wsi", "_v").agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy("side").agg(F.percentile_approx("_v", [i / BLOCKS for i in range(1, BLOCKS)], 1000).alias("_e"))
+    placed = counts.join(F.broadcast(cuts), "side").withColumn("_k", F.size(F.filter("_e", lambda e: e < F.col("_v")))).drop("_e")  # one row a side
+    totals = placed.groupBy("side", "wsi", "_k").agg(F.sum("_c").alias("_t")).join(_spread(draws), "wsi")
+    drawn = totals.groupBy("side", "multiset", "_k").agg(F.sum(F.col("_t") * F.col("multiplicity")).alias("_t"))
+    own = Window.partitionBy("side", "multiset")  # at most BLOCKS rows
+    drawn = drawn.withColumns({"_end": F.sum("_t").over(own.orderBy("_k")), "_n": F.sum("_t").over(own)})
+    ends = drawn.select("side", "multiset", "_k", (F.col("_end") - F.col("_t")).alias("_begin"), "_end", F.floor((F.col("_n") - 1) / 2).alias("_low"), F.floor(F.col("_n") / 2).alias("_high"))
+    wanted = ends.filter((F.col("_begin") <= F.col("_high")) & (F.col("_low") < F.col("_end"))).drop("_end")
+    weights = stored(wanted.join(_spread(draws), "multiset"), "median-blocks")
+    met = placed.join(_spread(weights), ["side", "_k", "wsi"])
+    values = met.groupBy("side", "multiset", "_k", "_begin", "_low", "_high", "_v").agg(F.sum(F.col("_c") * F.col("multiplicity")).alias("_w"))
+    before = F.coalesce(F.sum("_w").over(Window.partitionBy("side", "multiset", "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed_values = values.withColumn("_b", F.col("_begin") + before)
+    at = lambda rank: F.max(F.when((F.col("_b") <= F.col(rank)) & (F.col(rank) < F.col("_b") + F.col("_w")), F.col("_v")))
+    found = placed_values.groupBy("side", "multiset").agg(at("_low").alias("_l"), at("_high").alias("_h"))
+    return found.select("side", "multiset", F.when(F.col("_l") == F.col("_h"), F.col("_l")).otherwise(F.col("_l") * 0.5 + F.col("_h") * 0.5).alias("median"))
+
+
+def cluster_bootstrap_median_diff(df: DataFrame, value: str, in_a: str, in_b: str, draws: DataFrame) -> DataFrame:
+    """n_a, n_b, median_diff, ci_lo, ci_hi, n_valid, p_one_sided: whole slides are drawn; draws without either group are not valid."""
+    sides = F.array_compact(F.array(F.when(F.col(in_a), "a"), F.when(F.col(in_b), "b")))
+    rows = _known(df, value).select("wsi", F.col(value).cast("double").alias("_v"), F.explode(sides).alias("side"))
+    median = lambda side: F.max(F.when(F.col("side") == side, F.col("q")[0]))
+    sizes = rows.agg(F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b"))
+    observed = sizes.crossJoin(F.broadcast(quantiles(rows, "_v", [0.5], ["side"]).agg((median("a") - median("b")).alias("median_diff"))))  # one row each
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("median")))
+    each = _drawn_medians(rows, draws).groupBy("multiset").agg((of("a") - of("b")).alias("_d")).filter(F.col("_d").isNotNull())
+    each = each.join(draws.select("multiset", "times").distinct(), "multiset")
+    return observed.crossJoin(F.broadcast(_interval(each, "_d")))  # one row each
 
 
 def cluster_bootstrap_corr(df: DataFrame, x: str, y: str, draws: DataFrame) -> DataFrame:
@@ -109,14 +144,14 @@ def cluster_bootstrap_corr(df: DataFrame, x: str, y: str, draws: DataFrame) -> D
     sums = rows.groupBy("wsi").agg(*[F.sum(e).alias(k) for k, e in terms.items()])
     cov = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / F.col("n")
     corr = cov("x", "y", "xy") / F.nullif(F.sqrt(cov("x", "x", "xx") * cov("y", "y", "yy")), F.lit(0.0))
-    each = sums.join(F.broadcast(draws), "wsi").groupBy("multiset", "times").agg(*[F.sum(F.col(k) * F.col("multiplicity")).alias(k) for k in terms]).withColumn("_r", corr)
+    each = sums.join(_spread(draws), "wsi").groupBy("multiset", "times").agg(*[F.sum(F.col(k) * F.col("multiplicity")).alias(k) for k in terms]).withColumn("_r", corr)
     return rows.agg(F.corr("_x", "_y").alias("r")).crossJoin(_interval(each.filter(F.col("_r").isNotNull()), "_r").drop("p_one_sided"))
 
 
 def cluster_bootstrap_spearman(df: DataFrame, x: str, y: str, draws: DataFrame) -> DataFrame:
     """rho, ci_lo, ci_hi, n_valid: mid-ranks are weighted by multiplicity in each draw."""
     rows = _known(df, x, y).select("wsi", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    drawn = rows.join(F.broadcast(draws), "wsi").withColumnRenamed("multiplicity", "_w")
+    drawn = rows.join(_spread(draws), "wsi").withColumnRenamed("multiplicity", "_w")
 
     def ranks(v: str, name: str) -> DataFrame:
         counts = drawn.groupBy("multiset", v).agg(F.sum("_w").alias("_c"))

@@ -479,12 +479,12 @@ def x4_stouffer(spark, sf_dir):
 @query()
 def x5_cluster_bootstrap(spark, sf_dir):
     rows = _xy(spark, sf_dir).withColumns({"a": F.col("key") % 4 == 0, "b": F.col("key") % 4 == 1})
-    return stats.cluster_bootstrap_median_diff(rows, "x", "a", "b", stats.bootstrap_draws(spark, [f"s{i}" for i in range(7)], 200))
+    return stats.cluster_bootstrap_median_diff(rows, "x", "a", "b", stats.bootstrap_draws(spark, [f"s{i}" for i in range(7)], 2000))
 
 
 @query()
 def x6_bootstrap_corr(spark, sf_dir):
-    draws = stats.bootstrap_draws(spark, [f"s{i}" for i in range(7)], 200)
+    draws = stats.bootstrap_draws(spark, [f"s{i}" for i in range(7)], 2000)
     return stats.cluster_bootstrap_corr(_xy(spark, sf_dir), "x", "y", draws)
 
 

@@ -213,3 +213,17 @@ def test_robust_scaling(spark):
     df = spark.createDataFrame([(float(i), 3.0) for i in range(9)], "a double, b double")
     (got,) = models.scale_columns(df, ["a", "b"], True)
     assert sorted(tuple(r) for r in got.collect()) == [((i - 4) / 4, 0.0) for i in range(9)]
+
+
+def test_bootstrap_of_medians_is_that_of_expanded_rows(spark):
+    rng = np.random.default_rng(8)
+    slides, draws = ["a", "b", "c"], [["a", "a", "c"], ["a", "b", "c"], ["b", "b", "b"], ["c", "c", "b"]]
+    rows = [(slides[i % 3], float(v), bool(i % 3 != 1 and i % 2), bool(i % 5 < 3)) for i, v in enumerate(np.round(rng.normal(size=400), 1))] + [("a", None, True, True)]
+    df = spark.createDataFrame(rows, "wsi string, v double, p boolean, q boolean")
+    drawn = spark.createDataFrame([(m, 1 + m, s, d.count(s)) for m, d in enumerate(draws) for s in set(d)], "multiset int, times int, wsi string, multiplicity int")
+    medians = stats._drawn_medians(df.filter("v IS NOT NULL").select("wsi", F.col("v").alias("_v"), F.explode(F.expr("array_compact(array(if(p, 'a', null), if(q, 'b', null)))")).alias("side")), drawn)
+    got = {(r["side"], r["multiset"]): r["median"] for r in medians.collect()}
+    want = {(side, m): float(np.median(own)) for m, d in enumerate(draws) for side, at in (("a", 2), ("b", 3)) if (own := [r[1] for s in d for r in rows if r[0] == s and r[1] is not None and r[at]])}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want) and ("a", 2) not in got
+    found = stats.cluster_bootstrap_median_diff(df, "v", "p", "q", drawn).first()
+    assert found["n_valid"] == 1 + 2 + 4  # the draw of b alone has no row of the first group

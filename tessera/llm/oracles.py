@@ -106,4 +106,62 @@ SELECT page_id, octet_length(payload) AS payload_bytes,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
 """
 
-ORACLES = {"op1_suffix_dedup": OP1, "op2_exact_topk": OP2, "op3_secrets": OP3, "op6_quality": OP6, "op8_minhash": OP8, "op9_chat": OP9, "op10_warc": OP10}
+
+
+def _then(x: str, cost: str, letter: str) -> str:
+    """A path (nine digits of cost, then its letters) with one more letter."""
+    return f"lpad(CAST(CAST(left({x}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({x}, 10) || '{letter}'"
+
+
+def _inserted(x0: str, x1: str, x2: str, x3: str) -> str:
+    """The least paths to the states after s?, u and a, when rows may be inserted."""
+    u = f"least({x2}, {_then(x0, '3', 'I')}, {_then(x1, '3', 'I')}, {_then(x3, '3', 'I')})"
+    return f"{x0} AS x0, {x1} AS x1, {u} AS x2, least({x3}, {_then('x2', '3', 'I')}) AS x3"
+
+
+def _kept(x: str, role: str) -> str:
+    return f"CASE WHEN lower(c) = '{role}' THEN {_then(x, 'extra', 'K')} END"
+
+
+def _turned(x: str) -> str:
+    return f"CASE WHEN c <> 'd' THEN {_then(x, '3 + extra', 'R')} END"
+
+
+OP11 = f"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+fates AS (SELECT conv_id, turn, xor(4294967295, list_reduce(list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT)),
+  lambda h, b: list_reduce(range(8), lambda v, z: xor(v >> 1, (v & 1) * 3988292384), xor(h, b)), CAST(4294967295 AS BIGINT))) % 20 AS fate FROM ids),
+d AS (SELECT c.conv_id, c.turn, CASE WHEN fate = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+        CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+        unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+      FROM conversations c JOIN fates f ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND c.turn IS NOT DISTINCT FROM f.turn),
+s AS (SELECT *, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM d),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS pos,
+        CASE WHEN last = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM s),
+rws AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair FROM q),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+        list(CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN initial NOT IN ('s', 'u', 'a') THEN CASE WHEN fault = 'truncated' THEN 'X' ELSE 'x' END
+             WHEN fault = 'truncated' THEN upper(initial) ELSE initial END ORDER BY pos) AS codes FROM rws GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, 0 AS i, codes, '000000000' AS x0, CAST(NULL AS VARCHAR) AS x1, '000000003I' AS x2, '000000006II' AS x3 FROM stats
+  UNION ALL
+  SELECT conv_id, i, codes, {_inserted("y0", "y1", "y2", "y3")} FROM (
+    SELECT conv_id, i + 1 AS i, codes, {_then("x0", "4", "D")} AS y0, least({_then("x1", "4", "D")}, {_kept("x0", "s")}) AS y1,
+      least({_then("x2", "4", "D")}, {_kept("x0", "u")}, {_kept("x1", "u")}, {_kept("x3", "u")}, {_turned("x0")}, {_turned("x1")}, {_turned("x3")}) AS y2,
+      least({_then("x3", "4", "D")}, {_kept("x2", "a")}, {_turned("x2")}) AS y3
+    FROM (SELECT *, codes[i + 1] AS c, CASE WHEN codes[i + 1] IN ('S', 'U', 'A', 'X') THEN 3 ELSE 0 END AS extra FROM steps WHERE i < len(codes)))),
+best AS (SELECT conv_id, least(x0, x3) AS x FROM steps WHERE i = len(codes)),
+audits AS (SELECT conv_id, CAST(left(x, 9) AS BIGINT) AS cost, substr(x, 10) AS audit FROM best),
+letters AS (SELECT conv_id, letter, j, CASE WHEN letter <> 'I' THEN sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY j) END AS pos
+            FROM (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS j, unnest(string_split(audit, '')) AS letter FROM audits WHERE audit <> '')),
+outs AS (SELECT l.conv_id, l.letter, l.j, w.role, coalesce(w.text, '') AS text, coalesce(sum(CASE WHEN l.letter = 'K' AND w.initial = 's' THEN 0 ELSE 1 END) OVER (PARTITION BY l.conv_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         FROM letters l LEFT JOIN rws w ON l.conv_id IS NOT DISTINCT FROM w.conv_id AND l.pos = w.pos WHERE l.letter <> 'D'),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN before % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS body FROM outs GROUP BY conv_id)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN stats s ON i.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN audits a ON i.conv_id IS NOT DISTINCT FROM a.conv_id
+  LEFT JOIN repaired r ON i.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+ORACLES = {"op1_suffix_dedup": OP1, "op2_exact_topk": OP2, "op3_secrets": OP3, "op6_quality": OP6, "op8_minhash": OP8, "op9_chat": OP9, "op10_warc": OP10, "op11_dialogue_repair": OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, mixing, nearby, pieces, quality, repeats, secrets, topk, toxicity, warc
+from tessera.llm import alignment, chat, dialogue, kernel, mixing, nearby, pieces, quality, repeats, secrets, topk, toxicity, warc
 from tessera.llm.common import table
 
 #: The conversation that op9 adds: control strings as texts.
@@ -66,4 +66,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_secrets, op4_toxicity, op5_pieces, op6_quality, op7_mixing, op8_minhash, op9_chat, op10_warc)}
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd rows: see dialogue.damage and dialogue.repair."""
+    rows = table(spark, sf_dir, "conversations")
+    return dialogue.repair(dialogue.damage(rows), rows)
+
+
+def op12_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd rows: see kernel.statistics and kernel.fit."""
+    stats = kernel.statistics(table(spark, sf_dir, "documents"))
+    model = kernel.fit(stats, table(spark, sf_dir, "labels"), "quality")
+    return kernel.score(stats, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd rows: see alignment.align."""
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_exact_topk, op3_secrets, op4_toxicity, op5_pieces, op6_quality, op7_mixing, op8_minhash, op9_chat, op10_warc, op11_dialogue_repair, op12_kernel_quality, op13_alignment)}

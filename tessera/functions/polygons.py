@@ -1,4 +1,4 @@
-"""Polygon kernels in numpy, applied by pandas UDFs: repair, long axis, overlap. Rings are arrays of (x, y)."""
+"""Polygon kernels in numpy, applied by pandas UDFs: long axis and contact. Rings are arrays of (x, y); overlay.py has repair, union and overlap."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.overlay import parts_of
+
 RING = "array<struct<x:double,y:double>>"
 
 
@@ -30,41 +32,6 @@ def signed_area(p: np.ndarray) -> float:
     return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2)
 
 
-def _crossing(p: np.ndarray) -> tuple[int, int, np.ndarray] | None:
-    """The first proper crossing of two edges: their numbers and the point."""
-    n, q = len(p), np.roll(p, -1, axis=0)
-    d = q - p
-    for i in range(n - 2):
-        j = np.arange(i + 2, n if i else n - 1)
-        if not len(j):
-            continue
-        den = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
-        rel = p[j] - p[i]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (rel[:, 0] * d[j, 1] - rel[:, 1] * d[j, 0]) / den
-            u = (rel[:, 0] * d[i, 1] - rel[:, 1] * d[i, 0]) / den
-        hit = np.flatnonzero((den != 0) & (t > 1e-12) & (t < 1 - 1e-12) & (u > 1e-12) & (u < 1 - 1e-12))
-        if len(hit):
-            return i, int(j[hit[0]]), p[i] + t[hit[0]] * d[i]
-    return None
-
-
-def repair(p: np.ndarray) -> list[np.ndarray]:
-    """Simple rings of a ring that may cross itself: it is cut at each crossing into two shorter ones, and parts without area go."""
-    open_rings, done = [p], []
-    while open_rings:
-        ring = open_rings.pop()
-        if len(ring) < 3:
-            continue
-        found = _crossing(ring)
-        if found is None:
-            done += [ring] if abs(signed_area(ring)) > 1e-9 else []
-            continue
-        i, j, x = found
-        open_rings += [np.vstack([ring[: i + 1], x, ring[j + 1 :]]), np.vstack([x, ring[i + 1 : j + 1]])]
-    return done
-
-
 def convex_hull(p: np.ndarray) -> np.ndarray:
     pts = sorted(set(map(tuple, p)))
     if len(pts) < 3:
@@ -99,66 +66,6 @@ def long_axis(p: np.ndarray) -> tuple[float, float] | None:
     return degrees, 1 - min(w, h) / max(w, h)
 
 
-def _clip(subject: np.ndarray, triangle: np.ndarray) -> np.ndarray:
-    """A convex polygon within a counter-clockwise triangle."""
-    out = subject
-    for k in range(3):
-        a, e = triangle[k], triangle[(k + 1) % 3] - triangle[k]
-        if not len(out):
-            break
-        side = e[0] * (out[:, 1] - a[1]) - e[1] * (out[:, 0] - a[0])
-        new = []
-        for i in range(len(out)):
-            j = (i + 1) % len(out)
-            if side[i] >= 0:
-                new.append(out[i])
-            if (side[i] > 0 > side[j]) or (side[i] < 0 < side[j]):
-                new.append(out[i] + (out[j] - out[i]) * (side[i] / (side[i] - side[j])))
-        out = np.array(new, float).reshape(-1, 2)
-    return out
-
-
-def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Area of the common part of two simple rings: each is the signed sum of its fan's triangles, and triangles are convex."""
-    if len(a) < 3 or len(b) < 3:
-        return 0.0
-
-    def fan(p):
-        for i in range(1, len(p) - 1):
-            t = np.array([p[0], p[i], p[i + 1]])
-            area = signed_area(t)
-            if abs(area) > 1e-15:
-                yield (t if area > 0 else t[::-1]), (1 if area > 0 else -1)
-
-    total = 0.0
-    seconds = list(fan(b))
-    for s, sa in fan(a):
-        for t, sb in seconds:
-            if (s.max(0) < t.min(0)).any() or (t.max(0) < s.min(0)).any():
-                continue
-            total += sa * sb * abs(signed_area(_clip(s, t)))
-    return abs(total)
-
-
-def ring_centroid(p: np.ndarray) -> np.ndarray:
-    a, q = signed_area(p), np.roll(p, -1, axis=0)
-    if abs(a) < 1e-12:
-        return p.mean(axis=0)
-    c = p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]
-    return ((p + q) * c[:, None]).sum(axis=0) / (6 * a)
-
-
-def overlap_ratio(a: np.ndarray, b: np.ndarray, aligned: bool) -> float:
-    """Common area over joint area, b moved to a's centroid if aligned; 0 without joint area."""
-    if len(a) < 3 or len(b) < 3:
-        return 0.0
-    if aligned:
-        b = b + (ring_centroid(a) - ring_centroid(b))
-    common = overlap_area(a, b)
-    union = abs(signed_area(a)) + abs(signed_area(b)) - common
-    return common / union if union > 0 else 0.0
-
-
 def rings_touch(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two simple rings' polygons share a point, borders included."""
     if len(a) < 3 or len(b) < 3 or (a.max(0) < b.min(0)).any() or (b.max(0) < a.min(0)).any():
@@ -181,42 +88,18 @@ def rings_touch(a: np.ndarray, b: np.ndarray) -> bool:
     return inside(a[0], b) or inside(b[0], a)
 
 
-def make_valid(ring: Column) -> Column:
-    """struct(parts, repaired): the simple rings of a ring; no parts if it has no area."""
-
-    def run(rings: pd.Series) -> pd.DataFrame:
-        out = [repair(as_array(r)) for r in rings]
-        return pd.DataFrame({"parts": [[[{"x": float(x), "y": float(y)} for x, y in p] for p in parts] for parts in out], "repaired": [len(parts) != 1 for parts in out]})
-
-    return F.pandas_udf(run, f"parts array<{RING}>, repaired boolean")(ring)
-
-
 def orientation_elongation(ring: Column) -> Column:
-    """struct(orientation, elongation) of the smallest rectangle; nulls for a degenerate ring."""
+    """struct(orientation, elongation) of the smallest rectangle around a ring or a shape; nulls for a degenerate one."""
 
     def run(rings: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([long_axis(as_array(r)) or (None, None) for r in rings], columns=["orientation", "elongation"])
+        points = [np.array([p for part in parts_of(r) for p in part[0]], float).reshape(-1, 2) for r in rings]
+        return pd.DataFrame([long_axis(p) or (None, None) for p in points], columns=["orientation", "elongation"], dtype=float)
 
     return F.pandas_udf(run, "orientation double, elongation double")(ring)
 
 
-def aligned_iou(a: Column, b: Column, aligned: bool = True) -> Column:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([overlap_ratio(as_array(x), as_array(y), aligned) for x, y in zip(a, b, strict=True)], dtype=float)
-
-    return F.pandas_udf(run, "double")(a, b)
-
-
 def touches(a: Column, b: Column) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([rings_touch(as_array(x), as_array(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     return F.pandas_udf(run, "boolean")(a, b)
-
-
-def largest_part(parts: Column) -> Column:
-    """The ring of the largest area among parts."""
-    from tessera.functions.rings import moments
-
-    sized = F.transform(parts, lambda r: F.struct(F.abs(moments(r)["a"]).alias("area"), r.alias("ring")))
-    return F.element_at(F.array_sort(sized), -1)["ring"]

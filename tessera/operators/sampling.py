@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import itertools
+import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import stored
+
+#: Rows of a block whose weights are summed in order by one task.
+DRAW_BLOCK = 100_000
+
 
 def draw(seed, *keys: str) -> Column:
     """The order of a draw: the md5 of seed and keys, which other engines have too."""
@@ -96,17 +103,52 @@ def subsample(df: DataFrame, n: int, seed=0, *keys: str, group: list[str] | None
     return df.orderBy(draw(seed, *keys), *keys).limit(n)
 
 
+def _uniform(*parts) -> Column:
+    """A number from 0 up to 1 by a hash, with 53 bits."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / float(1 << 53)
+
+
 def oversample(df: DataFrame, weight: str, n: int, seed=0, *keys: str, group: list[str] | None = None) -> DataFrame:
-    """About n draws with replacement in proportion to weight: each row as often as its expected number, the fraction by a hashed chance.
+    """Exactly n draws with replacement in proportion to weight (n of each group), as rows of df with draw, which numbers a row's copies from 1.
 
-    The number of copies of a row is known from its weight and the total, so nothing is joined by range; group: n draws of each group.
+    Null, negative and NaN weights count as 0; a total of 0 gives no draws. keys tell rows apart and order them; rows that share keys are
+    drawn each. A draw falls on the running sum of weights: rows are dealt to blocks by a hash of their keys, the blocks' totals share the n draws out by one
+    multinomial draw (a number for each block of DRAW_BLOCK rows reaches the driver), and within a block the draws, uniform over its total, and the running sums are sorted together, so that
+    the last row before a draw is the one it hit. Nothing is joined by range.
     """
-    whole = F.sum(weight).over(Window.partitionBy(*group)) if group else None
-    rows = df.withColumn("_t", whole) if group else df.crossJoin(F.broadcast(df.agg(F.sum(weight).alias("_t"))))
-    want = F.col(weight) * n / F.col("_t")
-    chance = F.pmod(F.xxhash64(F.lit(str(seed)), *keys), F.lit(1 << 20)) / float(1 << 20)
-    times = (F.floor(want) + (chance < want - F.floor(want)).cast("int")).cast("int")
-    return rows.withColumn("_times", times).filter("_times > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_t", "_times")
+    group = group or []
+    w = F.coalesce(F.when(F.isnan(F.col(weight).cast("double")) | (F.col(weight) < 0), 0.0).otherwise(F.col(weight).cast("double")), F.lit(0.0))
+    rows = stored(df.withColumns({"_w": w, "_id": F.monotonically_increasing_id()}), "weighted")  # ids hold once they are written
+    label = F.concat_ws("\x01", *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in group]) if group else F.lit("")
+    own = rows.select(label.alias("_g"), "_id", "_w", *keys)
+    if group:
+        own = own.join(own.groupBy("_g").agg(F.ceil(F.count("*") / DRAW_BLOCK).cast("int").alias("_k")), "_g")
+    else:
+        own = own.withColumn("_k", F.lit(max(1, -(-rows.count() // DRAW_BLOCK))))
+    dealt = own.withColumn("_b", F.pmod(F.xxhash64(F.lit(str(seed)), *(keys or ["_id"])), F.col("_k")))
+    totals = dealt.groupBy("_g", "_b").agg(F.sum("_w").alias("_t")).filter("_t > 0").orderBy("_g", "_b").collect()  # a row a block
+    shares = []
+    for name, own in itertools.groupby(totals, lambda r: r["_g"]):
+        own = list(own)
+        t = np.array([r["_t"] for r in own])
+        rng = np.random.default_rng(zlib.crc32(f"{seed}|{name}".encode()))
+        shares += [(name, r["_b"], r["_t"], int(m)) for r, m in zip(own, rng.multinomial(n, t / t.sum()), strict=True) if m]
+    shares = df.sparkSession.createDataFrame(shares, "_g string, _b long, _t double, _m long")
+    darts = shares.select("_g", "_b", "_t", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))).alias("_j"))
+    darts = darts.select("_g", "_b", (_uniform(F.lit(str(seed)), "_g", "_b", "_j") * F.col("_t")).alias("_at"), F.lit(1).alias("_kind"))
+    running = Window.partitionBy("_g", "_b").orderBy(*keys, "_id")
+    begin = dealt.filter("_w > 0").withColumn("_at", F.sum("_w").over(running) - F.col("_w")).select("_g", "_b", "_at", F.lit(0).alias("_kind"), "_id")
+    board = Window.partitionBy("_g", "_b").orderBy("_at", "_kind", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    hit = begin.unionByName(darts, True).withColumn("_hit", F.last("_id", True).over(board)).filter("_kind = 1")
+    times = hit.groupBy(F.col("_hit").alias("_id")).agg(F.count("*").alias("_times"))
+    return rows.join(times, "_id").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_id", "_w", "_times")
+
+
+def equalised(df: DataFrame, group: str, seed=0, *keys: str) -> DataFrame:
+    """Each group drawn with replacement to the size of the largest, every row as likely; draw numbers a row's copies."""
+    largest = df.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    even = df.withColumn("_even", F.lit(1.0))
+    return oversample(even, "_even", largest, seed, *keys, group=[group]).drop("_even")
 
 
 def expand_grid(spark: SparkSession, tuned: dict[str, list], fixed: dict[str, list] | None = None) -> DataFrame:

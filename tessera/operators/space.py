@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import polygons
+from tessera.functions import overlay, polygons
 from tessera.functions.rings import bbox
 from tessera.functions.scalars import angle_difference, distance_score, orientation_score, penalty_score
 from tessera.sources.storage import stored
@@ -127,14 +127,14 @@ def average_offsets(matched: DataFrame, reach: float = 112.0) -> DataFrame:
 def match_by_radius(detected: DataFrame, reference: DataFrame, weightings: DataFrame, radius: float = 80.0, shapes: bool = False) -> DataFrame:
     """The best reference of each detected cell under each weighting (name, w_distance, w_orientation, w_iou); unmatched cells stay.
 
-    Both sides have wsi, cell_id, x, y, orientation; with shapes also ring, which adds the overlap of aligned polygons. Candidates are scored once and weighed by a
-    table of a few rows.
+    Both sides have wsi, cell_id, x, y, orientation; with shapes also ring (a ring or a shape with holes), which adds the overlap of polygons
+    moved to one centroid. Candidates are scored once and weighed by a table of a few rows; equal scores go to the smaller id.
     """
     more = ["ring"] if shapes else []
     left = detected.select("wsi", "cell_id", F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("orientation").alias("lo"), *more)
     right = reference.select("wsi", F.col("cell_id").alias("other_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("orientation").alias("ro"), *[F.col(c).alias(f"other_{c}") for c in more])
     pairs = near_join(left, right, radius).withColumn("distance", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).filter(F.col("distance") <= radius)
-    iou = polygons.aligned_iou(F.col("ring"), F.col("other_ring")) if shapes else F.lit(0.0)
+    iou = overlay.shape_overlap(F.col("ring"), F.col("other_ring"), True) if shapes else F.lit(0.0)
     scored = pairs.select("wsi", "cell_id", "other_id", distance_score(F.col("distance")).alias("distance_score"), orientation_score(angle_difference(F.col("lo"), F.col("ro"))).alias("orientation_score"), iou.alias("iou_score"))
     weighed = scored.crossJoin(F.broadcast(weightings)).withColumn("score", F.col("w_distance") * F.col("distance_score") + F.col("w_orientation") * F.coalesce("orientation_score", F.lit(0.0)) + F.col("w_iou") * F.col("iou_score"))
     best = Window.partitionBy("wsi", "cell_id", "name").orderBy(F.desc("score"), "other_id")
@@ -144,14 +144,18 @@ def match_by_radius(detected: DataFrame, reference: DataFrame, weightings: DataF
 
 
 def match_merged(reference: DataFrame, detected: DataFrame, radius: float = 100.0, **weights: float) -> DataFrame:
-    """The other direction: the best detected polygon of each reference by overlap less penalties, with its offset. Both have wsi, cell_id, x, y, ring, orientation, elongation."""
+    """wsi, cell_id, other_id, iou, distance, angle, score, dx, dy: the best detected polygon of each reference by overlap less penalties; unmatched ones stay.
+
+    Both have wsi, cell_id, x, y, ring (a ring or a shape with holes), orientation, elongation; equal scores go to the smaller id.
+    """
     side = lambda df, p: df.select("wsi", F.col("cell_id").alias("cell_id" if p == "l" else "other_id"), *[F.col(c).alias(f"{p}{c}") for c in ("x", "y", "ring", "orientation", "elongation")])
     pairs = near_join(side(reference, "l"), side(detected, "r"), radius).withColumn("distance", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).filter(F.col("distance") <= radius)
     angle = angle_difference(F.col("lorientation"), F.col("rorientation"))
-    scored = pairs.withColumn("iou", polygons.aligned_iou(F.col("lring"), F.col("rring"))).withColumn("score", penalty_score(F.col("iou"), F.col("distance"), angle, F.col("lelongation"), F.col("relongation"), **weights))
+    scored = pairs.withColumn("iou", overlay.shape_overlap(F.col("lring"), F.col("rring"), True)).withColumn("angle", angle)
+    scored = scored.withColumn("score", penalty_score(F.col("iou"), F.col("distance"), F.col("angle"), F.col("lelongation"), F.col("relongation"), **weights))
     best = Window.partitionBy("wsi", "cell_id").orderBy(F.desc("score"), "other_id")
     top = scored.withColumn("_r", F.row_number().over(best)).filter("_r = 1")
-    return reference.select("wsi", "cell_id").join(top.select("wsi", "cell_id", "other_id", "score", (F.col("rx") - F.col("lx")).alias("dx"), (F.col("ry") - F.col("ly")).alias("dy")), ["wsi", "cell_id"], "left")
+    return reference.select("wsi", "cell_id").join(top.select("wsi", "cell_id", "other_id", "iou", "distance", "angle", "score", (F.col("rx") - F.col("lx")).alias("dx"), (F.col("ry") - F.col("ly")).alias("dy")), ["wsi", "cell_id"], "left")
 
 
 def touching_pairs(shapes: DataFrame, size: float = 64.0) -> DataFrame:
@@ -189,6 +193,28 @@ def merge_touching(shapes: DataFrame) -> DataFrame:
     return rows.select("wsi", "component", F.transform("_m", lambda m: m["cell_id"]).alias("members"), F.transform("_m", lambda m: m["ring"]).alias("rings"))
 
 
+def merged_shapes(shapes: DataFrame, tile: float = 256.0, fan: int = 64) -> DataFrame:
+    """wsi, component, n_members, shape: the union of each group of polygons (wsi, cell_id, ring) that touch.
+
+    A union is made of unions: at most fan members of a group and tile first, then what came of four times as wide tiles, until each group is one
+    row. So no task holds a group's members, only the shapes that are left of them.
+    """
+    labels = stored(connected_labels(shapes, touching_pairs(shapes)), "groups")
+    box = bbox(F.col("ring"))
+    rows = shapes.join(labels, ["wsi", "cell_id"]).select("wsi", "component", F.lit(1).cast("long").alias("n_members"), overlay.as_shape(F.col("ring")).alias("shape"), box["xmin"].alias("x"), box["ymin"].alias("y"), F.xxhash64("cell_id").alias("salt"))
+    groups = labels.select("wsi", "component").distinct().count()
+    while True:
+        rows = rows.withColumns({"_tx": F.floor(F.col("x") / tile), "_ty": F.floor(F.col("y") / tile)})
+        keys = ["wsi", "component", "_tx", "_ty"]
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
+        dealt = rows.join(sizes, keys).groupBy(*keys, F.pmod("salt", F.ceil(F.col("_size") / fan)).alias("_part"))
+        merged = dealt.agg(F.sum("n_members").alias("n_members"), F.collect_list("shape").alias("_shapes"), F.min("x").alias("x"), F.min("y").alias("y"), F.min("salt").alias("salt"))
+        rows = stored(merged.select("wsi", "component", "n_members", overlay.union_shapes(F.col("_shapes")).alias("shape"), "x", "y", "salt"), "merged")
+        if rows.count() == groups:
+            return rows.select("wsi", "component", "n_members", "shape")
+        tile *= 4
+
+
 def broadcast_offsets(members: DataFrame, matches: DataFrame) -> DataFrame:
     """The offset of a merged group for each of its members, and matched."""
     single = members.select("wsi", "component", F.explode("members").alias("cell_id"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.pvalues import EXACT, correlation_p, exact_rank_sum_tail, normal_tail, normal_upper
+from tessera.operators.resampling import MAX_SLIDES, block_permutation_spearman, known, rhos_of_draws
 from tessera.operators.tables import BLOCKS, average_rank, quantiles
 from tessera.sources.storage import stored
 
@@ -17,67 +16,40 @@ from tessera.sources.storage import stored
 BROADCAST_DRAWS = 5_000_000
 
 
-def _known(df: DataFrame, *columns: str) -> DataFrame:
-    for c in columns:
-        df = df.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
-    return df
-
-
 def two_sided_p(rho: Column, n: Column) -> Column:
-    """The normal approximation of a correlation's p value, for the t statistic's n - 2 degrees of freedom."""
-    t = F.abs(rho) * F.sqrt((n - 2) / F.greatest(1 - rho * rho, F.lit(1e-300)))
-
-    def run(t: pd.Series, df: pd.Series) -> pd.Series:
-        def one(t: float, d: float) -> float:
-            if not d or d <= 0 or t != t:
-                return float("nan")
-            z = t * (1 - 1 / (4 * d)) / math.sqrt(1 + t * t / (2 * d)) if d < 200 else t
-            return max(1e-300, math.erfc(z / math.sqrt(2)))
-
-        return pd.Series([one(a, b) for a, b in zip(t, df, strict=True)], dtype=float)
-
-    return F.pandas_udf(run, "double")(t, (n - 2).cast("double"))
+    """A correlation's p value by Student's t with n - 2 degrees of freedom."""
+    return correlation_p(rho, n)
 
 
 def spearman(df: DataFrame, x: str, y: str, group: list[str] | None = None, min_n: int = 2) -> DataFrame:
     """n, rho (and the groups): the correlation of mid-ranks, pooled or by group."""
-    rows = average_rank(average_rank(_known(df, x, y), x, group, "_rx"), y, group, "_ry")
+    rows = average_rank(average_rank(known(df, x, y), x, group, "_rx"), y, group, "_ry")
     return rows.groupBy(*(group or [])).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho")).filter(F.col("n") >= min_n)
 
 
 def pearson_by_group(df: DataFrame, x: str, y: str, group: str = "wsi", min_n: int = 3) -> DataFrame:
-    return _known(df, x, y).groupBy(group).agg(F.count("*").alias("n"), F.corr(x, y).alias("r")).filter(F.col("n") >= min_n)
+    return known(df, x, y).groupBy(group).agg(F.count("*").alias("n"), F.corr(x, y).alias("r")).filter(F.col("n") >= min_n)
 
 
-def block_permutation_spearman(df: DataFrame, x: str, y: str, key: str, group: str = "wsi", n_perm: int = 200, seed: int = 0) -> DataFrame:
-    """rho, p_value, n: y's ranks are shuffled inside each group n_perm times; p = (exceedances + 1) / (n_perm + 1).
+def correlations_by_group(df: DataFrame, x: str, y: str, group: str = "wsi", min_n: int = 3) -> DataFrame:
+    """group, n, r, r_p, rho, rho_p: both correlations of each group with their p values."""
+    rho = spearman(df, x, y, [group], min_n)
+    both = pearson_by_group(df, x, y, group, min_n).join(rho.select(group, "rho"), group)
+    return both.withColumns({"r_p": correlation_p(F.col("r"), F.col("n")), "rho_p": correlation_p(F.col("rho"), F.col("n"))})
 
-    Only the sum of rank products differs between permutations. The k-th row of a group meets the k-th of its y ranks in the order of a hash that the permutation seeds.
-    """
-    ranked = average_rank(average_rank(_known(df, x, y), x, None, "_rx"), y, None, "_ry").select(group, F.col(key).alias("_k"), "_rx", "_ry")
-    total = ranked.agg(F.count("*").alias("n"), F.avg("_rx").alias("_mx"), F.avg("_ry").alias("_my"), F.stddev_pop("_rx").alias("_sx"), F.stddev_pop("_ry").alias("_sy"), F.corr("_rx", "_ry").alias("rho"))
-    perms = ranked.withColumn("_p", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    slots = perms.withColumn("_i", F.row_number().over(Window.partitionBy("_p", group).orderBy("_k"))).select("_p", group, "_i", "_rx")
-    drawn = perms.withColumn("_i", F.row_number().over(Window.partitionBy("_p", group).orderBy(F.xxhash64("_p", F.lit(seed), "_k"), "_k"))).select("_p", group, "_i", "_ry")
-    sums = slots.join(drawn, ["_p", group, "_i"]).groupBy("_p").agg(F.sum(F.col("_rx") * F.col("_ry")).alias("_xy"))
-    null = sums.crossJoin(F.broadcast(total)).withColumn("_r", (F.col("_xy") / F.col("n") - F.col("_mx") * F.col("_my")) / (F.col("_sx") * F.col("_sy")))
-    hits = null.agg(F.count_if(F.abs("_r") >= F.abs("rho") - 1e-12).alias("_h"))
-    return total.crossJoin(hits).select("rho", ((F.col("_h") + 1) / F.lit(n_perm + 1.0)).alias("p_value"), "n")
+
+def spread_over_groups(by_group: DataFrame, *values: str) -> DataFrame:
+    """n_groups, and mean_<value> and std_<value> (of a sample) over groups."""
+    return by_group.agg(F.count("*").alias("n_groups"), *[f(v).alias(f"{name}_{v}") for v in values for name, f in (("mean", F.avg), ("std", F.stddev_samp))])
 
 
 def stouffer_signed(per_group: DataFrame, rho: str = "rho", p: str = "p_value") -> DataFrame:
     """z, p_value, n of signed two-sided p values combined."""
 
-    def upper(p: pd.Series) -> pd.Series:
-        return p.map(lambda v: -NormalDist().inv_cdf(max(v / 2, 1e-300)))
-
-    def tail(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)))
-
-    clipped = F.greatest(F.lit(1e-300), F.least(F.col(p), F.lit(1.0)))
-    z = F.pandas_udf(upper, "double")(clipped) * F.signum(rho)
+    clipped = F.greatest(F.lit(2e-300), F.least(F.col(p), F.lit(1.0)))
+    z = normal_upper(clipped / 2) * F.signum(rho)
     out = per_group.withColumn("_z", z).agg((F.sum("_z") / F.sqrt(F.count("*"))).alias("z"), F.count("*").alias("n"))
-    return out.withColumn("p_value", F.pandas_udf(tail, "double")("z"))
+    return out.withColumn("p_value", 2 * normal_tail(F.abs("z")))
 
 
 def bootstrap_draws(spark: SparkSession, slides: list[str], n_boot: int, seed: int = 0) -> DataFrame:
@@ -127,7 +99,7 @@ def _drawn_medians(rows: DataFrame, draws: DataFrame) -> DataFrame:
 def cluster_bootstrap_median_diff(df: DataFrame, value: str, in_a: str, in_b: str, draws: DataFrame) -> DataFrame:
     """n_a, n_b, median_diff, ci_lo, ci_hi, n_valid, p_one_sided: whole slides are drawn; draws without either group are not valid."""
     sides = F.array_compact(F.array(F.when(F.col(in_a), "a"), F.when(F.col(in_b), "b")))
-    rows = _known(df, value).select("wsi", F.col(value).cast("double").alias("_v"), F.explode(sides).alias("side"))
+    rows = known(df, value).select("wsi", F.col(value).cast("double").alias("_v"), F.explode(sides).alias("side"))
     median = lambda side: F.max(F.when(F.col("side") == side, F.col("q")[0]))
     sizes = rows.agg(F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b"))
     observed = sizes.crossJoin(F.broadcast(quantiles(rows, "_v", [0.5], ["side"]).agg((median("a") - median("b")).alias("median_diff"))))  # one row each
@@ -139,7 +111,7 @@ def cluster_bootstrap_median_diff(df: DataFrame, value: str, in_a: str, in_b: st
 
 def cluster_bootstrap_corr(df: DataFrame, x: str, y: str, draws: DataFrame) -> DataFrame:
     """r, ci_lo, ci_hi, n_valid of Pearson's correlation from sums for each slide, recombined for each draw."""
-    rows = _known(df, x, y).select("wsi", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    rows = known(df, x, y).select("wsi", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     terms = {"n": F.lit(1.0), "x": F.col("_x"), "y": F.col("_y"), "xx": F.col("_x") * F.col("_x"), "yy": F.col("_y") * F.col("_y"), "xy": F.col("_x") * F.col("_y")}
     sums = rows.groupBy("wsi").agg(*[F.sum(e).alias(k) for k, e in terms.items()])
     cov = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / F.col("n")
@@ -149,8 +121,18 @@ def cluster_bootstrap_corr(df: DataFrame, x: str, y: str, draws: DataFrame) -> D
 
 
 def cluster_bootstrap_spearman(df: DataFrame, x: str, y: str, draws: DataFrame) -> DataFrame:
-    """rho, ci_lo, ci_hi, n_valid: mid-ranks are weighted by multiplicity in each draw."""
-    rows = _known(df, x, y).select("wsi", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    """rho, ci_lo, ci_hi, n_valid: whole slides are drawn; ranks are those of the drawn rows.
+
+    Up to MAX_SLIDES slides the draws are worked out from sums over slides (resampling.rank_moments), beyond that from the rows of each draw.
+    """
+    rows = known(df, x, y).select("wsi", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter(F.col("wsi").isNotNull())
+    slides = sorted(r["wsi"] for r in rows.select("wsi").distinct().limit(MAX_SLIDES + 1).collect())
+    each = rhos_of_draws(rows, draws, slides) if len(slides) <= MAX_SLIDES else _rhos_by_rows(rows, draws)
+    return spearman(rows, "_x", "_y").select("rho").crossJoin(_interval(each, "_r").drop("p_one_sided"))  # one row each
+
+
+def _rhos_by_rows(rows: DataFrame, draws: DataFrame) -> DataFrame:
+    """multiset, times, _r: every row meets every draw of its slide."""
     drawn = rows.join(_spread(draws), "wsi").withColumnRenamed("multiplicity", "_w")
 
     def ranks(v: str, name: str) -> DataFrame:
@@ -163,12 +145,12 @@ def cluster_bootstrap_spearman(df: DataFrame, x: str, y: str, draws: DataFrame)
     s = both.groupBy("multiset", "times").agg(F.sum(w).alias("n"), *[F.sum(w * e).alias(k) for k, e in {"x": F.col("_rx"), "y": F.col("_ry"), "xx": F.col("_rx") * F.col("_rx"), "yy": F.col("_ry") * F.col("_ry"), "xy": F.col("_rx") * F.col("_ry")}.items()])
     cov = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / F.col("n")
     each = s.withColumn("_r", cov("x", "y", "xy") / F.nullif(F.sqrt(cov("x", "x", "xx") * cov("y", "y", "yy")), F.lit(0.0)))
-    return spearman(rows, "_x", "_y").select("rho").crossJoin(_interval(each.filter(F.col("_r").isNotNull()), "_r").drop("p_one_sided"))
+    return each.filter(F.col("_r").isNotNull()).select("multiset", "times", "_r")
 
 
 def rank_sums(df: DataFrame, value: str, in_a: str, in_b: str, group: list[str] | None = None) -> DataFrame:
     """n_a, n_b, rank_sum of a, and ties (the sum of t^3 - t), over the rows of either group."""
-    rows = _known(df, value).filter(F.col(in_a) | F.col(in_b))
+    rows = known(df, value).filter(F.col(in_a) | F.col(in_b))
     ties = rows.groupBy(*(group or []), value).agg(F.count("*").alias("_t")).groupBy(*(group or [])).agg(F.sum(F.pow(F.col("_t").cast("double"), F.lit(3.0)) - F.col("_t")).alias("ties"))
     sums = average_rank(rows, value, group, "_r").groupBy(*(group or [])).agg(F.count_if(in_a).alias("n_a"), F.count_if(~F.col(in_a)).alias("n_b"), F.sum(F.when(F.col(in_a), F.col("_r"))).alias("rank_sum"))
     return sums.join(ties, group) if group else sums.crossJoin(ties)
@@ -181,27 +163,31 @@ def cliffs_delta(df: DataFrame, value: str, in_a: str, in_b: str, group: list[st
     return rows.select(*(group or []), "n_a", "n_b", (2 * auc - 1).alias("delta"))
 
 
-def mann_whitney(df: DataFrame, value: str, in_a: str, in_b: str) -> DataFrame:
-    """n_a, n_b, u, z, p_value (that a is greater; normal approximation with ties and continuity)."""
-    rows = rank_sums(df, value, in_a, in_b)
+def mann_whitney(df: DataFrame, value: str, in_a: str, in_b: str, group: list[str] | None = None) -> DataFrame:
+    """n_a, n_b, u, z, p_value (that a is greater), exact (and the groups, those that have both samples).
+
+    Without ties, where the smaller sample has at most EXACT rows, p is exact; else it is the normal tail of z, with ties and continuity.
+    """
+    rows = rank_sums(df, value, in_a, in_b, group).filter((F.col("n_a") > 0) & (F.col("n_b") > 0))
     a, b, n = F.col("n_a"), F.col("n_b"), F.col("n_a") + F.col("n_b")
     u = F.col("rank_sum") - a * (a + 1) / 2
-    sd = F.sqrt(a * b / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-
-    def tail(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)))
-
-    return rows.select("n_a", "n_b", u.alias("u"), ((u - a * b / 2 - 0.5) / sd).alias("z")).withColumn("p_value", F.pandas_udf(tail, "double")("z"))
+    sd = F.sqrt(a * b / 12 * ((n + 1) - F.col("ties") / F.greatest(n * (n - 1), F.lit(1))))
+    found = rows.withColumns({"u": u, "z": (u - a * b / 2 - 0.5) / F.nullif(sd, F.lit(0.0)), "exact": (F.col("ties") == 0) & (F.least("n_a", "n_b") <= EXACT)})
+    tail = F.when(F.col("exact"), exact_rank_sum_tail(F.col("n_a"), F.col("n_b"), F.col("u"))).otherwise(normal_tail(F.col("z")))
+    return found.select(*(group or []), "n_a", "n_b", "u", "z", tail.alias("p_value"), "exact")
 
 
-def drift_vs_scores(df: DataFrame, drift: str, scores: dict[str, int], key: str, n_perm: int = 200) -> DataFrame:
-    """score, rho, p_value, z, n_same_sign, n_slides of drift against each score (times its sign), pooled by permutation and combined over slides."""
+def drift_vs_scores(df: DataFrame, drift: str, scores: dict[str, int], key: str, n_perm: int = 2000, min_n: int = 20) -> DataFrame:
+    """score, n, rho, p_value, z, stouffer_p, n_same_sign, n_slides of drift against each score (times its sign): pooled with a p value by permutation, combined over slides,
+    and the slides (of min_n rows and more) whose rho has the sign of the pooled one."""
     out = None
     for name, sign in scores.items():
         rows = df.withColumn("_s", F.col(name) * sign)
-        pooled = block_permutation_spearman(rows, drift, "_s", key, n_perm=n_perm)
-        slides = spearman(rows, drift, "_s", ["wsi"], 20).withColumn("p_value", two_sided_p(F.col("rho"), F.col("n")))
-        same = slides.agg(F.count_if(F.col("rho") > 0).alias("n_same_sign"), F.count("*").alias("n_slides"))
-        one = pooled.select("rho", "p_value").crossJoin(stouffer_signed(slides).select("z")).crossJoin(same).select(F.lit(name).alias("score"), "*")
+        pooled = stored(block_permutation_spearman(rows, drift, "_s", key, n_perm=n_perm), "pooled")
+        slides = stored(spearman(rows, drift, "_s", ["wsi"], min_n).withColumn("p_value", two_sided_p(F.col("rho"), F.col("n"))), "slides")
+        signs = slides.select(F.signum("rho").alias("_sign")).crossJoin(F.broadcast(pooled.select(F.signum("rho").alias("_pooled"))))  # one row
+        same = signs.agg(F.count_if(F.col("_sign") == F.col("_pooled")).alias("n_same_sign"), F.count("*").alias("n_slides"))
+        combined = stouffer_signed(slides).select("z", F.col("p_value").alias("stouffer_p"))
+        one = pooled.crossJoin(combined).crossJoin(same).select(F.lit(name).alias("score"), "n", "rho", "p_value", "z", "stouffer_p", "n_same_sign", "n_slides")
         out = one if out is None else out.unionByName(one)
     return out

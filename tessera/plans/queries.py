@@ -467,7 +467,7 @@ def x8_mann_whitney(spark, sf_dir):
 
 @query()
 def x3_block_permutation(spark, sf_dir):
-    return stats.block_permutation_spearman(_xy(spark, sf_dir), "x", "y", "key", n_perm=200)
+    return stats.block_permutation_spearman(_xy(spark, sf_dir), "x", "y", "key")
 
 
 @query()
@@ -677,15 +677,6 @@ def a19_kde(spark, sf_dir):
     return rounded(tables.gaussian_kde(d.table(spark, sf_dir, "events"), "value", [float(i) for i in range(0, 100, 5)]), "density")
 
 
-@query()
-def g2_g5_polygons(spark, sf_dir):
-    from tessera.functions import polygons
-
-    rows = d.polygons(spark, sf_dir)
-    found = rows.withColumn("v", polygons.make_valid(F.col("ring"))).withColumn("o", polygons.orientation_elongation(F.col("ring"))).withColumn("iou", polygons.aligned_iou(F.col("ring"), F.col("ring")))
-    return found.select("wsi", "cell_id", F.size("v.parts").alias("parts"), "v.repaired", r6("o.orientation").alias("orientation"), r6("o.elongation").alias("elongation"), r6("iou").alias("iou"))
-
-
 @query()
 def e6_pca(spark, sf_dir):
     rows = d.embeddings(spark, sf_dir)

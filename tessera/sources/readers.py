@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from tessera.functions.labels import map_label
 from tessera.functions.rings import MICRONS_PER_PIXEL
 from tessera.functions.scalars import CENTER, strip_prefix
 from tessera.functions.vectors import pool_tokens
+from tessera.sources.storage import stored
 
 
 def resolve_column(columns: list[str], *parts: str) -> str:
@@ -67,19 +69,52 @@ def read_alignment(spark: SparkSession, path: str, wsi: str) -> DataFrame:
 
 
 _POINTS = "array<array<double>>"
+_GEOMETRY = "type:string,coordinates:string,geometries:string"
 
 
-def read_geojson_nuclei(spark: SparkSession, path: str, sample: str) -> DataFrame:
-    """wsi, cell_id ({sample}_cvit_{i}), label, ring of each polygon; multi-polygons give one row for each part, in order; empty ones go."""
-    schema = "features array<struct<geometry:struct<type:string,coordinates:string>,properties:struct<classification:struct<name:string>>>>"
-    features = spark.read.schema(schema).json(path, multiLine=True).select(F.posexplode("features").alias("f", "feature"))
-    text, kind = F.col("feature.geometry.coordinates"), F.col("feature.geometry.type")
+def geojson_geometries(spark: SparkSession, path: str) -> DataFrame:
+    """f, path, label, type, coordinates of each geometry that isn't a collection: collections, and collections in them, are opened level by level.
+
+    f numbers the features of all files in the order of their names; path is the places within collections. coordinates are text; null geometries stay, with a null type.
+    """
+    schema = f"features array<struct<geometry:struct<{_GEOMETRY}>,properties:struct<classification:struct<name:string>>>>"
+    files = spark.read.schema(schema).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("f", "feature"))
+    rows = files.select(F.struct("file", "f").alias("f"), F.array().cast("array<int>").alias("path"), F.col("feature.properties.classification.name").alias("label"), "feature.geometry.*")
+    done = []
+    while True:
+        done.append(rows.filter(F.coalesce(F.col("type") != "GeometryCollection", F.lit(True))).drop("geometries"))
+        inner = rows.filter(F.col("type") == "GeometryCollection").select("f", "path", "label", F.posexplode(F.from_json("geometries", f"array<struct<{_GEOMETRY}>>")).alias("i", "g"))
+        rows = stored(inner.select("f", F.concat("path", F.array("i")).alias("path"), "label", "g.*"), "geometries")
+        if not rows.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+
+
+def geojson_shapes(spark: SparkSession, path: str, sample: str) -> DataFrame:
+    """wsi, cell_id ({sample}_cvit_{i}), label, shape of each polygon in the order of the file, a row for each part of a multi-polygon, with its holes.
+
+    Geometries of other kinds and empty polygons give no row; geojson_skipped counts them. Ids are dealt by one pass over the rows' places (one slide's file).
+    """
+    rows = geojson_geometries(spark, path)
+    text, kind = F.col("coordinates"), F.col("type")
     parts = F.when(kind == "Polygon", F.array(F.from_json(text, f"array<{_POINTS}>"))).when(kind == "MultiPolygon", F.from_json(text, f"array<array<{_POINTS}>>"))
-    rows = features.select("f", F.col("feature.properties.classification.name").alias("label"), F.posexplode(parts).alias("part", "rings"))
-    ring = F.transform(F.get("rings", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    rows = rows.withColumn("ring", ring).filter(F.size("ring") >= 3)
-    number = F.row_number().over(Window.partitionBy(F.lit(sample)).orderBy("f", "part")) - 1  # one slide's file
-    return rows.select(F.lit(sample).alias("wsi"), F.concat(F.lit(f"{sample}_cvit_"), number.cast("string")).alias("cell_id"), "label", "ring")
+    rows = rows.select("f", "path", "label", F.posexplode(parts).alias("part", "rings"))
+    point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
+    rows = rows.filter(F.size(F.get("rings", F.lit(0))) >= 3).withColumn("shape", F.array(F.transform("rings", lambda r: F.transform(r, point))))
+    number = F.row_number().over(Window.partitionBy(F.lit(sample)).orderBy("f", "path", "part")) - 1
+    return rows.select(F.lit(sample).alias("wsi"), F.concat(F.lit(f"{sample}_cvit_"), number.cast("string")).alias("cell_id"), "label", "shape")
+
+
+def geojson_skipped(spark: SparkSession, path: str) -> DataFrame:
+    """type, n: geometries without a polygon - of other kinds, null ones, and polygons without a ring of three points."""
+    text, kind = F.col("coordinates"), F.col("type")
+    rings = F.when(kind == "Polygon", F.array(F.from_json(text, f"array<{_POINTS}>"))).when(kind == "MultiPolygon", F.from_json(text, f"array<array<{_POINTS}>>"))
+    whole = F.exists(F.coalesce(rings, F.array().cast(f"array<array<{_POINTS}>>")), lambda r: F.coalesce(F.size(F.get(r, F.lit(0))) >= 3, F.lit(False)))
+    return geojson_geometries(spark, path).filter(~whole).groupBy(F.coalesce("type", F.lit("none")).alias("type")).agg(F.count("*").alias("n"))
+
+
+def read_geojson_nuclei(spark: SparkSession, path: str, sample: str) -> DataFrame:
+    """wsi, cell_id, label, ring of the polygons of geojson_shapes: their shells alone."""
+    return geojson_shapes(spark, path, sample).select("wsi", "cell_id", "label", F.get(F.get("shape", F.lit(0)), F.lit(0)).alias("ring"))
 
 
 def nuclei(vertices: DataFrame, mpp: float = MICRONS_PER_PIXEL) -> DataFrame:

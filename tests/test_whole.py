@@ -69,4 +69,4 @@ def test_queries_use_the_operators_own_settings(spark, monkeypatch):
             entry.queries()[name](spark, DATA)
         except StopIteration:
             pass
-    assert seen["block_permutation_spearman"].get("n_perm", 200) == 200 and seen["logistic_fit"].get("max_iter", 100) == 100
+    assert seen["block_permutation_spearman"].get("n_perm", 2000) == 2000 and seen["logistic_fit"].get("max_iter", 100) == 100

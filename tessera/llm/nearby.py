@@ -301,18 +301,32 @@ def _grouped(classes: DataFrame, labels: DataFrame) -> DataFrame:
     return several.select("set_key", "component", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
 
 
+def _by_rows(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_duplicates of texts some of whose ids stand for several: rows are linked by numbers of their own, and components get their smallest doc_id."""
+    rows = stored(texts.withColumn("row", F.monotonically_increasing_id()), "rows")  # numbers hold once they are written
+    known = rows.filter(F.col("doc_id").isNotNull())
+    found = stored(near_duplicates(known.select(F.col("row").alias("doc_id"), "text"), k, percent), "row-components")
+    named = found.join(known.select("row", F.col("doc_id").alias("id")), F.col("doc_id") == F.col("row"))
+    smallest = named.groupBy("component_id").agg(F.min("id").alias("least"))
+    out = named.join(smallest, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+    others = rows.filter(F.col("doc_id").isNull()).select("doc_id", F.size(shingles(F.col("text"), k)).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return out.unionByName(others).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (doc_id = component_id), a row per row.
 
     Documents are linked whose sets of k-word shingles have a similarity of percent or more. A text that is null or has no words has an empty set, is linked
-    with nothing, and stands for itself. doc_id identifies a text: rows that repeat it must repeat the text, and each gets
-    its row. A null doc_id is linked with nothing, has a null component and is kept. Other columns are ignored.
+    with nothing, and stands for itself. Rows that repeat a doc_id get a row each; where their texts differ each is linked for itself (every row then has a number of its
+    own, and a component is named after its smallest doc_id). A null doc_id is linked with nothing, has a null component and is kept. Other columns are ignored.
     """
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = texts.select(F.col("doc_id").cast("string"), shingles(F.col("text"), k).alias("shingles"))
     signed = sets.mapInPandas(_signed, "doc_id string, n int, set_key binary, signature array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
     signed = stored(signed, "signatures")
     full = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    if full.groupBy("doc_id").agg((F.min("set_key") != F.max("set_key")).alias("differ")).filter("differ").limit(1).count():
+        return _by_rows(texts, k, percent)
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"))
     first = full.join(classes, (full["set_key"] == classes["set_key"]) & (full["doc_id"] == classes["doc"]), "left_semi")
     lists = stored(_postings(first.withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"])), "postings")

@@ -146,12 +146,12 @@ def segment(distinct: Iterable[str], vocab: Vocabulary) -> dict[str, tuple[int,
             score.append(best)
             last.append(own)
             at.append(node)
-        end, ids = len(word) + 1, ()
+        end, taken = len(word) + 1, []
         while end:
             own = last[end]
-            ids = own[2] + ids
+            taken.append(own[2])
             end -= own[0]
-        found[word] = ids
+        found[word] = tuple(i for ids in reversed(taken) for i in ids)
         before, shared = word, 0
     return found
 

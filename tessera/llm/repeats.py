@@ -7,7 +7,7 @@ run of bytes. Anchors that only one document holds cannot match and are dropped
 A shard of the index is a family of levels, each a suffix array: distinct suffixes, sorted, each with the smallest document that
 holds it. The contents of a shard's runs come in the order of their smallest documents and are cut into batches. A new batch gets its suffix array and
 is merge-scanned against every level, smallest documents first found: a suffix that a level holds has its match there, the others are
-new and become a level of their own; levels of about equal size are merged, so there are never more than a logarithm of them. As batches
+new and become a level of their own; a level that has not twice the next one's suffixes is merged with it, so there are never more than a logarithm of them. As batches
 come in order, no later batch changes what an earlier one found. Runs whose anchor has one content in the whole corpus
 need no suffixes: the content is their match.
 
@@ -40,6 +40,8 @@ RUN = 64
 GROUP_BYTES, MOST_GROUP_BYTES, STEP_BYTES = 4 << 20, 16 << 20, 1 << 17
 #: Groups from which on an anchor is hot, and contents of a batch.
 HOT_GROUPS, BATCH = 256, 8192
+#: A level this many times as long as a batch is searched, not merged with it.
+MERGE_RATIO = 8
 NO_DOC = np.iinfo(np.int64).max
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -254,8 +256,26 @@ def suffixes(contents: list[bytes], length: int = LENGTH) -> np.ndarray:
 Level = tuple[np.ndarray, np.ndarray]
 
 
+def merge_scan(known: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place in known, whether it holds the suffix) of each suffix of own; both are in order and without repeats.
+
+    The two are merged as two runs of one sequence; where known is many times as long, each suffix is looked up by bisection instead, which reads less.
+    """
+    if len(known) > MERGE_RATIO * len(own):
+        at = np.searchsorted(known, own)
+        at[at == len(known)] = 0
+        return at, known[at] == own
+    order = np.argsort(np.concatenate([known, own]), kind="stable")  # of equal ones, known's comes first
+    mine = order >= len(known)
+    at = np.maximum(np.cumsum(~mine)[mine] - 1, 0)
+    return at, known[at] == own if len(known) else np.zeros(len(own), bool)
+
+
 class SuffixFamily:
-    """Levels of sorted distinct suffixes with the smallest document of each; batches come in the order of their documents."""
+    """Levels of sorted distinct suffixes with the smallest document of each; batches come in the order of their documents.
+
+    A level has at least twice as many suffixes as the next: a smaller one is merged with it, so there are never more than the logarithm of their number.
+    """
 
     def __init__(self) -> None:
         self.levels: list[Level] = []
@@ -267,14 +287,12 @@ class SuffixFamily:
         np.minimum.at(smallest, place, docs)
         new = np.ones(len(own), bool)
         for known, its_docs in self.levels:
-            at = np.searchsorted(known, own)  # both in order: a merge scan
-            at[at == len(known)] = 0
-            hit = known[at] == own if len(known) else np.zeros(len(own), bool)
+            at, hit = merge_scan(known, own)
             smallest[hit] = np.minimum(smallest[hit], its_docs[at[hit]])
             new &= ~hit
         if new.any():
             self.levels.append((own[new], smallest[new]))
-            while len(self.levels) > 1 and len(self.levels[-2][0]) <= len(self.levels[-1][0]):
+            while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
                 self.levels.append(self.merged(self.levels.pop(), self.levels.pop()))
         return smallest[place]
 

@@ -1,4 +1,4 @@
-"""op11, op12 and op13 against brute force, on odd rows and on held-out rows."""
+"""op11, op12 and op13 against brute force, on odd rows and on held-out rows; levels, long words and repeated ids of earlier operators."""
 
 import hashlib
 import heapq
@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tessera.llm import alignment, dialogue, kernel
+from tessera.llm import alignment, dialogue, kernel, nearby, pieces, repeats
 
 # ---- op11
 
@@ -225,3 +225,41 @@ def test_byte_level_ids_are_the_files_own():
     points = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
     texts = [f"a{c}1{c} {c}b{c}{c}!{c}" for c in points]
     assert vocab.encode(texts).to_pylist() == [x.ids for x in own.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+
+
+# ---- earlier operators
+
+
+@pytest.mark.parametrize("ratio", [0, 8, 10**9])
+def test_levels_stay_few_when_batches_shrink(monkeypatch, ratio):
+    monkeypatch.setattr(repeats, "MERGE_RATIO", ratio)
+    family, rng, seen = repeats.SuffixFamily(), np.random.default_rng(1), {}
+    for batch in range(60):
+        own = np.array([rng.integers(97, 123, 50, dtype=np.uint8).tobytes() for _ in range(300 - 4 * batch)] + list(seen)[:20], "S50")
+        docs = np.full(len(own), batch)
+        for x in own.tolist():
+            seen.setdefault(x, batch)
+        assert family.add(own, docs).tolist() == [seen[x] for x in own.tolist()]
+        sizes = [len(a) for a, _ in family.levels]
+        assert sum(sizes) == len(seen) and len(sizes) <= np.log2(len(seen)) + 1 and all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    assert len(family.levels) <= 6
+
+
+def test_a_word_of_a_million_characters_takes_seconds():
+    import time
+
+    vocab = pieces.vocabulary(pieces.DEFAULT_MODEL)
+    rng = random.Random(0)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    began = time.time()
+    (ids,) = pieces._ids([text], vocab)
+    assert time.time() - began < 30 and pieces.decode_ids(ids, vocab) == text
+
+
+def test_near_duplicates_of_ids_that_stand_for_several_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "quite another text of its own with some words"), (1, base + " x y z"), (2, base), (2, base), (3, None), (3, "alone here with a few more words"), (None, base), (7, base + " x")]
+    df = spark.createDataFrame([(*r, 1, True) for r in rows], "doc_id long, text string, row int, kept boolean")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in nearby.near_duplicates(df, 4, 80).collect())
+    want = Counter([(1, 6, 1, True), (1, 60, 1, True), (2, 57, 1, False), (2, 57, 1, False), (3, 0, 3, True), (3, 4, 3, True), (None, 57, None, True), (7, 58, 1, False)])
+    assert got == want

@@ -34,6 +34,27 @@ def join_expression(cells: DataFrame, expression: DataFrame) -> DataFrame:
     return cells.withColumn("barcode", barcode(F.col("cell_id"))).join(expression, ["wsi", "barcode"])
 
 
+def positions_expression(cells: DataFrame, expression: DataFrame) -> DataFrame:
+    """wsi, cell_id, x, y, gene, count of the cells with a position whose barcode has counts."""
+    placed = cells.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select("wsi", "cell_id", "x", "y")
+    return join_expression(placed, expression).select("wsi", "cell_id", "x", "y", "gene", "count")
+
+
+def attach_coords(predictions: DataFrame, cells: DataFrame) -> DataFrame:
+    """predictions with x, y and located; a cell that stands in several rows of cells counts with its first position (by x, then y), so that no prediction is doubled."""
+    at = cells.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("wsi", "cell_id").agg(F.min(F.struct("x", "y")).alias("_at"))
+    rows = predictions.join(at, ["wsi", "cell_id"], "left")
+    return rows.withColumns({"x": F.col("_at.x"), "y": F.col("_at.y"), "located": F.col("_at").isNotNull()}).drop("_at")
+
+
+def availability_vs_score(scores: DataFrame, counts: DataFrame, keys: list[str], label: str = "label") -> DataFrame:
+    """scores (keys, label, value) with the rows n that training had of the class, 0 where it had none, and proportion of the run's rows; null without a run."""
+    whole = counts.groupBy(*keys).agg(F.sum("n").alias("_whole"))
+    rows = scores.join(counts.select(*keys, label, F.col("n").alias("_n")), [*keys, label], "left").join(whole, keys, "left")
+    n = F.when(F.col("_whole").isNotNull(), F.coalesce("_n", F.lit(0)))
+    return rows.withColumn("n", n).withColumn("proportion", F.col("n") / F.nullif(F.col("_whole"), F.lit(0))).drop("_n", "_whole")
+
+
 def drift(unmasked: DataFrame, masked: DataFrame, vector: str = "vector") -> DataFrame:
     """wsi, cell_id, drift: cosine distance of the same cell under two conditions."""
     other = masked.select("wsi", "cell_id", F.col(vector).alias("_m"))

@@ -194,13 +194,13 @@ def best_of_grid(trials: DataFrame, metric: str = "macro_f1") -> DataFrame:
     return select_best_trial(trials.withColumn("_k", F.lit(0)), ["_k"], metric).drop("_k")
 
 
-def score_patches(df: DataFrame, encoder: Callable[[], Callable[[pd.DataFrame], list]], columns: list[str], keep: list[str]) -> DataFrame:
-    """keep, embedding, error of each patch: encoder() is made once for each partition and called with batches; a batch that fails says why and the run goes on."""
+def score_patches(df: DataFrame, encoder: Callable[[], Callable[[pd.DataFrame], list]], columns: list[str], keep: list[str], batch: int = 256) -> DataFrame:
+    """keep, embedding, error of each patch: encoder() is made once for each partition and called with batches of so many rows; a batch that fails says why and the run goes on."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", embedding array<float>, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder()
-        for pdf in batches:
+        for pdf in (rows.iloc[i : i + batch] for rows in batches for i in range(0, len(rows), batch)):
             out = pdf[keep].copy()
             try:
                 out["embedding"], out["error"] = encode(pdf[columns]), None

@@ -231,6 +231,18 @@ def tile_groups(cells: DataFrame, width, height, size: int = 224, core: int = 11
     return rows.groupBy("wsi", "_cx", "_cy", "patch_x", "patch_y").agg(F.array_sort(F.collect_list(one)).alias("cells")).drop("_cx", "_cy")
 
 
+def expand_tiles(slides: DataFrame, size: int, stride: int, edge: bool = True) -> DataFrame:
+    """slides (wsi, width, height) with x0, y0 of each tile of a grid: whole tiles every stride, and with edge one more at the far side where the grid leaves a rest. Slides smaller than a tile have none."""
+
+    def starts(extent: Column) -> Column:
+        last = extent - size
+        whole = F.sequence(F.lit(0).cast("long"), last, F.lit(stride).cast("long"))
+        rest = F.when((last % stride > 0) & F.lit(edge), F.array(last)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(last >= 0, F.concat(whole, rest)).otherwise(F.array().cast("array<bigint>"))
+
+    return slides.withColumn("x0", F.explode(starts(F.col("width").cast("long")))).withColumn("y0", F.explode(starts(F.col("height").cast("long"))))
+
+
 def cells_on_bad_tiles(cells: DataFrame, bad_tiles: DataFrame, tile: int, crop: int) -> DataFrame:
     """Cells (wsi, cell_id, x0, y0 of their crop) whose crop meets a bad tile (wsi, col, row)."""
     span = lambda c: F.sequence(F.floor(F.col(c) / tile), F.floor((F.col(c) + crop - 1) / tile))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import format_mean_std
+
 #: Blocks that a column's distinct values are cut into.
 BLOCKS = 64
 
@@ -277,6 +279,38 @@ def union_all(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def intersection(keys: list[str], *parts: DataFrame) -> DataFrame:
+    """The keys that every part has, once each; nulls are equal."""
+    return reduce(DataFrame.intersect, [p.select(*keys) for p in parts])
+
+
+def difference(keys: list[str], expected: DataFrame, present: DataFrame) -> DataFrame:
+    """keys, side: what is expected and missing, and what is present and not expected, once each; nulls are equal."""
+    a, b = expected.select(*keys), present.select(*keys)
+    return a.subtract(b).withColumn("side", F.lit("missing")).unionByName(b.subtract(a).withColumn("side", F.lit("unexpected")))
+
+
+def advantage(df: DataFrame, key: list[str], condition: str, baseline, metric: str) -> DataFrame:
+    """condition, mean, base_mean, diff_mean, diff_std, diff_n and relative (the mean difference in shares of the baseline's mean) of each condition but the baseline, over the keys that both have."""
+    base = df.filter(F.col(condition) == baseline).select(*key, F.col(metric).alias("_base"))
+    both = df.filter(F.col(condition) != baseline).join(base, key).filter(F.col(metric).isNotNull() & F.col("_base").isNotNull()).withColumn("_d", F.col(metric) - F.col("_base"))
+    out = both.groupBy(condition).agg(F.avg(metric).alias("mean"), F.avg("_base").alias("base_mean"), F.avg("_d").alias("diff_mean"), F.stddev_samp("_d").alias("diff_std"), F.count("*").alias("diff_n"))
+    out = out.withColumn("diff_std", F.when(F.col("diff_n") == 1, F.lit(0.0)).otherwise(F.col("diff_std")))
+    return out.withColumn("relative", F.col("diff_mean") / F.nullif(F.abs("base_mean"), F.lit(0.0)))
+
+
+def layout(df: DataFrame, row: str, column: str, values: list, metric: str, expected: int) -> DataFrame:
+    """row, and a text "mean +/- std" (with n of expected where some are missing, - without any) for each of the column's values."""
+    stats = mean_std_n(df.filter(F.col(column).isin(values)), [row, column], metric)
+    text = stats.withColumn("_t", format_mean_std(F.col("mean"), F.col("std"), F.col("n"), expected))
+    return text.groupBy(row).pivot(column, values).agg(F.first("_t")).na.fill("-", [str(v) for v in values])
+
+
+def ordered(df: DataFrame, *order: Column) -> DataFrame:
+    """A report's rows with their position, from 1; reports are small, so one task numbers them."""
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+
+
 def fold_change(df: DataFrame, key: list[str], condition: str, baseline, metric: str) -> DataFrame:
     """condition, mean, std, n of each fold's ratio to the baseline's; ratios that are infinite or null are left out, and where none is left the ratio of means stands."""
     base = df.filter(F.col(condition) == baseline).select(*key, F.col(metric).alias("_b"))

@@ -166,7 +166,7 @@ def with_native_id(cells: DataFrame) -> DataFrame:
     """cells with native_cell_id: the slide's prefix is stripped on slides where any id has it."""
     prefix = F.concat(F.col("wsi"), F.lit("_"))
     has = cells.groupBy("wsi").agg(F.max(F.startswith("cell_id", prefix)).alias("_has"))
-    rows = cells.join(F.broadcast(has), "wsi")  # a row per slide
+    rows = cells.join(has, "wsi")
     return rows.withColumn("native_cell_id", F.when(F.col("_has"), strip_prefix(F.col("cell_id"), prefix)).otherwise(F.col("cell_id"))).drop("_has")
 
 
@@ -174,12 +174,46 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return with_native_id(read_cells(spark, path))
 
 
-def _documents(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root).select("path", "content")
+def _documents(spark: SparkSession, root: str, glob: str, segments: list[str], where: dict[str, list[str]] | None = None) -> DataFrame:
+    """path and content of the files whose folder path below root has these segments; only folders that where names are listed."""
+    unknown = set(where or {}) - set(segments)
+    if unknown:
+        raise KeyError(f"no segments {sorted(unknown)} in {segments}")
+    folders = ["{" + ",".join(where[s]) + "}" if s in (where or {}) else "*" for s in segments]
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load("/".join([root.rstrip("/"), *folders]))
+    return rows.select("path", "content")
 
 
-def read_runs(spark: SparkSession, root: str, segments: list[str], glob: str = "*.yaml") -> DataFrame:
-    """The segments of each YAML file's folder path and its numbers as metrics, a map of dotted names."""
+def _segments(segments: list[str]) -> list[Column]:
+    """The segments of a path's folders; of a folder named name=value the value."""
+    parts = F.split("path", "/")
+    return [F.regexp_replace(F.element_at(parts, i - len(segments) - 1), "^[^=]*=", "").alias(s) for i, s in enumerate(segments)]
+
+
+def read_probe_runs(spark: SparkSession, root: str, segments: list[str], glob: str = "*.yaml", where: dict[str, list[str]] | None = None) -> DataFrame:
+    """segments, probe, skipped, reason, metrics (a map) of each probe of each run's YAML file, skipped ones too: {probe: {skipped, reason, name: number ...}}."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                for probe, record in (yaml.safe_load(bytes(content)) or {}).items():
+                    record = record or {}
+                    numbers = {k: float(v) for k, v in record.items() if isinstance(v, int | float) and not isinstance(v, bool)}
+                    rows.append((path, probe, bool(record.get("skipped", False)), record.get("reason"), numbers))
+            yield pd.DataFrame(rows, columns=["path", "probe", "skipped", "reason", "metrics"])
+
+    rows = _documents(spark, root, glob, segments, where).mapInPandas(run, "path string, probe string, skipped boolean, reason string, metrics map<string,double>")
+    return rows.select(*_segments(segments), "probe", "skipped", "reason", "metrics")
+
+
+def read_runs(spark: SparkSession, root: str, segments: list[str], glob: str = "*.yaml", where: dict[str, list[str]] | None = None) -> DataFrame:
+    """The segments of each YAML file's folder path and its numbers as metrics, a map of dotted names.
+
+    where names the values of some segments: other folders are not listed, so that a part of a large tree is read without walking it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
@@ -194,10 +228,8 @@ def read_runs(spark: SparkSession, root: str, segments: list[str], glob: str = "
         for pdf in batches:
             yield pd.DataFrame({"path": pdf["path"], "metrics": [dict(flat("", yaml.safe_load(bytes(c)) or {})) for c in pdf["content"]]})
 
-    rows = _documents(spark, root, glob).mapInPandas(run, "path string, metrics map<string,double>")
-    parts = F.split("path", "/")
-    n = len(segments)
-    return rows.select("path", *[F.element_at(parts, i - n - 1).alias(s) for i, s in enumerate(segments)], "metrics")
+    rows = _documents(spark, root, glob, segments, where).mapInPandas(run, "path string, metrics map<string,double>")
+    return rows.select("path", *_segments(segments), "metrics")
 
 
 def long_metrics(runs: DataFrame, prefix: str, name: str) -> DataFrame:

@@ -46,6 +46,13 @@ def append(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
+def write_summary(trials: DataFrame, path: str, keys: list[str], metric: str, *partitions: str) -> None:
+    """Appends the best trial of each run (keys) by a metric, with all its settings and metrics, the smaller trial_idx where two are alike, and n_trials."""
+    best = F.max_by(F.struct(*[c for c in trials.columns if c not in keys]), F.struct(F.col(metric), -F.col("trial_idx")))
+    rows = trials.filter(F.col(metric).isNotNull()).groupBy(*keys).agg(best.alias("_b"), F.count("*").alias("n_trials"))
+    append(rows.select(*keys, "_b.*", "n_trials"), path, *partitions)
+
+
 def decoded_predictions(df: DataFrame, codes: DataFrame) -> DataFrame:
     """true_label and predicted_label by name (codes: label, code), and correct."""
     true, pred = codes.select(F.col("code").alias("true_code"), F.col("label").alias("true_label")), codes.select(F.col("code").alias("predicted_code"), F.col("label").alias("predicted_label"))

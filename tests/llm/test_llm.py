@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -143,27 +144,39 @@ def test_secrets_of_repeats_and_empty_tables(spark):
 # ---- op4
 
 
-def test_grammar_states():
-    score = lambda text: toxicity.clause_score((w, 2.0 if w == "idiot" else 0.0) for w in text.split())
-    assert score("you idiot") > score("an idiot") > score("she wrote idiot") > 0 and score("not an idiot") < score("an idiot")
-    assert score("i will kill you") > 0 == score("kill the lights")
+def by_class(text, names=tuple(toxicity.TRANSDUCERS)):
+    found = toxicity.clause_weights([(w, 2.0 if w == "idiot" else 0.0) for w in text.split()], names)
+    return {c: v for c, v in zip(toxicity.CLASSES, found, strict=True) if v}
+
+
+def test_grammar_classes():
+    assert by_class("an idiot") == {"plain": 2.0} and by_class("idiot") == {} == by_class("the cat") == by_class("")
+    assert by_class("you idiot") == by_class("idiot you") == {"addressed": 2.0} and by_class("the idiot saw an idiot") == {"plain": 4.0}
+    assert by_class("not an idiot") == by_class("you are not an idiot") == {"negated": 2.0} and by_class("she said not an idiot") == {"reported": 2.0}
+    assert by_class("i will kill you") == {"threat": 3.0} and by_class("kill the lights") == {} == by_class("kill a b c d you") and by_class("never kill you") == {"negated": 3.0}
 
 
 def apart(tokens):
     """The five transducers one after the other: each writes a row for each word, and the rows are put together at the end."""
-    rows = []
+    total = dict.fromkeys(toxicity.CLASSES, 0.0)
+    rows = {}
     for name, machine in toxicity.TRANSDUCERS.items():
-        state, out = machine.start, []
+        state, rows[name] = machine.start, []
         for word, weight in tokens:
             state, write = machine.table[state, toxicity.symbols(word, weight)[name]]
-            out.append(write)
-        rows.append(out)
-    total, last = 0.0, 0.0
-    for (_, weight), writes in zip(tokens, zip(*rows, strict=True), strict=True):
-        own, every = np.prod([w.own for w in writes]), np.prod([w.all for w in writes])
-        total += last * sum(w.last for w in writes) + every * (own * weight + sum(w.plus for w in writes))
-        last = every * own * weight if weight > 0 else last
-    return total
+            rows[name].append(write)
+    last = None
+    for i, (_, weight) in enumerate(tokens if len(tokens) > 1 else []):
+        if rows["target"][i].after_all and last and last[0] == "plain":
+            total["plain"] -= last[1]
+            total["addressed"] += last[1]
+            last = None
+        insult, threat = rows["insult"][i].insult, rows["threat"][i].threat
+        if insult or threat:
+            own = "reported" if rows["report"][i].reported else "negated" if rows["negation"][i].negated else "threat" if threat else "addressed" if rows["target"][i].addressed else "plain"
+            total[own] += weight if insult else toxicity.THREAT_WEIGHT
+            last = (own, weight) if insult else last
+    return list(total.values())
 
 
 def test_composed_machine_is_the_five():
@@ -171,19 +184,51 @@ def test_composed_machine_is_the_five():
     pool = ["idiot", "fool", "kill", "you", "her", "not", "never", "said", "the", "cat", "x" * 60]
     for _ in range(500):
         clause = [(w, 2.5 if w in ("idiot", "fool", "x" * 60) else 0.0) for w in rng.choices(pool, k=rng.randrange(0, 14))]
-        assert abs(toxicity.clause_score(clause) - apart(clause)) < 1e-9
+        assert np.allclose(toxicity.clause_weights(clause), apart(clause))
 
 
-def test_each_transducer_does_its_part():
+def test_each_transducer_decides_held_out_scores():
+    """Texts whose label hangs on each transducer in turn: without it they are told apart less well."""
+    rng = random.Random(3)
+    fill = lambda n: " ".join(rng.choice("stone river lamp table window garden paper cloud".split()) for _ in range(n))
+    toxic = [lambda: f"{fill(4)} you idiot {fill(3)}", lambda: f"{fill(3)} i will kill you {fill(2)}", lambda: f"{fill(3)} such an idiot {fill(4)}"]
+    clean = [lambda: f"{fill(2)} not an idiot {fill(3)}", lambda: f"{fill(2)} she said an idiot {fill(2)}", lambda: f"{fill(2)} kill the lights {fill(4)}", lambda: f"{fill(3)} i will see you {fill(2)} such {fill(2)}", lambda: f"{fill(3)}. idiot. {fill(3)}"]
+    pick = lambda y: rng.choice(toxic) if y else rng.choices(clean, [4, 4, 15, 76, 1])[0]
+    rows = [(f"{fill(6)}. {pick(y)()}. {fill(5)}", y) for y in (int(rng.random() < 0.5) for _ in range(3000))]
+    train, held = rows[:1800], rows[1800:]
+
+    def loss(names):
+        model, kept = toxicity.fit([t for t, _ in train], [y for _, y in train], names), {}
+        p = [model.probability(toxicity.features(t, model.lexicon.weight, kept, names)) for t, _ in held]
+        return -np.mean([np.log(max(1e-9, q if y else 1 - q)) for q, (_, y) in zip(p, held, strict=True)]), np.mean([(q >= 0.5) == y for q, (_, y) in zip(p, held, strict=True)])
+
     every = tuple(toxicity.TRANSDUCERS)
-    without = lambda n: tuple(x for x in every if x != n)
-    score = lambda text, names=every: toxicity.clause_score([(w, 2.0 if w == "idiot" else 0.0) for w in text.split()], names)
-    assert score("an idiot") == 2.0 and score("the cat") == 0.0
-    assert score("you idiot") == score("idiot you") == 3.0 and score("you idiot", without("target")) == 2.0
-    assert score("not an idiot") == 1.0 and score("not an idiot", without("negation")) == 2.0
-    assert abs(score("she said an idiot") - 1.4) < 1e-9 and score("she said an idiot", without("report")) == 2.0
-    assert score("i will kill you") == 3.0 and score("i will kill you", without("threat")) == 0.0
-    assert score("kill a b c d you") == 0.0 and score("never kill you") == 1.5
+    whole, right = loss(every)
+    assert right > 0.95
+    for name in ("insult", "negation", "report", "threat"):
+        assert loss(tuple(n for n in every if n != name))[0] > whole + 0.01, name
+    # addressed insults differ from plain ones only where the labels make them differ
+    rows = [(f"{fill(5)}. {fill(3)} {'you idiot' if y else 'the idiot'} {fill(3)}", y) for y in (i % 2 for i in range(1200))]
+    train, held = rows[:800], rows[800:]
+    kept = {}
+    model = toxicity.Model(toxicity.Lexicon({"idiot": 2.0}), toxicity._logistic(np.array([toxicity.features(t, lambda w: 2.0 * (w == "idiot"), kept) for t, _ in train]), np.array([float(y) for _, y in train])))
+    assert np.mean([(model.probability(toxicity.features(t, model.lexicon.weight, {})) >= 0.5) == y for t, y in held]) > 0.97
+    alone = tuple(n for n in every if n != "target")
+    assert len({toxicity.features(t, model.lexicon.weight, {}, alone) for t, _ in held}) == 1
+
+
+def test_whole_documents_are_scored_by_the_five(spark):
+    model = toxicity.Model(toxicity.Lexicon({"idiot": 2.0, "scum": 3.0}), (-2.0, 1.0, 0.3, 0.3, -0.5, -0.3, 0.1, 0.5))
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["Idiot", "scum", "you", "not", "said", "kill", "her", "the.", "cat;", "a\n", "b!"]) for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs(spark, list(enumerate(texts))), model).collect()}
+    for i, text in enumerate(texts):
+        clauses = [[(w, model.lexicon.weights.get(w, 0.0)) for w in re.findall(r"[a-z]+", c)] for c in re.split(r"[.!?;:\n]+", text.lower())]
+        found = [apart(c) for c in clauses]
+        sums = np.sum(found, axis=0)
+        n = sum(map(len, clauses))
+        x = [np.log1p(sums.sum()), *np.log1p(sums[1:]), max(map(sum, found)), sum(any(f) for f in found) / np.sqrt(n + 1)] if n else [0.0] * 7
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.beta[0] + np.dot(model.beta[1:], x))))) < 1e-9
 
 
 def test_long_words_are_learned(spark):

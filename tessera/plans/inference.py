@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import sampling, stats
+from tessera.operators import epochs, sampling, stats
 from tessera.plans import domain as d
 from tessera.plans.domain import CELLS
 from tessera.plans.queries import _XY, _xy, query, rounded
@@ -91,3 +91,21 @@ def m8_weighted_draws(spark, sf_dir):
     far = 5 * F.sqrt(F.lit(n) * p * (1 - p))
     within = (F.col("_max") - n * p <= far) & (n * p - F.col("_min") <= far)
     return whole.select("n_drawn", F.lit(strangers).alias("n_strangers"), within.alias("all_within"), "n_types")
+
+
+@query()
+def e4_e5_epochs(spark, sf_dir):
+    """A linear and a hidden head, 30 epochs, rows weighted against their label's share; how often each is right by label."""
+    rows = d.embeddings(spark, sf_dir)
+    labels = sorted(r["label"] for r in rows.select("label").distinct().collect())  # a row a label
+    sizes = rows.groupBy("label").agg(F.count("*").alias("size"))
+    coded = rows.join(F.broadcast(sizes), "label").withColumn("code", F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1).withColumn("weight", F.lit(1.0) / F.col("size"))
+    mean = coded.agg(F.avg("weight")).first()[0]
+    coded = coded.withColumn("weight", F.col("weight") / mean)
+    out = None
+    for name, hidden in (("linear", []), ("hidden", [32])):
+        head = epochs.train_epochs(coded, len(labels), ["cell_id"], "vector", weight="weight", hidden=hidden)
+        found = epochs.predict(head, rows, labels, "vector").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("predicted_label")).alias("right"), F.round(F.avg("prob"), 4).alias("mean_prob"))
+        one = found.select(F.lit(name).alias("head"), "label", "n", "right", "mean_prob", F.lit(round(head.losses[-1], 4)).alias("loss"))
+        out = one if out is None else out.unionByName(one)
+    return out

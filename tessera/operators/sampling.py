@@ -9,8 +9,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.tables import _with_group
 from tessera.sources.storage import stored
 
+#: Letters of a draw's md5 that name a row's block within its group: 4,096 blocks.
+LETTERS = 3
 #: Rows of a block whose weights are summed in order by one task.
 DRAW_BLOCK = 100_000
 
@@ -21,7 +24,16 @@ def draw(seed, *keys: str) -> Column:
 
 
 def _numbered(df: DataFrame, group: list[str], order: Column, *ties: str) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(order, *ties)))
+    """df with _r, the place within its group by a draw and ties, and _n, the group's rows.
+
+    Rows are dealt into blocks of their group by the draw's first LETTERS letters, and the blocks' sizes are added up, so that no window spans a group.
+    """
+    blocks = df.withColumn("_o", order).withColumn("_k", F.substring("_o", 1, LETTERS))
+    sizes = blocks.groupBy(*group, "_k").agg(F.count("*").alias("_c"))
+    own = Window.partitionBy(*(group or [F.lit(0)]))  # at most 16 ** LETTERS rows a group
+    before = sizes.withColumns({"_before": F.coalesce(F.sum("_c").over(own.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_c").over(own)}).drop("_c")
+    placed = blocks.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_k").orderBy("_o", *ties)))
+    return _with_group(placed, before if group else F.broadcast(before), [*group, "_k"]).withColumn("_r", F.col("_r") + F.col("_before")).drop("_o", "_k", "_before")
 
 
 def sample_proportion(cells: DataFrame, proportions: DataFrame, seed=0) -> DataFrame:
@@ -29,13 +41,12 @@ def sample_proportion(cells: DataFrame, proportions: DataFrame, seed=0) -> DataF
     n = cells.groupBy("wsi").agg(F.count("*").alias("_n"))
     plan = proportions.join(n, "wsi", "left").withColumn("_keep", F.when(F.col("_n").isNull(), F.raise_error(F.concat(F.lit("no usable cells in "), F.col("wsi"))).cast("long")).otherwise(F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("proportion")))))
     rows = plan.select("wsi", "_keep").join(cells, "wsi", "left")  # a slide without cells stays, so that it raises
-    return _numbered(rows, ["wsi"], draw(seed, "wsi", "cell_id"), "cell_id").filter(F.col("_r") <= F.col("_keep")).drop("_r", "_keep")
+    return _numbered(rows, ["wsi"], draw(seed, "wsi", "cell_id"), "cell_id").filter(F.col("_r") <= F.col("_keep")).drop("_r", "_n", "_keep")
 
 
 def sample_cell_types(cells: DataFrame, proportions: DataFrame, seed=0, label: str = "cell_type") -> DataFrame:
     """Of each type of a slide max(1, floor(n * p)) cells; p 0 leaves the type out, a type that isn't listed stays whole."""
-    n = F.count("*").over(Window.partitionBy("wsi", label))
-    rows = cells.withColumn("_n", n).join(proportions.select("wsi", label, "proportion"), ["wsi", label], "left").withColumn("proportion", F.coalesce("proportion", F.lit(1.0)))
+    rows = cells.join(proportions.select("wsi", label, "proportion"), ["wsi", label], "left").withColumn("proportion", F.coalesce("proportion", F.lit(1.0)))
     keep = F.when(F.col("proportion") <= 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.col("_n") * F.col("proportion"))))
     return _numbered(rows, ["wsi", label], draw(seed, "wsi", "cell_id"), "cell_id").filter(F.col("_r") <= keep).drop("_r", "_n", "proportion")
 
@@ -61,16 +72,9 @@ def loso_folds(spark: SparkSession, slides: list[str], always_train: list[str] =
 def random_split(df: DataFrame, keys: list[str], fractions: dict[str, float], seed=0, group: list[str] | None = None) -> DataFrame:
     """df with side: rows in the order of a draw, cut at int(n * cumulated fraction); the last side takes the rest.
 
-    group: rows are cut within groups. Without one, rows are first dealt into blocks by their draw's first letters, so that no window spans all rows.
+    group: rows are cut within groups.
     """
-    order = draw(seed, *keys)
-    if group:
-        rows = _numbered(df.withColumn("_n", F.count("*").over(Window.partitionBy(*group))), group, order, *keys)
-    else:
-        blocks = df.withColumn("_o", order).withColumn("_k", F.substring("_o", 1, 2))
-        sizes = blocks.groupBy("_k").agg(F.count("*").alias("_c"))  # at most 256 rows
-        before = sizes.withColumns({"_before": F.coalesce(F.sum("_c").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_c").over(Window.partitionBy(F.lit(0)))}).drop("_c")
-        rows = _numbered(blocks, ["_k"], F.col("_o"), *keys).join(F.broadcast(before), "_k").withColumn("_r", F.col("_r") + F.col("_before")).drop("_o", "_k", "_before")
+    rows = _numbered(df, group or [], draw(seed, *keys), *keys)
     names, at, side = list(fractions), 0.0, None
     for name in names[:-1]:
         at += fractions[name]
@@ -91,15 +95,15 @@ def spatial_checkerboard_folds(cells: DataFrame, patch: int, seed=0, train: floa
 
 def stratified_sample(df: DataFrame, n: int, label: str, seed=0, *keys: str) -> DataFrame:
     """max(1, n // classes) rows of each class."""
-    classes = df.agg(F.count_distinct(label).alias("_k"))
-    rows = _numbered(df.crossJoin(F.broadcast(classes)), [label], draw(seed, *keys), *keys)  # one row
-    return rows.filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_k")))).drop("_r", "_k")
+    classes = df.agg(F.count_distinct(label).alias("_classes"))
+    rows = _numbered(df, [label], draw(seed, *keys), *keys).crossJoin(F.broadcast(classes))  # one row
+    return rows.filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.lit(n) / F.col("_classes")))).drop("_r", "_n", "_classes")
 
 
 def subsample(df: DataFrame, n: int, seed=0, *keys: str, group: list[str] | None = None) -> DataFrame:
     """n rows, or n of each group."""
     if group:
-        return _numbered(df, group, draw(seed, *keys), *keys).filter(F.col("_r") <= n).drop("_r")
+        return _numbered(df, group, draw(seed, *keys), *keys).filter(F.col("_r") <= n).drop("_r", "_n")
     return df.orderBy(draw(seed, *keys), *keys).limit(n)
 
 

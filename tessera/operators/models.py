@@ -55,14 +55,16 @@ def gram(df: DataFrame, x: str = "x", y: str = "y") -> dict[str, np.ndarray]:
 
 
 def ridge_fit(g: dict[str, np.ndarray], lambdas: list[float]) -> dict[float, tuple[np.ndarray, np.ndarray]]:
-    """Weights and bias for each penalty; the bias is not penalised."""
+    """Weights and bias for each penalty; the bias is not penalised. One eigendecomposition serves a path of penalties."""
     mx, my = g["sx"] / g["n"], g["sy"] / g["n"]
     xx, xy = g["xx"] - g["n"] * np.outer(mx, mx), g["xy"] - g["n"] * np.outer(mx, my)
-    out = {}
-    for lam in lambdas:
-        w = np.linalg.solve(xx + lam * np.eye(len(xx)), xy)
-        out[lam] = w, my - mx @ w
-    return out
+    if len(lambdas) == 1:
+        path = {lambdas[0]: np.linalg.solve(xx + lambdas[0] * np.eye(len(xx)), xy)}
+    else:
+        values, axes = np.linalg.eigh(xx)
+        turned = axes.T @ xy
+        path = {lam: axes @ (turned / np.maximum(values + lam, 1e-12 * max(values[-1], 1e-300))[:, None]) for lam in lambdas}
+    return {lam: (w, my - mx @ w) for lam, w in path.items()}
 
 
 def ridge_predict(w: np.ndarray, b: np.ndarray, x: Column) -> Column:
@@ -218,13 +220,26 @@ def neighbour_pool(features: DataFrame, neighbours: DataFrame, x: str = "x") ->
     return top.groupBy("wsi", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("pooled"))
 
 
-def expression_regression(features: DataFrame, neighbours: DataFrame, targets: DataFrame, sides: DataFrame, genes: list[str], lam: float, x: str = "x") -> DataFrame:
-    """wsi, cell_id, gene, true, predicted on the test side: ridge from a cell's vector and its pooled neighbours to all genes at once. targets: wsi, cell_id, values."""
+def expression_regression(features: DataFrame, neighbours: DataFrame, targets: DataFrame, sides: DataFrame, genes: list[str], lambdas: list[float], x: str = "x") -> tuple[DataFrame, dict[float, float]]:
+    """(wsi, cell_id, gene, true, predicted on the test side, and the mean Pearson correlation over genes on val for each penalty).
+
+    Ridge from a cell's vector and its pooled neighbours to all genes at once (targets: wsi, cell_id, values; sides: wsi, side), at the penalty with the best mean on val, the first
+    where two are alike or val is empty.
+    """
     pooled = neighbour_pool(features, neighbours, x)
     rows = features.join(pooled, ["wsi", "cell_id"]).withColumn("x", F.concat(F.col(x), "pooled")).select("wsi", "cell_id", "x").join(targets, ["wsi", "cell_id"]).join(sides, "wsi")
     rows = stored(rows, "expression-rows")
-    train, test = standardise(rows.filter("side = 'train'"), "x", rows.filter("side = 'test'"))
-    w, b = ridge_fit(gram(train, "x", "values"), [lam])[lam]
-    out = test.withColumn("_p", ridge_predict(w, b, F.col("x")))
+    train, val, test = standardise(rows.filter("side = 'train'"), "x", rows.filter("side = 'val'"), rows.filter("side = 'test'"))
+    path = ridge_fit(gram(train, "x", "values"), lambdas)
     names = F.array(*map(F.lit, genes))
-    return out.select("wsi", "cell_id", F.explode(F.arrays_zip(names.alias("gene"), F.col("values").alias("true"), F.col("_p").alias("predicted"))).alias("s")).select("wsi", "cell_id", "s.*")
+
+    def predicted(df: DataFrame, lam: float) -> DataFrame:
+        out = df.withColumn("_p", ridge_predict(*path[lam], F.col("x")))
+        return out.select("wsi", "cell_id", F.explode(F.arrays_zip(names.alias("gene"), F.col("values").alias("true"), F.col("_p").alias("predicted"))).alias("s")).select("wsi", "cell_id", "s.*")
+
+    def mean_pearson(lam: float) -> float:
+        each = predicted(val, lam).groupBy("gene").agg(F.corr("true", "predicted").alias("r"))
+        return each.filter(F.col("r").isNotNull() & ~F.isnan("r")).agg(F.coalesce(F.avg("r"), F.lit(-1.0))).first()[0]
+
+    scores = {lam: mean_pearson(lam) for lam in lambdas}
+    return predicted(test, max(lambdas, key=lambda lam: scores[lam])), scores

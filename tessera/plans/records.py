@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import rings, scalars
+from tessera.functions import labels, rings, scalars
 from tessera.operators import expression, joins, models, sampling, tables
 from tessera.operators import space as space_ops
 from tessera.plans import domain as d
@@ -289,3 +289,59 @@ def f2_e12_score_tiles(spark, sf_dir):
 
     found = models.score_patches(_slide_tiles(spark, sf_dir), encoder, ["x0", "y0"], ["wsi", "x0", "y0"], batch=1)
     return found.select("wsi", "x0", "y0", F.get("embedding", F.lit(0)).cast("double").alias("first"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"), "error")
+
+
+# ---- remaining layouts
+
+
+@query(f"WITH {CELLS} SELECT wsi, cell_id, CAST(key % 180 AS DOUBLE) AS angle FROM cells")
+def p18_angle_there_and_back(spark, sf_dir):
+    doubled = scalars.angle_to_doubled(F.col("key") % 180)
+    back = scalars.doubled_to_angle(F.get(doubled, F.lit(0)), F.get(doubled, F.lit(1)))
+    return d.cells(spark, sf_dir).select("wsi", "cell_id", (F.pmod(F.round(back, 6), F.lit(180.0)) + 0.0).alias("angle"))
+
+
+@query(f"WITH {CELLS}, n AS (SELECT raw_type AS raw, name, CASE name WHEN 'malignant_vs_rest' THEN CASE WHEN raw_type = 'Malignant' THEN 'epithelial_malignant' WHEN raw_type IN ('Neural/Glial', 'Erythrocyte') THEN 'Unknown' ELSE 'non_malignant' END ELSE CASE WHEN raw_type IN ('Neural/Glial', 'Erythrocyte') THEN 'Unknown' ELSE raw_type END END AS mapped FROM cells, (VALUES ('malignant_vs_rest'), ('identity')) t(name)) SELECT name, raw, mapped, count(*) AS n FROM n GROUP BY ALL")
+def f3_named_mappings(spark, sf_dir):
+    cells = d.cells(spark, sf_dir)
+    of = lambda name: cells.select(F.lit(name).alias("name"), F.col("raw_type").alias("raw"), labels.map_label(F.col("raw_type"), name).alias("mapped"))
+    return of("malignant_vs_rest").unionByName(of("identity")).groupBy("name", "raw", "mapped").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {RUNS}, r AS (SELECT condition, split_idx, CASE WHEN condition = 'view' AND split_idx > 0 THEN 0 ELSE metric END AS m FROM runs WHERE NOT (condition = 'click' AND split_idx < 1)), b AS (SELECT split_idx, m AS base FROM r WHERE condition = 'view')
+SELECT condition, round(coalesce(avg(CASE WHEN base <> 0 THEN m / base END), avg(m) / nullif(avg(base), 0)), 5) AS mean, round(CASE WHEN count(CASE WHEN base <> 0 THEN m END) = 1 THEN 0 ELSE stddev_samp(CASE WHEN base <> 0 THEN m / base END) END, 5) AS std, count(CASE WHEN base <> 0 THEN m END) AS n FROM r JOIN b USING (split_idx) GROUP BY condition""")
+def j29_fold_change_of_zeros(spark, sf_dir):
+    """The baseline is 0 in all folds but one, and a condition lacks that one."""
+    rows = d.runs(spark, sf_dir).filter("NOT (condition = 'click' AND split_idx < 1)")
+    rows = rows.withColumn("metric", F.when((F.col("condition") == "view") & (F.col("split_idx") > 0), 0.0).otherwise(F.col("metric")))
+    found = tables.fold_change(rows, ["split_idx"], "condition", "view", "metric")
+    return found.select("condition", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"), "n")
+
+
+@query(f"WITH {CELLS}, a AS (SELECT sqrt(3) / 3 * x / 100 - y / 300.0 AS q, 2.0 / 3 * y / 100 AS r FROM cells), b AS (SELECT *, round_even(q, 0) AS rq, round_even(r, 0) AS rr, round_even(-q - r, 0) AS rs FROM a), c AS (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs + q + r) AS ds FROM b) SELECT CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS INTEGER) AS q, CAST(CASE WHEN dq > dr AND dq > ds THEN rr WHEN dr > ds THEN -rq - rs ELSE rr END AS INTEGER) AS r, count(*) AS n, round(log10(count(*)), 6) AS log_n FROM c GROUP BY ALL")
+def a18_hexbin_pooled(spark, sf_dir):
+    return tables.hexbin(d.cells(spark, sf_dir), "x", "y", 100).withColumn("log_n", F.round("log_n", 6))
+
+
+@query()
+def e10_expression_regression(spark, sf_dir):
+    """Five genes from position, type and neighbours, the penalty chosen on a slide: each gene's correlation on the test slide."""
+    cells, genes = d.cells(spark, sf_dir), [f"g{i}" for i in range(5)]
+    features = cells.select("wsi", "cell_id", F.array(F.col("x") / 1000.0, F.col("y") / 1000.0, (F.col("key") % 12).cast("double")).alias("x"))
+    counts = joins.join_expression(cells.select("wsi", "cell_id"), expression.normalize_log1p(d.expression(spark, sf_dir)))
+    of = lambda g: F.coalesce(F.sum(F.when(F.col("gene") == g, F.col("value"))), F.lit(0.0))
+    targets = counts.groupBy("wsi", "cell_id").agg(F.array(*map(of, genes)).alias("values"))
+    sides = spark.createDataFrame([(f"s{i}", "train" if i < 5 else "val" if i == 5 else "test") for i in range(7)], "wsi string, side string")
+    near = space_ops.window_join(cells, cells, 224, include_self=False).select("wsi", "cell_id", "other_id")
+    found, _ = models.expression_regression(features, near, targets, sides, genes, [0.01, 1.0, 100.0])
+    return found.groupBy("gene").agg(F.count("*").alias("n"), F.round(F.corr("true", "predicted"), 4).alias("pearson"))
+
+
+@query()
+def e11_grid_trials(spark, sf_dir):
+    """Trials of a classifier of the type from position: their metrics on two slides."""
+    cells = d.cells(spark, sf_dir).filter("cell_type <> 'Unknown'")
+    rows = labels.label_encode(cells.withColumnRenamed("cell_type", "label")).select("wsi", "cell_id", "label", "code", F.array(F.col("x") / 1000.0, F.col("y") / 1000.0, (F.col("key") % 12).cast("double")).alias("x"))
+    names = sorted(r["label"] for r in rows.select("label").distinct().collect())  # a row a class
+    found = models.grid_search(rows.filter("wsi < 's5'"), rows.filter("wsi >= 's5'"), [{"lambda": v} for v in (0.0, 0.01, 1.0)], names)
+    return found.select("trial_idx", "lambda", *[F.round(c, 3).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1", "balanced_accuracy")])

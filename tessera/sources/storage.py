@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset and Spark runs on one machine, as in tests."""
+    """The folder that spark.checkpoint.dir names, taken as shared whatever its scheme; a temporary one only where it is unset and Spark runs on one machine, as in tests. Unset on a cluster, it raises."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named

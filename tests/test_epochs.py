@@ -1,10 +1,10 @@
-"""Training in epochs against the same run in numpy."""
+"""Training in epochs against the same run in numpy; the path of ridge penalties and its choice."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import epochs
+from tessera.operators import epochs, models
 
 
 @pytest.mark.parametrize("hidden", [[], [5]])
@@ -62,3 +62,32 @@ def test_heads_learn_and_weights_count(spark):
     assert epochs.predict(one_sided, noise, ["0", "1"]).filter("predicted_label = '1'").count() > 180
     with pytest.raises(ValueError):
         epochs.train_epochs(df.limit(0), 2, ["id"])
+
+
+def test_one_decomposition_serves_all_penalties():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(40, 5)), rng.normal(size=(40, 3))
+    g = {"n": 40.0, "sx": x.sum(axis=0), "sy": y.sum(axis=0), "xx": x.T @ x, "xy": x.T @ y}
+    path = models.ridge_fit(g, [0.0, 0.5, 30.0])
+    for lam, (w, b) in path.items():
+        one_w, one_b = models.ridge_fit(g, [lam])[lam]
+        assert np.allclose(w, one_w) and np.allclose(b, one_b)
+
+
+def test_regression_takes_the_penalty_of_val(spark):
+    rng = np.random.default_rng(3)
+    sides = {"a": "train", "b": "val", "c": "test"}
+    rows, truth = [], {}
+    for wsi in sides:
+        for i in range(30):
+            v = rng.normal(size=2)
+            rows.append((wsi, f"{wsi}{i}", v.tolist()))
+            truth[wsi, f"{wsi}{i}"] = [float(2 * v[0] + rng.normal() * 0.1), float(v[1])]
+    features = spark.createDataFrame(rows, "wsi string, cell_id string, x array<double>")
+    near = spark.createDataFrame([(w, c, f"{w}{(int(c[1:]) + 1) % 30}") for w, c, _ in rows], "wsi string, cell_id string, other_id string")
+    targets = spark.createDataFrame([(w, c, v) for (w, c), v in truth.items()], "wsi string, cell_id string, values array<double>")
+    split = spark.createDataFrame(list(sides.items()), "wsi string, side string")
+    found, scores = models.expression_regression(features, near, targets, split, ["g", "h"], [1e9, 0.1])
+    got = found.groupBy("gene").agg(F.corr("true", "predicted").alias("r"), F.count("*").alias("n")).collect()
+    assert scores[0.1] >= scores[1e9] - 1e-9 and {r["gene"]: r["n"] for r in got} == {"g": 30, "h": 30} and all(r["r"] > 0.98 for r in got)
+    assert found.filter("substr(cell_id, 1, 1) <> 'c'").count() == 0

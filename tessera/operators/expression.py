@@ -61,24 +61,64 @@ def per_gene_pearson(rows: DataFrame) -> DataFrame:
     return rows.groupBy("gene").agg(F.count("*").alias("n"), F.when((F.stddev_pop("true") > 0) & (F.stddev_pop("predicted") > 0), F.corr("true", "predicted")).alias("pearson"))
 
 
-def _loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
-    """Local quadratic fit with tricube weights at each x."""
-    n, out = len(x), np.empty(len(x))
+def local_fit(x: np.ndarray, y: np.ndarray, at: float, k: int) -> tuple[float, float]:
+    """(value, slope) at a place of the quadratic fitted to the k nearest of sorted x with tricube weights."""
+    low, high = max(0, int(np.searchsorted(x, at)) - k), len(x) - k
+    start = low
+    stop = min(high, int(np.searchsorted(x, at)))
+    while start < stop:  # the window moves right while its next point is nearer than its first
+        middle = (start + stop) // 2
+        if at - x[middle] > x[middle + k] - at:
+            start = middle + 1
+        else:
+            stop = middle
+    near, own = x[start : start + k], y[start : start + k]
+    h = max(abs(at - near[0]), abs(near[-1] - at), 1e-12)
+    w = np.sqrt((1 - (np.abs(near - at) / h) ** 3).clip(0) ** 3)
+    a = np.vander(near - at, 3, increasing=True) * w[:, None]
+    value, slope, _ = np.linalg.lstsq(a, own * w, rcond=None)[0]
+    return float(value), float(slope)
+
+
+def trend_vertices(x: np.ndarray, most: int) -> np.ndarray:
+    """Borders of cells that hold at most so many of sorted x: a cell is cut at the middle of its points until it does, or has no width."""
+    margin = 0.1 * (x[-1] - x[0]) + 1e-9
+    done, cells = {x[0] - margin, x[-1] + margin}, [(0, len(x))]
+    while cells:
+        a, b = cells.pop()
+        if b - a > most and x[a] < x[b - 1]:
+            middle = (a + b) // 2
+            cut = (x[middle - 1] + x[middle]) / 2
+            middle = a + int(np.searchsorted(x[a:b], cut, side="right"))
+            if a < middle < b:
+                done.add(cut)
+                cells += [(a, middle), (middle, b)]
+    return np.array(sorted(done))
+
+
+def trend(x: np.ndarray, y: np.ndarray, span: float = 0.3, cell: float = 0.2) -> np.ndarray:
+    """Local quadratic fits over the nearest share span of the points, made at the borders of cells and blended between by cubics of the fits' values and slopes.
+
+    Cells hold a share span * cell of the points, so the number of fits doesn't grow with them. Quadratics are kept exactly.
+    """
+    order = np.argsort(x, kind="stable")
+    sx, sy, n = x[order], y[order], len(x)
     k = max(4, min(n, int(np.ceil(span * n))))
-    for i in range(n):
-        d = np.abs(x - x[i])
-        near = np.argpartition(d, k - 1)[:k]
-        h = max(d[near].max(), 1e-12)
-        w = np.sqrt((1 - (d[near] / h) ** 3).clip(0) ** 3)
-        a = np.vander(x[near] - x[i], 3, increasing=True) * w[:, None]
-        out[i] = np.linalg.lstsq(a, y[near] * w, rcond=None)[0][0]
+    knots = trend_vertices(sx, max(1, int(n * span * cell)))
+    value, slope = np.array([local_fit(sx, sy, v, k) for v in knots]).T
+    i = np.clip(np.searchsorted(knots, sx, side="right") - 1, 0, len(knots) - 2)
+    width = knots[i + 1] - knots[i]
+    t = (sx - knots[i]) / width
+    h00, h10, h01, h11 = 2 * t**3 - 3 * t**2 + 1, t**3 - 2 * t**2 + t, 3 * t**2 - 2 * t**3, t**3 - t**2
+    out = np.empty(n)
+    out[order] = h00 * value[i] + h10 * width * slope[i] + h01 * value[i + 1] + h11 * width * slope[i + 1]
     return out
 
 
 def rank_hvgs(expression: DataFrame, cells: DataFrame, n_top: int, batch: str = "wsi") -> DataFrame:
     """gene, n_batches, median_rank, highly_variable_rank: genes by the clipped variance of counts standardised with a fitted trend.
 
-    For each batch: moments of counts over all its cells, a local fit of log10 variance on log10 mean (over the genes of the batch's panel, in one task a batch), counts
+    For each batch: moments of counts over all its cells, a trend of log10 variance on log10 mean (over the genes of the batch's panel, in one task a batch), counts
     standardised and clipped at the root of the cells, their variance ranked. A gene's batches are those where it ranks below n_top; genes are ordered by
     median rank over these, more batches first on ties.
     """
@@ -91,15 +131,15 @@ def rank_hvgs(expression: DataFrame, cells: DataFrame, n_top: int, batch: str =
     def fitted(rows: pd.DataFrame) -> pd.DataFrame:
         rows, some = rows.assign(std=1.0), rows[rows["var"] > 0]
         if len(some) >= 4:
-            fit = _loess(np.log10(some["mean"].to_numpy()), np.log10(some["var"].to_numpy()))
+            fit = trend(np.log10(some["mean"].to_numpy()), np.log10(some["var"].to_numpy()))
             rows.loc[some.index, "std"] = np.sqrt(10**fit)
         elif len(some):
             rows.loc[some.index, "std"] = np.sqrt(some["var"])
         return rows[[batch, "gene", "mean", "std", "_n"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in moments.schema.fields}
-    trend = moments.groupBy(batch).applyInPandas(fitted, f"{batch} {kinds[batch]}, gene {kinds['gene']}, mean double, std double, _n long")
-    return ranked_variances(expression, trend, n_top, batch)
+    fits = moments.groupBy(batch).applyInPandas(fitted, f"{batch} {kinds[batch]}, gene {kinds['gene']}, mean double, std double, _n long")
+    return ranked_variances(expression, fits, n_top, batch)
 
 
 def ranked_variances(expression: DataFrame, trend: DataFrame, n_top: int, batch: str = "wsi") -> DataFrame:

@@ -345,3 +345,17 @@ def e11_grid_trials(spark, sf_dir):
     names = sorted(r["label"] for r in rows.select("label").distinct().collect())  # a row a class
     found = models.grid_search(rows.filter("wsi < 's5'"), rows.filter("wsi >= 's5'"), [{"lambda": v} for v in (0.0, 0.01, 1.0)], names)
     return found.select("trial_idx", "lambda", *[F.round(c, 3).alias(c) for c in ("accuracy", "macro_f1", "weighted_f1", "balanced_accuracy")])
+
+
+@query(f"""WITH {EXPR}, n AS (SELECT wsi, count(DISTINCT barcode) AS n FROM expr GROUP BY wsi), t AS (SELECT wsi, gene, sum(count) / any_value(n) AS m, any_value(n) AS n FROM expr JOIN n USING (wsi) GROUP BY ALL),
+c AS (SELECT e.wsi, e.gene, m, n, least(CAST(count AS DOUBLE), sqrt(n) * sqrt(m) + m) AS c FROM expr e JOIN t USING (wsi, gene)),
+v AS (SELECT wsi, gene, round((any_value(n) * any_value(m) * any_value(m) + sum(c * c) - 2 * sum(c) * any_value(m)) / ((any_value(n) - 1) * any_value(m)), 9) AS v FROM c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY wsi ORDER BY v DESC, gene) - 1 AS r FROM v), g AS (SELECT gene, count(*) FILTER (r < 20) AS n_batches, median(r) FILTER (r < 20) AS median_rank FROM r GROUP BY gene)
+SELECT gene, n_batches, median_rank, CAST(row_number() OVER (ORDER BY n_batches DESC, median_rank NULLS LAST, gene) - 1 AS INTEGER) AS highly_variable_rank FROM g""")
+def a28_variances_of_a_given_trend(spark, sf_dir):
+    """Genes ranked where the trend is that of counts without excess: the variance is the mean."""
+    rows = d.expression(spark, sf_dir).withColumn("count", F.col("count").cast("double"))
+    n = d.expression_cells(rows).groupBy("wsi").agg(F.count("*").alias("_n"))
+    mean = rows.groupBy("wsi", "gene").agg(F.sum("count").alias("_s")).join(n, "wsi")
+    trend = mean.select("wsi", "gene", (F.col("_s") / F.col("_n")).alias("mean"), F.sqrt(F.col("_s") / F.col("_n")).alias("std"), "_n")
+    return expression.ranked_variances(rows, trend, 20)

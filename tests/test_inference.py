@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import pvalues
-from tessera.operators import resampling, sampling, stats
+from tessera.operators import expression, resampling, sampling, stats
 
 
 def values(spark, rows, schema, *columns):
@@ -147,3 +147,29 @@ def test_groups_are_equalised(spark):
     got = sampling.equalised(spark.createDataFrame(rows, "g string, id long"), "g", 0, "id")
     assert {r["g"]: r["count"] for r in got.groupBy("g").count().collect()} == {"a": 50, "b": 50, None: 50}
     assert set(got.columns) == {"g", "id", "draw"} and got.filter("g = 'b'").select("id").distinct().count() == 3
+
+
+# ---- trends
+
+
+def direct(x, y, span=0.3):
+    k = max(4, min(len(x), int(np.ceil(span * len(x)))))
+    out = []
+    for at in x:
+        d = np.abs(x - at)
+        near = np.argsort(d, kind="stable")[:k]
+        w = np.sqrt((1 - (d[near] / max(d[near].max(), 1e-12)) ** 3).clip(0) ** 3)
+        out.append(np.linalg.lstsq(np.vander(x[near] - at, 3, increasing=True) * w[:, None], y[near] * w, rcond=None)[0][0])
+    return np.array(out)
+
+
+def test_trend_keeps_quadratics_and_stays_near_the_direct_fits():
+    rng = np.random.default_rng(4)
+    x = rng.exponential(size=400)
+    assert np.allclose(expression.trend(x, 1 + 2 * x - 0.3 * x**2), 1 + 2 * x - 0.3 * x**2, atol=1e-8)
+    y = np.sin(x) + 0.1 * rng.normal(size=400)
+    assert np.abs(expression.trend(x, y) - direct(x, y)).max() < 0.05
+    many = rng.exponential(size=40_000)
+    assert len(expression.trend_vertices(np.sort(many), int(40_000 * 0.06))) <= 33  # not more for more points
+    for odd in (np.ones(9), np.array([1.0, 1, 1, 1, 2]), np.arange(4.0)):
+        assert np.isfinite(expression.trend(odd, odd)).all()

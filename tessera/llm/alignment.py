@@ -27,7 +27,7 @@ from tessera.llm.common import stored
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: How byte-level vocabularies cut a text before they merge, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of texts (of one text, if it is longer) that are aligned at once, and pairs of ids that a task counts before it hands them on.
+#: Characters of texts (of one text, if it is longer) that are aligned at once: a block's columns take some 200 bytes a character; and pairs of ids that a task counts before it hands them on.
 BLOCK_CHARS, KEPT_PAIRS = 1_000_000, 1_000_000
 #: Pairs of ids whose counts are broadcast; more are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000

@@ -263,3 +263,18 @@ def test_near_duplicates_of_ids_that_stand_for_several_texts(spark):
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in nearby.near_duplicates(df, 4, 80).collect())
     want = Counter([(1, 6, 1, True), (1, 60, 1, True), (2, 57, 1, False), (2, 57, 1, False), (3, 0, 3, True), (3, 4, 3, True), (None, 57, None, True), (7, 58, 1, False)])
     assert got == want
+
+
+def test_chat_of_long_conversations_empty_tables_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm import chat
+
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"turn {t} [INST] </s> é") for t in range(3000)] + [(2, 0, "assistant", None), (2, 0, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"n_turns": F.lit("x"), "loss_chars": F.lit(None).cast("string"), "formatted": F.lit(3)})
+    got = {r["conv_id"]: r for r in chat.conversation_digests(df).collect()}
+    said = "".join(t for _, _, role, t in rows[:3000] if role == "assistant")
+    assert got[1]["n_turns"] == 3000 and got[1]["loss_chars"] == len(said) and got[1]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    assert got[1]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{t}\n" for _, _, role, t in rows[:3000]).encode()).hexdigest()
+    assert (got[2]["n_turns"], got[2]["loss_chars"]) == (2, 0) and got[2]["loss_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert chat.conversation_digests(df.limit(0)).count() == 0

@@ -197,7 +197,8 @@ def best_of_grid(trials: DataFrame, metric: str = "macro_f1") -> DataFrame:
 
 
 def score_patches(df: DataFrame, encoder: Callable[[], Callable[[pd.DataFrame], list]], columns: list[str], keep: list[str], batch: int = 256) -> DataFrame:
-    """keep, embedding, error of each patch: encoder() is made once for each partition and called with batches of so many rows; a batch that fails says why and the run goes on."""
+    """keep, embedding, error of each patch: encoder() is made once for each partition and called with batches of so many rows; a batch that fails says why and the run goes on,
+    and so does a row for which the encoder gives an exception instead of an embedding."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", embedding array<float>, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,7 +206,9 @@ def score_patches(df: DataFrame, encoder: Callable[[], Callable[[pd.DataFrame],
         for pdf in (rows.iloc[i : i + batch] for rows in batches for i in range(0, len(rows), batch)):
             out = pdf[keep].copy()
             try:
-                out["embedding"], out["error"] = encode(pdf[columns]), None
+                found = list(encode(pdf[columns]))
+                out["embedding"] = [None if isinstance(v, Exception) else v for v in found]
+                out["error"] = [f"{type(v).__name__}: {v}" if isinstance(v, Exception) else None for v in found]
             except Exception as e:  # noqa: BLE001  a user's function may raise anything
                 out["embedding"], out["error"] = None, f"{type(e).__name__}: {e}"
             yield out

@@ -277,17 +277,12 @@ def f6_expand_tiles(spark, sf_dir):
 
 @query(f"WITH {_SLIDES} SELECT wsi, x0, y0, CASE WHEN x0 % 5 > 0 THEN CAST(x0 + y0 AS DOUBLE) END AS first, CASE WHEN x0 % 5 > 0 THEN 3 END AS dims, CASE WHEN x0 % 5 = 0 THEN 'ValueError: no tissue' END AS error FROM tiles")
 def f2_e12_score_tiles(spark, sf_dir):
-    """Tiles go to an encoder that is made once a task and refuses some of them, each on its own."""
+    """Tiles go to an encoder that is made once a task and refuses some of them."""
 
     def encoder():
-        def encode(pdf):
-            if (pdf["x0"] % 5 == 0).any():
-                raise ValueError("no tissue")
-            return [[float(x + y), float(x), float(y)] for x, y in zip(pdf["x0"], pdf["y0"], strict=True)]
+        return lambda pdf: [ValueError("no tissue") if x % 5 == 0 else [float(x + y), float(x), float(y)] for x, y in zip(pdf["x0"], pdf["y0"], strict=True)]
 
-        return encode
-
-    found = models.score_patches(_slide_tiles(spark, sf_dir), encoder, ["x0", "y0"], ["wsi", "x0", "y0"], batch=1)
+    found = models.score_patches(_slide_tiles(spark, sf_dir), encoder, ["x0", "y0"], ["wsi", "x0", "y0"])
     return found.select("wsi", "x0", "y0", F.get("embedding", F.lit(0)).cast("double").alias("first"), F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dims"), "error")
 
 

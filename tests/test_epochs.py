@@ -91,3 +91,19 @@ def test_regression_takes_the_penalty_of_val(spark):
     got = found.groupBy("gene").agg(F.corr("true", "predicted").alias("r"), F.count("*").alias("n")).collect()
     assert scores[0.1] >= scores[1e9] - 1e-9 and {r["gene"]: r["n"] for r in got} == {"g": 30, "h": 30} and all(r["r"] > 0.98 for r in got)
     assert found.filter("substr(cell_id, 1, 1) <> 'c'").count() == 0
+
+
+def test_encoders_refuse_rows_and_batches(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(10)], "id long, v double").coalesce(1)
+
+    def encoder():
+        def encode(pdf):
+            if (pdf["v"] == 9).any():
+                raise RuntimeError("broken batch")
+            return [ValueError("odd") if v % 2 else [v] for v in pdf["v"]]
+
+        return encode
+
+    got = {r["id"]: (r["embedding"], r["error"]) for r in models.score_patches(df, encoder, ["v"], ["id"], batch=4).collect()}
+    assert got[0] == ([0.0], None) and got[1] == (None, "ValueError: odd") and got[8] == got[9] == (None, "RuntimeError: broken batch") and len(got) == 10
+    assert models.score_patches(df.limit(0), encoder, ["v"], ["id"]).count() == 0

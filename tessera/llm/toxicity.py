@@ -217,6 +217,12 @@ def learn_lexicon(known: Forms, chosen: list[int], toxic: np.ndarray) -> Lexicon
     return Lexicon(weights)
 
 
+@lru_cache(maxsize=1 << 16)
+def _read(weight: float, own: tuple[str, ...], matches: bool) -> tuple:
+    """What is kept of a word, one object for all words that are read alike, as most are."""
+    return (weight, own), matches
+
+
 def features(text: str, weight_of, kept: dict[str, tuple], names: tuple[str, ...] = tuple(TRANSDUCERS)) -> tuple[float, ...]:
     """(log of 1 + the weights of all matches, of those of each class but the first, the weightiest clause's weight, matched clauses to words). kept: what is known of words: weight, symbols, whether it can match."""
     lowered = text.lower()
@@ -225,7 +231,7 @@ def features(text: str, weight_of, kept: dict[str, tuple], names: tuple[str, ...
         if w not in kept:
             weight = weight_of(w)
             own = symbols(w, weight)
-            kept[w] = (weight, tuple(own[n] for n in names)), weight > 0 or w in THREATS
+            kept[w] = _read(weight, tuple(own[n] for n in names), weight > 0 or w in THREATS)
     if not any([kept[w][1] for w in words]):
         return (0.0,) * len(PRIOR)
     machine = grammar(names)

@@ -34,6 +34,12 @@ def r6(c: Column | str) -> Column:
     return F.round(c if isinstance(c, Column) else F.col(c), 6)
 
 
+def signed6(c: Column) -> Column:
+    """c as a double, rounded; what rounds to zero keeps its sign, as in SQL."""
+    x = c.cast("double")
+    return F.when(r6(x) == 0, F.signum(x) * 0.0).otherwise(r6(x))
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: r6(c) for c in columns})
 
@@ -212,7 +218,7 @@ def j14_align_predictions(spark, sf_dir):
 def t1_pool_tokens(spark, sf_dir):
     rows = d.embeddings(spark, sf_dir)
     two = F.get(vectors.pool_tokens(F.col("tokens"), ["top_left", "cls"]), F.lit(0))
-    return rows.select("wsi", "cell_id", F.transform(vectors.pool_tokens(F.col("tokens")), lambda x: F.round(x, 6)).alias("pooled"), r6(two).alias("two"))
+    return rows.select("wsi", "cell_id", F.transform(vectors.pool_tokens(F.col("tokens")), signed6).alias("pooled"), signed6(two).alias("two"))
 
 
 @query(f"WITH {EMB} SELECT wsi, cell_id, vector[25:28] AS token, CAST(list_position(vector, list_max(vector)) - 1 AS INTEGER) AS top, list_transform(list_zip(vector, range(64)), lambda z: round(CASE WHEN z[2] IN (27, 28, 35, 36) THEN 0.0 ELSE z[1] END, 6)) AS masked FROM emb")
@@ -220,7 +226,7 @@ def t2_t4_tokens(spark, sf_dir):
     rows = d.embeddings(spark, sf_dir)
     token = F.transform(vectors.select_token(F.col("vector"), F.lit(1), F.lit(2), 4, 4), lambda x: x.cast("double"))
     masked = vectors.mask_tokens(F.col("vector"), scalars.block_tokens(8, 2), F.lit(0.0))
-    return rows.select("wsi", "cell_id", token.alias("token"), vectors.argmax(F.col("vector")).alias("top"), F.transform(masked, lambda x: F.round(x.cast("double"), 6)).alias("masked"))
+    return rows.select("wsi", "cell_id", token.alias("token"), vectors.argmax(F.col("vector")).alias("top"), F.transform(masked, signed6).alias("masked"))
 
 
 @query(f"WITH {EMB}, {MASKED} SELECT a.wsi, a.cell_id, round(1 - list_cosine_similarity(a.vector, b.vector), 5) AS drift FROM emb a JOIN masked b USING (wsi, cell_id)")
@@ -546,7 +552,7 @@ def t7_neighbor_max_pool(spark, sf_dir):
     rows = d.embeddings(spark, sf_dir)
     near = rows.select("wsi", "cell_id", F.explode(F.array(F.col("key") + 7, F.col("key") + 14)).alias("o")).withColumn("other_id", F.concat(F.lit("v"), F.col("o").cast("string")))
     found = models.neighbour_pool(rows, near, "vector")
-    return found.select("wsi", "cell_id", F.transform("pooled", lambda x: F.round(x.cast("double"), 6)).alias("pooled"))
+    return found.select("wsi", "cell_id", F.transform("pooled", signed6).alias("pooled"))
 
 
 @query(f"WITH {CELLS}, h AS (SELECT *, key % 5 <> 0 AS known FROM cells) SELECT wsi, cell_id, CASE WHEN known THEN x END AS x, known AS valid FROM h")

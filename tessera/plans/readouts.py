@@ -8,7 +8,7 @@ from tessera.functions import rings, scalars, vectors
 from tessera.operators import expression, joins, readouts, sampling, space, stats, tables
 from tessera.plans import domain as d
 from tessera.plans.domain import CELLS, CLASSES, EMB, EXPR, POLY, PRED, RUNS
-from tessera.plans.queries import _DRAW, _NEAR, query, r6, rounded
+from tessera.plans.queries import _DRAW, _NEAR, query, r6, rounded, signed6
 from tessera.sources import readers, sinks
 from tessera.sources.storage import scratch
 
@@ -34,7 +34,7 @@ def _pooled(spark, sf_dir):
 
 @query(_CROPS + " SELECT wsi, cell_id, n_tokens, source, list_transform(range(4), lambda k: CASE WHEN source = 'missing' THEN 0.0 ELSE round(list_sum(list_transform(tokens, lambda t: vector[t * 4 + k + 1])) / len(tokens), 6) END) AS pooled FROM each")
 def t3_pool_boundary_tokens(spark, sf_dir):
-    return _pooled(spark, sf_dir).withColumn("pooled", F.transform("pooled", lambda x: F.round(x, 6)))
+    return _pooled(spark, sf_dir).withColumn("pooled", F.transform("pooled", signed6))
 
 
 @query(_CROPS + " SELECT count(*) AS n, round(avg(n_tokens), 6) AS mean_tokens, median(n_tokens) AS median_tokens, round(avg(central), 6) AS central_share FROM n")
@@ -244,7 +244,7 @@ _MEAN4 = "list_transform(range(1, 17), lambda i: round((vector[i] + vector[i + 1
 @query(f"WITH {EMB} SELECT wsi, cell_id, label, {_MEAN4} FROM emb WHERE key % 2 = 0 AND key % 3 > 0 AND wsi IN ('s0', 's2')")
 def s2_k2_p9_embeddings_there_and_back(spark, sf_dir):
     found = readers.read_embeddings(spark, _written_embeddings(spark, sf_dir), "a", "none", ["s0", "s2"], matching=True)
-    return found.select("wsi", "cell_id", "label", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    return found.select("wsi", "cell_id", "label", F.transform("vector", signed6).alias("vector"))
 
 
 @query(f"WITH {EMB} SELECT wsi, cell_id, label, round((vector[1] + vector[49]) / 2, 6) AS first, key * 2.0 AS x_centroid, key * 3.0 AS y_centroid, key % 3 > 0 AS matching FROM emb WHERE key % 2 = 1")

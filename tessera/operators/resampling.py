@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from tessera.operators.tables import average_rank
 from tessera.sources.storage import stored
 
-#: Rows of a group whose ranks are one array. A larger group has several, each of which meets each other: its work grows with their number.
-BLOCK = 200_000
-#: Parts that a group's permutations are dealt to: the rows are shuffled so many times, however many permutations there are.
+#: Rows of a group whose ranks are one array. A larger group has several, each of which is sent to each other; each row is still permuted once a permutation.
+BLOCK = 1_000_000
+#: Rows up to which a permutation is one bijection. A larger group's has the segments of at most so many rows change places, and the rows within each.
+SEGMENT = 65_536
+#: Pairs of a group's blocks and parts of its permutations that there are at least.
 PARTS = 8
 #: Rounds of the Feistel network; places that it works out at once.
-ROUNDS, HELD = 6, 30_000
+ROUNDS, HELD = 6, 15_000
 #: Slides (clusters) up to which a rank bootstrap keeps its sums: they are a cube of this side.
 MAX_SLIDES = 100
 
@@ -42,10 +44,18 @@ def _network(x: np.ndarray, rounds: list[np.ndarray], half: int, kind: type) ->
     low, bits = kind((1 << half) - 1), kind(np.iinfo(kind).bits // 2)
     factor, half = kind(0x9E3779B97F4A7C15 >> (64 - np.iinfo(kind).bits) | 1), kind(half)
     left, right = x >> half, x & low
-    for key in rounds:
-        mixed = (right + key) * factor
-        left, right = right, left ^ ((mixed ^ (mixed >> bits)) & low)
-    return (left << half) | right
+    mixed, high = np.empty_like(left), np.empty_like(left)
+    for key in rounds:  # in place, which keeps the arrays in the cache
+        np.add(right, key, out=mixed)
+        np.multiply(mixed, factor, out=mixed)
+        np.right_shift(mixed, bits, out=high)
+        np.bitwise_xor(mixed, high, out=mixed)
+        np.bitwise_and(mixed, low, out=mixed)
+        np.bitwise_xor(left, mixed, out=left)
+        left, right = right, left
+    left <<= half
+    left |= right
+    return left
 
 
 def bijection(at: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
@@ -73,7 +83,42 @@ def permutation_keys(seed: int, group_hash: int, permutations: np.ndarray) -> np
         return own + _mix(np.asarray(permutations, np.uint64) + np.uint64(7))
 
 
-def _products(n_perm: int, seed: int):
+def _shuffled(n: int, keys: np.ndarray) -> np.ndarray:
+    """Each key's permutation of a few numbers, by sorting; a network would be walked for long."""
+    with np.errstate(over="ignore"):
+        return np.argsort(_mix(keys[:, None] + np.uint64(0x9E3779B97F4A7C15) * np.arange(1, n + 1, dtype=np.uint64)), axis=1)
+
+
+def segments(n: int, at_most: int) -> tuple[int, int]:
+    """(number, rows) of equal segments of at most so many rows; under number rows are left."""
+    number = -(-n // at_most)
+    return number, n // number
+
+
+def _moves(x_at: int, x_end: int, y_at: int, y_end: int, n: int, group: int, seed: int, permutation: np.ndarray, at_most: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, which of the permutations, rows that they are sent to) of rows x_at to x_end whose segment is sent to one that meets y_at to y_end.
+
+    The permutations are those that move whole segments and rows within them: a group of permutations, so the test by them is exact as well. Rows stand in the order of a hash,
+    so a segment is a sample of its group. The rows left over are a segment that stays.
+    """
+    number, size = segments(n, at_most)
+    if number == 1:
+        yield x_at, permutation, bijection(np.arange(x_at, x_end), n, permutation_keys(seed, group, permutation))
+        return
+    places = _shuffled(number, permutation_keys(seed, group, permutation))
+    for s in range(x_at // size, min(-(-x_end // size), number + 1)):
+        first, last = max(x_at, s * size), min(x_end, n if s == number else (s + 1) * size)
+        own = size if s < number else n - number * size
+        for p, place in zip(permutation, places[:, s] if s < number else np.full(len(permutation), number), strict=True):
+            start = int(place) * size
+            if start < y_end and start + own > y_at and first < last:
+                keys = permutation_keys(seed, group ^ (0x632BE59BD9B4E019 * (int(place) + 1)), np.array([p]))
+                for row in range(first, last, HELD):
+                    rows = np.arange(row, min(row + HELD, last)) - s * size
+                    yield row, np.array([p]), (bijection(rows, own, keys) if own >= 256 else _shuffled(own, keys)[:, rows]) + start
+
+
+def _products(n_perm: int, seed: int, at_most: int):
     """(permutation, sum of rank products) of pairs of blocks: x ranks from row x_at on, y ranks from y_at on, of a group of n rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,14 +129,15 @@ def _products(n_perm: int, seed: int):
                 seen = True
                 value = lambda c: batch.column(c)[i]  # noqa: B023, E731
                 x, y = value("xs").values.to_numpy(False), value("ys").values.to_numpy(False)
-                n, x_at, y_at, group, part = (value(c).as_py() for c in ("n", "x_at", "y_at", "group_hash", "part"))
-                rows = np.arange(x_at, x_at + len(x))
-                own = np.arange(part, n_perm, PARTS)
+                n, x_at, y_at, group, part, parts = (value(c).as_py() for c in ("n", "x_at", "y_at", "group_hash", "part", "parts"))
+                own = np.arange(part, n_perm, parts)
                 step = max(1, HELD // len(x))
                 for some in (own[k : k + step] for k in range(0, len(own), step)):
-                    to = bijection(rows, n, permutation_keys(seed, group, some)) - y_at
-                    met = y[to] if len(y) == n else np.where((to >= 0) & (to < len(y)), y[np.clip(to, 0, len(y) - 1)], 0.0)
-                    sums[some] += met @ x
+                    for first, which, to in _moves(x_at, x_at + len(x), y_at, y_at + len(y), n, group, seed, some, at_most):
+                        to -= y_at
+                        inside = len(y) == n or (to.min() >= 0 and to.max() < len(y))
+                        met = y[to] if inside else np.where((to >= 0) & (to < len(y)), y[np.clip(to, 0, len(y) - 1)], 0.0)
+                        sums[which] += np.einsum("ij,j->i", met, x[first - x_at : first - x_at + to.shape[1]])  # no BLAS: its threads would wait for those of other tasks
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(range(n_perm), pa.int32()), pa.array(sums)], ["permutation", "xy"])
 
@@ -101,20 +147,20 @@ def _products(n_perm: int, seed: int):
 def numbered(rows: DataFrame, group: str, key: str, block: int = BLOCK) -> DataFrame:
     """rows with _n (rows of the group), _block, _start (rows of the group in earlier blocks) and _at (place within the block).
 
-    Rows are dealt to blocks by a hash of the key and numbered within them by the key, so that no group is sorted in one task.
+    Rows are dealt to blocks by a hash of the key and numbered within them by another, so that no group is sorted in one task and rows stand in no order that means anything.
     """
     sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
     dealt = rows.join(sizes, group).withColumn("_block", F.pmod(F.xxhash64(F.lit(17), key), F.ceil(F.col("_n") / block)).cast("int"))
     blocks = dealt.groupBy(group, "_block").agg(F.count("*").alias("_size"))
     starts = blocks.withColumn("_start", F.sum("_size").over(Window.partitionBy(group).orderBy("_block")) - F.col("_size")).drop("_size")  # a row a block
-    return dealt.join(starts, [group, "_block"]).withColumn("_at", F.row_number().over(Window.partitionBy(group, "_block").orderBy(key)) - 1)
+    return dealt.join(starts, [group, "_block"]).withColumn("_at", F.row_number().over(Window.partitionBy(group, "_block").orderBy(F.xxhash64(F.lit(29), key), key)) - 1)
 
 
-def block_permutation_spearman(df: DataFrame, x: str, y: str, key: str, group: str = "wsi", n_perm: int = 2000, seed: int = 0, block: int = BLOCK) -> DataFrame:
+def block_permutation_spearman(df: DataFrame, x: str, y: str, key: str, group: str = "wsi", n_perm: int = 2000, seed: int = 0, block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
     """rho, p_value, n: y's ranks are shuffled inside each group n_perm times; p = (exceedances + 1) / (n_perm + 1).
 
     A permutation is a bijection of row numbers under a key of its own, so none is drawn, sorted or shuffled: each block of a group's x ranks
-    meets each block of its y ranks once in each of PARTS tasks, which walk their permutations over the two arrays. Rows with a null or NaN x or y or a null group have no part.
+    meets each block of its y ranks, in tasks that walk their permutations over the two arrays. Rows with a null or NaN x or y or a null group have no part.
     Rows that share a key are numbered in any order; keys should tell rows apart.
     """
     ranked = average_rank(average_rank(known(df, x, y).filter(F.col(group).isNotNull()), x, None, "_rx"), y, None, "_ry").select(F.col(group).alias("_g"), F.col(key).alias("_k"), "_rx", "_ry")
@@ -125,10 +171,12 @@ def block_permutation_spearman(df: DataFrame, x: str, y: str, key: str, group: s
     arrays = stored(arrays.select("_g", "_block", "_n", "_start", F.transform("_rows", lambda r: r["_rx"]).alias("xs"), F.transform("_rows", lambda r: r["_ry"]).alias("ys")), "rank-blocks")
     xs = arrays.select("_g", F.col("_block").alias("_bx"), F.col("_n").alias("n"), F.col("_start").alias("x_at"), "xs")
     ys = arrays.select("_g", F.col("_block").alias("_by"), F.col("_start").alias("y_at"), "ys")
-    pairs = xs.join(ys, "_g").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).withColumn("group_hash", F.xxhash64("_g"))
+    blocks = F.ceil(F.col("n") / block)
+    pairs = xs.join(ys, "_g").withColumn("parts", F.ceil(F.lit(PARTS) / (blocks * blocks)).cast("int"))
+    pairs = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("group_hash", F.xxhash64("_g"))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, as few rows mean much work
-    pairs = pairs.repartition(tasks, "_g", "_bx", "_by", "part").select("n", "x_at", "y_at", "group_hash", "part", "xs", "ys")
-    sums = pairs.mapInArrow(_products(n_perm, seed), "permutation int, xy double").groupBy("permutation").agg(F.sum("xy").alias("_xy"))
+    pairs = pairs.repartition(tasks, "_g", "_bx", "_by", "part").select("n", "x_at", "y_at", "group_hash", "part", "parts", "xs", "ys")
+    sums = pairs.mapInArrow(_products(n_perm, seed, segment), "permutation int, xy double").groupBy("permutation").agg(F.sum("xy").alias("_xy"))
     null = sums.crossJoin(F.broadcast(total)).withColumn("_r", (F.col("_xy") / F.col("n") - F.col("_mx") * F.col("_my")) / (F.col("_sx") * F.col("_sy")))  # one row
     hits = null.agg(F.count_if(F.abs("_r") >= F.abs("rho") - 1e-12).alias("_h"))
     return total.crossJoin(hits).select("rho", ((F.col("_h") + 1) / F.lit(n_perm + 1.0)).alias("p_value"), "n")

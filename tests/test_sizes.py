@@ -1,9 +1,11 @@
 """Faults that only larger tables showed."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from tessera.operators import resampling, stats
 
 
 @pytest.mark.parametrize("name", ["t1_pool_tokens", "t2_t4_tokens", "t7_neighbor_max_pool"])
@@ -15,3 +17,23 @@ def test_rounded_zeros_keep_their_sign(spark, tmp_path, name):
     got = entry.queries()[name](spark, str(tmp_path))
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert "-0.0," in str(want) and sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("n", [10, 130, 1000, 1001])
+def test_segments_make_permutations_without_rest(n):
+    for p in range(3):
+        to, walked = np.full(n, -1), 0
+        for a, b, c, d in [(a, min(n, a + 300), c, min(n, c + 400)) for a in range(0, n, 300) for c in range(0, n, 400)]:
+            for first, _, found in resampling._moves(a, b, c, d, n, 12345, 0, np.array([p]), 64):
+                inside = (found[0] >= c) & (found[0] < d)
+                to[first : first + found.shape[1]][inside] = found[0][inside]
+                walked += found.shape[1]
+        assert sorted(to) == list(range(n)) and (walked <= 2.5 * n or n < 400)  # a row is sent once, whatever the number of blocks
+
+
+def test_permutations_of_segments_agree_with_whole_ones(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{i % 2}", i, float(x), float(0.02 * x + y)) for i, (x, y) in enumerate(rng.normal(size=(2000, 2)))]
+    df = spark.createDataFrame(rows, "wsi string, key long, x double, y double")
+    p = [stats.block_permutation_spearman(df, "x", "y", "key", n_perm=500, block=b, segment=s).first()["p_value"] for b, s in ((10_000, 10_000), (10_000, 100), (700, 100))]
+    assert max(p) - min(p) < 0.1

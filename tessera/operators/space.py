@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -124,20 +125,73 @@ def average_offsets(matched: DataFrame, reach: float = 112.0) -> DataFrame:
     return matched.select("wsi", "cell_id").join(mean, ["wsi", "cell_id"], "left").withColumn("n_used", F.coalesce("n_used", F.lit(0)))
 
 
+def _contenders(left: DataFrame, right: DataFrame, radius: float, weigh: Callable[[DataFrame, Column], DataFrame], most: Callable[[float], Column], names: int, rounds: int = 4) -> DataFrame:
+    """Scored pairs within radius, of left (wsi, cell_id, lx, ly, lring ...) and right (wsi, other_id, rx, ry, rring ...), that hold the best ones of each left row and name.
+
+    Overlaps are worked out last. Each pair's score is bounded in columns by the two shapes' areas and boxes; the pair of the highest bound is scored, and then only those
+    whose bound reaches that score. The reach doubles up to radius for the rows that a farther pair could still win: most(reach) bounds what lies beyond.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, as few rows mean much work
+
+    def side(df: DataFrame, p: str, number: str) -> tuple[DataFrame, DataFrame]:
+        whole = df.repartition(tasks).withColumn(number, F.monotonically_increasing_id()).withColumn(f"{p}extent", overlay.shape_extent(F.col(f"{p}ring")))
+        whole = stored(whole, "shapes")
+        return whole.drop(f"{p}ring"), whole.select(number, f"{p}ring")
+
+    (rest, lrings), (others, rrings) = side(left, "l", "_i"), side(right, "r", "_j")
+    every, found = rest, []
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(lrings, "_i").join(rrings, "_j").repartition(tasks)
+        return weigh(both, overlay.shape_overlap(F.col("lring"), F.col("rring"), True))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("distance", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry")))
+
+    for k in reversed(range(rounds)):
+        reach = radius / 2**k
+        pairs = apart(near_join(rest, others, reach)).filter(F.col("distance") <= reach)
+        bounds = weigh(pairs, overlay.overlap_bound(F.col("lextent"), F.col("rextent"))).select("_i", "_j", "name", F.coalesce("score", F.lit(float("-inf"))).alias("_bound"))
+        top = bounds.groupBy("_i", "name").agg(F.max_by("_j", "_bound").alias("_j"))
+        scored = exact(apart(top.join(every, "_i").join(others.drop("wsi"), "_j")))
+        floors = stored(scored.select("_i", "name", F.coalesce("score", F.lit(float("-inf"))).alias("_floor"), most(reach).alias("_most")), "floors")
+        if k:
+            settled = floors.filter(F.col("_floor") > F.col("_most") + 1e-9).groupBy("_i").count().filter(F.col("count") == names).select("_i")
+            floors = floors.join(settled, "_i", "left_semi")
+            rest = stored(rest.join(settled, "_i", "left_anti"), "rest")
+        close = bounds.join(floors, ["_i", "name"]).filter(F.col("_bound") >= F.col("_floor") - 1e-9).select("_i", "_j", "name")
+        found.append(stored(exact(apart(close.join(every, "_i").join(others.drop("wsi"), "_j"))), "contenders"))
+        if k and not rest.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
 def match_by_radius(detected: DataFrame, reference: DataFrame, weightings: DataFrame, radius: float = 80.0, shapes: bool = False) -> DataFrame:
     """The best reference of each detected cell under each weighting (name, w_distance, w_orientation, w_iou); unmatched cells stay.
 
     Both sides have wsi, cell_id, x, y, orientation; with shapes also ring (a ring or a shape with holes), which adds the overlap of polygons
-    moved to one centroid. Candidates are scored once and weighed by a table of a few rows; equal scores go to the smaller id.
+    moved to one centroid. Candidates are scored once and weighed by a table of a few rows, whose w_iou is not negative; equal scores (to ten decimals with
+    shapes) go to the smaller id.
     """
     more = ["ring"] if shapes else []
-    left = detected.select("wsi", "cell_id", F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("orientation").alias("lo"), *more)
-    right = reference.select("wsi", F.col("cell_id").alias("other_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("orientation").alias("ro"), *[F.col(c).alias(f"other_{c}") for c in more])
-    pairs = near_join(left, right, radius).withColumn("distance", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).filter(F.col("distance") <= radius)
-    iou = overlay.shape_overlap(F.col("ring"), F.col("other_ring"), True) if shapes else F.lit(0.0)
-    scored = pairs.select("wsi", "cell_id", "other_id", distance_score(F.col("distance")).alias("distance_score"), orientation_score(angle_difference(F.col("lo"), F.col("ro"))).alias("orientation_score"), iou.alias("iou_score"))
-    weighed = scored.crossJoin(F.broadcast(weightings)).withColumn("score", F.col("w_distance") * F.col("distance_score") + F.col("w_orientation") * F.coalesce("orientation_score", F.lit(0.0)) + F.col("w_iou") * F.col("iou_score"))
-    best = Window.partitionBy("wsi", "cell_id", "name").orderBy(F.desc("score"), "other_id")
+    left = detected.select("wsi", "cell_id", F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("orientation").alias("lo"), *[F.col(c).alias(f"l{c}") for c in more])
+    right = reference.select("wsi", F.col("cell_id").alias("other_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("orientation").alias("ro"), *[F.col(c).alias(f"r{c}") for c in more])
+
+    def weigh(pairs: DataFrame, iou: Column) -> DataFrame:
+        scored = pairs.withColumns({"distance_score": distance_score(F.col("distance")), "orientation_score": orientation_score(angle_difference(F.col("lo"), F.col("ro"))), "iou_score": iou})
+        named = scored.join(F.broadcast(weightings), "name") if "name" in pairs.columns else scored.crossJoin(F.broadcast(weightings))
+        return named.withColumn("score", F.col("w_distance") * F.col("distance_score") + F.col("w_orientation") * F.coalesce("orientation_score", F.lit(0.0)) + F.col("w_iou") * F.col("iou_score"))
+
+    def most(reach: float) -> Column:
+        near, far = (F.col("w_distance") * distance_score(F.lit(r)) for r in (reach, radius))
+        return F.greatest(near, far) + F.greatest("w_orientation", F.lit(0.0)) + F.greatest("w_iou", F.lit(0.0))
+
+    if shapes:
+        weighed, score = _contenders(left, right, radius, weigh, most, weightings.count()), F.round("score", 10)
+    else:
+        pairs = near_join(left, right, radius).withColumn("distance", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).filter(F.col("distance") <= radius)
+        weighed, score = weigh(pairs, F.lit(0.0)), F.col("score")
+    best = Window.partitionBy("wsi", "cell_id", "name").orderBy(F.desc(score), "other_id")
     top = weighed.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("wsi", "cell_id", "name", "other_id", "distance_score", "orientation_score", "iou_score", "score")
     every = detected.select("wsi", "cell_id").crossJoin(F.broadcast(weightings.select("name")))
     return every.join(top, ["wsi", "cell_id", "name"], "left")
@@ -146,14 +200,19 @@ def match_by_radius(detected: DataFrame, reference: DataFrame, weightings: DataF
 def match_merged(reference: DataFrame, detected: DataFrame, radius: float = 100.0, **weights: float) -> DataFrame:
     """wsi, cell_id, other_id, iou, distance, angle, score, dx, dy: the best detected polygon of each reference by overlap less penalties; unmatched ones stay.
 
-    Both have wsi, cell_id, x, y, ring (a ring or a shape with holes), orientation, elongation; equal scores go to the smaller id.
+    Both have wsi, cell_id, x, y, ring (a ring or a shape with holes), orientation, elongation; equal scores (to ten decimals) go to the smaller id.
     """
     side = lambda df, p: df.select("wsi", F.col("cell_id").alias("cell_id" if p == "l" else "other_id"), *[F.col(c).alias(f"{p}{c}") for c in ("x", "y", "ring", "orientation", "elongation")])
-    pairs = near_join(side(reference, "l"), side(detected, "r"), radius).withColumn("distance", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))).filter(F.col("distance") <= radius)
-    angle = angle_difference(F.col("lorientation"), F.col("rorientation"))
-    scored = pairs.withColumn("iou", overlay.shape_overlap(F.col("lring"), F.col("rring"), True)).withColumn("angle", angle)
-    scored = scored.withColumn("score", penalty_score(F.col("iou"), F.col("distance"), F.col("angle"), F.col("lelongation"), F.col("relongation"), **weights))
-    best = Window.partitionBy("wsi", "cell_id").orderBy(F.desc("score"), "other_id")
+
+    def weigh(pairs: DataFrame, iou: Column) -> DataFrame:
+        scored = pairs.withColumns({"iou": iou, "angle": angle_difference(F.col("lorientation"), F.col("rorientation")), "name": F.lit("all")})
+        return scored.withColumn("score", penalty_score(F.col("iou"), F.col("distance"), F.col("angle"), F.col("lelongation"), F.col("relongation"), **weights))
+
+    def most(reach: float) -> Column:
+        return penalty_score(F.lit(1.0), F.lit(reach), F.lit(0.0), F.lit(0.0), F.lit(0.0), **weights)
+
+    scored = _contenders(side(reference, "l"), side(detected, "r"), radius, weigh, most, 1)
+    best = Window.partitionBy("wsi", "cell_id").orderBy(F.desc(F.round("score", 10)), "other_id")
     top = scored.withColumn("_r", F.row_number().over(best)).filter("_r = 1")
     return reference.select("wsi", "cell_id").join(top.select("wsi", "cell_id", "other_id", "iou", "distance", "angle", "score", (F.col("rx") - F.col("lx")).alias("dx"), (F.col("ry") - F.col("ly")).alias("dy")), ["wsi", "cell_id"], "left")
 

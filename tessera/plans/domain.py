@@ -100,7 +100,8 @@ RUNS = "runs AS (SELECT event_type AS condition, CAST(user_id % 8 AS INTEGER) AS
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """wsi, cell_id, ring, x0, y0, w, h: a rectangle for each part."""
     key = F.col("p_partkey")
-    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("s"), (key % 7).cast("string")).alias("wsi"), key.alias("key"), key.cast("string").alias("cell_id"), (key * 37 % 2003).cast("double").alias("x0"), (key * 91 % 1999).cast("double").alias("y0"), F.col("p_size").cast("double").alias("w"), (1 + key % 5).cast("double").alias("h"))
+    parts = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # few bytes mean much work
+    rows = parts.select(F.concat(F.lit("s"), (key % 7).cast("string")).alias("wsi"), key.alias("key"), key.cast("string").alias("cell_id"), (key * 37 % 2003).cast("double").alias("x0"), (key * 91 % 1999).cast("double").alias("y0"), F.col("p_size").cast("double").alias("w"), (1 + key % 5).cast("double").alias("h"))
     at = lambda dx, dy: F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y"))
     return rows.withColumn("ring", F.array(at(F.lit(0.0), F.lit(0.0)), at(F.col("w"), F.lit(0.0)), at(F.col("w"), F.col("h")), at(F.lit(0.0), F.col("h"))))
 

@@ -3,9 +3,11 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera.operators import resampling, stats
+from tessera.functions import overlay
+from tessera.operators import resampling, space, stats
 
 
 @pytest.mark.parametrize("name", ["t1_pool_tokens", "t2_t4_tokens", "t7_neighbor_max_pool"])
@@ -37,3 +39,30 @@ def test_permutations_of_segments_agree_with_whole_ones(spark):
     df = spark.createDataFrame(rows, "wsi string, key long, x double, y double")
     p = [stats.block_permutation_spearman(df, "x", "y", "key", n_perm=500, block=b, segment=s).first()["p_value"] for b, s in ((10_000, 10_000), (10_000, 100), (700, 100))]
     assert max(p) - min(p) < 0.1
+
+
+def test_overlaps_are_worked_out_for_contenders_only(spark, monkeypatch):
+    boxes = [(f"c{i}", float(i % 20 * 9), float(i // 20 * 9), 2.0 + i % 5, 3.0 + i % 3) for i in range(200)]
+    rows = [("s", c, x, y, 0.0, 0.5, [{"x": x + a * w / 2, "y": y + b * h / 2} for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]) for c, x, y, w, h in boxes]
+    df = spark.createDataFrame(rows, f"wsi string, cell_id string, x double, y double, orientation double, elongation double, ring array<{overlay.POINT}>")
+    seen, ratio = spark.sparkContext.accumulator(0), overlay.shape_overlap
+    monkeypatch.setattr(overlay, "shape_overlap", lambda a, b, aligned: ratio(counted(a), b, aligned))
+
+    def counted(a):
+        def run(v):
+            seen.add(len(v))
+            return v
+
+        return F.pandas_udf(run, f"array<{overlay.POINT}>")(a)
+
+    got = space.match_merged(df.filter("cell_id like '%1'"), df.filter("cell_id not like '%1'")).collect()
+    assert len(got) == 20 and all(r["other_id"] for r in got) and seen.value < 400  # of some 2,000 pairs
+
+    def best(c):
+        own = next(b for b in boxes if b[0] == c)
+        def score(b):
+            shared = min(own[3], b[3]) * min(own[4], b[4])
+            return round(shared / (own[3] * own[4] + b[3] * b[4] - shared) - 0.5 * min(np.hypot(own[1] - b[1], own[2] - b[2]) / 100, 1), 10)
+        return min((b for b in boxes if not b[0].endswith("1")), key=lambda b: (-score(b), b[0]))[0]
+
+    assert all(r["other_id"] == best(r["cell_id"]) for r in got)

@@ -133,7 +133,7 @@ def g2_g5_polygons(spark, sf_dir):
 
 
 def _geojson(spark: SparkSession, sf_dir: str) -> str:
-    """A file of features from the rectangles: polygons, polygons with a hole, multi-polygons with an empty part, collections in collections with points and lines."""
+    """Files of 20,000 keys' features each, in the order of their names, from the rectangles: polygons, polygons with a hole, multi-polygons with an empty part, collections in collections with points and lines."""
     x0, y0, w, h, key = (F.col(c) for c in ("x0", "y0", "w", "h", "key"))
     point = lambda x, y: F.concat(F.lit("["), x.cast("string"), F.lit(","), y.cast("string"), F.lit("]"))
 
@@ -151,9 +151,10 @@ def _geojson(spark: SparkSession, sf_dir: str) -> str:
     body = F.when(key % 4 == 0, plain).when(key % 4 == 1, holed).when(key % 4 == 2, multi).otherwise(nested)
     name = F.when(key % 5 > 0, F.concat(F.lit('{"classification":{"name":"k'), (key % 5).cast("string"), F.lit('"}}'))).otherwise("{}")
     feature = F.concat(F.lit('{"type":"Feature","properties":'), name, F.lit(',"geometry":'), body, F.lit("}"))
-    rows = d.polygons(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("key", feature.alias("f")))).alias("fs"))
+    file = F.lpad(F.floor(key / 20_000).cast("string"), 12, "0").alias("keys")
+    rows = d.polygons(spark, sf_dir).groupBy(file).agg(F.array_sort(F.collect_list(F.struct("key", feature.alias("f")))).alias("fs"))
     path = scratch(spark, "geojson")
-    rows.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("fs", lambda f: f["f"]), ","), F.lit("]}"))).write.text(path)
+    rows.select("keys", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("fs", lambda f: f["f"]), ","), F.lit("]}")).alias("value")).write.partitionBy("keys").text(path)
     return path
 
 

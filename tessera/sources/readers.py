@@ -92,7 +92,8 @@ def geojson_geometries(spark: SparkSession, path: str) -> DataFrame:
 def geojson_shapes(spark: SparkSession, path: str, sample: str) -> DataFrame:
     """wsi, cell_id ({sample}_cvit_{i}), label, shape of each polygon in the order of the file, a row for each part of a multi-polygon, with its holes.
 
-    Geometries of other kinds and empty polygons give no row; geojson_skipped counts them. Ids are dealt by one pass over the rows' places (one slide's file).
+    Geometries of other kinds and empty polygons give no row; geojson_skipped counts them. Ids are dealt by one pass over the rows' places in each file, from the number of
+    rows in the files before it.
     """
     rows = geojson_geometries(spark, path)
     text, kind = F.col("coordinates"), F.col("type")
@@ -100,7 +101,10 @@ def geojson_shapes(spark: SparkSession, path: str, sample: str) -> DataFrame:
     rows = rows.select("f", "path", "label", F.posexplode(parts).alias("part", "rings"))
     point = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
     rows = rows.filter(F.size(F.get("rings", F.lit(0))) >= 3).withColumn("shape", F.array(F.transform("rings", lambda r: F.transform(r, point))))
-    number = F.row_number().over(Window.partitionBy(F.lit(sample)).orderBy("f", "path", "part")) - 1
+    sizes = rows.groupBy("f.file").agg(F.count("*").alias("_n"))
+    starts = sizes.select("file", (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_start"))  # a row a file
+    rows = rows.withColumn("file", F.col("f.file")).join(F.broadcast(starts), "file")
+    number = F.col("_start") + F.row_number().over(Window.partitionBy("file").orderBy("f", "path", "part")) - 1
     return rows.select(F.lit(sample).alias("wsi"), F.concat(F.lit(f"{sample}_cvit_"), number.cast("string")).alias("cell_id"), "label", "shape")
 
 

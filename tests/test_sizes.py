@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tessera.functions import overlay
 from tessera.operators import resampling, space, stats
+from tessera.plans import shapes
+from tessera.sources import readers
 
 
 @pytest.mark.parametrize("name", ["t1_pool_tokens", "t2_t4_tokens", "t7_neighbor_max_pool"])
@@ -66,3 +68,16 @@ def test_overlaps_are_worked_out_for_contenders_only(spark, monkeypatch):
         return min((b for b in boxes if not b[0].endswith("1")), key=lambda b: (-score(b), b[0]))[0]
 
     assert all(r["other_id"] == best(r["cell_id"]) for r in got)
+
+
+def test_features_of_several_files_are_numbered_without_one_task(spark, tmp_path):
+    spark.createDataFrame([(k, 1 + k % 9) for k in range(19_990, 20_010)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    path = shapes._geojson(spark, str(tmp_path))
+    assert spark.read.text(path).select("keys").distinct().count() == 2
+    plan = readers.geojson_shapes(spark, path, "s").select("cell_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("windowspecdefinition(file") == 2  # within files, and over a row a file
+    got = entry.queries()["s6_nested_geometry"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()['s6_nested_geometry']})").fetchall()
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want))

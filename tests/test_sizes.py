@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tessera.functions import overlay
 from tessera.operators import resampling, space, stats
-from tessera.plans import shapes
+from tessera.plans import domain, shapes
 from tessera.sources import readers
 
 
@@ -81,3 +81,7 @@ def test_features_of_several_files_are_numbered_without_one_task(spark, tmp_path
     got = entry.queries()["s6_nested_geometry"](spark, str(tmp_path))
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({entry.oracle_sql()['s6_nested_geometry']})").fetchall()
     assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want))
+
+
+def test_polygons_are_dealt_over_tasks(spark):
+    assert domain.polygons(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

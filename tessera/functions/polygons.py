@@ -1,8 +1,9 @@
-"""Polygon kernels in numpy, applied by pandas UDFs: long axis and contact. Rings are arrays of (x, y); overlay.py has repair, union and overlap."""
+"""Polygon kernels in numpy, applied by pandas UDFs: long axis, contact and groups that touch. Rings are arrays of (x, y); overlay.py has repair, union and overlap."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,11 @@ RING = "array<struct<x:double,y:double>>"
 def as_array(ring) -> np.ndarray:
     if ring is None or not len(ring):
         return np.zeros((0, 2))
-    pts = np.array([(p["x"], p["y"]) for p in ring], float)
+    return as_points(np.array([(p["x"], p["y"]) for p in ring], float))
+
+
+def as_points(pts: np.ndarray) -> np.ndarray:
+    """Points without those that repeat the one before, or at the end the first."""
     if len(pts) > 1 and (pts[0] == pts[-1]).all():
         pts = pts[:-1]
     keep = np.ones(len(pts), bool)
@@ -88,6 +93,64 @@ def rings_touch(a: np.ndarray, b: np.ndarray) -> bool:
     return inside(a[0], b) or inside(b[0], a)
 
 
+def upright_boxes(at: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Which rings are the corners of an upright rectangle, in their order around it, closed or not; ring i has the points from at[i] to at[i + 1]."""
+    found, sizes = np.zeros(len(at) - 1, bool), np.diff(at)
+    rows = np.flatnonzero((sizes == 4) | (sizes == 5))
+    start, end = at[rows], at[rows + 1] - 1
+    rows = rows[(sizes[rows] == 4) | ((xs[start] == xs[end]) & (ys[start] == ys[end]))]
+    corner = at[rows][:, None] + np.arange(4)
+    x, y = xs[corner], ys[corner]
+    right, top = x == x.max(1, keepdims=True), y == y.max(1, keepdims=True)
+    at_edge = (right != (x == x.min(1, keepdims=True))).all(1) & (top != (y == y.min(1, keepdims=True))).all(1)
+    code = right * 2 + top  # opposite corners add up to 3
+    found[rows] = at_edge & (code[:, 0] + code[:, 2] == 3) & (code[:, 1] + code[:, 3] == 3) & (code[:, 1] != code[:, 0]) & (code[:, 1] != code[:, 2])
+    return found
+
+
+def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """labels (each the smallest place of its group) after the groups of a[i] and b[i] have become one."""
+    while True:
+        la, lb = labels[a], labels[b]
+        apart = la != lb
+        if not apart.any():
+            return labels
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        to = np.arange(len(labels))
+        np.minimum.at(to, np.maximum(la, lb), np.minimum(la, lb))
+        while (to[to] != to).any():
+            to = to[to]
+        labels = to[labels]
+
+
+def touching_labels(boxes: np.ndarray, upright: np.ndarray, ring_of: Callable[[int], np.ndarray], block: int = 1_000_000) -> np.ndarray:
+    """The smallest place in each one's group of polygons that touch; boxes (xmin, ymin, xmax, ymax) ascend by xmin, upright tells which polygons are their boxes.
+
+    Pairs whose boxes meet are made block by block; those of upright rectangles touch, others are tested as long as they stand in different groups.
+    """
+    x0, y0, x1, y1 = boxes.T
+    labels = np.arange(len(boxes))
+    ends = np.searchsorted(x0, x1, "right")  # those from the next one to here begin before a box ends
+    counts = np.maximum(ends - np.arange(len(boxes)) - 1, 0)
+    before = np.concatenate([[0], np.cumsum(counts)])
+    first = 0
+    while first < len(boxes):
+        last = max(first + 1, int(np.searchsorted(before, before[first] + block, "right")) - 1)
+        n = counts[first:last]
+        a = np.repeat(np.arange(first, last), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(before[first:last] - before[first], n)
+        meet = (y0[a] <= y1[b]) & (y0[b] <= y1[a])
+        a, b = a[meet], b[meet]
+        sure = upright[a] & upright[b]
+        labels = joined(labels, a[sure], b[sure])
+        for i, j in zip(a[~sure], b[~sure], strict=True):
+            if labels[i] != labels[j] and rings_touch(ring_of(i), ring_of(j)):
+                low, high = sorted((labels[i], labels[j]))
+                labels[labels == high] = low
+        first = last
+    return labels
+
+
 def orientation_elongation(ring: Column) -> Column:
     """struct(orientation, elongation) of the smallest rectangle around a ring or a shape; nulls for a degenerate one."""
 

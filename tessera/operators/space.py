@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,11 +248,78 @@ def connected_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = labels.drop("_old")
 
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """wsi, cell_id, root of rows that come by bin and xmin: root is the smallest id of those that a row touches, directly or not, within its bin and batch.
+
+    Rows of a bin that later ones may reach are taken along to the next batch and given again, with the root that they have there.
+    """
+    carried = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = (t if carried is None else pa.concat_tables([carried, t])).combine_chunks()
+        carried, n = None, t.num_rows
+        if not n:
+            continue
+        flat = lambda c: t[c].combine_chunks()
+        boxes = np.column_stack([flat(c).to_numpy() for c in ("_xmin", "_ymin", "_xmax", "_ymax")])
+        rings = flat("ring")
+        rings = rings.chunk(0) if isinstance(rings, pa.ChunkedArray) else rings
+        at, points = rings.offsets.to_numpy(), rings.values
+        xs, ys = (points.field(c).to_numpy(zero_copy_only=False) for c in "xy")
+        order = pc.sort_indices(t["cell_id"]).to_numpy()
+        place = np.empty(n, int)
+        place[order] = np.arange(n)
+        new = np.zeros(n, bool)
+        new[0] = True
+        for c in ("wsi", "_bx", "_by"):
+            codes = flat(c).dictionary_encode().indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        starts = np.flatnonzero(new)
+
+        def ring_of(i: int, at=at, xs=xs, ys=ys) -> np.ndarray:
+            return polygons.as_points(np.column_stack([xs[at[i] : at[i + 1]], ys[at[i] : at[i + 1]]]))
+
+        upright = polygons.upright_boxes(at, xs, ys)
+        root = np.empty(n, int)
+        for first, last in zip(starts, [*starts[1:], n], strict=True):
+            labels = polygons.touching_labels(boxes[first:last], upright[first:last], lambda i, first=first: ring_of(first + i))
+            least = np.full(last - first, n)
+            np.minimum.at(least, labels, place[first:last])
+            root[first:last] = order[least[labels]]
+        yield pa.RecordBatch.from_arrays([flat("wsi"), flat("cell_id"), flat("cell_id").take(pa.array(root))], ["wsi", "cell_id", "root"])
+        open_ = np.zeros(n, bool)
+        open_[starts[-1] :] = boxes[starts[-1] :, 2] >= boxes[-1, 0]
+        carried = t.filter(pa.array(open_))
+
+
+def touching_groups(shapes: DataFrame, size: float = 64.0) -> DataFrame:
+    """wsi, cell_id, component of polygons (wsi, cell_id, ring): the smallest id of those that touch, directly or not.
+
+    A bin of the grid is walked along x, and each of its polygons gets the smallest id that it is joined with there. So pairs are not kept, however densely
+    polygons lie: what is linked are the groups of bins, by the polygons that lie in several.
+    """
+    boxed = shapes.select("wsi", "cell_id", "ring", bbox(F.col("ring")).alias("_box"))
+    b = lambda c: F.floor(F.col(f"_box.{c}") / size)
+    binned = boxed.withColumn("_bx", F.explode(F.sequence(b("xmin"), b("xmax")))).withColumn("_by", F.explode(F.sequence(b("ymin"), b("ymax"))))
+    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = binned.select("wsi", "cell_id", "ring", "_bx", "_by", *[F.col(f"_box.{c}").alias(f"_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+    dealt = dealt.filter(F.col("wsi").isNotNull() & F.col("cell_id").isNotNull()).repartition(tasks, "wsi", "_bx", "_by").sortWithinPartitions("wsi", "_bx", "_by", "_xmin")
+    kinds = dict(shapes.select("wsi", "cell_id").dtypes)
+    rooted = dealt.mapInArrow(_roots, f"wsi {kinds['wsi']}, cell_id {kinds['cell_id']}, root {kinds['cell_id']}")
+    own = stored(rooted.groupBy("wsi", "cell_id").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots")), "roots")
+    links = own.filter(F.size("roots") > 1).select("wsi", F.col("root").alias("a"), F.explode("roots").alias("b")).filter("a <> b").distinct()
+    links = stored(links, "root-links")
+    ends = links.select("wsi", F.col("a").alias("cell_id")).union(links.select("wsi", F.col("b").alias("cell_id"))).distinct()
+    labels = connected_labels(ends, links).select("wsi", F.col("cell_id").alias("root"), "component")
+    found = own.select("wsi", "cell_id", "root").join(labels, ["wsi", "root"], "left").select("wsi", "cell_id", F.coalesce("component", "root").alias("component"))
+    return shapes.select("wsi", "cell_id").distinct().join(found, ["wsi", "cell_id"], "left").select("wsi", "cell_id", F.coalesce("component", "cell_id").alias("component"))
+
+
 def merge_touching(shapes: DataFrame) -> DataFrame:
-    """wsi, component, members, rings: groups of polygons that touch, as multi-polygons of their members."""
-    labels = connected_labels(shapes, touching_pairs(shapes))
-    rows = shapes.join(labels, ["wsi", "cell_id"]).groupBy("wsi", "component").agg(F.array_sort(F.collect_list(F.struct("cell_id", "ring"))).alias("_m"))
-    return rows.select("wsi", "component", F.transform("_m", lambda m: m["cell_id"]).alias("members"), F.transform("_m", lambda m: m["ring"]).alias("rings"))
+    """wsi, component, members, rings: groups of polygons that touch, as multi-polygons of their members. Rings are gathered only where they are read."""
+    rows = shapes.join(touching_groups(shapes), ["wsi", "cell_id"]).groupBy("wsi", "component")
+    by_id = F.array_sort(F.collect_list(F.struct("cell_id", "ring")))
+    return rows.agg(F.array_sort(F.collect_list("cell_id")).alias("members"), F.transform(by_id, lambda m: m["ring"]).alias("rings"))
 
 
 def merged_shapes(shapes: DataFrame, tile: float = 256.0, fan: int = 64) -> DataFrame:
@@ -258,7 +328,7 @@ def merged_shapes(shapes: DataFrame, tile: float = 256.0, fan: int = 64) -> Data
     A union is made of unions: at most fan members of a group and tile first, then what came of four times as wide tiles, until each group is one
     row. So no task holds a group's members, only the shapes that are left of them.
     """
-    labels = stored(connected_labels(shapes, touching_pairs(shapes)), "groups")
+    labels = stored(touching_groups(shapes), "groups")
     box = bbox(F.col("ring"))
     rows = shapes.join(labels, ["wsi", "cell_id"]).select("wsi", "component", F.lit(1).cast("long").alias("n_members"), overlay.as_shape(F.col("ring")).alias("shape"), box["xmin"].alias("x"), box["ymin"].alias("y"), F.xxhash64("cell_id").alias("salt"))
     groups = labels.select("wsi", "component").distinct().count()
@@ -275,10 +345,9 @@ def merged_shapes(shapes: DataFrame, tile: float = 256.0, fan: int = 64) -> Data
 
 
 def broadcast_offsets(members: DataFrame, matches: DataFrame) -> DataFrame:
-    """The offset of a merged group for each of its members, and matched."""
-    single = members.select("wsi", "component", F.explode("members").alias("cell_id"))
+    """The offset of a merged group for each of its members (wsi, cell_id, component), and matched."""
     found = matches.select("wsi", F.col("cell_id").alias("component"), "dx", "dy")
-    return single.join(found, ["wsi", "component"], "left").select("wsi", "cell_id", "dx", "dy", F.col("dx").isNotNull().alias("matched"))
+    return members.join(found, ["wsi", "component"], "left").select("wsi", "cell_id", "dx", "dy", F.col("dx").isNotNull().alias("matched"))
 
 
 def tile_groups(cells: DataFrame, width, height, size: int = 224, core: int = 112) -> DataFrame:

@@ -11,7 +11,7 @@ from tessera.plans import domain as d
 from tessera.plans.domain import POLY
 from tessera.plans.queries import query, r6, rounded
 from tessera.sources import readers, sinks
-from tessera.sources.storage import scratch
+from tessera.sources.storage import scratch, stored
 
 
 def _rectangle(x0, y0, w, h):
@@ -87,15 +87,16 @@ SELECT l.wsi, l.cell_id, dx, dy, dx IS NOT NULL AS matched FROM l LEFT JOIN s ON
 def j9_broadcast_offsets(spark, sf_dir):
     """Groups that touch are matched by their boxes with nuclei that lie off by (9, -4); members get their group's offset."""
     shapes = _dense(spark, sf_dir)
-    groups = space.merge_touching(shapes.select("wsi", "cell_id", "ring"))
-    boxes = groups.select("wsi", F.col("component").alias("cell_id"), rings.bbox(F.flatten("rings")).alias("b")).select("wsi", "cell_id", _rectangle(F.col("b.xmin"), F.col("b.ymin"), F.col("b.xmax") - F.col("b.xmin"), F.col("b.ymax") - F.col("b.ymin")).alias("ring"))
+    groups = stored(space.touching_groups(shapes.select("wsi", "cell_id", "ring")), "groups")
+    box = shapes.select("wsi", "cell_id", rings.bbox(F.col("ring")).alias("b")).join(groups, ["wsi", "cell_id"]).groupBy("wsi", F.col("component").alias("cell_id"))
+    boxes = box.agg(F.struct(*[f(f"b.{c}").alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))]).alias("b")).select("wsi", "cell_id", _rectangle(F.col("b.xmin"), F.col("b.ymin"), F.col("b.xmax") - F.col("b.xmin"), F.col("b.ymax") - F.col("b.ymin")).alias("ring"))
     moved = shapes.filter("key % 3 = 0").select("wsi", F.concat(F.lit("n"), "cell_id").alias("cell_id"), _rectangle(F.col("x0") + 9, F.col("y0") - 4, F.col("w"), F.col("h")).alias("ring"))
 
     def side(rows):
         rows = rows.withColumn("axis", polygons.orientation_elongation(F.col("ring"))).withColumn("c", overlay.shape_centroid(overlay.as_shape(F.col("ring"))))
         return rows.select("wsi", "cell_id", "ring", "axis.*", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
 
-    found = space.broadcast_offsets(groups.select("wsi", "component", "members"), space.match_merged(side(boxes), side(moved)))
+    found = space.broadcast_offsets(groups, space.match_merged(side(boxes), side(moved)))
     return found.select("wsi", "cell_id", (F.round("dx", 4) + 0.0).alias("dx"), (F.round("dy", 4) + 0.0).alias("dy"), "matched")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera.functions import overlay
+from tessera.functions import overlay, polygons
 from tessera.operators import resampling, space, stats
 from tessera.plans import domain, shapes
 from tessera.sources import readers
@@ -85,3 +85,36 @@ def test_features_of_several_files_are_numbered_without_one_task(spark, tmp_path
 
 def test_polygons_are_dealt_over_tasks(spark):
     assert domain.polygons(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_dense_groups_keep_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    ring = lambda x, y, w, h, kind: [[(x, y), (x + w, y), (x + w, y + h), (x, y + h)], [(x, y), (x + w, y), (x, y + h)], [(x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y)], [(x + w, y), (x, y), (x, y + h), (x + w, y + h)]][kind]
+    made = {(f"s{i % 2}", i): ring(*map(float, (rng.integers(0, 200), rng.integers(0, 100), rng.integers(1, 40), rng.integers(1, 4))), i % 4) for i in range(300)}
+    made |= {("s0", 1000 + i): ring(500.0 + i % 5, 500.0 + i % 7, 200.0, 90.0, i % 4) for i in range(30)}  # wider than a bin, all touch
+    df = spark.createDataFrame([(w, i, [{"x": x, "y": y} for x, y in r]) for (w, i), r in made.items()], f"wsi string, cell_id long, ring array<{overlay.POINT}>")
+    odd = spark.createDataFrame([("s0", 5000, None), ("s0", 5001, [])], df.schema)
+    up = {k: k for k in made}
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    points = {k: polygons.as_points(np.array(r)) for k, r in made.items()}
+    for a in made:
+        for b in made:
+            if a[0] == b[0] and a[1] < b[1] and polygons.rings_touch(points[a], points[b]):
+                low, high = sorted((top(a), top(b)))
+                up[high] = low
+    want = {k: top(k)[1] for k in made} | {("s0", 5000): 5000, ("s0", 5001): 5001}
+    monkeypatch.setattr(space, "touching_pairs", None)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for rows in (7, 10_000):  # a bin is cut over batches, or stands in one
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        assert {(r["wsi"], r["cell_id"]): r["component"] for r in space.touching_groups(df.union(odd)).collect()} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    merged = space.merge_touching(df)
+    assert sum(len(r["members"]) == len(r["rings"]) and r["members"] == sorted(r["members"]) for r in merged.collect()) == len(set((k[0], want[k]) for k in made))
+    plan = merged.select("members")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(cell_id" in plan and "collect_list(struct" not in plan and "collect_list(named_struct" not in plan

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera.functions import overlay, polygons
-from tessera.operators import resampling, space, stats
-from tessera.plans import domain, shapes
+from tessera.operators import expression, resampling, space, stats, tables
+from tessera.plans import domain, readouts, shapes
 from tessera.sources import readers
 
 
@@ -118,3 +118,14 @@ def test_dense_groups_keep_no_pairs(spark, monkeypatch):
     assert sum(len(r["members"]) == len(r["rings"]) and r["members"] == sorted(r["members"]) for r in merged.collect()) == len(set((k[0], want[k]) for k in made))
     plan = merged.select("members")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(cell_id" in plan and "collect_list(struct" not in plan and "collect_list(named_struct" not in plan
+
+
+def test_r2_sends_sums_only(spark):
+    rows = [("a", 1e9 + x, 1e9 + x * 0.9) for x in range(50)] + [("b", 0.1, 0.1)] * 3 + [("c", 0.1, 0.2)] * 3 + [("a", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, t double, p double")
+    got = {r["g"]: (r["n"], r["r2"]) for r in tables.r2_score(df, "t", "p", ["g"]).collect()}
+    res, tot = sum((x * 0.1) ** 2 for x in range(50)), sum((x - 24.5) ** 2 for x in range(50))
+    assert got["a"][0] == 50 and abs(got["a"][1] - (1 - res / tot)) < 1e-6 and got["b"] == (3, 0.0) and got["c"] == (3, float("-inf"))
+    for group in (["g"], None):
+        plan = tables.r2_score(df, "t", "p", group)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Join" not in plan  # rows of a group don't meet in one task

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from tessera.functions import overlay, polygons
 from tessera.functions.rings import bbox
 from tessera.functions.scalars import angle_difference, distance_score, orientation_score, penalty_score
-from tessera.sources.storage import stored
+from tessera.sources.storage import stored, tasks_for
+
+#: Cells, and polygons, that a task of a join in space gets, about.
+CELLS, POLYGONS = 50_000, 20_000
 
 
 def _bins(v: Column, reach: float, size: float) -> Column:
@@ -22,16 +25,19 @@ def _bins(v: Column, reach: float, size: float) -> Column:
     return F.sequence(F.floor((v - reach) / size), F.floor((v + reach) / size))
 
 
-def near_join(left: DataFrame, right: DataFrame, reach: float, keys: tuple[str, ...] = ("wsi",), size: float | None = None) -> DataFrame:
+def near_join(left: DataFrame, right: DataFrame, reach: float, keys: tuple[str, ...] = ("wsi",), size: float | None = None, tasks: int | None = None) -> DataFrame:
     """Pairs of keys' equals whose positions (left lx, ly; right rx, ry) lie within a closed square of half side reach.
 
-    The right side lies in one bin of width 2 * reach; a left row goes to the bins that its square meets, one or two along an axis.
+    The right side lies in one bin of width 2 * reach; a left row goes to the bins that its square meets, one or two along an axis. With tasks, bins are
+    dealt over so many, and pairs keep their bin (_bx, _by).
     """
     size = float(size or 2 * reach)
     a = left.withColumn("_bx", F.explode(_bins(F.col("lx"), reach, size))).withColumn("_by", F.explode(_bins(F.col("ly"), reach, size)))
     b = right.withColumns({"_bx": F.floor(F.col("rx") / size), "_by": F.floor(F.col("ry") / size)})
-    both = a.join(b, [*keys, "_bx", "_by"])
-    return both.filter((F.abs(F.col("lx") - F.col("rx")) <= reach) & (F.abs(F.col("ly") - F.col("ry")) <= reach)).drop("_bx", "_by")
+    bins = [*keys, "_bx", "_by"]
+    a, b = (df.repartition(tasks, *bins) if tasks else df for df in (a, b))
+    both = a.join(b, bins).filter((F.abs(F.col("lx") - F.col("rx")) <= reach) & (F.abs(F.col("ly") - F.col("ry")) <= reach))
+    return both if tasks else both.drop("_bx", "_by")
 
 
 def _sides(cells: DataFrame, population: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +64,8 @@ def knn_join(cells: DataFrame, k: int, parity: bool = False, start: float = 224.
     """wsi, cell_id, rank, other_id, distance: the k nearest other cells of the slide, ties to the smaller id.
 
     With parity, k counts the cell itself, as a search that includes it does: k - 1 others are given. Rows whose k-th neighbour is not certain
-    within the reach of a round are searched again with twice the reach, up to the slide's extent.
+    within the reach of a round are searched again with twice the reach, up to the slide's extent. Each bin gives a cell's k nearest in it, in tasks of
+    about CELLS cells, so what a task sorts doesn't grow with the table.
     """
     k = k - 1 if parity else k
     schema = "wsi string, cell_id string, rank int, other_id string, distance double"
@@ -66,13 +73,18 @@ def knn_join(cells: DataFrame, k: int, parity: bool = False, start: float = 224.
     if k < 1:
         return spark.createDataFrame([], schema)
     cells = cells.select(F.col("wsi").cast("string"), F.col("cell_id").cast("string"), F.col("x").cast("double"), F.col("y").cast("double")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    extent = cells.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    extent = max((v or 0.0) for v in extent)
+    *extent, n = cells.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count("*")).first()
+    extent, tasks = max((v or 0.0) for v in extent), tasks_for(spark, n, CELLS)
     rest, reach, done = cells, start, []
-    best = Window.partitionBy("wsi", "cell_id").orderBy("distance", "other_id")
+
+    def nearest(pairs: DataFrame, *keys: str) -> DataFrame:
+        return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "wsi", "cell_id").orderBy("distance", "other_id")).cast("int")).filter(F.col("rank") <= k)
+
     while True:
-        found = radius_join(rest, cells, reach).withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("wsi", "cell_id", "rank", "other_id", "distance")
-        found = stored(found, "knn")
+        pairs = near_join(*_sides(rest, cells, []), reach, tasks=tasks).withColumn("distance", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry")))
+        pairs = pairs.filter((F.col("distance") <= reach) & (F.col("cell_id") != F.col("other_id"))).select("wsi", "_bx", "_by", "cell_id", "other_id", "distance")
+        found = nearest(nearest(pairs, "_bx", "_by").repartition(tasks, "wsi", "cell_id"))
+        found = stored(found.select("wsi", "cell_id", "rank", "other_id", "distance"), "knn")
         if reach > 1.5 * extent:
             done.append(found)
             break
@@ -220,18 +232,19 @@ def match_merged(reference: DataFrame, detected: DataFrame, radius: float = 100.
     return reference.select("wsi", "cell_id").join(top.select("wsi", "cell_id", "other_id", "iou", "distance", "angle", "score", (F.col("rx") - F.col("lx")).alias("dx"), (F.col("ry") - F.col("ly")).alias("dy")), ["wsi", "cell_id"], "left")
 
 
-def touching_pairs(shapes: DataFrame, size: float = 64.0) -> DataFrame:
-    """wsi, a, b (a < b) of polygons (wsi, cell_id, ring) that share a point. Boxes are dealt to the grid bins they meet; a pair is tested in its first common bin."""
+def touching_pairs(shapes: DataFrame, size: float = 64.0, rings: bool = False) -> DataFrame:
+    """wsi, a, b (a < b), with rings also ring_a, ring_b, of polygons (wsi, cell_id, ring) that share a point. Boxes are dealt to the grid bins they meet; a pair is tested in its first common bin."""
     boxed = shapes.select("wsi", "cell_id", "ring", bbox(F.col("ring")).alias("box"))
     b = lambda c: F.floor(F.col(f"box.{c}") / size)
     binned = boxed.withColumn("_bx", F.explode(F.sequence(b("xmin"), b("xmax")))).withColumn("_by", F.explode(F.sequence(b("ymin"), b("ymax"))))
     l = binned.select("wsi", "_bx", "_by", F.col("cell_id").alias("a"), F.col("ring").alias("ra"), F.col("box").alias("ba"))
     r = binned.select("wsi", "_bx", "_by", F.col("cell_id").alias("b"), F.col("ring").alias("rb"), F.col("box").alias("bb"))
-    pairs = l.join(r, ["wsi", "_bx", "_by"]).filter(F.col("a") < F.col("b"))
+    bins, tasks = ["wsi", "_bx", "_by"], tasks_for(shapes.sparkSession, shapes.count(), POLYGONS)
+    pairs = l.repartition(tasks, *bins).join(r.repartition(tasks, *bins), bins).filter(F.col("a") < F.col("b"))
     meet = reduce(lambda x, y: x & y, [(F.col(f"ba.{k}min") <= F.col(f"bb.{k}max")) & (F.col(f"bb.{k}min") <= F.col(f"ba.{k}max")) for k in "xy"])
     first = (F.col("_bx") == F.floor(F.greatest("ba.xmin", "bb.xmin") / size)) & (F.col("_by") == F.floor(F.greatest("ba.ymin", "bb.ymin") / size))
     tested = pairs.filter(meet & first).withColumn("_t", polygons.touches(F.col("ra"), F.col("rb")))
-    return tested.filter("_t").select("wsi", "a", "b")
+    return tested.filter("_t").select("wsi", "a", "b", *([F.col("ra").alias("ring_a"), F.col("rb").alias("ring_b")] if rings else []))
 
 
 def connected_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -301,7 +314,7 @@ def touching_groups(shapes: DataFrame, size: float = 64.0) -> DataFrame:
     boxed = shapes.select("wsi", "cell_id", "ring", bbox(F.col("ring")).alias("_box"))
     b = lambda c: F.floor(F.col(f"_box.{c}") / size)
     binned = boxed.withColumn("_bx", F.explode(F.sequence(b("xmin"), b("xmax")))).withColumn("_by", F.explode(F.sequence(b("ymin"), b("ymax"))))
-    tasks = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks_for(shapes.sparkSession, shapes.count(), POLYGONS)
     dealt = binned.select("wsi", "cell_id", "ring", "_bx", "_by", *[F.col(f"_box.{c}").alias(f"_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
     dealt = dealt.filter(F.col("wsi").isNotNull() & F.col("cell_id").isNotNull()).repartition(tasks, "wsi", "_bx", "_by").sortWithinPartitions("wsi", "_bx", "_by", "_xmin")
     kinds = dict(shapes.select("wsi", "cell_id").dtypes)

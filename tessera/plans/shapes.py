@@ -105,9 +105,7 @@ def j9_broadcast_offsets(spark, sf_dir):
   LATERAL (SELECT (least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * (least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0)) AS i)""")
 def j3_g6_overlap_of_pairs(spark, sf_dir):
     shapes = _dense(spark, sf_dir).select("wsi", "cell_id", "ring")
-    one = lambda name: shapes.select("wsi", F.col("cell_id").alias(name), F.col("ring").alias(f"ring_{name}"))
-    pairs = space.touching_pairs(shapes).join(one("a"), ["wsi", "a"]).join(one("b"), ["wsi", "b"])
-    return pairs.select("wsi", "a", "b", r6(overlay.shape_overlap(F.col("ring_a"), F.col("ring_b"))).alias("iou"))
+    return space.touching_pairs(shapes, rings=True).select("wsi", "a", "b", r6(overlay.shape_overlap(F.col("ring_a"), F.col("ring_b"))).alias("iou"))
 
 
 @query(f"""WITH {POLY} SELECT wsi, cell_id, CASE key % 3 WHEN 0 THEN 2 ELSE 1 END AS parts, CASE key % 3 WHEN 1 THEN 1 ELSE 0 END AS holes, CASE key % 3 WHEN 0 THEN w * h / 2 WHEN 1 THEN w * h * 0.75 ELSE w * h * 1.5 END AS area, key % 3 <> 1 AS repaired,

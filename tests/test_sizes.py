@@ -129,3 +129,26 @@ def test_r2_sends_sums_only(spark):
     for group in (["g"], None):
         plan = tables.r2_score(df, "t", "p", group)._jdf.queryExecution().optimizedPlan().toString()
         assert "Window" not in plan and "Join" not in plan  # rows of a group don't meet in one task
+
+
+def test_nearest_cells_in_more_tasks_than_a_shuffle_has(spark, monkeypatch):
+    rng, tasks, join = np.random.default_rng(4), [], space.near_join
+    at = rng.integers(0, 600, (400, 2)).astype(float)
+    df = spark.createDataFrame([(f"s{i % 2}", f"c{i:03d}", float(x), float(y)) for i, (x, y) in enumerate(at)], "wsi string, cell_id string, x double, y double")
+    monkeypatch.setattr(space, "CELLS", 20)
+    monkeypatch.setattr(space, "near_join", lambda *a, **k: tasks.append(k["tasks"]) or join(*a, **k))
+    got = {(r["cell_id"], r["rank"]): r["other_id"] for r in space.knn_join(df, 3, start=40.0).collect()}
+    assert set(tasks) == {20} and len(tasks) > 1 and len(got) == 1200
+    for i in range(400):
+        others = sorted((float(np.hypot(*(at[i] - at[j]))), f"c{j:03d}") for j in range(i % 2, 400, 2) if j != i)
+        assert [got[f"c{i:03d}", r] for r in (1, 2, 3)] == [o for _, o in others[:3]]
+
+
+def test_pairs_that_touch_bring_their_rings(spark, monkeypatch):
+    monkeypatch.setattr(space, "POLYGONS", 10)
+    shapes_ = shapes._dense(spark, "/root/testdata/sf0.001").select("wsi", "cell_id", "ring")
+    pairs = space.touching_pairs(shapes_, rings=True)
+    assert f"REPARTITION_BY_NUM, {-(-shapes_.count() // 10)}" in pairs._jdf.queryExecution().executedPlan().toString() or pairs.rdd.getNumPartitions() == -(-shapes_.count() // 10)
+    of = {(r["wsi"], r["cell_id"]): r["ring"] for r in shapes_.collect()}
+    found = pairs.collect()
+    assert found and all(of[r["wsi"], r["a"]] == r["ring_a"] and of[r["wsi"], r["b"]] == r["ring_b"] for r in found)

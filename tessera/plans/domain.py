@@ -62,9 +62,13 @@ MASKED = "masked AS (SELECT wsi, cell_id, list_transform(list_zip(vector, range(
 
 def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """wsi, barcode, gene, count: quantities of an order's parts, fifty genes."""
+    from tessera.sources.storage import tasks_for
+
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    rows = items.select("l_orderkey", "l_partkey", "l_quantity").join(orders, "l_orderkey")
-    return rows.groupBy(F.concat(F.lit("s"), (F.col("o_custkey") % 7).cast("string")).alias("wsi"), F.col("l_orderkey").cast("string").alias("barcode"), F.concat(F.lit("g"), (F.col("l_partkey") % 50).cast("string")).alias("gene")).agg(F.sum("l_quantity").alias("count"))
+    tasks = tasks_for(spark, items.count(), 500_000)
+    rows = items.select("l_orderkey", "l_partkey", "l_quantity").repartition(tasks, "l_orderkey").join(orders.repartition(tasks, "l_orderkey"), "l_orderkey")
+    named = rows.select(F.concat(F.lit("s"), (F.col("o_custkey") % 7).cast("string")).alias("wsi"), F.col("l_orderkey").cast("string").alias("barcode"), F.concat(F.lit("g"), (F.col("l_partkey") % 50).cast("string")).alias("gene"), "l_quantity")
+    return named.repartition(tasks, "wsi", "barcode").groupBy("wsi", "barcode", "gene").agg(F.sum("l_quantity").alias("count"))
 
 
 EXPR = "expr AS (SELECT 's' || (o_custkey % 7) AS wsi, CAST(l_orderkey AS VARCHAR) AS barcode, 'g' || (l_partkey % 50) AS gene, sum(l_quantity) AS count FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)"

@@ -256,7 +256,7 @@ def s3_embeddings_with_coords(spark, sf_dir):
 @query(f"WITH {EXPR} SELECT wsi, barcode, gene, CAST(count AS DOUBLE) AS count FROM expr WHERE wsi = 's3' AND gene IN ('g1', 'g7')")
 def s9_expression_there_and_back(spark, sf_dir):
     path = scratch(spark, "expression")
-    d.expression(spark, sf_dir).repartition("wsi").write.partitionBy("wsi").parquet(path)
+    d.expression(spark, sf_dir).hint("rebalance", "wsi").write.partitionBy("wsi").parquet(path)
     return readers.read_expression(spark, path, ["s3"], ["g1", "g7"]).select("wsi", "barcode", "gene", F.col("count").cast("double").alias("count"))
 
 

@@ -152,3 +152,14 @@ def test_pairs_that_touch_bring_their_rings(spark, monkeypatch):
     of = {(r["wsi"], r["cell_id"]): r["ring"] for r in shapes_.collect()}
     found = pairs.collect()
     assert found and all(of[r["wsi"], r["a"]] == r["ring_a"] and of[r["wsi"], r["b"]] == r["ring_b"] for r in found)
+
+
+def test_a_slide_of_expression_is_written_by_several_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(readouts, "scratch", lambda spark, name: f"{tmp_path}/out")
+    was = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        readouts.s9_expression_there_and_back(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", was)
+    assert all(len(list((tmp_path / "out" / f"wsi=s{i}").glob("*.parquet"))) > 1 for i in range(7))

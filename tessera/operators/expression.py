@@ -7,6 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import stored, tasks_for
+
+#: Cells whose profiles and neighbours' profiles meet in a task, about.
+CELLS = 25_000
+
 
 def select_genes(expression: DataFrame, genes: DataFrame) -> DataFrame:
     return expression.join(genes.select("gene").distinct(), "gene", "left_semi")
@@ -43,16 +48,21 @@ def expression_divergence(expression: DataFrame, pairs: DataFrame, n_genes: int,
 
     Means divide by the number of neighbours, not of rows. Null with fewer neighbours than min_neighbours or without variance.
     """
-    n = pairs.groupBy("wsi", "barcode").agg(F.count("*").alias("n"))
-    theirs = pairs.join(expression.select("wsi", F.col("barcode").alias("other"), "gene", F.col(value).alias("_v")), ["wsi", "other"])
-    theirs = theirs.groupBy("wsi", "barcode", "gene").agg(F.sum("_v").alias("_b")).join(n, ["wsi", "barcode"]).withColumn("_b", F.col("_b") / F.col("n")).drop("n")
-    own = expression.select("wsi", "barcode", "gene", F.col(value).alias("_a"))
-    both = own.join(theirs, ["wsi", "barcode", "gene"], "full_outer").na.fill(0.0, ["_a", "_b"])
-    s = both.groupBy("wsi", "barcode").agg(*[F.sum(e).alias(k) for k, e in {"a": F.col("_a"), "b": F.col("_b"), "aa": F.col("_a") * F.col("_a"), "bb": F.col("_b") * F.col("_b"), "ab": F.col("_a") * F.col("_b")}.items()])
+    profiles = expression.groupBy("wsi", "barcode").agg(F.collect_list(F.struct("gene", F.col(value).alias("v"))).alias("_p"))
+    profiles = stored(profiles, "profiles")
+    tasks = tasks_for(expression.sparkSession, profiles.count(), CELLS)
+    theirs = pairs.select("wsi", "barcode", "other").join(profiles.withColumnRenamed("barcode", "other"), ["wsi", "other"], "left").select("wsi", "barcode", F.lit(False).alias("_own"), "_p")
+    both = profiles.select("wsi", "barcode", F.lit(True).alias("_own"), "_p").union(theirs).repartition(tasks, "wsi", "barcode")  # a row a pair is sent, not one a gene
+    both = both.select("wsi", "barcode", "_own", F.posexplode_outer("_p").alias("_i", "_g"))
+    of = lambda own: F.coalesce(F.sum(F.when(F.col("_own") == own, F.col("_g.v"))), F.lit(0.0))
+    pair = (~F.col("_own") & (F.coalesce("_i", F.lit(0)) == 0)).cast("long")
+    genes = both.groupBy("wsi", "barcode", F.col("_g.gene").alias("gene")).agg(of(True).alias("_a"), of(False).alias("_b"), F.sum(pair).alias("_n"), F.max(F.col("_i").isNotNull()).alias("_some"))
+    s = {"a": F.sum("_a"), "b": F.sum("_b"), "aa": F.sum(F.col("_a") * F.col("_a")), "bb": F.sum(F.col("_b") * F.col("_b")), "ab": F.sum(F.col("_a") * F.col("_b")), "n": F.sum("_n"), "_some": F.max("_some")}
+    rows = genes.groupBy("wsi", "barcode").agg(*[c.alias(k) for k, c in s.items()]).filter((F.col("n") > 0) & F.col("_some"))
+    rows = rows.withColumns({"b": F.col("b") / F.col("n"), "bb": F.col("bb") / (F.col("n") * F.col("n")), "ab": F.col("ab") / F.col("n")})
     cov = lambda p, q, pq: F.col(pq) - F.col(p) * F.col(q) / n_genes
     root = lambda x: F.when(x > 1e-15, F.sqrt(x))
     enough = F.col("n") >= min_neighbours
-    rows = n.join(s, ["wsi", "barcode"])
     return rows.select("wsi", "barcode", "n", F.when(enough, cov("a", "b", "ab") / root(cov("a", "a", "aa") * cov("b", "b", "bb"))).alias("pearson"), F.when(enough, F.col("ab") / root(F.col("aa") * F.col("bb"))).alias("cosine"))
 
 

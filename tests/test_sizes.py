@@ -163,3 +163,22 @@ def test_a_slide_of_expression_is_written_by_several_tasks(spark, monkeypatch, t
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", was)
     assert all(len(list((tmp_path / "out" / f"wsi=s{i}").glob("*.parquet"))) > 1 for i in range(7))
+
+
+def test_divergence_sends_a_row_a_pair(spark):
+    rng = np.random.default_rng(6)
+    v = {(b, g): float(rng.integers(1, 9)) for b in range(12) for g in range(8) if rng.random() < 0.5 and b not in (3, 7)}
+    near = {b: [o for o in range(12) if o != b and rng.random() < 0.5] for b in range(11)} | {7: [3], 8: [3, 7, 9]}
+    expr = spark.createDataFrame([("s", str(b), f"g{g}", x) for (b, g), x in v.items()], "wsi string, barcode string, gene string, value double")
+    pairs = spark.createDataFrame([("s", str(b), str(o)) for b, own in near.items() for o in own], "wsi string, barcode string, other string")
+    found = expression.expression_divergence(expr, pairs, 8)
+    want = {}
+    for b, own in near.items():
+        if own and any(k[0] in [b, *own] for k in v):
+            a, m = (np.array([v.get((b, g), 0.0) for g in range(8)]), np.mean([[v.get((o, g), 0.0) for g in range(8)] for o in own], axis=0))
+            full = len(own) >= 3 and a.std() > 0 and m.std() > 0
+            want[str(b)] = (len(own), np.corrcoef(a, m)[0, 1] if full else None, a @ m / np.sqrt(a @ a * (m @ m)) if full else None)
+    got = {r["barcode"]: (r["n"], r["pearson"], r["cosine"]) for r in found.collect()}
+    assert got.keys() == want.keys() and "7" not in got
+    assert all(g[0] == w[0] and all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(g[1:], w[1:], strict=True)) for g, w in ((got[b], want[b]) for b in want))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1

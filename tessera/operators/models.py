@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import vector_stats
 from tessera.operators.tables import classification_report, confusion_matrix, quantiles, r2_score, select_best_trial, union_all
-from tessera.sources.storage import stored
+from tessera.sources.storage import stored, tasks_for
 
+#: Cells whose neighbours' vectors are pooled in a task, about.
+CELLS = 50_000
 #: Components of a vector whose squared matrix the driver solves at most.
 MAX_DIM = 4096
 
@@ -218,8 +220,10 @@ def score_patches(df: DataFrame, encoder: Callable[[], Callable[[pd.DataFrame],
 
 def neighbour_pool(features: DataFrame, neighbours: DataFrame, x: str = "x") -> DataFrame:
     """wsi, cell_id, pooled: element-wise largest of the neighbours' vectors, by component."""
-    other = features.select("wsi", F.col("cell_id").alias("other_id"), F.posexplode(x).alias("dim", "v"))
-    top = neighbours.select("wsi", "cell_id", "other_id").join(other, ["wsi", "other_id"]).groupBy("wsi", "cell_id", "dim").agg(F.max("v").alias("v"))
+    tasks = tasks_for(features.sparkSession, features.count(), CELLS)
+    other = features.select("wsi", F.col("cell_id").alias("other_id"), F.col(x).alias("_x"))
+    pairs = neighbours.select("wsi", "cell_id", "other_id").join(other, ["wsi", "other_id"]).repartition(tasks, "wsi", "cell_id")  # a row a pair is sent, not one a component
+    top = pairs.select("wsi", "cell_id", F.posexplode("_x").alias("dim", "v")).groupBy("wsi", "cell_id", "dim").agg(F.max("v").alias("v"))
     return top.groupBy("wsi", "cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("pooled"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessera.functions import overlay, polygons
-from tessera.operators import expression, resampling, space, stats, tables
+from tessera.operators import expression, models, resampling, space, stats, tables
 from tessera.plans import domain, readouts, shapes
 from tessera.sources import readers
 
@@ -182,3 +182,12 @@ def test_divergence_sends_a_row_a_pair(spark):
     assert got.keys() == want.keys() and "7" not in got
     assert all(g[0] == w[0] and all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(g[1:], w[1:], strict=True)) for g, w in ((got[b], want[b]) for b in want))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_pooling_sends_a_row_a_pair(spark):
+    features = spark.createDataFrame([("s", "a", [1.0, 5.0]), ("s", "b", [2.0, -3.0]), ("s", "c", [0.0, 9.0])], "wsi string, cell_id string, x array<double>")
+    near = spark.createDataFrame([("s", "a", "b"), ("s", "a", "c"), ("s", "b", "a"), ("s", "c", "z")], "wsi string, cell_id string, other_id string")
+    found = models.neighbour_pool(features, near)
+    assert {r["cell_id"]: r["pooled"] for r in found.collect()} == {"a": [2.0, 9.0], "b": [1.0, 5.0]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode") < plan.index("Join")  # vectors are opened after they have met

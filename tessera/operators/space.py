@@ -339,21 +339,26 @@ def merged_shapes(shapes: DataFrame, tile: float = 256.0, fan: int = 64) -> Data
     """wsi, component, n_members, shape: the union of each group of polygons (wsi, cell_id, ring) that touch.
 
     A union is made of unions: at most fan members of a group and tile first, then what came of four times as wide tiles, until each group is one
-    row. So no task holds a group's members, only the shapes that are left of them.
+    row. So no task holds a group's members, only the shapes that are left of them. Groups that are one row are done; later rounds have the others only.
     """
     labels = stored(touching_groups(shapes), "groups")
     box = bbox(F.col("ring"))
-    rows = shapes.join(labels, ["wsi", "cell_id"]).select("wsi", "component", F.lit(1).cast("long").alias("n_members"), overlay.as_shape(F.col("ring")).alias("shape"), box["xmin"].alias("x"), box["ymin"].alias("y"), F.xxhash64("cell_id").alias("salt"))
-    groups = labels.select("wsi", "component").distinct().count()
+    place = lambda c: F.coalesce(box[c], F.lit(0.0))  # noqa: E731  no ring, no place
+    rows = shapes.join(labels, ["wsi", "cell_id"]).select("wsi", "component", F.lit(1).cast("long").alias("n_members"), overlay.as_shape(F.col("ring")).alias("shape"), place("xmin").alias("x"), place("ymin").alias("y"), F.xxhash64("cell_id").alias("salt"))
+    done = []
     while True:
-        rows = rows.withColumns({"_tx": F.floor(F.col("x") / tile), "_ty": F.floor(F.col("y") / tile)})
+        at = lambda c: F.floor(F.col(c) / tile + 0.5)  # noqa: B023, E731  the middle tile holds both sides of 0
+        rows = rows.withColumns({"_tx": at("x"), "_ty": at("y")})
         keys = ["wsi", "component", "_tx", "_ty"]
         sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
         dealt = rows.join(sizes, keys).groupBy(*keys, F.pmod("salt", F.ceil(F.col("_size") / fan)).alias("_part"))
         merged = dealt.agg(F.sum("n_members").alias("n_members"), F.collect_list("shape").alias("_shapes"), F.min("x").alias("x"), F.min("y").alias("y"), F.min("salt").alias("salt"))
-        rows = stored(merged.select("wsi", "component", "n_members", overlay.union_shapes(F.col("_shapes")).alias("shape"), "x", "y", "salt"), "merged")
-        if rows.count() == groups:
-            return rows.select("wsi", "component", "n_members", "shape")
+        merged = stored(merged.select("wsi", "component", "n_members", overlay.union_shapes(F.col("_shapes")).alias("shape"), "x", "y", "salt"), "merged")
+        several = stored(merged.groupBy("wsi", "component").count().filter("count > 1").select("wsi", "component"), "open-groups")
+        if not several.limit(1).count():
+            return reduce(DataFrame.unionByName, [*done, merged]).select("wsi", "component", "n_members", "shape")
+        done.append(merged.join(several, ["wsi", "component"], "left_anti"))
+        rows = stored(merged.join(several, ["wsi", "component"], "left_semi"), "open-shapes")
         tile *= 4
 
 

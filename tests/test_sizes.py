@@ -191,3 +191,21 @@ def test_pooling_sends_a_row_a_pair(spark):
     assert {r["cell_id"]: r["pooled"] for r in found.collect()} == {"a": [2.0, 9.0], "b": [1.0, 5.0]}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("posexplode") < plan.index("Join")  # vectors are opened after they have met
+
+
+def test_done_groups_are_not_merged_again(spark, monkeypatch):
+    ring = lambda x, y, w, h: [{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+    made = {f"lone{i}": ring(500 + 20 * i, 500, 5, 5) for i in range(20)} | {f"row{i}": ring(9 * i - 45, -3, 10, 5) for i in range(10)} | {"none": None, "flat": []}
+    df = spark.createDataFrame([("s0", c, r) for c, r in made.items()], f"wsi string, cell_id string, ring array<{overlay.POINT}>")
+    stored, rounds = space.stored, []
+
+    def kept(rows, name, **options):
+        out = stored(rows, name, **options)
+        if name == "merged":
+            rounds.append({r["component"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(space, "stored", kept)
+    found = space.merged_shapes(df, tile=8.0).select("component", "n_members", overlay.shape_area(F.col("shape")).alias("area")).collect()
+    assert {r["component"]: (r["n_members"], round(r["area"], 6)) for r in found} == {c: (1, 25.0) for c in made if c.startswith("lone")} | {"row0": (10, 455.0), "none": (1, 0.0), "flat": (1, 0.0)}
+    assert len(rounds[0]) == 23 and 2 < len(rounds) < 9 and all(r == {"row0"} for r in rounds[1:])  # the row lies on both sides of 0

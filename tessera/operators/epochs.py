@@ -1,7 +1,8 @@
 """Classifier heads trained for a fixed number of epochs in minibatches, with sample weights, by an adaptive-moment optimiser.
 
-Rows are dealt to batches by a hash once and stored by batch, so a step reads its own batch only. Tasks add up the gradients of their rows, the
-driver holds one gradient and the two moments (the size of the head) and makes the step. An epoch visits the batches in an order of its own.
+Rows are dealt to batches by a hash once and kept, a partition a batch, in memory or on the executors' disks, so a step is one job over its own partition,
+without a plan of its own. The driver holds one gradient and the two moments (the size of the head) and makes the step. An epoch visits the batches in an
+order of its own. Heads that share rows and batches are trained in the same jobs.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from tessera.sources.storage import scratch
-
 #: Decay of the two moments, and what keeps a step finite.
 BETA_1, BETA_2, TINY = 0.9, 0.999, 1e-8
+#: Bytes of the vectors that are kept in one piece.
+PIECE = 4_000_000
 
 
 @dataclass
@@ -100,20 +102,68 @@ def batch_order(n_batches: int, seed: int, epoch: int) -> list[int]:
     return np.random.default_rng([seed, epoch]).permutation(n_batches).tolist()
 
 
-def _gradients(head: Head):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loss, total, n = 0.0, None, 0
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column("x").flatten().to_numpy(False).reshape(batch.num_rows, -1).astype(float)
-                one, g = head.gradient(x, batch.column("code").to_numpy(False), batch.column("weight").to_numpy(False))
-                loss, total, n = loss + one, g if total is None else total + g, n + batch.num_rows
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows' vectors, codes and weights as bytes, in pieces of at most PIECE bytes (a row at least)."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            x = batch.column("x").flatten().to_numpy(False).reshape(n, -1).astype(float)
+            code, weight = (batch.column(c).to_numpy(False) for c in ("code", "weight"))
+            step = max(1, PIECE // (8 * max(x.shape[1], 1)))
+            for at in range(0, n, step):
+                part = [v[at : at + step] for v in (x, code, weight)]
+                yield pa.RecordBatch.from_arrays([pa.array([len(part[0])], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in part]], ["n", "x", "code", "weight"])
+
+
+def _gradients(heads: list[Head]):
+    """(rows, each head's sum of losses, each head's gradient) of a batch's pieces."""
+
+    def run(pieces: Iterator[Row]) -> Iterator[tuple[int, list[float], list[np.ndarray]]]:
+        losses, totals, n = [0.0] * len(heads), [0.0] * len(heads), 0
+        for piece in pieces:
+            x, code, weight = np.frombuffer(piece["x"]).reshape(piece["n"], -1), np.frombuffer(piece["code"], np.int32), np.frombuffer(piece["weight"])
+            n += len(x)
+            for i, head in enumerate(heads):
+                one, g = head.gradient(x, code, weight)
+                losses[i], totals[i] = losses[i] + one, totals[i] + g
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([n]), pa.array([total])], ["loss", "n", "gradient"])
+            yield n, losses, totals
 
     return run
 
 
+def train_heads(
+    train: DataFrame, n_classes: int, keys: list[str], hidden: list[list[int]], x: str = "x", code: str = "code", weight: str | None = None, epochs: int = 30, batch_rows: int = 4096,
+    rate: float = 1e-3, decay: float = 1e-2, seed: int = 0,
+) -> list[Head]:
+    """train_epochs of several heads, each with its hidden layers, on the same batches: a step of all of them is one job."""
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    rows = train.filter(F.col(x).isNotNull() & F.col(code).isNotNull())
+    n, dim = rows.agg(F.count("*"), F.first(F.size(x))).first()
+    if not n:
+        raise ValueError("no rows to train on")
+    n_batches = max(1, -(-n // batch_rows))
+    dealt = rows.select(F.transform(x, lambda v: v.cast("double")).alias("x"), F.col(code).cast("int").alias("code"), w.alias("weight"), batch_of(n_batches, seed, *keys).alias("batch"))
+    kept = dealt.repartitionById(n_batches, F.col("batch")).select("x", "code", "weight").mapInArrow(_packed, "n int, x binary, code binary, weight binary").rdd.persist(StorageLevel.MEMORY_AND_DISK)
+    heads = [Head.start([dim, *own, n_classes], seed) for own in hidden]
+    vectors = [head.vector() for head in heads]
+    moments = [Moments(np.zeros_like(v), np.zeros_like(v)) for v in vectors]
+    try:
+        for epoch in range(epochs):
+            losses: list[list[float]] = [[] for _ in heads]
+            for batch in batch_order(n_batches, seed, epoch):
+                for size, loss, gradient in train.sparkSession.sparkContext.runJob(kept, _gradients(heads), [batch]):  # one, or none of an empty batch
+                    for i, head in enumerate(heads):
+                        losses[i].append(loss[i] / size)
+                        vectors[i] = moments[i].step(vectors[i], gradient[i] / size, rate, decay)
+                        heads[i] = head.replaced(vectors[i])
+            for head, own in zip(heads, losses, strict=True):
+                head.losses.append(float(np.mean(own)))
+    finally:
+        kept.unpersist()
+    return heads
+
+
 def train_epochs(
     train: DataFrame, n_classes: int, keys: list[str], x: str = "x", code: str = "code", weight: str | None = None, epochs: int = 30, batch_rows: int = 4096,
     rate: float = 1e-3, decay: float = 1e-2, hidden: list[int] | None = None, seed: int = 0,
@@ -123,29 +173,7 @@ def train_epochs(
     A batch's loss is the mean over its rows of the weighted cross entropy; weights count as 1 where none are given. Batches have about batch_rows rows, by a hash of the keys. Rows with a
     null x or code take no part; a null weight is 0; no rows raise.
     """
-    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
-    rows = train.filter(F.col(x).isNotNull() & F.col(code).isNotNull())
-    n = rows.count()
-    if not n:
-        raise ValueError("no rows to train on")
-    n_batches, path = max(1, -(-n // batch_rows)), scratch(train.sparkSession, "batches")
-    dealt = rows.select(F.transform(x, lambda v: v.cast("double")).alias("x"), F.col(code).cast("int").alias("code"), w.alias("weight"), batch_of(n_batches, seed, *keys).alias("batch"))
-    dealt.repartition("batch").write.partitionBy("batch").parquet(path)
-    stored = train.sparkSession.read.schema("x array<double>, code int, weight double, batch int").parquet(path)
-    head = Head.start([len(stored.select("x").first()["x"]), *(hidden or []), n_classes], seed)
-    v = head.vector()
-    moments = Moments(np.zeros_like(v), np.zeros_like(v))
-    for epoch in range(epochs):
-        losses = []
-        for batch in batch_order(n_batches, seed, epoch):
-            parts = stored.filter(F.col("batch") == batch).select("x", "code", "weight").mapInArrow(_gradients(head), "loss double, n long, gradient array<double>").collect()  # a row a task
-            size = sum(p["n"] for p in parts)
-            if size:
-                losses.append(sum(p["loss"] for p in parts) / size)
-                v = moments.step(v, np.sum([p["gradient"] for p in parts], axis=0) / size, rate, decay)
-                head = head.replaced(v)
-        head.losses.append(float(np.mean(losses)))
-    return head
+    return train_heads(train, n_classes, keys, [hidden or []], x, code, weight, epochs, batch_rows, rate, decay, seed)[0]
 
 
 def predict(head: Head, df: DataFrame, names: list[str], x: str = "x") -> DataFrame:

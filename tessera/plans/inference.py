@@ -103,8 +103,8 @@ def e4_e5_epochs(spark, sf_dir):
     mean = coded.agg(F.avg("weight")).first()[0]
     coded = coded.withColumn("weight", F.col("weight") / mean)
     out = None
-    for name, hidden in (("linear", []), ("hidden", [32])):
-        head = epochs.train_epochs(coded, len(labels), ["cell_id"], "vector", weight="weight", hidden=hidden)
+    heads = epochs.train_heads(coded, len(labels), ["cell_id"], [[], [32]], "vector", weight="weight")
+    for name, head in zip(("linear", "hidden"), heads, strict=True):
         found = epochs.predict(head, rows, labels, "vector").groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("predicted_label")).alias("right"), F.round(F.avg("prob"), 4).alias("mean_prob"))
         one = found.select(F.lit(name).alias("head"), "label", "n", "right", "mean_prob", F.lit(round(head.losses[-1], 4)).alias("loss"))
         out = one if out is None else out.unionByName(one)

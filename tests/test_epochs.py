@@ -107,3 +107,19 @@ def test_encoders_refuse_rows_and_batches(spark):
     got = {r["id"]: (r["embedding"], r["error"]) for r in models.score_patches(df, encoder, ["v"], ["id"], batch=4).collect()}
     assert got[0] == ([0.0], None) and got[1] == (None, "ValueError: odd") and got[8] == got[9] == (None, "RuntimeError: broken batch") and len(got) == 10
     assert models.score_patches(df.limit(0), encoder, ["v"], ["id"]).count() == 0
+
+
+def test_heads_share_jobs_and_a_batch_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist(), i % 2) for i in range(64)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, code int")
+    apart = [epochs.train_epochs(df, 2, ["id"], epochs=3, batch_rows=16, rate=0.1, hidden=h) for h in ([], [4])]
+    monkeypatch.setattr(epochs, "PIECE", 72)  # three rows
+    context = spark.sparkContext
+    context.setJobGroup("heads", "heads")
+    both = epochs.train_heads(df, 2, ["id"], [[], [4]], epochs=3, batch_rows=16, rate=0.1)
+    jobs = len(context.statusTracker().getJobIdsForGroup("heads"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert 12 <= jobs < 20  # four batches, three epochs, both heads in one job
+    for one, other in zip(apart, both, strict=True):
+        assert np.allclose(one.vector(), other.vector(), atol=1e-9) and np.allclose(one.losses, other.losses)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.rings import centroid, moments, nearest_token, token_overlap
 from tessera.functions.scalars import ENCODERS, central_block
-from tessera.operators.space import majority_label, near_join
+from tessera.operators.space import majority_labels, near_join
 from tessera.operators.stats import cluster_bootstrap_median_diff
 from tessera.operators.tables import cap_per_key, classification_report, confusion_matrix, mean_std_n, quantiles, union_all
+from tessera.sources.storage import stored
 
 #: Modes of a crop: a fixed square as it is, a square of another size scaled to the encoder's, and the tile that holds the cell.
 MODES = ("native", "resized", "tile")
@@ -54,14 +55,20 @@ def neighbor_baseline(predictions: DataFrame, radii: list[float], labels: list[s
     Coverage is the share of cells with a neighbour; the metrics are of those.
     """
 
-    def report(name: str, rows: DataFrame, guess: str) -> DataFrame:
-        known = rows.filter(F.col(guess).isNotNull())
-        coverage = rows.agg(F.avg(F.col(guess).isNotNull().cast("double")).alias("coverage"))  # one row
-        return classification_report(confusion_matrix(known, labels, true, guess)).crossJoin(F.broadcast(coverage)).withColumn("name", F.lit(name))
+    columns = ["name", "coverage", "accuracy", "macro_f1", "weighted_f1", "balanced_accuracy"]
 
-    single = predictions.dropDuplicates(["wsi", "cell_id"])
-    near = [report(f"neighbours_{r:g}", single.join(majority_label(single, r, true), ["wsi", "cell_id"]), "majority") for r in radii]
-    return union_all(report("model", predictions, predicted), *near).select("name", "coverage", "accuracy", "macro_f1", "weighted_f1", "balanced_accuracy")
+    def report(name: str, rows: DataFrame, guess: str, times: str | None = None) -> DataFrame:
+        known, n = rows.filter(F.col(guess).isNotNull()), F.col(times) if times else F.lit(1)
+        coverage = rows.agg((F.sum(F.when(F.col(guess).isNotNull(), n).otherwise(0)) / F.sum(n)).alias("coverage"))  # one row
+        return classification_report(confusion_matrix(known, labels, true, guess, times=times)).crossJoin(F.broadcast(coverage)).withColumn("name", F.lit(name))
+
+    if not radii:
+        return report("model", predictions, predicted).select(*columns)
+    single = majority_labels(predictions, radii, true).filter(F.col("wsi").isNotNull() & F.col("cell_id").isNotNull())
+    guesses = [f"majority_{i}" for i in range(len(radii))]
+    single = stored(single.groupBy(true, *guesses).agg(F.count("*").alias("_times")), "majorities")  # a row for labels that stand together
+    near = [report(f"neighbours_{r:g}", single, g, "_times") for r, g in zip(radii, guesses, strict=True)]
+    return union_all(report("model", predictions, predicted), *near).select(*columns)
 
 
 def availability_summary(rows: DataFrame, label: str = "label") -> DataFrame:

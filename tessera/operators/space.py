@@ -125,11 +125,24 @@ def majority_label(predictions: DataFrame, radius: float, label: str = "true_lab
 
     A cell that stands in several folds counts once.
     """
-    single = predictions.dropDuplicates(["wsi", "cell_id"])
-    counts = radius_join(single, single, radius, False, [label]).groupBy("wsi", "cell_id", f"other_{label}").count()
-    best = counts.groupBy("wsi", "cell_id").agg(F.max_by(f"other_{label}", F.struct("count", F.lit(0))).alias("_any"), F.max("count").alias("_most"), F.collect_list(F.struct("count", f"other_{label}")).alias("_all"))
-    named = F.array_min(F.transform(F.filter("_all", lambda s: s["count"] == F.col("_most")), lambda s: s[f"other_{label}"]))
-    return single.select("wsi", "cell_id").join(best.select("wsi", "cell_id", named.alias("majority")), ["wsi", "cell_id"], "left")
+    return majority_labels(predictions, [radius], label).select("wsi", "cell_id", F.col("majority_0").alias("majority"))
+
+
+def majority_labels(predictions: DataFrame, radii: list[float], label: str = "true_label") -> DataFrame:
+    """wsi, cell_id, its label, and majority_0, majority_1 ... as of majority_label for each radius, from one join within the largest.
+
+    A bin gives the counts of a cell's labels before they are sent, once, in tasks of about CELLS cells.
+    """
+    single = stored(predictions.select("wsi", "cell_id", F.col("x").cast("double"), F.col("y").cast("double"), label).dropDuplicates(["wsi", "cell_id"]), "cells")
+    left, right = _sides(single, single, [label])
+    tasks = tasks_for(single.sparkSession, single.count(), CELLS)
+    pairs = near_join(left, right, max(radii), tasks=tasks).filter(F.col("cell_id") != F.col("other_id")).withColumn("_d", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry")))
+    other, names = f"other_{label}", [f"_n{i}" for i in range(len(radii))]
+    in_bin = pairs.filter(F.col("_d") <= max(radii)).groupBy("wsi", "_bx", "_by", "cell_id", other).agg(*[F.count_if(F.col("_d") <= r).alias(n) for n, r in zip(names, radii, strict=True)])
+    counts = in_bin.drop("_bx", "_by").repartition(tasks, "wsi", "cell_id").groupBy("wsi", "cell_id", other).agg(*[F.sum(n).alias(n) for n in names])
+    first = lambda n: F.min(F.when(F.col(n) > 0, F.struct(-F.col(n), F.col(other).isNull(), F.col(other).alias("label"))))["label"]
+    best = counts.groupBy("wsi", "cell_id").agg(*[first(n).alias(f"majority_{i}") for i, n in enumerate(names)])
+    return single.select("wsi", "cell_id", label).join(best, ["wsi", "cell_id"], "left")
 
 
 def average_offsets(matched: DataFrame, reach: float = 112.0) -> DataFrame:

@@ -151,14 +151,14 @@ def gaussian_kde(df: DataFrame, value: str, points: list[float]) -> DataFrame:
     return sums.select(F.explode(pairs).alias("s")).select("s.*")
 
 
-def confusion_matrix(df: DataFrame, labels: list, true: str = "true_label", predicted: str = "predicted_label", group: list[str] | None = None) -> DataFrame:
-    """true, predicted, n over the complete grid of labels."""
+def confusion_matrix(df: DataFrame, labels: list, true: str = "true_label", predicted: str = "predicted_label", group: list[str] | None = None, times: str | None = None) -> DataFrame:
+    """true, predicted, n over the complete grid of labels; times is the column that tells how often a row counts."""
     group = group or []
     spark, names = df.sparkSession, ", ".join(f"'{x}'" for x in labels)
     grid = spark.sql(f"SELECT t AS true_label, p AS predicted_label FROM (SELECT explode(array({names})) AS t) CROSS JOIN (SELECT explode(array({names})) AS p)")
     if group:
         grid = df.select(*group).distinct().crossJoin(F.broadcast(grid))
-    counts = df.groupBy(*group, F.col(true).alias("true_label"), F.col(predicted).alias("predicted_label")).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*group, F.col(true).alias("true_label"), F.col(predicted).alias("predicted_label")).agg((F.sum(times) if times else F.count("*")).alias("n"))
     return grid.join(counts, [*group, "true_label", "predicted_label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tessera.functions import overlay, polygons
 from tessera.operators import expression, models, resampling, space, stats, tables
+from tessera.operators import readouts as readout
 from tessera.plans import domain, readouts, shapes
 from tessera.sources import readers
 
@@ -209,3 +210,22 @@ def test_done_groups_are_not_merged_again(spark, monkeypatch):
     found = space.merged_shapes(df, tile=8.0).select("component", "n_members", overlay.shape_area(F.col("shape")).alias("area")).collect()
     assert {r["component"]: (r["n_members"], round(r["area"], 6)) for r in found} == {c: (1, 25.0) for c in made if c.startswith("lone")} | {"row0": (10, 455.0), "none": (1, 0.0), "flat": (1, 0.0)}
     assert len(rounds[0]) == 23 and 2 < len(rounds) < 9 and all(r == {"row0"} for r in rounds[1:])  # the row lies on both sides of 0
+
+
+def test_radii_share_one_join(spark, monkeypatch):
+    rng, joins, join = np.random.default_rng(6), [], space.near_join
+    at, names = rng.integers(0, 100, (200, 2)).astype(float), ["A", "B", "C", None]
+    rows = [(f"s{i % 2}", f"c{i:03d}", float(x), float(y), names[i * 7 % 5 % 4], "A") for i, (x, y) in enumerate(at)] + [("s0", "lost", None, None, "A", "A")]
+    df = spark.createDataFrame(rows, "wsi string, cell_id string, x double, y double, true_label string, predicted_label string")
+    monkeypatch.setattr(space, "CELLS", 20)
+    monkeypatch.setattr(space, "near_join", lambda *a, **k: joins.append(k.get("tasks")) or join(*a, **k))
+
+    def majority(i, radius):
+        own = [rows[j][4] for j in range(i % 2, 200, 2) if j != i and np.hypot(*(at[i] - at[j])) <= radius]
+        most = [n for n in set(own) if own.count(n) == max(map(own.count, own))]
+        return min([n for n in most if n], default=None)
+
+    got = {r["cell_id"]: (r["majority_0"], r["majority_1"]) for r in space.majority_labels(df.union(df), [7.0, 15.0]).collect()}
+    assert joins == [11] and got == {f"c{i:03d}": (majority(i, 7.0), majority(i, 15.0)) for i in range(200)} | {"lost": (None, None)}
+    found = {r["name"]: r["coverage"] for r in readout.neighbor_baseline(df, [7.0, 15.0], ["A", "B", "C"]).collect()}
+    assert len(joins) == 2 and found["model"] == 1.0 and all(abs(found[f"neighbours_{r}"] - sum(v[i] is not None for v in got.values()) / 201) < 1e-12 for i, r in enumerate((7, 15)))

@@ -82,7 +82,7 @@ def standardise(train: DataFrame, x: str, *others: DataFrame, population: bool =
     mean, std = stats["mean"].to_numpy(), stats["std"].fillna(0.0).to_numpy() + 1e-8
 
     def run(v: pd.Series) -> pd.Series:
-        return pd.Series([(np.asarray(a, float) - mean) / std for a in v])
+        return pd.Series(list((np.stack(v.to_numpy()).astype(float) - mean) / std)) if len(v) else pd.Series([], dtype=object)
 
     return [df.withColumn(x, F.pandas_udf(run, "array<double>")(x)) for df in (train, *others)]
 

@@ -98,12 +98,19 @@ def knn_join(cells: DataFrame, k: int, parity: bool = False, start: float = 224.
 
 
 def window_stats(cells: DataFrame, population: DataFrame, px: float, classes: list[str], include_self: bool = True) -> DataFrame:
-    """wsi, cell_id, n and n_<class> of the population's types around each cell; cells without any are kept, those without a position are null."""
-    pairs = window_join(cells, population, px, include_self, ["cell_type"])
-    counts = pairs.groupBy("wsi", "cell_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("other_cell_type") == c).alias(f"n_{c}") for c in classes])
+    """wsi, cell_id, n and n_<class> of the population's types around each cell; cells without any are kept, those without a position are null.
+
+    A bin counts a cell's neighbours before they are sent, in tasks of about CELLS rows.
+    """
+    rows = cells.count() if population is cells else max(cells.count(), population.count())
+    tasks, names = tasks_for(cells.sparkSession, rows, CELLS), ["n", *[f"n_{c}" for c in classes]]
+    pairs = near_join(*_sides(cells, population, ["cell_type"]), px / 2, tasks=tasks)
+    pairs = pairs if include_self else pairs.filter(F.col("cell_id") != F.col("other_id"))
+    in_bin = pairs.groupBy("wsi", "_bx", "_by", "cell_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("other_cell_type") == c).alias(f"n_{c}") for c in classes])
+    counts = in_bin.select("wsi", "cell_id", *names).repartition(tasks, "wsi", "cell_id").groupBy("wsi", "cell_id").agg(*[F.sum(c).alias(c) for c in names])
     out = cells.select("wsi", "cell_id", (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("_known")).join(counts, ["wsi", "cell_id"], "left")
     zero = lambda c: F.when(F.col("_known"), F.coalesce(c, F.lit(0))).alias(c)
-    return out.select("wsi", "cell_id", *[zero(c) for c in ["n", *[f"n_{c}" for c in classes]]])
+    return out.select("wsi", "cell_id", *[zero(c) for c in names])
 
 
 def composition(stats: DataFrame, classes: list[str]) -> DataFrame:

@@ -229,3 +229,16 @@ def test_radii_share_one_join(spark, monkeypatch):
     assert joins == [11] and got == {f"c{i:03d}": (majority(i, 7.0), majority(i, 15.0)) for i in range(200)} | {"lost": (None, None)}
     found = {r["name"]: r["coverage"] for r in readout.neighbor_baseline(df, [7.0, 15.0], ["A", "B", "C"]).collect()}
     assert len(joins) == 2 and found["model"] == 1.0 and all(abs(found[f"neighbours_{r}"] - sum(v[i] is not None for v in got.values()) / 201) < 1e-12 for i, r in enumerate((7, 15)))
+
+
+def test_windows_are_counted_in_their_bins(spark, monkeypatch):
+    rng, tasks, join = np.random.default_rng(9), [], space.near_join
+    at = rng.integers(-200, 200, (300, 2))
+    df = spark.createDataFrame([(f"s{i % 2}", f"c{i:03d}", int(x), int(y), "AB"[i % 3 % 2]) for i, (x, y) in enumerate(at)] + [("s0", "lost", None, None, "A")], "wsi string, cell_id string, x int, y int, cell_type string")
+    monkeypatch.setattr(space, "CELLS", 20)
+    monkeypatch.setattr(space, "near_join", lambda *a, **k: tasks.append(k.get("tasks")) or join(*a, **k))
+    found = space.window_stats(df, df, 50, ["A", "B"], include_self=False)
+    assert tasks == [16]  # 301 rows, more tasks than a shuffle has
+    got = {r["cell_id"]: (r["n"], r["n_A"], r["n_B"]) for r in found.collect()}
+    near = lambda i: ["AB"[j % 3 % 2] for j in range(i % 2, 300, 2) if j != i and np.abs(at[i] - at[j]).max() <= 25]
+    assert got == {f"c{i:03d}": (len(near(i)), near(i).count("A"), near(i).count("B")) for i in range(300)} | {"lost": (None, None, None)}

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import tasks_for
+
+#: Polygons that a task gets, about.
+POLYGONS = 20_000
 RAW = ["B_cell", "Endothelial", "Epithelial", "Fibroblast", "Malignant", "Myeloid", "Other_Stromal", "Plasma", "T_NK_cell", "Neural/Glial", "Unknown", "Erythrocyte"]
 BROAD = {"B_cell": "Lymphoid", "Endothelial": "Stromal", "Epithelial": "Epithelial", "Fibroblast": "Stromal", "Malignant": "Malignant", "Myeloid": "Myeloid", "Other_Stromal": "Stromal", "Plasma": "Lymphoid", "T_NK_cell": "Lymphoid", "Neural/Glial": "Stromal"}
 CLASSES = ["Epithelial", "Lymphoid", "Malignant", "Myeloid", "Stromal"]
@@ -62,8 +66,6 @@ MASKED = "masked AS (SELECT wsi, cell_id, list_transform(list_zip(vector, range(
 
 def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """wsi, barcode, gene, count: quantities of an order's parts, fifty genes."""
-    from tessera.sources.storage import tasks_for
-
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     tasks = tasks_for(spark, items.count(), 500_000)
     rows = items.select("l_orderkey", "l_partkey", "l_quantity").repartition(tasks, "l_orderkey").join(orders.repartition(tasks, "l_orderkey"), "l_orderkey")
@@ -104,7 +106,8 @@ RUNS = "runs AS (SELECT event_type AS condition, CAST(user_id % 8 AS INTEGER) AS
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """wsi, cell_id, ring, x0, y0, w, h: a rectangle for each part."""
     key = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # few bytes mean much work
+    parts = table(spark, sf_dir, "part")
+    parts = parts.repartition(tasks_for(spark, parts.count(), POLYGONS), "p_partkey")  # few bytes mean much work
     rows = parts.select(F.concat(F.lit("s"), (key % 7).cast("string")).alias("wsi"), key.alias("key"), key.cast("string").alias("cell_id"), (key * 37 % 2003).cast("double").alias("x0"), (key * 91 % 1999).cast("double").alias("y0"), F.col("p_size").cast("double").alias("w"), (1 + key % 5).cast("double").alias("h"))
     at = lambda dx, dy: F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y"))
     return rows.withColumn("ring", F.array(at(F.lit(0.0), F.lit(0.0)), at(F.col("w"), F.lit(0.0)), at(F.col("w"), F.col("h")), at(F.lit(0.0), F.col("h"))))

@@ -242,3 +242,10 @@ def test_windows_are_counted_in_their_bins(spark, monkeypatch):
     got = {r["cell_id"]: (r["n"], r["n_A"], r["n_B"]) for r in found.collect()}
     near = lambda i: ["AB"[j % 3 % 2] for j in range(i % 2, 300, 2) if j != i and np.abs(at[i] - at[j]).max() <= 25]
     assert got == {f"c{i:03d}": (len(near(i)), near(i).count("A"), near(i).count("B")) for i in range(300)} | {"lost": (None, None, None)}
+
+
+def test_more_polygons_are_dealt_over_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(domain, "POLYGONS", 10)
+    n = domain.table(spark, "/root/testdata/sf0.001", "part").count()
+    found = domain.polygons(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() == -(-n // 10) > int(spark.conf.get("spark.sql.shuffle.partitions")) and found.count() == n

@@ -191,14 +191,19 @@ def _running(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, np.zeros(size)
         for batch in batches:
-            counts, befores = (np.array(batch.column(c).to_pylist(), float).reshape(-1, size) for c in ("counts", "before"))
-            blocks, places = batch.column("block").to_pylist(), np.zeros((batch.num_rows, size))
-            for i, b in enumerate(blocks):
-                if b != block:
-                    block, held = b, befores[i].copy()
-                places[i] = held + counts[i] / 2
-                held += counts[i]
-            yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(list(places), pa.list_(pa.float64()))], ["value", "places"])
+            if not batch.num_rows:
+                continue
+            counts, befores = (batch.column(c).flatten().to_numpy(False).reshape(-1, size) for c in ("counts", "before"))
+            blocks, places = batch.column("block").to_numpy(False), np.empty((batch.num_rows, size))
+            starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
+            for first, last in zip(starts, [*starts[1:], len(blocks)], strict=True):
+                own = counts[first:last]
+                below = held if blocks[first] == block else befores[first]
+                ends = below + np.cumsum(own, axis=0)
+                places[first:last] = ends - own / 2
+                block, held = blocks[first], ends[-1]
+            flat = pa.array(places.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("value"), pa.ListArray.from_arrays(pa.array(np.arange(0, places.size + 1, size, dtype=np.int32)), flat)], ["value", "places"])
 
     return run
 

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +250,18 @@ def test_more_polygons_are_dealt_over_more_tasks(spark, monkeypatch):
     n = domain.table(spark, "/root/testdata/sf0.001", "part").count()
     found = domain.polygons(spark, "/root/testdata/sf0.001")
     assert found.rdd.getNumPartitions() == -(-n // 10) > int(spark.conf.get("spark.sql.shuffle.partitions")) and found.count() == n
+
+
+def test_places_of_a_block_are_worked_out_at_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    counts, block = rng.integers(0, 3, (5000, 3)).astype(float), np.sort(rng.integers(0, 4, 5000))
+    total = np.cumsum(counts, axis=0)
+    before = np.array([counts[block < b].sum(axis=0) for b in block])
+    nested = lambda v: pa.array(list(v), pa.list_(pa.float64()))
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(5000.0)), pa.array(block.astype(np.int32)), nested(counts), nested(before)], ["value", "block", "counts", "before"])
+    calls, cumsum = [], np.cumsum
+    monkeypatch.setattr(np, "cumsum", lambda *a, **k: calls.append(1) or cumsum(*a, **k))
+    found = list(resampling._running(3)(iter([rows.slice(0, 0), *(rows.slice(i, 700) for i in range(0, 5000, 700))])))
+    got = np.array([p for b in found for p in b.column("places").to_pylist()])
+    assert np.array_equal(got, total - counts / 2) and [v for b in found for v in b.column("value").to_pylist()] == list(range(5000))
+    assert 4 <= len(calls) <= 12  # a block or what of it a batch holds, not a value, at a time

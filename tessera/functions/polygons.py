@@ -1,4 +1,4 @@
-"""Polygon kernels in numpy, applied by pandas UDFs: long axis, contact and groups that touch. Rings are arrays of (x, y); overlay.py has repair, union and overlap."""
+"""Polygon kernels in numpy, applied by pandas and Arrow UDFs: long axis, contact and groups that touch. Rings are arrays of (x, y); overlay.py has repair, union and overlap."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.overlay import parts_of
+from tessera.functions.overlay import by_row, parts_of, upright
 
 RING = "array<struct<x:double,y:double>>"
 
@@ -94,18 +95,8 @@ def rings_touch(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def upright_boxes(at: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
-    """Which rings are the corners of an upright rectangle, in their order around it, closed or not; ring i has the points from at[i] to at[i + 1]."""
-    found, sizes = np.zeros(len(at) - 1, bool), np.diff(at)
-    rows = np.flatnonzero((sizes == 4) | (sizes == 5))
-    start, end = at[rows], at[rows + 1] - 1
-    rows = rows[(sizes[rows] == 4) | ((xs[start] == xs[end]) & (ys[start] == ys[end]))]
-    corner = at[rows][:, None] + np.arange(4)
-    x, y = xs[corner], ys[corner]
-    right, top = x == x.max(1, keepdims=True), y == y.max(1, keepdims=True)
-    at_edge = (right != (x == x.min(1, keepdims=True))).all(1) & (top != (y == y.min(1, keepdims=True))).all(1)
-    code = right * 2 + top  # opposite corners add up to 3
-    found[rows] = at_edge & (code[:, 0] + code[:, 2] == 3) & (code[:, 1] + code[:, 3] == 3) & (code[:, 1] != code[:, 0]) & (code[:, 1] != code[:, 2])
-    return found
+    """Which rings are upright rectangles; ring i has the points from at[i] to at[i + 1]."""
+    return upright(at[:-1], at[1:], xs, ys)[0]
 
 
 def joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,12 +144,17 @@ def touching_labels(boxes: np.ndarray, upright: np.ndarray, ring_of: Callable[[i
 
 def orientation_elongation(ring: Column) -> Column:
     """struct(orientation, elongation) of the smallest rectangle around a ring or a shape; nulls for a degenerate one."""
+    arrow = pa.struct([("orientation", pa.float64()), ("elongation", pa.float64())])
 
-    def run(rings: pd.Series) -> pd.DataFrame:
-        points = [np.array([p for part in parts_of(r) for p in part[0]], float).reshape(-1, 2) for r in rings]
-        return pd.DataFrame([long_axis(p) or (None, None) for p in points], columns=["orientation", "elongation"], dtype=float)
+    def run(value):
+        points = np.array([p for part in parts_of(value) for p in part[0]], float).reshape(-1, 2)
+        return dict(zip(("orientation", "elongation"), long_axis(points) or (None, None), strict=True))
 
-    return F.pandas_udf(run, "orientation double, elongation double")(ring)
+    def boxes(b: np.ndarray) -> pa.Array:
+        w, h = b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]
+        return pa.StructArray.from_arrays([pa.array(np.where(w >= h, 0.0, 90.0)), pa.array(1 - np.minimum(w, h) / np.maximum(w, h))], fields=list(arrow))
+
+    return by_row(run, "struct<orientation:double,elongation:double>", arrow, ring, boxes=boxes)
 
 
 def touches(a: Column, b: Column) -> Column:

@@ -18,6 +18,8 @@ from tessera.sources.storage import stored, tasks_for
 
 #: Cells, and polygons, that a task of a join in space gets, about.
 CELLS, POLYGONS = 50_000, 20_000
+#: Others in a square of the reach, on average, from which matching by shape starts with a smaller one.
+NEAR = 64
 
 
 def _bins(v: Column, reach: float, size: float) -> Column:
@@ -160,42 +162,65 @@ def average_offsets(matched: DataFrame, reach: float = 112.0) -> DataFrame:
     return matched.select("wsi", "cell_id").join(mean, ["wsi", "cell_id"], "left").withColumn("n_used", F.coalesce("n_used", F.lit(0)))
 
 
-def _contenders(left: DataFrame, right: DataFrame, radius: float, weigh: Callable[[DataFrame, Column], DataFrame], most: Callable[[float], Column], names: int, rounds: int = 4) -> DataFrame:
+def _contenders(left: DataFrame, right: DataFrame, radius: float, weigh: Callable[[DataFrame, Column], DataFrame], most: Callable[[float], Column], names: int) -> DataFrame:
     """Scored pairs within radius, of left (wsi, cell_id, lx, ly, lring ...) and right (wsi, other_id, rx, ry, rring ...), that hold the best ones of each left row and name.
 
-    Overlaps are worked out last. Each pair's score is bounded in columns by the two shapes' areas and boxes; the pair of the highest bound is scored, and then only those
-    whose bound reaches that score. The reach doubles up to radius for the rows that a farther pair could still win: most(reach) bounds what lies beyond.
+    Each pair's score is bounded in columns by the two shapes' areas and boxes; of two upright rectangles that is the score. Other overlaps are worked out last: for the
+    pair of the highest bound, and then only for those whose bound reaches the best score. The best score goes to the left rows, which meet the right side again, so that
+    pairs are not sent. Where more than NEAR others lie in a square of the reach, the reach starts smaller, and doubles up to radius for the rows that a farther
+    pair could still win: most(reach) bounds what lies beyond.
     """
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, as few rows mean much work
+    spark, low = left.sparkSession, F.lit(float("-inf"))
 
-    def side(df: DataFrame, p: str, number: str) -> tuple[DataFrame, DataFrame]:
-        whole = df.repartition(tasks).withColumn(number, F.monotonically_increasing_id()).withColumn(f"{p}extent", overlay.shape_extent(F.col(f"{p}ring")))
+    def side(df: DataFrame, p: str, number: str) -> tuple[DataFrame, DataFrame, int]:
+        n = df.count()
+        whole = df.repartition(tasks_for(spark, n, POLYGONS)).withColumn(number, F.monotonically_increasing_id()).withColumn(f"{p}extent", overlay.shape_extent(F.col(f"{p}ring")))
         whole = stored(whole, "shapes")
-        return whole.drop(f"{p}ring"), whole.select(number, f"{p}ring")
+        return whole.drop(f"{p}ring"), whole.select(number, f"{p}ring"), n
 
-    (rest, lrings), (others, rrings) = side(left, "l", "_i"), side(right, "r", "_j")
-    every, found = rest, []
-
-    def exact(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(lrings, "_i").join(rrings, "_j").repartition(tasks)
-        return weigh(both, overlay.shape_overlap(F.col("lring"), F.col("rring"), True))
+    (rest, lrings, n_left), (others, rrings, n_right) = side(left, "l", "_i"), side(right, "r", "_j")
+    every, found, tasks = rest, [], tasks_for(spark, n_left + n_right, POLYGONS)
+    upright = lambda p: F.coalesce(F.col(f"{p}extent.upright"), F.lit(False))
+    plain = not any(df.filter(~upright(p)).limit(1).count() for df, p in ((every, "l"), (others, "r")))
+    bins = others.select("wsi", F.floor(F.col("rx") / (2 * radius)).alias("_bx"), F.floor(F.col("ry") / (2 * radius)).alias("_by")).distinct().count()
+    rounds = 1
+    while n_right > NEAR * bins * 4 ** (rounds - 1):
+        rounds += 1
 
     def apart(pairs: DataFrame) -> DataFrame:
         return pairs.withColumn("distance", F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry")))
 
+    def bounded(rows: DataFrame, reach: float) -> DataFrame:
+        within = [F.abs(F.col("lx") - F.col("rx")) <= reach, F.abs(F.col("ly") - F.col("ry")) <= reach, F.col("distance") <= reach]  # the cheap ones first
+        pairs = apart(near_join(rows, others, reach, tasks=tasks).drop("_bx", "_by")).filter(reduce(lambda x, y: x & y, within)).withColumn("_sure", upright("l") & upright("r"))
+        return weigh(pairs, overlay.overlap_bound(F.col("lextent"), F.col("rextent"))).withColumn("_bound", F.coalesce("score", low))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        both = apart(pairs.join(every, "_i").join(others.drop("wsi"), "_j")).join(lrings, "_i").join(rrings, "_j").repartition(tasks)
+        return weigh(both, overlay.shape_overlap(F.col("lring"), F.col("rring"), True))
+
     for k in reversed(range(rounds)):
         reach = radius / 2**k
-        pairs = apart(near_join(rest, others, reach)).filter(F.col("distance") <= reach)
-        bounds = weigh(pairs, overlay.overlap_bound(F.col("lextent"), F.col("rextent"))).select("_i", "_j", "name", F.coalesce("score", F.lit(float("-inf"))).alias("_bound"))
-        top = bounds.groupBy("_i", "name").agg(F.max_by("_j", "_bound").alias("_j"))
-        scored = exact(apart(top.join(every, "_i").join(others.drop("wsi"), "_j")))
-        floors = stored(scored.select("_i", "name", F.coalesce("score", F.lit(float("-inf"))).alias("_floor"), most(reach).alias("_most")), "floors")
+        known, open_ = F.when(F.col("_sure"), F.col("_bound")), F.when(~F.col("_sure"), F.col("_bound"))
+        tops = [] if plain else [F.max(open_).alias("_open"), F.max_by("_j", open_).alias("_j")]
+        floors = bounded(rest, reach).groupBy("_i", "name").agg(F.coalesce(F.max(known), low).alias("_floor"), F.max(most(reach)).alias("_most"), *tops)
+        floors = stored(floors, "floors")
+        if not plain:
+            scored = exact(floors.filter(F.col("_open") >= F.col("_floor")).select("_i", "_j", "name")).select("_i", "name", F.col("score").alias("_scored"))
+            floors = stored(floors.join(scored, ["_i", "name"], "left").select("_i", "name", F.greatest("_floor", "_scored").alias("_floor"), "_most"), "floors")
+        near = rest
         if k:
             settled = floors.filter(F.col("_floor") > F.col("_most") + 1e-9).groupBy("_i").count().filter(F.col("count") == names).select("_i")
             floors = floors.join(settled, "_i", "left_semi")
             rest = stored(rest.join(settled, "_i", "left_anti"), "rest")
-        close = bounds.join(floors, ["_i", "name"]).filter(F.col("_bound") >= F.col("_floor") - 1e-9).select("_i", "_j", "name")
-        found.append(stored(exact(apart(close.join(every, "_i").join(others.drop("wsi"), "_j"))), "contenders"))
+        near = near.join(floors.groupBy("_i").agg(F.map_from_entries(F.collect_list(F.struct("name", "_floor"))).alias("_floors")), "_i")
+        reached = F.col("_bound") >= F.col("_floors")[F.col("name")] - 1e-9
+        close = bounded(near, reach).withColumn("_reached", F.explode(F.when(reached, F.array(F.lit(True)))))  # as a filter it would join the join's condition, and be worked out for all pairs of a bin
+        columns = [c for c in close.columns if c not in ("_floors", "_sure", "_bound", "_reached", "lextent", "rextent")]
+        if not plain:
+            close = stored(close, "close")
+            close = close.filter("_sure").select(*columns).unionByName(exact(close.filter("not _sure").select("_i", "_j", "name")).select(*columns))
+        found.append(stored(close.select(*columns), "contenders"))
         if k and not rest.limit(1).count():
             break
     return reduce(DataFrame.unionByName, found)

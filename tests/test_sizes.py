@@ -265,3 +265,50 @@ def test_places_of_a_block_are_worked_out_at_once(monkeypatch):
     got = np.array([p for b in found for p in b.column("places").to_pylist()])
     assert np.array_equal(got, total - counts / 2) and [v for b in found for v in b.column("value").to_pylist()] == list(range(5000))
     assert 4 <= len(calls) <= 12  # a block or what of it a batch holds, not a value, at a time
+
+
+def test_upright_rectangles_are_told_from_other_rings():
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    yes = [box(0, 0, 4, 2), [*box(0, 0, 4, 2), (0, 0)], box(0, 0, 4, 2)[::-1], [(0, 0), (1, 0), (4, 0), (4, 2), (0, 2)], [(4, 1), (4, 2), (0, 2), (0, 0), (4, 0)], [(0, 0), (0, 2), (4, 2), (4, 0), (1.3, 0)]]
+    no = [box(0, 0, 4, 2) * 2, box(0, 0, 4, 0), [(0, 0), (4, 0), (4, 2)], [(0, 0), (4, 2), (4, 0), (0, 2)], [(0, 1), (1, 0), (2, 1), (1, 2)], [(0, 0), (4, 0), (4, 2), (2, 1), (0, 2)], [(0, 0), (4, 0), (2, 0), (4, 0), (4, 2), (0, 2)], [(0, 0), (4, 0), (4, 1), (2, 1), (2, 2), (0, 2)], [(0, 0), (4, 0), (4, 2), (1, 2), (0, 1)], None, []]
+    rings = pa.array([r and [{"x": float(x), "y": float(y)} for x, y in r] for r in yes + no], pa.list_(overlay._POINT))
+    want = [True] * len(yes) + [False] * len(no)
+    assert overlay.upright_rows(rings)[0].tolist() == want and overlay.upright_rows(rings.slice(3, 6))[0].tolist() == want[3:9]
+    more = pa.array([*([[r]] for r in rings.to_pylist()), [], [[]], None, [rings.slice(0, 2).to_pylist()]], overlay._SHAPE)
+    assert overlay.upright_rows(more)[0].tolist() == want + [False] * 4
+
+
+@pytest.mark.parametrize(("near", "odd"), [(64, 0), (1, 3)])
+def test_rectangles_are_matched_without_their_rings(spark, monkeypatch, near, odd):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(space, "NEAR", near)
+    monkeypatch.setattr(space, "POLYGONS", 20)
+    parts, stored = [], space.stored
+    monkeypatch.setattr(space, "stored", lambda df, name, **o: (name == "shapes" and parts.append(df.rdd.getNumPartitions())) or stored(df, name, **o))
+    made = {}
+    for i in range(300):
+        x, y, w, h = (float(v) for v in (*rng.integers(0, 300, 2), *rng.integers(2, 12, 2)))
+        ring = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+        ring = ring[1:] if odd and i % odd == 0 else ring if i % 2 else [ring[0], (x + 1, y), *ring[1:]][::-1]
+        made[f"c{i:03d}"] = (x + w / 2, y + h / 2, ring)
+    rows = [("s", c, x, y, 0.0, 0.5, [{"x": a, "y": b} for a, b in r]) for c, (x, y, r) in made.items()] + [("s", "z1", 9000.0, 9000.0, 0.0, 0.5, [{"x": 1.0, "y": 1.0}]), ("s", "y0", 150.0, 150.0, None, None, None)]
+    df = spark.createDataFrame(rows, f"wsi string, cell_id string, x double, y double, orientation double, elongation double, ring array<{overlay.POINT}>")
+    df = df.filter("ring is not null and size(ring) > 1") if not odd else df
+    calls, ratio = spark.sparkContext.accumulator(0), overlay.overlap_ratio
+
+    def counted(a, b, aligned):
+        return overlay.by_row(lambda x, y: (calls.add(1), ratio(overlay.parts_of(x), overlay.parts_of(y), aligned))[1], "double", pa.float64(), a, b)
+
+    monkeypatch.setattr(overlay, "shape_overlap", counted)
+    got = {r["cell_id"]: (r["other_id"], r["iou"]) for r in space.match_merged(df.filter("cell_id like '%1'"), df.filter("cell_id not like '%1'")).collect()}
+
+    def best(c):
+        x, y, ring = made[c]
+        near_ = {o: (np.hypot(a - x, b - y), ratio([[ring]], [[r]], True)) for o, (a, b, r) in made.items() if not o.endswith("1") and np.hypot(a - x, b - y) <= 100}
+        other = min(near_, key=lambda o: (-round(near_[o][1] - 0.5 * near_[o][0] / 100, 10), o))
+        return other, near_[other][1]
+
+    for c in (c for c in made if c.endswith("1")):
+        assert got[c][0] == best(c)[0] and abs(got[c][1] - best(c)[1]) < 1e-9
+    assert parts == [4, 14]  # as many as the polygons ask for
+    assert calls.value > 0 if odd else calls.value == 0
